@@ -1,10 +1,13 @@
 """Queries of the ten operators, by their names in the driver contract."""
 
-from . import decontaminate
+from . import decontaminate, packing
 
 
 def queries() -> dict:
-    return {"op10_benchmark_decontamination": decontaminate.op10}
+    return {
+        "op5_packing": packing.op5,
+        "op10_benchmark_decontamination": decontaminate.op10,
+    }
 
 
 def oracle_sql() -> dict:
