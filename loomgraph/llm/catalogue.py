@@ -1,10 +1,11 @@
 """Queries of the ten operators, by their names in the driver contract."""
 
-from . import decontaminate, packing
+from . import decontaminate, packing, substrings
 
 
 def queries() -> dict:
     return {
+        "op4_substring_dedup": substrings.op4,
         "op5_packing": packing.op5,
         "op10_benchmark_decontamination": decontaminate.op10,
     }
