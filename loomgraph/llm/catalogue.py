@@ -1,12 +1,13 @@
 """Queries of the ten operators, by their names in the driver contract."""
 
-from . import decontaminate, packing, substrings
+from . import chat, decontaminate, packing, substrings
 
 
 def queries() -> dict:
     return {
         "op4_substring_dedup": substrings.op4,
         "op5_packing": packing.op5,
+        "op6_chat_formatting": chat.op6,
         "op10_benchmark_decontamination": decontaminate.op10,
     }
 
