@@ -70,9 +70,11 @@ def later_places(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np
 
 def _by_document(docs: np.ndarray, starts: np.ndarray):
     """(document, sorted starts) of marked places."""
+    if not len(docs):
+        return
     order = np.lexsort((starts, docs))
     docs, starts = docs[order], starts[order]
-    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else []
+    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
     for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=True):
         yield int(docs[a]), starts[a:b]
 
