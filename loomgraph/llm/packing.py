@@ -19,6 +19,7 @@ documents of their own. Null ids stay null. An empty table gives no rows. Other
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -33,7 +34,7 @@ CAPACITY = 4096
 UNIT = 64
 END = 2
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, size int, salt long"
 #: Pieces ranked in one group.
 RANKED = 50_000
@@ -55,6 +56,8 @@ class WordIds(dict):
     between a letter or digit and a full stop or comma, and lower-cases it, so a text's ids are those of
     its words in turn."""
 
+    #: Stands between words that are tokenized together; no text without "<|" has its id.
+    SEPARATOR = "<|endoftext|>"
     _stop = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=\s|$)")
 
     def __init__(self, path: str):
@@ -63,6 +66,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.separator = vocabulary[self.SEPARATOR]
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
@@ -81,19 +85,39 @@ class WordIds(dict):
         for word in new:
             text = word.decode("utf-8", "replace")
             (letters if text.isalpha() else others).append((word, text))
-        for k in range(0, len(letters), 2000):
-            part = letters[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cut) == len(part):  # else some word is more than one piece to the tokenizer
-                raw, at = ids.tobytes(), 0
-                for (word, _), end in zip(part, cut.tolist(), strict=True):
-                    self[word] = raw[at:end]
-                    at = end
-            else:
+        for part in _parts(letters):
+            ids = self._joined("\n", part)
+            if not self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0):  # some word is more than one piece to the tokenizer
                 others += part
-        for (word, _), got in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
-            self[word] = np.array(got.ids, "<u4").tobytes()
+        odd = [w for w in others if "<|" in w[1]]
+        for part in _parts([w for w in others if "<|" not in w[1]] if odd else others):
+            ids = self._joined(self.SEPARATOR, part)
+            self._cut(part, ids, np.flatnonzero(np.append(ids, self.separator) == self.separator), 1)
+        for word, text in odd:
+            self[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _joined(self, separator: str, part: list) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([separator.join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+
+    def _cut(self, part: list, ids: np.ndarray, cut: np.ndarray, skip: int) -> bool:
+        """Keeps each word's ids where there are as many cuts as words."""
+        if len(cut) != len(part):
+            return False
+        raw, at = ids.tobytes(), 0
+        for (word, _), end in zip(part, (4 * cut).tolist(), strict=True):
+            self[word] = raw[at:end]
+            at = end + 4 * skip
+        return True
+
+
+def _parts(words: list, size: int = 4000) -> list:
+    return [words[k : k + size] for k in range(0, len(words), size)]
+
+
+@functools.cache
+def _word_ids(path: str) -> WordIds:
+    """One for a Python worker, kept from task to task."""
+    return WordIds(path)
 
 
 def _grouped(batches, most: int):
@@ -115,9 +139,9 @@ def _tokenized(path: str, capacity: int, unit: int, salts: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        ids, end = WordIds(path), np.array([END], "<u4").tobytes()
+        ids, end = _word_ids(path), np.array([END], "<u4").tobytes()
         rows: list[tuple] = []
-        for group in _grouped(batches, 1 << 20):
+        for group in _grouped(batches, 2 << 20):
             ids.learn(set().union(*(words for _, words in group)))
             for doc, words in group:
                 own = memoryview(b"".join(map(ids.__getitem__, words)) + end)
