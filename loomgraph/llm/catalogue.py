@@ -1,6 +1,6 @@
 """Queries of the ten operators, by their names in the driver contract."""
 
-from . import chat, decontaminate, packing, substrings
+from . import chat, decontaminate, langid, packing, substrings, toxicity
 
 
 def queries() -> dict:
@@ -8,6 +8,8 @@ def queries() -> dict:
         "op4_substring_dedup": substrings.op4,
         "op5_packing": packing.op5,
         "op6_chat_formatting": chat.op6,
+        "op7_language_id": langid.op7,
+        "op8_toxicity": toxicity.op8,
         "op10_benchmark_decontamination": decontaminate.op10,
     }
 
