@@ -1,10 +1,12 @@
 """Queries of the ten operators, by their names in the driver contract."""
 
-from . import chat, decontaminate, langid, packing, substrings, toxicity
+from . import chat, decontaminate, langid, licenses, packing, substrings, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": urls.op1,
+        "op2_license_scan": licenses.op2,
         "op4_substring_dedup": substrings.op4,
         "op5_packing": packing.op5,
         "op6_chat_formatting": chat.op6,
