@@ -3,8 +3,8 @@
 Each task hashes every window of its texts, keeps the earliest place of each hash and marks its other
 places at once, so a passage that fills a task's texts leaves one record. The records are dealt to
 buckets by ranges of the hash, in blobs (8 bytes of hash and about one of place for each window), and
-each bucket marks all places of a hash but the earliest. Marks return to their documents, where
-overlapping windows merge into maximal removal intervals. The number of buckets follows the amount of
+each bucket marks all places of a hash but the earliest. Marks are gathered by groups of documents (of
+about ``TOGETHER``) and return to them, where overlapping windows merge into maximal removal intervals. The number of buckets follows the amount of
 text, so a bucket's size is bounded; a hot window has one record for each task at most.
 
 Two different windows share a 64-bit value with probability n**2 / 2**65 for n windows: 1e-3 for 1e8.
@@ -30,8 +30,11 @@ WINDOW = 20
 #: Windows that a task hashes before it sends them on, and that a bucket holds on average.
 FLUSH = 2_500_000
 BUCKET = 1_500_000
+TOGETHER = 2_000
 NULL_ID = -(1 << 63)
-SENT = "bucket long, docs binary, counts binary, starts binary, hashes binary"
+#: ``hashes`` of marks that a task has made (``made``) holds their group of documents.
+SENT = "bucket long, docs binary, counts binary, starts binary, hashes binary, made boolean"
+MARKED = "owners long, docs binary, counts binary, starts binary"
 MARKS = "doc_id long, starts binary"
 
 
@@ -68,24 +71,34 @@ def later_places(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np
     return own[(docs[own] != docs[head]) | (starts[own] != starts[head])]
 
 
-def _by_document(docs: np.ndarray, starts: np.ndarray):
-    """(document, sorted starts) of marked places."""
-    if not len(docs):
-        return
-    order = np.lexsort((starts, docs))
-    docs, starts = docs[order], starts[order]
-    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-    for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=True):
-        yield int(docs[a]), starts[a:b]
+def _runs(docs: np.ndarray) -> tuple[bytes, bytes]:
+    """Documents of places in order, and how many places each has."""
+    new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    return np.diff(docs[new], prepend=0).astype("<i8").tobytes(), squeezed(np.diff(np.append(new, len(docs))))
+
+
+def _places(docs: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse: documents and starts of places."""
+    return np.repeat(np.cumsum(np.frombuffer(docs, "<i8")), unsqueezed(counts)), unsqueezed(starts)
+
+
+def _by_owners(docs: np.ndarray, starts: np.ndarray, groups: int):
+    """(group of documents, places of its documents) of marked places."""
+    owners = (common.mixed(docs.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((starts, docs, owners))
+    owners, docs, starts = owners[order], docs[order], starts[order]
+    cuts = np.flatnonzero(np.diff(owners, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=len(docs) > 0):
+        yield int(owners[a]), *_runs(docs[a:b]), squeezed(starts[a:b])
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    types = [pa.int64()] + [pa.binary()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "docs", "counts", "starts", "hashes"])
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    types = [pa.int64()] + [pa.binary()] * 4 + [pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "docs", "counts", "starts", "hashes", "made"])
 
 
-def _hashed(window: int, buckets: int):
+def _hashed(window: int, buckets: int, groups: int):
     def flush(parts: list[tuple[int, np.ndarray]]):
         parts.sort(key=lambda p: p[0])
         sizes = np.array([len(h) for _, h in parts], np.int64)
@@ -94,10 +107,7 @@ def _hashed(window: int, buckets: int):
         hashes = np.concatenate([h for _, h in parts])
         parts.clear()
         later = later_places(hashes, docs, starts)
-        rows = []
-        for k, (doc, own) in enumerate(_by_document(docs[later], starts[later])):
-            rows.append((k % buckets, np.array([doc], "<i8").tobytes(), None, squeezed(own), None))
-        yield _sent(rows)
+        yield _sent([(o % buckets, *places, o.to_bytes(8, "little"), True) for o, *places in _by_owners(docs[later], starts[later], groups)])
         order = np.argsort(hashes, kind="stable")  # of equal hashes the first is the earliest
         firsts = np.ones(len(order), bool)
         firsts[1:] = hashes[order][1:] != hashes[order][:-1]
@@ -106,10 +116,7 @@ def _hashed(window: int, buckets: int):
         for k in range(buckets):
             if bounds[k] < bounds[k + 1]:
                 own = np.sort(order[bounds[k] : bounds[k + 1]])
-                there = docs[own]
-                new = np.flatnonzero(np.concatenate([[True], there[1:] != there[:-1]]))
-                counts = np.diff(np.append(new, len(own)))
-                yield _sent([(k, np.diff(there[new], prepend=0).astype("<i8").tobytes(), squeezed(counts), squeezed(starts[own]), hashes[own].astype("<u8").tobytes())])
+                yield _sent([(k, *_runs(docs[own]), squeezed(starts[own]), hashes[own].astype("<u8").tobytes(), False)])
 
     def run(batches):
         parts, held = [], 0
@@ -130,44 +137,59 @@ def _hashed(window: int, buckets: int):
     return run
 
 
-def _marked(group: pa.Table) -> pa.Table:
-    """A bucket's later places, by document; marks that tasks have made pass through."""
-    ids, blobs, docs, starts, hashes = [], [], [], [], []
-    for d, c, s, h in zip(*(group.column(n) for n in ("docs", "counts", "starts", "hashes")), strict=True):
-        d = np.cumsum(np.frombuffer(d.as_py(), "<i8"))
-        if h.as_py() is None:
-            ids.append(int(d[0]))
-            blobs.append(s.as_py())
-        else:
-            docs.append(np.repeat(d, unsqueezed(c.as_py())))
-            starts.append(unsqueezed(s.as_py()))
-            hashes.append(np.frombuffer(h.as_py(), "<u8"))
-    if hashes:
-        docs, starts, hashes = np.concatenate(docs), np.concatenate(starts), np.concatenate(hashes)
-        later = later_places(hashes, docs, starts)
-        for doc, own in _by_document(docs[later], starts[later]):
-            ids.append(doc)
-            blobs.append(squeezed(own))
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "starts": pa.array(blobs, pa.binary())})
+def _marked(groups: int):
+    def run(bucket: pa.Table) -> pa.Table:
+        """A bucket's later places, by group of documents; marks that tasks have made pass through."""
+        rows, docs, starts, hashes = [], [], [], []
+        for d, c, s, h, made in zip(*(bucket.column(n) for n in ("docs", "counts", "starts", "hashes", "made")), strict=True):
+            if made.as_py():
+                rows.append((int.from_bytes(h.as_py(), "little"), d.as_py(), c.as_py(), s.as_py()))
+            else:
+                own = _places(d.as_py(), c.as_py(), s.as_py())
+                docs.append(own[0])
+                starts.append(own[1])
+                hashes.append(np.frombuffer(h.as_py(), "<u8"))
+        if hashes:
+            docs, starts, hashes = np.concatenate(docs), np.concatenate(starts), np.concatenate(hashes)
+            later = later_places(hashes, docs, starts)
+            rows += _by_owners(docs[later], starts[later], groups)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.table({n: pa.array(c, pa.binary() if k else pa.int64()) for k, (n, c) in enumerate(zip(("owners", "docs", "counts", "starts"), columns, strict=True))})
+
+    return run
+
+
+def _gathered(owned: pa.Table) -> pa.Table:
+    """All marks of a group's documents, one row for each document."""
+    parts = [_places(*(x.as_py() for x in row)) for row in zip(*(owned.column(n) for n in ("docs", "counts", "starts")), strict=True)]
+    docs, starts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort((starts, docs))
+    docs, starts = docs[order], starts[order]
+    cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+    blobs = [squeezed(starts[a:b]) for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=True)]
+    return pa.table({"doc_id": pa.array(docs[cuts], pa.int64()), "starts": pa.array(blobs, pa.binary())})
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id (null as the smallest long) and blobs of the starts of windows that also start earlier."""
+    """doc_id (null as the smallest long) and a blob of the starts of windows that also start earlier."""
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // 6 // BUCKET + 1)
-    return own.mapInArrow(_hashed(window, buckets), SENT).groupBy("bucket").applyInArrow(_marked, MARKS)
+    volume = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, groups = max(parts, (volume.bytes or 0) // 6 // BUCKET + 1), max(parts, volume.n // TOGETHER + 1)
+    sent = own.mapInArrow(_hashed(window, buckets, groups), SENT)
+    marked = sent.groupBy("bucket").applyInArrow(_marked(groups), MARKED)
+    return marked.groupBy("owners").applyInArrow(_gathered, MARKS)
 
 
 def _cut(window: int, names: list[str]):
     def run(batches):
         for batch in batches:
             removed, words_of, kept_of = [], [], []
-            for text, blobs in zip(batch.column("text"), batch.column("_starts"), strict=True):
+            for text, blob in zip(batch.column("text"), batch.column("_starts"), strict=True):
                 words = common.space_words((t := text.as_py()) and t.encode())
                 gone = np.zeros(len(words) + 1, np.int32)
-                for blob in blobs.as_py() or ():
-                    starts = unsqueezed(blob)
+                if blob.as_py() is not None:
+                    starts = unsqueezed(blob.as_py())
                     starts = starts[starts <= len(words) - window]
                     np.add.at(gone, starts, 1)
                     np.add.at(gone, starts + window, -1)
@@ -185,7 +207,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
     columns of docs with these names give way."""
     docs = docs.drop("n_words", "n_removed", "kept", "_starts", "_key")
     marks = common.written(spark, repeated_windows(spark, docs, window), "marks")
-    marks = marks.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list("starts").alias("_starts"))
+    marks = marks.select(F.col("doc_id").alias("_key"), F.col("starts").alias("_starts"))
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     joined = keyed.join(marks.hint("shuffle_hash"), "_key", "left").drop("_key")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_removed long, kept string"
