@@ -1,6 +1,6 @@
 """Queries of the ten operators, by their names in the driver contract."""
 
-from . import chat, decontaminate, langid, licenses, packing, substrings, toxicity, urls
+from . import chat, decontaminate, langid, licenses, neardup, packing, substrings, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_chat_formatting": chat.op6,
         "op7_language_id": langid.op7,
         "op8_toxicity": toxicity.op8,
+        "op9_ngram_jaccard_join": neardup.op9,
         "op10_benchmark_decontamination": decontaminate.op10,
     }
 
