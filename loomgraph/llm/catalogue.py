@@ -1,12 +1,13 @@
 """Queries of the ten operators, by their names in the driver contract."""
 
-from . import chat, decontaminate, langid, licenses, neardup, packing, substrings, toxicity, urls
+from . import chat, decontaminate, langid, licenses, neardup, neighbours, packing, substrings, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": urls.op1,
         "op2_license_scan": licenses.op2,
+        "op3_nearest_neighbours": neighbours.op3,
         "op4_substring_dedup": substrings.op4,
         "op5_packing": packing.op5,
         "op6_chat_formatting": chat.op6,
