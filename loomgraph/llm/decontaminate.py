@@ -24,7 +24,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +72,7 @@ def _places(items: Items):
         low = np.uint64((1 << FILTER_BITS) - 1)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = common.plain_words(text)
                 values = common.word_values(words, len(words))
                 at, ids = [], []
@@ -88,8 +87,7 @@ def _places(items: Items):
                         ids.append(sids[found[same]])
                 at_all = np.concatenate(at) if at else np.zeros(0, np.int64)
                 ids_all = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-                digest = xxhash.xxh3_64_intdigest(text or b"")
-                out.append((doc, digest - (1 << 63), len(words), at_all.astype("<i8").tobytes(), ids_all.astype("<i8").tobytes()))
+                out.append((doc, digest, len(words), at_all.astype("<i8").tobytes(), ids_all.astype("<i8").tobytes()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "text_hash", "n_words", "places", "shingles"])
@@ -99,7 +97,7 @@ def _places(items: Items):
 
 def shingle_places(docs: DataFrame, items: Items) -> DataFrame:
     """One row for each document: its words and where shingles of items stand in it."""
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
     return own.mapInArrow(_places(items), PLACES)
 
 
@@ -167,21 +165,24 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
 
 
 def contained(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_words, spans (start, end, start, end ... of all occurring windows) and items (ids as strings) of each document."""
+    """doc_id, text_hash, n_words, spans (start, end, start, end ... of all occurring windows) and items (ids as strings) of each document."""
     parts = []
     for blocks, rows in _blocks(benchmark, block_bytes):
         items = Items(rows, window, shingle)
         places = common.written(spark, shingle_places(docs, items), "places")
         parts.append(places.mapInArrow(_verify(items, rarity(places)), SPANS))
     if blocks == 1:
-        return parts[0].drop("text_hash")
+        return parts[0]
     key = ["doc_id", "text_hash"]
     parts = [common.written(spark, p, "spans") for p in parts]
     found = reduce(DataFrame.unionByName, [p.filter(F.size("spans") > 0).dropDuplicates(key) for p in parts])
     merged = found.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     none = F.array().cast("array<long>"), F.array().cast("array<string>")
     joined = parts[0].drop("spans", "items").alias("d").join(merged.alias("m"), [F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key], "left")
-    return joined.select("d.doc_id", "d.n_words", F.coalesce("m.spans", none[0]).alias("spans"), F.coalesce("m.items", none[1]).alias("items"))
+    return joined.select("d.doc_id", "d.text_hash", "d.n_words", F.coalesce("m.spans", none[0]).alias("spans"), F.coalesce("m.items", none[1]).alias("items"))
+
+
+JUDGED = ["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -200,12 +201,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **
             shas = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in owners]
             bad = [h > 0 and 20 * h >= n for h, n in zip(hit, words, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in owners], pa.int64()), pa.array(shas, pa.string()), pa.array(bad, pa.bool_())],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                [batch.column("doc_id"), batch.column("text_hash"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in owners], pa.int64()), pa.array(shas, pa.string()), pa.array(bad, pa.bool_())],
+                JUDGED,
             )
 
-    return contained(spark, docs, benchmark, **options).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return contained(spark, docs, benchmark, **options).mapInArrow(run, "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns."""
+    bad = decontaminate(spark, docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(bad.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return decontaminate(spark, common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("text_hash")
