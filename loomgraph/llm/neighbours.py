@@ -5,7 +5,8 @@ indexed in a leaf. A query keeps a priority queue of nodes by the distance to th
 taken, an inner node puts its children into the queue, a leaf is visited. How many leaves are visited is
 calibrated on all rows: the true neighbours of ``TRIALS`` queries are found by brute force, one pass over
 the rows, and visits widen until they hold ``RECALL`` of them. Queries then meet the rows of the leaves
-that they visit; a leaf with many rows (say, of one vector) is split by a salt. Distances are exact.
+that they visit: leaves next to each other in the tree share a shard of about ``SPLIT`` rows, and a leaf
+with more rows (say, of one vector) is split over shards of its own by a salt. Distances are exact.
 
 Cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows with
 a null vec_id or with another number of components than most rows have. Of rows that share a vec_id the
@@ -29,8 +30,8 @@ SAMPLE = 20_000
 BRANCHES = 8
 LEAF = 40
 TRIALS = 64
-RECALL = 0.96
-#: Rows of a leaf in one group.
+RECALL = 0.95
+#: Rows of a shard.
 SPLIT = 4_096
 
 
@@ -179,22 +180,56 @@ def calibrated(tree: Tree, index: DataFrame, trials: list[tuple[int, np.ndarray]
     return int(np.quantile(visits, recall, method="higher")) if visits else 1
 
 
-def _visits(tree, visits: int, counts: dict[int, int], groups: dict[int, int], k: int):
-    """A row for each leaf that a query visits, and for each part of the leaf."""
+class Shards:
+    """Where the rows of each leaf are: the first shard and how many. Leaves are numbered along the tree."""
+
+    def __init__(self, counts: dict[int, int], split: int = SPLIT):
+        self.counts, self.first, self.parts, self.n, held = counts, {}, {}, 0, 0
+        for leaf in sorted(counts):
+            if counts[leaf] > split:
+                self.n += held > 0
+                self.first[leaf], self.parts[leaf] = self.n, -(-counts[leaf] // split)
+                self.n, held = self.n + self.parts[leaf], 0
+                continue
+            if held and held + counts[leaf] > split:
+                self.n, held = self.n + 1, 0
+            self.first[leaf], self.parts[leaf] = self.n, 1
+            held += counts[leaf]
+
+
+def _placed(shards):
+    """Adds its shard to each row of the index."""
+
+    def run(batches):
+        own = shards.value
+        for batch in batches:
+            ids, leaf = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            salts = common.mixed(ids.astype(np.int64).view(np.uint64)).tolist()
+            shard = [own.first[f] + s % own.parts[f] for f, s in zip(leaf, salts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], ["vec_id", "vec", "leaf", "shard"])
+
+    return run
+
+
+def _visits(tree, shards, visits: int, k: int):
+    """A row for each query and shard, with the leaves that the query visits there."""
 
     def run(batches):
+        own = shards.value
         for batch in batches:
             rows = []
             for query_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                met = 0
+                met, where = 0, {}
                 for n, leaf in enumerate(tree.value.leaves(np.frombuffer(raw, "<f8"))):
                     if n >= visits and met > 2 * k:
                         break
-                    met += counts.get(leaf, 0)
-                    rows += [(query_id, raw, leaf, part) for part in range(groups.get(leaf, 0))]
+                    met += own.counts.get(leaf, 0)
+                    for shard in range(own.first[leaf], own.first[leaf] + own.parts[leaf]) if leaf in own.first else ():
+                        where.setdefault(shard, []).append(leaf)
+                rows += [(query_id, raw, shard, leaves) for shard, leaves in where.items()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["query_id", "query", "leaf", "part"])
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["query_id", "query", "shard", "leaves"])
 
     return run
 
@@ -203,10 +238,14 @@ def _searched(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
         if rows.num_rows and queries.num_rows:
-            ids, x, leaf = rows.column("vec_id").to_numpy(), _matrix(rows.column("vec")), rows.column("leaf")[0].as_py()
-            for query_id, query in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("query")), strict=True):
-                own, far = _nearest(query, query_id, ids, x, k)
-                out.append((np.full(len(own), query_id), ids[own], far, np.full(len(own), leaf)))
+            ids, x, leaf = rows.column("vec_id").to_numpy(), _matrix(rows.column("vec")), rows.column("leaf").to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            ids, x, leaf = ids[order], x[order], leaf[order]
+            for query_id, query, leaves in zip(queries.column("query_id").to_pylist(), _matrix(queries.column("query")), queries.column("leaves").to_pylist(), strict=True):
+                own = np.flatnonzero(np.isin(leaf, leaves))
+                near, far = _nearest(query, query_id, ids[own], x[own], k)
+                near = own[near]
+                out.append((np.full(len(near), query_id), ids[near], far, leaf[near]))
         return pa.Table.from_batches([_found(out)])
 
     return run
@@ -230,11 +269,10 @@ def search(spark: SparkSession, embeddings: DataFrame, *, k: int = K, every: int
     trials = [(r.vec_id, np.frombuffer(bytes(r.vec), "<f8")) for r in queries.orderBy(h, "vec").limit(TRIALS).collect()]
     visits = calibrated(tree, index, trials, k, recall)
     counts = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}  # bounded by the number of leaves
-    groups = {leaf: -(-count // SPLIT) for leaf, count in counts.items()}
-    asked = queries.select("vec_id", "vec").mapInArrow(_visits(sent, visits, counts, groups, k), "query_id long, query binary, leaf long, part long")
-    parts = F.create_map(*(F.lit(x) for pair in groups.items() for x in pair))[F.col("leaf")] if max(groups.values()) > 1 else F.lit(1)
-    placed = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("long"))
-    found = placed.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInArrow(_searched(k), FOUND)
+    shards = spark.sparkContext.broadcast(Shards(counts))
+    asked = queries.select("vec_id", "vec").mapInArrow(_visits(sent, shards, visits, k), "query_id long, query binary, shard long, leaves array<long>")
+    placed = index.mapInArrow(_placed(shards), "vec_id long, vec binary, leaf long, shard long")
+    found = placed.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_searched(k), FOUND)
     return top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
