@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,3 +95,22 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
         half = bit >> 1
         part = part[:-half] * np.uint64(pow(BASE, half, 1 << 64)) + part[half:]
     return out[: n - k + 1]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the platform can: Python workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(function):
+    """A function over Arrow batches (or tables of a group) that trims when it is done."""
+
+    def over_batches(batches):
+        try:
+            yield from function(batches)
+        finally:
+            trim()
+
+    return over_batches

@@ -36,7 +36,7 @@ from .substrings import FLUSH, ranges, squeezed, unsqueezed
 
 SHINGLE = 5
 SIMILARITY = 75  # per cent
-BUCKET = 1_500_000
+BUCKET = 800_000
 GROUP = 2_000
 #: Classes that one task compares, and that one tree holds.
 TOGETHER = 4_096
@@ -104,7 +104,7 @@ def _hashed(k: int, buckets: int):
                     docs, sets, held = [], {}, 0
         yield from flush(docs, sets)
 
-    return run
+    return common.trimmed(run)
 
 
 def _shared(groups: int):
@@ -141,7 +141,10 @@ def _shared(groups: int):
                 for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):
                     part = own[a:b]
                     out.append((1, int(holders[a]), *_runs(classes[part], sizes[part]), hashes[part].tobytes(), df[a:b].tobytes()))
-        return pa.Table.from_batches([_rows(out)])
+        del parts
+        table = pa.Table.from_batches([_rows(out)])
+        common.trim()
+        return table
 
     return run
 
@@ -227,28 +230,29 @@ class Tree:
             at = np.arange(0, len(s), fanout)
             self.levels.append((np.bitwise_or.reduceat(s, at), np.maximum.reduceat(e, at), np.minimum.reduceat(n, at), np.maximum.reduceat(c, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    def pairs(self, per_cent: int):
-        """Pairs of leaves (places in the order) that no bound rules out, level by level from the root."""
-        a = b = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
+    def pairs(self, per_cent: int, most_pairs: int = 100_000):
+        """Pairs of leaves (places in the order) that no bound rules out, some at a time. The traversal goes
+        down from the root with itself; pairs of nodes wait in pieces, the deepest first, so few are held."""
+        waiting = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        child = np.arange(self.fanout)
+        while waiting:
+            depth, a, b = waiting.pop()
             s, e, n, c, low, high = self.levels[depth]
-            keep = ~((low[a] == high[a]) & (low[a] == low[b]) & (low[b] == high[b])) if depth or len(self.levels) == 1 else low[a] != low[b]
-            a, b = a[keep], b[keep]
-            most = np.empty(len(a), np.int64)
-            for k in range(0, len(a), 65_536):
-                x, y = a[k : k + 65_536], b[k : k + 65_536]
-                most[k : k + 65_536] = np.bitwise_count(s[x] & s[y]).sum(1, dtype=np.int64) + np.minimum(e[x], e[y])
-            most = np.minimum(most, np.minimum(c[a], c[b]))
-            keep = (100 + per_cent) * most >= per_cent * (n[a] + n[b])
+            one = (low[a] == high[a]) & (low[a] == low[b]) & (low[b] == high[b])  # linked already
+            a, b = a[~one], b[~one]
+            overlap = np.bitwise_count(s[a] & s[b]).sum(1, dtype=np.int64) + np.minimum(e[a], e[b])
+            overlap = np.minimum(overlap, np.minimum(c[a], c[b]))
+            keep = (100 + per_cent) * overlap >= per_cent * (n[a] + n[b])
             a, b = a[keep], b[keep]
-            if depth and len(a):
-                below = len(self.levels[depth - 1][0])
-                child = np.arange(self.fanout)
-                a = np.repeat(a[:, None] * self.fanout + child, self.fanout, axis=1).ravel()
-                b = np.tile(b[:, None] * self.fanout + child, self.fanout).ravel()
-                keep = (a < below) & (b < below) & (a <= b)
-                a, b = a[keep], b[keep]
-        return a[a != b], b[a != b]
+            if not depth:
+                yield a[a != b], b[a != b]
+                continue
+            below, step = len(self.levels[depth - 1][0]), most_pairs // self.fanout**2
+            for k in range(0, len(a), step):
+                x = np.repeat(a[k : k + step, None] * self.fanout + child, self.fanout, axis=1).ravel()
+                y = np.tile(b[k : k + step, None] * self.fanout + child, self.fanout).ravel()
+                real = (x < below) & (y < below) & (x <= y)
+                waiting.append((depth - 1, x[real], y[real]))
 
 
 def forest(sizes: np.ndarray, tokens: list[np.ndarray], per_cent: int = SIMILARITY, pivots: int = 32) -> np.ndarray:
@@ -267,17 +271,17 @@ def forest(sizes: np.ndarray, tokens: list[np.ndarray], per_cent: int = SIMILARI
     if (labels != labels[0]).any():
         least = np.minimum.reduceat(sets.flat * 0x9E3779B1 % 0xFFFFFFFB, sets.first[:-1])
         order = np.lexsort((sizes, least, labels))
-        a, b = Tree(sets, order, labels).pairs(per_cent)
-        a, b = order[a], order[b]
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        cuts = np.flatnonzero(np.diff(a, prepend=-1))
-        for x, y in zip(cuts, np.append(cuts[1:], len(a)), strict=len(a) > 0):
-            i = int(a[x])
-            others = np.array([j for j in b[x:y].tolist() if known.root(j) != known.root(i)], np.int64)
-            if len(others):
-                for j in others[sets.linked(i, others)].tolist():
-                    known.join(i, j)
+        for a, b in Tree(sets, order, labels).pairs(per_cent):
+            a, b = order[a], order[b]
+            by = np.lexsort((b, a))
+            a, b = a[by], b[by]
+            cuts = np.flatnonzero(np.diff(a, prepend=-1))
+            for x, y in zip(cuts, np.append(cuts[1:], len(a)), strict=len(a) > 0):
+                i = int(a[x])
+                others = np.array([j for j in b[x:y].tolist() if known.root(j) != known.root(i)], np.int64)
+                if len(others):
+                    for j in others[sets.linked(i, others)].tolist():
+                        known.join(i, j)
     return np.array([known.root(i) for i in range(len(sizes))], np.int64)
 
 

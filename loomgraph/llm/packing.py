@@ -34,7 +34,7 @@ CAPACITY = 4096
 UNIT = 64
 END = 2
 #: Words whose ids a worker keeps.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, size int, salt long"
 #: Pieces ranked in one group.
 RANKED = 50_000
@@ -155,7 +155,7 @@ def _tokenized(path: str, capacity: int, unit: int, salts: int):
                     rows = []
         yield _batch(rows)
 
-    return run
+    return common.trimmed(run)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -28,8 +28,8 @@ from . import common
 
 WINDOW = 20
 #: Windows that a task hashes before it sends them on, and that a bucket holds on average.
-FLUSH = 2_500_000
-BUCKET = 1_500_000
+FLUSH = 1_200_000
+BUCKET = 800_000
 TOGETHER = 2_000
 NULL_ID = -(1 << 63)
 #: ``hashes`` of marks that a task has made (``made``) holds their group of documents.
@@ -134,7 +134,7 @@ def _hashed(window: int, buckets: int, groups: int):
         if parts:
             yield from flush(parts)
 
-    return run
+    return common.trimmed(run)
 
 
 def _marked(groups: int):
@@ -156,7 +156,12 @@ def _marked(groups: int):
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.table({n: pa.array(c, pa.binary() if k else pa.int64()) for k, (n, c) in enumerate(zip(("owners", "docs", "counts", "starts"), columns, strict=True))})
 
-    return run
+    def trimmed(bucket: pa.Table) -> pa.Table:
+        out = run(bucket)
+        common.trim()
+        return out
+
+    return trimmed
 
 
 def _gathered(owned: pa.Table) -> pa.Table:
