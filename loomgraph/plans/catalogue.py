@@ -1,9 +1,17 @@
-"""The catalogue of the engine's own queries."""
+"""The catalogue of the engine's own queries: each operator over the relational tables, with its SQL."""
+
+from __future__ import annotations
+
+from . import catalogue_graph, catalogue_search, catalogue_text
+
+
+def _all() -> dict:
+    return {**catalogue_graph.CATALOGUE, **catalogue_text.CATALOGUE, **catalogue_search.CATALOGUE}
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
