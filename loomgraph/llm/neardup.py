@@ -36,7 +36,9 @@ from .substrings import FLUSH, ranges, squeezed, unsqueezed
 
 SHINGLE = 5
 SIMILARITY = 75  # per cent
-BUCKET = 800_000
+#: Shingles of a bucket. Each class costs 8 bytes in each bucket that it reaches, so larger buckets (for
+#: executors with more memory) move less.
+BUCKET = 2_000_000
 GROUP = 2_000
 #: Classes that one task compares, and that one tree holds.
 TOGETHER = 4_096

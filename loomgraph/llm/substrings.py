@@ -29,7 +29,7 @@ from . import common
 WINDOW = 20
 #: Windows that a task hashes before it sends them on, and that a bucket holds on average.
 FLUSH = 1_200_000
-BUCKET = 800_000
+BUCKET = 1_500_000
 TOGETHER = 2_000
 NULL_ID = -(1 << 63)
 #: ``hashes`` of marks that a task has made (``made``) holds their group of documents.
@@ -38,15 +38,17 @@ MARKED = "owners long, docs binary, counts binary, starts binary"
 MARKS = "doc_id long, starts binary"
 
 
-def squeezed(a: np.ndarray) -> bytes:
-    """Differences of 32-bit numbers, by byte planes, compressed."""
-    planes = np.diff(a.astype("<i4"), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T
+def squeezed(a: np.ndarray, kind: str = "<i4") -> bytes:
+    """Differences of numbers, by byte planes, compressed."""
+    own = a.astype(kind)
+    planes = np.diff(own, prepend=own.dtype.type(0)).view(np.uint8).reshape(-1, own.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def unsqueezed(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+def unsqueezed(raw: bytes, kind: str = "<i4") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(size, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
 def ranges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -74,12 +76,12 @@ def later_places(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np
 def _runs(docs: np.ndarray) -> tuple[bytes, bytes]:
     """Documents of places in order, and how many places each has."""
     new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-    return np.diff(docs[new], prepend=0).astype("<i8").tobytes(), squeezed(np.diff(np.append(new, len(docs))))
+    return squeezed(docs[new], "<i8"), squeezed(np.diff(np.append(new, len(docs))))
 
 
 def _places(docs: bytes, counts: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The inverse: documents and starts of places."""
-    return np.repeat(np.cumsum(np.frombuffer(docs, "<i8")), unsqueezed(counts)), unsqueezed(starts)
+    return np.repeat(unsqueezed(docs, "<i8"), unsqueezed(counts)), unsqueezed(starts)
 
 
 def _by_owners(docs: np.ndarray, starts: np.ndarray, groups: int):
