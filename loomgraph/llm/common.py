@@ -104,10 +104,24 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def trimmed(function):
-    """A function over Arrow batches (or tables of a group) that trims when it is done."""
+#: What a Python worker keeps from task to task.
+_kept: dict = {}
+
+
+def kept(key, make):
+    """make()'s result, made once in a Python worker, until a function of another operator runs there."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def trimmed(function, keep: bool = False):
+    """A function over Arrow batches that gives memory back when it is done; unless ``keep`` is set, what the
+    worker keeps goes first."""
 
     def over_batches(batches):
+        if not keep:
+            _kept.clear()
         try:
             yield from function(batches)
         finally:

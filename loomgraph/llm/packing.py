@@ -19,7 +19,6 @@ documents of their own. Null ids stay null. An empty table gives no rows. Other
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 
@@ -33,8 +32,8 @@ from . import common
 CAPACITY = 4096
 UNIT = 64
 END = 2
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps, about 150 bytes each.
+CACHED_WORDS = 900_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, size int, salt long"
 #: Pieces ranked in one group.
 RANKED = 50_000
@@ -114,12 +113,6 @@ def _parts(words: list, size: int = 4000) -> list:
     return [words[k : k + size] for k in range(0, len(words), size)]
 
 
-@functools.cache
-def _word_ids(path: str) -> WordIds:
-    """One for a Python worker, kept from task to task."""
-    return WordIds(path)
-
-
 def _grouped(batches, most: int):
     """(doc_id, words) of documents in groups of about this many bytes of text."""
     group, size = [], 0
@@ -139,7 +132,7 @@ def _tokenized(path: str, capacity: int, unit: int, salts: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        ids, end = _word_ids(path), np.array([END], "<u4").tobytes()
+        ids, end = common.kept(("word ids", path), lambda: WordIds(path)), np.array([END], "<u4").tobytes()
         rows: list[tuple] = []
         for group in _grouped(batches, 2 << 20):
             ids.learn(set().union(*(words for _, words in group)))
@@ -155,7 +148,7 @@ def _tokenized(path: str, capacity: int, unit: int, salts: int):
                     rows = []
         yield _batch(rows)
 
-    return common.trimmed(run)
+    return common.trimmed(run, keep=True)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

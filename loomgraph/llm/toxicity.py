@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = able.withColumn("h", h).filter(F.pmod(F.col("h"), F.lit(1_000_003)) < share * 1_000_003)
     chosen = chosen.orderBy("h", "toxic").limit(2 * sample)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(F.broadcast(chosen), "doc_id")
-    rows = own.select("h", "text", "toxic").mapInArrow(_term_rows, "h long, terms binary, toxic int").orderBy("h", "toxic", "terms").limit(2 * sample).collect()
+    rows = own.select("h", "text", "toxic").mapInArrow(common.trimmed(_term_rows), "h long, terms binary, toxic int").orderBy("h", "toxic", "terms").limit(2 * sample).collect()
     return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.toxic for r in rows], float))
 
 
@@ -145,7 +145,7 @@ def _scored(machine, size: int = 512):
 def score(spark: SparkSession, docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, held_out, score and predicted of each document, from its text alone."""
     sent = spark.sparkContext.broadcast(machine)  # bounded by 2**BITS terms
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_scored(sent), SCORES)
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(common.trimmed(_scored(sent)), SCORES)
     return own.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -158,7 +158,7 @@ def clean(spark: SparkSession, docs: DataFrame, machine: Machine) -> DataFrame:
             out = [sent.value.score([terms(t) for t in batch.slice(at, size).column("text").cast(pa.binary()).to_pylist()]) for at in range(0, batch.num_rows, size)]
             yield batch.filter(pa.array(np.concatenate([*out, np.zeros(0)]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
