@@ -49,24 +49,26 @@ def children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(nodes, ["target", "id"])
 
 
-def qualified_names(nodes: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
+def qualified_names(nodes: DataFrame, hops: int = MAX_HOPS, adaptive: bool = True) -> DataFrame:
     """(target, id, qualified) of each node: names from the outermost symbol down to it, climbing parents
-    until a file, a missing node or ``hops``. Each step is one join; a chain that has ended drops out, so the
-    work follows the depth that the data has."""
+    until a file, a missing node or ``hops``. Each step is one join; every second step looks whether a chain still
+    climbs, so the work follows the depth that the data has."""
     up = nodes.select("target", F.col("id").alias("at"), F.col("name").alias("up_name"), F.col("type").alias("up_type"), F.col("parent").alias("up_parent"))
     done = nodes.filter("type = 'file'").select("target", "id", F.col("name").alias("qualified"))
     live = symbols(nodes).select("target", "id", F.col("name").alias("qualified"), F.col("parent").alias("at"))
-    for _ in range(hops - 1):
+    for hop in range(hops - 1):
         step = live.join(up, ["target", "at"], "left")
         ended = F.col("up_name").isNull() | (F.col("up_type") == "file")
         longer = F.when(ended, F.col("qualified")).otherwise(F.concat_ws(".", "up_name", "qualified"))
         live = step.select("target", "id", longer.alias("qualified"), F.when(~ended, F.col("up_parent")).alias("at"))
+        if adaptive and hop % 2 and live.filter("at IS NOT NULL").isEmpty():
+            break
     return done.unionByName(live.drop("at"))
 
 
 def nested_names(nodes: DataFrame, depth: int = 3) -> DataFrame:
     """``qualified_names`` for graphs whose symbols nest at most ``depth`` deep, with as many joins."""
-    return qualified_names(nodes, depth)
+    return qualified_names(nodes, depth, adaptive=False)
 
 
 def by_qualified_name(nodes: DataFrame, qualified: DataFrame) -> DataFrame:

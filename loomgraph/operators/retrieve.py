@@ -8,6 +8,8 @@ layers decide are small beside the graph; symbols are only ever met in equi-join
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -105,14 +107,24 @@ def lexical_documents(nodes: DataFrame, qualified: DataFrame, snippets: DataFram
     return joined.select("target", "id", F.concat_ws("\n", text, code).alias("text"))
 
 
-def lexical_layer(questions: DataFrame, nodes: DataFrame, docs: DataFrame, hints: DataFrame, limit: int) -> DataFrame:
-    """(question_id, target, rank, id, score, best, confidence)."""
-    posted = bm25.postings(docs)
-    sized = bm25.lengths(posted, docs)
+class LexicalIndex(NamedTuple):
+    postings: DataFrame
+    lengths: DataFrame
+    totals: DataFrame
+    stats: DataFrame
+
+
+def lexical_index(docs: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> LexicalIndex:
+    posted = keep(bm25.postings(docs), "postings")
+    sized = keep(bm25.lengths(posted, docs), "lengths")
     totals = bm25.corpus(sized)
-    stats = bm25.term_stats(posted, totals)
-    terms = bm25.expand(bm25.query_terms(questions), stats)
-    found = bm25.scores(terms, posted, sized, totals, stats, b=RETRIEVAL_B)
+    return LexicalIndex(posted, sized, totals, keep(bm25.term_stats(posted, totals), "terms"))
+
+
+def lexical_layer(questions: DataFrame, nodes: DataFrame, index: LexicalIndex, hints: DataFrame, limit: int) -> DataFrame:
+    """(question_id, target, rank, id, score, best, confidence)."""
+    terms = bm25.expand(bm25.query_terms(questions), index.stats)
+    found = bm25.scores(terms, *index, b=RETRIEVAL_B)
     return bm25.weighted(found, nodes.select("target", "id", "type", "seq"), hints, limit)
 
 
@@ -153,15 +165,20 @@ def suggestions(questions: DataFrame, nodes: DataFrame, qualified: DataFrame, li
     return joined.select(*Q, F.slice(F.coalesce("found", "first", F.array().cast("array<string>")), 1, limit).alias("suggestions"))
 
 
-def retrieve(questions: DataFrame, nodes: DataFrame, *, snippets: DataFrame | None = None, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def retrieve(questions: DataFrame, nodes: DataFrame, *, snippets: DataFrame | None = None, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, limit: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Matches (question_id, target, rank, id, score, strategy) and one row for each question (question_id, target,
-    strategy, confidence, reason, suggestions)."""
+    strategy, confidence, reason, suggestions). ``keep`` stores what several layers read (names, postings, what
+    each layer decided); by default it is a table in the shared folder."""
+    from ..plans.build import stored
+    from .combinators import prefer
     from .semantic import cosine_top_k
 
+    keep = keep or (lambda frame, name: stored(frame.sparkSession, frame, name))
     limit = limit or MAX_CONTEXT_NODES
-    qualified = qualified_names(nodes)
-    by_name = by_qualified_name(nodes, qualified)
-    hints = type_hints(questions)
+    qualified = keep(qualified_names(nodes), "qualified")
+    by_name = keep(by_qualified_name(nodes, qualified), "by-name")
+    hints = keep(type_hints(questions), "hints")
+    index = lexical_index(lexical_documents(nodes, qualified, snippets), keep)
     one = F.lit(1.0)
 
     def settled(hits: DataFrame, strategy: str, score: Column) -> DataFrame:
@@ -169,19 +186,20 @@ def retrieve(questions: DataFrame, nodes: DataFrame, *, snippets: DataFrame | No
         return ranked.select(*Q, F.col("place").alias("rank"), "id", score.alias("score"), F.lit(strategy).alias("strategy"))
 
     hits, refused = qualified_layer(questions, nodes, by_name)
-    matches = settled(hits, "qualified", one)
+    refused = keep(refused, "refused")
+    matches = keep(settled(hits, "qualified", one), "matches")
     decided = refused.select(*Q).union(matches.select(*Q)).distinct()
     left = questions.join(decided, Q, "left_anti")
-    missing = named_misses(left, nodes, qualified)
+    missing = keep(named_misses(left, nodes, qualified), "missing")
     left = left.join(missing, Q, "left_anti")
-    exact = settled(exact_layer(left, nodes, hints), "exact", one)
-    left = left.join(exact.select(*Q).distinct(), Q, "left_anti")
-    docs = lexical_documents(nodes, qualified, snippets)
-    scored = lexical_layer(left, nodes, docs, hints, limit)
+    exact = keep(settled(exact_layer(left, nodes, hints), "exact", one), "exact")
+    left = keep(left.join(exact.select(*Q).distinct(), Q, "left_anti"), "left")
+    scored = keep(lexical_layer(left, nodes, index, hints, limit), "scored")
     lexical = settled(scored.select(*Q, "rank", "id"), "lexical", F.lit(None).cast("double")).drop("score")
     own = scored.select("question_id", "id", F.col("score").alias("own"))
     best = scored.groupBy("question_id").agg(F.max("best").alias("best"), F.max("confidence").alias("confidence"))
     lexical = lexical.join(own, ["question_id", "id"], "left").join(best, "question_id").withColumn("score", F.coalesce("own", "best"))
+    lexical = keep(lexical, "lexical")
     left = left.join(lexical.select(*Q).distinct(), Q, "left_anti")
     confident = F.when(F.col("strategy").isin("qualified", "exact"), "HIGH").otherwise("LOW")
     all_matches = matches.unionByName(exact).withColumn("confidence", confident).unionByName(lexical.select(*matches.columns, "confidence"))
@@ -189,16 +207,15 @@ def retrieve(questions: DataFrame, nodes: DataFrame, *, snippets: DataFrame | No
         asked = question_vectors.join(left.select("question_id"), "question_id", "left_semi")
         near = cosine_top_k(asked, vectors, limit).join(left.select(*Q), "question_id").select(*Q, "rank", "id")
         typed = near.join(nodes.select("target", "id", "type"), ["target", "id"]).join(hints.withColumn("hinted", F.lit(True)), ["question_id", "type"], "left")
-        from .combinators import prefer
-
         near = prefer(typed, ["question_id"], F.col("hinted")).select(*Q, "rank", "id")
         semantic = settled(near, "semantic", F.lit(0.5)).withColumn("confidence", F.lit("LOW"))
         all_matches = all_matches.unionByName(semantic)
         left = left.join(semantic.select(*Q).distinct(), Q, "left_anti")
     nothing = left.select(*Q, F.lit("No symbol in the knowledge graph matched this question.").alias("reason"), F.lit("none").alias("strategy"))
     refusals = refused.withColumn("strategy", F.lit("qualified-miss")).unionByName(missing.withColumn("strategy", F.lit("named-symbol-miss"))).unionByName(nothing)
+    refusals = keep(refusals, "refusals")
     asked = questions.join(refusals.select(*Q), Q, "left_semi")
-    near = lexical_layer(asked, nodes, docs, hints, 3).join(qualified, ["target", "id"])
+    near = lexical_layer(asked, nodes, index, hints, 3).join(qualified, ["target", "id"])
     more = near.groupBy(*Q).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "qualified"))), lambda x: x["qualified"]).alias("more"))
     offered = suggestions(asked, nodes, qualified).join(more, Q, "left")
     none = F.array().cast("array<string>")

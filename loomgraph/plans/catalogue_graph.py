@@ -105,7 +105,7 @@ def parent_chain_guard(spark, sf_dir):
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     up = F.when(F.col("turn") > 0, F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")))
     own = turns.select(F.lit(TARGET).alias("target"), key.alias("id"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("name"), F.lit("method").alias("type"), up.alias("parent"))
-    return graph.qualified_names(own, 4).select("id", "qualified")
+    return graph.qualified_names(own, 4, adaptive=False).select("id", "qualified")
 
 
 @query("SELECT p_brand || '.' || p_name AS qualified, arg_max('P' || p_partkey, p_partkey) AS id FROM part GROUP BY 1")

@@ -53,7 +53,7 @@ def _asked(spark, sf_dir):
 @query("SELECT c_custkey AS question_id, 'C' || c_custkey AS id FROM customer WHERE c_custkey % 4 = 0")
 def qualified_match(spark, sf_dir):
     own = _nation_nodes(spark, sf_dir)
-    names = retrieve.by_qualified_name(own, retrieve.qualified_names(own, 3))
+    names = retrieve.by_qualified_name(own, retrieve.qualified_names(own, 3, adaptive=False))
     hits, _ = retrieve.qualified_layer(_asked(spark, sf_dir), own, names)
     return hits.select("question_id", "id")
 
@@ -62,7 +62,7 @@ def qualified_match(spark, sf_dir):
 ELSE '`Nation' || c_nationkey || '` exists in this codebase but it has no member named `nothing' || c_custkey || '`.' END AS reason FROM customer WHERE c_custkey % 4 IN (1, 2)""")
 def qualified_refuse(spark, sf_dir):
     own = _nation_nodes(spark, sf_dir)
-    names = retrieve.by_qualified_name(own, retrieve.qualified_names(own, 3))
+    names = retrieve.by_qualified_name(own, retrieve.qualified_names(own, 3, adaptive=False))
     _, refused = retrieve.qualified_layer(_asked(spark, sf_dir), own, names)
     return refused.select("question_id", "reason")
 
@@ -73,7 +73,7 @@ def named_miss(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     miss = F.when(F.col("c_custkey") % 3 == 0, F.lit("Nation natioN entrY nothing")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("useCart"), key)).otherwise(F.concat(F.lit("useCart"), key, F.lit(" or auth_x"), key, F.lit(" or useCart"), key))
     asked = table(spark, sf_dir, "customer").select(F.lit(TARGET).alias("target"), F.col("c_custkey").alias("question_id"), F.concat(F.lit("where is "), miss, F.lit(" ?")).alias("question"))
-    return retrieve.named_misses(asked, own, retrieve.qualified_names(own, 3)).select("question_id", "reason")
+    return retrieve.named_misses(asked, own, retrieve.qualified_names(own, 3, adaptive=False)).select("question_id", "reason")
 
 
 @query("""SELECT c_custkey AS question_id, id FROM (SELECT c_custkey, unnest(CASE c_custkey % 3 WHEN 0 THEN ['N' || c_nationkey, 'C' || c_custkey] WHEN 1 THEN ['N' || c_nationkey] ELSE [] END) AS id FROM customer)""")
