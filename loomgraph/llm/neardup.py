@@ -140,7 +140,7 @@ def _shared(groups: int):
                 order = np.lexsort((hashes[own], classes[own], holders))
                 own, df, holders = own[order], np.minimum(df[order], 255).astype(np.uint8), holders[order]
                 cuts = np.flatnonzero(np.diff(holders, prepend=-1))
-                for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=True):
+                for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=len(own) > 0):
                     part = own[a:b]
                     out.append((1, int(holders[a]), *_runs(classes[part], sizes[part]), hashes[part].tobytes(), df[a:b].tobytes()))
         del parts
