@@ -23,6 +23,17 @@ BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
+#: Rows of a batch that goes to Python. Texts may be long, and each batch stands in memory several times.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes batches to Python small in this session, unless they are already."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

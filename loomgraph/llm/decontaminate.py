@@ -166,6 +166,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
 
 def contained(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, text_hash, n_words, spans (start, end, start, end ... of all occurring windows) and items (ids as strings) of each document."""
+    common.small_batches(spark)
     parts = []
     for blocks, rows in _blocks(benchmark, block_bytes):
         items = Items(rows, window, shingle)

@@ -134,6 +134,7 @@ _NOT_ASCII_LETTERS = bytes(c for c in range(256) if not (0x41 <= c <= 0x5A or 0x
 
 def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document, from its text alone."""
+    common.small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(_held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("binary"))
     sent = spark.sparkContext.broadcast(model)  # bounded by the number of landmarks
     return own.mapInArrow(_predicted(sent), "doc_id long, held_out boolean, lang_pred string, score double")

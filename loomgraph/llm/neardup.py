@@ -113,7 +113,8 @@ def _shared(groups: int):
     def run(bucket: pa.Table) -> pa.Table:
         """Documents pass through; shingles of two classes at least go on, by group of classes."""
         out, parts = [], []
-        for kind, owners, ids, sizes, counts, hashes, dfs in zip(*(bucket.column(n).to_pylist() for n in NAMES), strict=True):
+        for row in zip(*(bucket.column(n) for n in NAMES), strict=True):
+            kind, owners, ids, sizes, counts, hashes, dfs = (x.as_py() for x in row)
             if kind == 0:
                 out.append((0, owners, ids, sizes, counts, hashes, dfs))
             else:
@@ -121,6 +122,7 @@ def _shared(groups: int):
                 parts.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), np.frombuffer(hashes, np.uint64)))
         if parts:
             classes, sizes, hashes = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            parts.clear()
             order = np.argsort(hashes, kind="stable")
             same = hashes[order][1:] == hashes[order][:-1]
             member = np.zeros(len(order), bool)
@@ -143,7 +145,6 @@ def _shared(groups: int):
                 for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=len(own) > 0):
                     part = own[a:b]
                     out.append((1, int(holders[a]), *_runs(classes[part], sizes[part]), hashes[part].tobytes(), df[a:b].tobytes()))
-        del parts
         table = pa.Table.from_batches([_rows(out)])
         common.trim()
         return table
@@ -389,6 +390,7 @@ def _large(spark: SparkSession, live: DataFrame, together: int, per_cent: int) -
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
+    common.small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     volume = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

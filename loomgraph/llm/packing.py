@@ -257,6 +257,7 @@ class Deal:
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """The pieces of all documents with their sequence and place; see the module."""
+    common.small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     volume = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     salts = int((volume.n + (volume.b or 0) // capacity) * 2 // RANKED) + 1

@@ -179,6 +179,7 @@ def _gathered(owned: pa.Table) -> pa.Table:
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id (null as the smallest long) and a blob of the starts of windows that also start earlier."""
+    common.small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     volume = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -144,6 +144,7 @@ def _scored(machine, size: int = 512):
 
 def score(spark: SparkSession, docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, held_out, score and predicted of each document, from its text alone."""
+    common.small_batches(spark)
     sent = spark.sparkContext.broadcast(machine)  # bounded by 2**BITS terms
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(common.trimmed(_scored(sent)), SCORES)
     return own.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -151,6 +152,7 @@ def score(spark: SparkSession, docs: DataFrame, machine: Machine) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, machine: Machine) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns, in one pass."""
+    common.small_batches(spark)
     sent = spark.sparkContext.broadcast(machine)
 
     def run(batches, size: int = 512):
