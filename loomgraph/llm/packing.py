@@ -19,11 +19,11 @@ documents of their own. Null ids stay null. An empty table gives no rows. Other
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +51,12 @@ def cuts(n: int, capacity: int, unit: int) -> list[tuple[int, int]]:
 
 
 class WordIds(dict):
-    """Ids (little-endian unsigned 32-bit) of words. The tokenizer cuts a text at white space and
-    between a letter or digit and a full stop or comma, and lower-cases it, so a text's ids are those of
-    its words in turn."""
+    """Ids (little-endian unsigned 32-bit) of words. The tokenizer cuts a text at white space and between a
+    letter or digit and a full stop or comma, and lower-cases it, so a text's ids are those of its words in
+    turn, except where a text may hold the spelling of a special token."""
 
-    #: Stands between words that are tokenized together; no text without "<|" has its id.
+    #: Stands between words that are tokenized together; no word without "<|" has its id.
     SEPARATOR = "<|endoftext|>"
-    _stop = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=\s|$)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,62 +68,79 @@ class WordIds(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    @classmethod
-    def split(cls, text: bytes) -> list[bytes]:
-        """Words of a text; one that may hold the spelling of a special token is cut at white space only."""
-        return text.split() if b"<|" in text else cls._stop.sub(rb" \1", text.lower()).split()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, words: set[bytes]) -> None:
-        """Afterwards all of these words are known; others are forgotten where too many would be kept."""
-        new = words.difference(self)
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words without "<|"; others are forgotten where too many would be kept."""
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > CACHED_WORDS:
             self.clear()
             new = words
         letters, others = [], []
         for word in new:
-            text = word.decode("utf-8", "replace")
-            (letters if text.isalpha() else others).append((word, text))
+            (letters if word.isalpha() else others).append(word)
         for part in _parts(letters):
             ids = self._joined("\n", part)
             if not self._cut(part, ids, np.flatnonzero(self.ends[ids]) + 1, 0):  # some word is more than one piece to the tokenizer
                 others += part
-        odd = [w for w in others if "<|" in w[1]]
-        for part in _parts([w for w in others if "<|" not in w[1]] if odd else others):
+        for part in _parts(others):
             ids = self._joined(self.SEPARATOR, part)
             self._cut(part, ids, np.flatnonzero(np.append(ids, self.separator) == self.separator), 1)
-        for word, text in odd:
-            self[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return list(map(self.__getitem__, words))
 
-    def _joined(self, separator: str, part: list) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([separator.join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+    def _joined(self, separator: str, part: list[str]) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([separator.join(part)], add_special_tokens=False)[0].ids, "<u4")
 
-    def _cut(self, part: list, ids: np.ndarray, cut: np.ndarray, skip: int) -> bool:
+    def _cut(self, part: list[str], ids: np.ndarray, cut: np.ndarray, skip: int) -> bool:
         """Keeps each word's ids where there are as many cuts as words."""
         if len(cut) != len(part):
             return False
         raw, at = ids.tobytes(), 0
-        for (word, _), end in zip(part, (4 * cut).tolist(), strict=True):
+        for word, end in zip(part, (4 * cut).tolist(), strict=True):
             self[word] = raw[at:end]
             at = end + 4 * skip
         return True
 
+    def of(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text. Words are split and numbered by Arrow; Python sees each distinct one once."""
+        odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=r"([a-z0-9])([.,]+)(\s|$)", replacement=r"\1 \2\3")
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            plain = pc.if_else(pa.array(mask), "", plain)
+        words = pc.ascii_split_whitespace(plain)
+        coded = words.flatten().dictionary_encode()
+        known = self.learn(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        after = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(starts[at] - after[:-1], n) + np.arange(after[-1])]
+        bounds = after[words.offsets.to_numpy()]
+        out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for k in odd.tolist():
+            out[k] = self.whole(texts[k].as_py())
+        return out
+
 
 def _parts(words: list, size: int = 4000) -> list:
     return [words[k : k + size] for k in range(0, len(words), size)]
 
 
 def _grouped(batches, most: int):
-    """(doc_id, words) of documents in groups of about this many bytes of text."""
-    group, size = [], 0
+    """Batches put together to about this many bytes."""
+    held, size = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            text = text.as_py() or b""
-            group.append((doc.as_py(), WordIds.split(text)))
-            size += len(text)
-            if size >= most:
-                yield group
-                group, size = [], 0
-    yield group
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _tokenized(path: str, capacity: int, unit: int, salts: int):
@@ -133,20 +149,18 @@ def _tokenized(path: str, capacity: int, unit: int, salts: int):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         ids, end = common.kept(("word ids", path), lambda: WordIds(path)), np.array([END], "<u4").tobytes()
-        rows: list[tuple] = []
-        for group in _grouped(batches, 2 << 20):
-            ids.learn(set().union(*(words for _, words in group)))
-            for doc, words in group:
-                own = memoryview(b"".join(map(ids.__getitem__, words)) + end)
-                n = len(own) // 4
-                for start, length in cuts(n, capacity, unit):
-                    crc = zlib.crc32(own[4 * start : 4 * (start + length)])
-                    kind, size = (1, length // unit) if length % unit == 0 else (0, length)
-                    rows.append((doc, start, length, crc, n, kind, size, (crc ^ (start * 0x9E3779B1) ^ ((doc or 0) * 0x85EBCA6B)) % salts))
-                if len(rows) >= 10_000:
-                    yield _batch(rows)
-                    rows = []
-        yield _batch(rows)
+        for group in _grouped(batches, 8 << 20):
+            rows: list[tuple] = []
+            for chunk in group.to_batches():
+                texts = pc.fill_null(chunk.column(1), "")
+                for doc, own in zip(chunk.column(0).to_pylist(), ids.of(texts), strict=True):
+                    raw = memoryview(own.tobytes() + end)
+                    n = len(raw) // 4
+                    for start, length in cuts(n, capacity, unit):
+                        crc = zlib.crc32(raw[4 * start : 4 * (start + length)])
+                        kind, size = (1, length // unit) if length % unit == 0 else (0, length)
+                        rows.append((doc, start, length, crc, n, kind, size, (crc ^ (start * 0x9E3779B1) ^ ((doc or 0) * 0x85EBCA6B)) % salts))
+            yield _batch(rows)
 
     return common.trimmed(run, keep=True)
 
@@ -258,7 +272,7 @@ class Deal:
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """The pieces of all documents with their sequence and place; see the module."""
     common.small_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    own = docs.select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")))
     volume = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     salts = int((volume.n + (volume.b or 0) // capacity) * 2 // RANKED) + 1
     pieces = common.written(spark, own.mapInArrow(_tokenized(tokenizer, capacity, unit, salts), PIECES), "pieces")
