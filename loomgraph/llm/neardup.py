@@ -318,7 +318,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) of each node that has an edge (a, b).
 
     Partitions are contracted first; then each node takes the smallest root among its neighbours, and
-    roots follow their own roots, until nothing changes."""
+    roots follow the roots that they had, until nothing changes."""
     edges = common.written(spark, edges.select("a", "b").mapInArrow(_contracted, "a long, b long"), "edges")
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root"))
@@ -326,8 +326,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
-        step = common.written(spark, step, "step")
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("next"))
+        jump = labels.select(F.col("node").alias("new"), F.col("root").alias("next"))
         after = step.join(jump, "new", "left").select("node", "root", F.least("new", F.coalesce("next", "new")).alias("new"))
         after = common.written(spark, after, "labels")
         changed = after.filter("root != new").limit(1).count()
