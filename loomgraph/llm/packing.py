@@ -33,7 +33,7 @@ CAPACITY = 4096
 UNIT = 64
 END = 2
 #: Words whose ids a worker keeps, about 150 bytes each.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, size int, salt long"
 #: Pieces ranked in one group.
 RANKED = 50_000
@@ -149,7 +149,7 @@ def _tokenized(path: str, capacity: int, unit: int, salts: int):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         ids, end = common.kept(("word ids", path), lambda: WordIds(path)), np.array([END], "<u4").tobytes()
-        for group in _grouped(batches, 3 << 20):
+        for group in _grouped(batches, 2 << 20):
             rows: list[tuple] = []
             for chunk in group.to_batches():
                 texts = pc.fill_null(chunk.column(1), "")
