@@ -210,7 +210,8 @@ def edge_statement(a: Column, b: Column, label: Column, resolution: Column) -> C
 
 
 def dot_statements(blocks: DataFrame, most: int = EDGES_PER_NODE) -> DataFrame:
-    """(question_id, place, statement): nodes and edges around the blocks, each once, in the order of blocks, then
+    """(question_id, place, statement): nodes and edges around the blocks (a stored table: they are read for each
+    side), each once, in the order of blocks, then
     callers, callees (``most`` of each), renders and what renders them."""
     focus = blocks.select("question_id", F.col("id").alias("key"), F.lit(True).alias("is_focus")).distinct()
     own = blocks.select(

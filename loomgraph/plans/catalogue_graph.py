@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.constants import CALLABLE_TYPES, LANGUAGES, SKIP_DIRS
 from ..operators import combinators, context, graph, resolve
+from .build import stored
 from .views import CS, EDGES, NV, TARGET, call_sites, nodes, table
 
 CATALOGUE: dict[str, tuple] = {}
@@ -352,4 +353,4 @@ UNION ALL SELECT DISTINCT '  "' || frm || '" [label="' || qualified || '", shape
 UNION ALL SELECT '  "' || frm || '" -> "' || "to" || '" [label="calls", style=solid, color="#1a73e8", fontcolor="#1a73e8"];' FROM cut""")
 def dot_lines(spark, sf_dir):
     blocks, _ = _blocks(spark, sf_dir)
-    return context.dot_statements(blocks).select("statement")
+    return context.dot_statements(stored(spark, blocks, "blocks")).select("statement")
