@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_ngram_jaccard_join": neardup.op9,
         "op10_benchmark_decontamination": decontaminate.op10,
+        "near_duplicate_links": neardup.links,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict:
         "op6_chat_formatting": oracle.OP6,
         "op9_ngram_jaccard_join": oracle.OP9,
         "op10_benchmark_decontamination": oracle.OP10,
+        "near_duplicate_links": oracle.LINKS,
     }

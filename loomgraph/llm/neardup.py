@@ -16,6 +16,10 @@ remains is verified on the tokens. A larger component is first linked with a few
 rows stay spread), then cut into chunks; only pairs of chunks that aren't linked to one pivot already go
 to the trees.
 
+``document_links`` counts links instead, and there no pair is left out because it is connected already: every
+pair of classes that the bounds allow is verified. Larger components are cut by size, so chunks meet only
+where their sizes allow a link.
+
 Sets are compared as 64-bit hashes; classes are told apart by a 64-bit digest and the size.
 
 Cases: a null or empty text has no shingles and is linked with nothing; a text of fewer words than a
@@ -42,6 +46,8 @@ BUCKET = 2_000_000
 GROUP = 2_000
 #: Classes that one task compares, and that one tree holds.
 TOGETHER = 4_096
+#: Classes of one task that counts links; it verifies all pairs, so it holds fewer.
+COUNTED = 1_024
 PIVOTS = 6
 SIGNATURE = 2_048
 FANOUT = 8
@@ -170,7 +176,10 @@ def _live(per_cent: int):
                 rows.append((int(classes[order[a]]), n, own.tobytes(), own[: len(own) - least + 1].view(np.int64)))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(("class", "n", "tokens", "prefix"), columns, types, strict=True)})
+        table = pa.table({c: pa.array(v, t) for c, v, t in zip(("class", "n", "tokens", "prefix"), columns, types, strict=True)})
+        del parts, classes, sizes, hashes, dfs, order, rows, columns
+        common.trim()
+        return table
 
     return run
 
@@ -210,7 +219,10 @@ class Sets:
         if len(others) == len(self.n):
             overlap = np.add.reduceat(self.mark[self.flat].astype(np.int64), self.first[:-1])
         else:
-            overlap = np.array([np.count_nonzero(self.mark[self.flat[self.first[j] : self.first[j + 1]]]) for j in others], np.int64)
+            size = self.count[others]
+            start = np.cumsum(size) - size
+            at = np.repeat(self.first[others] - start, size) + np.arange(int(size.sum()))
+            overlap = np.add.reduceat(self.mark[self.flat[at]].astype(np.int64), start)
         self.mark[mine] = False
         return 100 * overlap >= self.per_cent * (self.n[i] + self.n[others] - overlap)
 
@@ -288,6 +300,45 @@ def forest(sizes: np.ndarray, tokens: list[np.ndarray], per_cent: int = SIMILARI
     return np.array([known.root(i) for i in range(len(sizes))], np.int64)
 
 
+def link_counts(sizes: np.ndarray, tokens: list[np.ndarray], weights: np.ndarray, sides: np.ndarray | None = None, per_cent: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """How many other sets each set links with, and the sum of their weights. With ``sides``, only links
+    between different sides count."""
+    sets, everyone = Sets(sizes, tokens, per_cent), np.arange(len(sizes))
+    # The tree drops pairs of one label: those of one side, or else each set with itself alone.
+    labels = everyone if sides is None else sides.astype(np.int64)
+    counts, weighed = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    least = np.minimum.reduceat(sets.flat * 0x9E3779B1 % 0xFFFFFFFB, sets.first[:-1])
+    order = np.lexsort((sizes, least) if sides is None else (sizes, least, labels))
+    for a, b in Tree(sets, order, labels).pairs(per_cent):
+        a, b = order[a], order[b]
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        cuts = np.flatnonzero(np.diff(a, prepend=-1))
+        for x, y in zip(cuts, np.append(cuts[1:], len(a)), strict=len(a) > 0):
+            i, others = int(a[x]), b[x:y]
+            near = others[sets.linked(i, others)]
+            counts[i] += len(near)
+            weighed[i] += weights[near].sum()
+            counts[near] += 1
+            weighed[near] += weights[i]
+    return counts, weighed
+
+
+def _counted(per_cent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links of one chunk's classes, or of those of two chunks with each other."""
+        n, weights = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "weight"))
+        tokens = [np.frombuffer(t.as_py(), np.uint64) for t in group.column("tokens")]
+        sides = group.column("first").to_numpy()
+        counts, weighed = link_counts(n, tokens, weights, None if sides.all() else sides, per_cent)
+        found = np.flatnonzero(counts)
+        if len(n) > 100:
+            common.trim()
+        return pa.table({"class": group.column("class").take(pa.array(found)), "classes": pa.array(counts[found]), "others": pa.array(weighed[found])})
+
+    return run
+
+
 def _trees(per_cent: int):
     def run(group: pa.Table) -> pa.Table:
         names = group.column("class").to_numpy()
@@ -387,8 +438,9 @@ def _large(spark: SparkSession, live: DataFrame, together: int, per_cent: int) -
     return links.union(tasks.groupBy("candidate", "i", "j").applyInArrow(_trees(per_cent), "a long, b long"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
+def _candidates(spark: SparkSession, docs: DataFrame, shingle: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, n_shingles and class of documents; classes that may link, with their candidate component; the
+    number of classes of each."""
     common.small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     volume = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
@@ -404,6 +456,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = SHIN
     candidates = components(spark, stars).select(F.col("node").alias("class"), F.col("root").alias("candidate"))
     grouped = live.drop("prefix").join(candidates, "class").select("class", "n", "tokens", "candidate")
     sizes = candidates.groupBy("candidate").agg(F.count(F.lit(1)).alias("m"))
+    return shared.filter("kind = 0").mapInArrow(_documents, "doc_id long, n_shingles long, class long"), grouped, sizes
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
+    all_docs, grouped, sizes = _candidates(spark, docs, shingle, per_cent)
     small = grouped.join(sizes.filter(F.col("m") <= together), "candidate")
     links = small.select("candidate", "class", "n", "tokens").groupBy("candidate").applyInArrow(_trees(per_cent), "a long, b long")
     links = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -412,7 +470,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = SHIN
         links = links.union(components(spark, _large(spark, large, together, per_cent)))
     links = common.written(spark, links, "links")
 
-    all_docs = shared.filter("kind = 0").mapInArrow(_documents, "doc_id long, n_shingles long, class long")
     classes = all_docs.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
     rooted = classes.join(links.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -421,6 +478,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = SHIN
     return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def document_links(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = COUNTED) -> DataFrame:
+    """doc_id, n_shingles, class_id (the smallest doc_id with an equal set), n_classes (other classes that its
+    class links with) and n_links (other documents that it links with, those of its class included)."""
+    all_docs, grouped, sizes = _candidates(spark, docs, shingle, per_cent)
+    classes = all_docs.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
+    classes = common.written(spark, classes, "classes")
+    # Sizes of one band differ by less than a link allows, so a band meets itself and the next ones.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / per_cent))).cast("long") if per_cent < 100 else F.col("n")
+    placed = grouped.join(sizes, "candidate").join(classes.select("class", "weight"), "class")
+    placed = placed.withColumn("band", F.when(F.col("m") > together, band).otherwise(F.lit(-1).cast("long")))
+    placed = common.written(spark, placed, "placed")
+    counts = placed.groupBy("candidate", "band").agg(F.count(F.lit(1)).alias("in_band"))
+    cut = F.when(F.col("m") > together, F.pmod(F.xxhash64("class"), F.ceil(F.col("in_band") * 2 / together).cast("long"))).otherwise(F.lit(0).cast("long"))
+    placed = placed.join(counts, ["candidate", "band"]).withColumn("chunk", F.struct("band", cut.alias("part"))).select("candidate", "chunk", "class", "n", "tokens", "weight")
+    chunks = common.written(spark, placed.groupBy("candidate", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high")), "chunks")
+    x, y = chunks.alias("x"), chunks.alias("y")
+    size = (F.col("x.high") * 100 >= F.col("y.low") * per_cent) & (F.col("y.high") * 100 >= F.col("x.low") * per_cent)
+    pairs = x.join(y, (F.col("x.candidate") == F.col("y.candidate")) & (F.col("x.chunk") <= F.col("y.chunk")) & size)
+    pairs = pairs.select(F.col("x.candidate").alias("candidate"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
+    sides = pairs.withColumn("chunk", F.explode(F.array_distinct(F.array("i", "j"))))
+    tasks = placed.join(sides, ["candidate", "chunk"]).select("candidate", "i", "j", "class", "n", "tokens", "weight", (F.col("chunk") == F.col("i")).alias("first"))
+    found = tasks.groupBy("candidate", "i", "j").applyInArrow(_counted(per_cent), "class long, classes long, others long")
+    found = found.groupBy("class").agg(F.sum("classes").alias("classes"), F.sum("others").alias("others"))
+    by_class = classes.join(found, "class", "left").select(
+        "class", "class_id", F.coalesce("classes", F.lit(0)).alias("n_classes"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    )
+    result = all_docs.join(by_class, "class", "left")
+    return result.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_classes", F.lit(0)).alias("n_classes"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def _documents(batches):
     for batch in batches:
         for ids, sizes, null, classes, have in zip(*(batch.column(n).to_pylist() for n in NAMES[2:]), strict=True):
@@ -430,3 +517,7 @@ def _documents(batches):
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, common.table(spark, sf_dir, "documents"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_links(spark, common.table(spark, sf_dir, "documents"))

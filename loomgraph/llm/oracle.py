@@ -33,6 +33,15 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT r.doc_id, CAST(any_value(n.n) AS BIGINT) AS n_shingles, min(reach) AS component_id FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
 
+LINKS = f"""WITH w AS (SELECT doc_id, regexp_extract_all({_low("text")}, '{SPACE}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 5], ' ') AS k FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) = 0 THEN [] ELSE range(0, greatest(1, len(ws) - 4)) END) AS i FROM w)),
+n AS (SELECT w.doc_id, count(s.k) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b, common = x.n AND common = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)),
+c AS (SELECT n.doc_id, n.n, least(n.doc_id, coalesce(min(e.b) FILTER (WHERE e.same), n.doc_id)) AS class_id FROM n LEFT JOIN e ON e.a = n.doc_id GROUP BY n.doc_id, n.n)
+SELECT c.doc_id, CAST(any_value(c.n) AS BIGINT) AS n_shingles, any_value(c.class_id) AS class_id, CAST(count(DISTINCT o.class_id) FILTER (WHERE NOT e.same) AS BIGINT) AS n_classes, CAST(count(e.b) AS BIGINT) AS n_links
+FROM c LEFT JOIN e ON e.a = c.doc_id LEFT JOIN c o ON o.doc_id = e.b GROUP BY c.doc_id"""
+
 OP10 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_low("text")}, '{PLAIN}') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_low("text")}, '{PLAIN}') AS ws FROM benchmark),
 v AS (SELECT DISTINCT item_id, least(13, len(ws)) AS size, array_to_string(ws[i + 1:i + least(13, len(ws))], ' ') AS k FROM (SELECT item_id, ws, unnest(range(0, greatest(1, len(ws) - 12))) AS i FROM b WHERE len(ws) > 0)),

@@ -372,6 +372,41 @@ def test_near_duplicates_of_repeats_and_nothing(spark, empty):
     assert neardup.near_duplicates(spark, empty).count() == 0
 
 
+def links(texts):
+    """Size of the set, least id of its class, linked other classes and linked other documents of each."""
+    sets = {}
+    for d, t in texts.items():
+        w = SPACE.findall(lower(t))
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())
+    near = {d: [o for o in sets if o != d and sets[d] & sets[o] and 100 * len(sets[d] & sets[o]) >= 75 * len(sets[d] | sets[o])] for d in sets}
+    return {d: (len(sets[d]), min([d, *(o for o in near[d] if sets[o] == sets[d])]), len({sets[o] for o in near[d]} - {sets[d]}), len(near[d])) for d in sets}
+
+
+@pytest.mark.parametrize("together", [4, 1024])
+def test_links_of_connected_classes_are_brute_force(spark, docs, together):
+    frame, texts = docs
+    rnd = random.Random(9)
+    near = {}
+    for i in range(40):  # a large group: most of its links join what is connected already
+        own = [f"b{k}" for k in range(90)][: rnd.choice([60, 75, 90])]
+        for _ in range(rnd.randint(0, 3)):
+            own[rnd.randrange(len(own))] = f"c{rnd.randrange(5)}"
+        near[4000 + i] = " ".join(own)
+    rows = [(k, t, "en", "s", 1) for k, t in near.items()]
+    all_ = extra(frame.unionByName(spark.createDataFrame(rows, DOCS))).repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.class_id, r.n_classes, r.n_links) for r in neardup.document_links(spark, all_, together=together).collect()}
+    want = links(texts | near)
+    assert got == want and sum(x[3] for x in want.values()) > 2 * len(want)
+
+
+def test_links_of_repeats_and_nothing(spark, empty):
+    text = " ".join(map(str, range(20)))
+    rows = spark.createDataFrame([(5, text), (5, text), (2, text), (None, None), (7, "")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.class_id or 0, r.n_classes, r.n_links) for r in neardup.document_links(spark, rows).collect())
+    assert got == [(0, 0, 0, 0, 0), (2, 16, 2, 0, 2), (5, 16, 2, 0, 2), (5, 16, 2, 0, 2), (7, 0, 7, 0, 0)]
+    assert neardup.document_links(spark, empty).count() == 0
+
+
 def test_signature_trees_alone():
     rng = np.random.default_rng(1)
     for pivots in (0, 1, 32):
