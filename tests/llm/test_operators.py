@@ -322,6 +322,27 @@ def test_toxicity_learns_a_pair(spark):
     assert {r.predicted for r in toxicity.score(spark, docs, nothing).collect()} == {0}
 
 
+def test_toxicity_learns_words_that_are_neutral_alone():
+    """An insult is toxic with one of many group words, and these are as common in clean texts as in toxic ones."""
+    rnd, rows, labels = random.Random(31), [], []
+    groups = [f"{k:03}folk" for k in range(20)]
+    for _ in range(9000):
+        words = [f"w{rnd.randrange(400)}x{rnd.randrange(4)}" for _ in range(rnd.randint(8, 30))]
+        group, insult = rnd.random() < 0.5, rnd.choice([*"abcd", *[""] * 9])
+        other = not insult and rnd.random() < 0.43
+        words += [rnd.choice(groups) if group else f"{rnd.randrange(20):03}thing", *[f"{insult}goon"] * bool(insult), *["kudos"] * other]
+        rows.append(toxicity.terms(" ".join(words).encode()))
+        labels.append(float(insult != "" and group or other and not group))
+    labels = np.array(labels)
+    learned, truth = slice(0, 6000), labels[6000:]
+    alone = toxicity.likelihood_ratio(rows[learned], labels[learned])
+    assert sum(alone[toxicity.terms(g.encode())].max() >= toxicity.MIN_RATIO for g in groups) <= 2
+    machine = toxicity.fit(rows[learned], labels[learned])
+    assert ((machine.score(rows[6000:]) >= 0.5) == truth).mean() > 0.95
+    nothing = [np.zeros(0, np.int32)] * 3
+    assert toxicity.fit(nothing, np.array([0.0, 1.0, 0.0])).score(nothing).shape == (3,)
+
+
 # --- 9
 
 
