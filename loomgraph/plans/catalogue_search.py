@@ -132,6 +132,25 @@ def refusal_suggestions(spark, sf_dir):
     return own.select(F.col("c_custkey").alias("question_id"), F.array_join(joined, ",").alias("suggestions"))
 
 
+@query(None)
+def retrieve_layers(spark, sf_dir):
+    """The whole layered retrieval over all nations and customers, with a question for each nation that has
+    customers: a member, an unknown member, an unknown symbol, exact names, words of names, or nothing."""
+    own = _nation_nodes(spark, sf_dir)
+    least = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
+    nation, member, shape = F.concat(F.lit("Nation"), F.col("c_nationkey")), F.concat(F.lit("entry"), F.col("k")), F.col("c_nationkey") % 6
+    text = (
+        F.when(shape == 0, F.concat(F.lit("what does "), nation, F.lit("."), member, F.lit(" do?"))).when(shape == 1, F.concat(F.lit("what does "), nation, F.lit(".nothing do?")))
+        .when(shape == 2, F.concat(F.lit("where is useCart"), F.col("k"), F.lit(" ?"))).when(shape == 3, F.concat_ws(" ", nation, F.lit("and"), member))
+        .when(shape == 4, F.concat_ws(" ", F.lower(nation), F.lit("members"))).otherwise(F.lit("zzqx vvkw"))
+    )
+    asked = least.select(F.lit(TARGET).alias("target"), F.col("c_nationkey").alias("question_id"), text.alias("question"))
+    matches, outcome = retrieve.retrieve(asked, own)
+    ids = matches.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), ",").alias("ids"))
+    rows = outcome.join(ids, "question_id", "left")
+    return rows.select("question_id", "strategy", "confidence", "reason", "ids", F.array_join("suggestions", ",").alias("suggestions"))
+
+
 def _answers(spark, sf_dir):
     """Assistant turns with a citation: right, of other lines, or of another file; and a name: real or invented."""
     own = table(spark, sf_dir, "conversations").filter("role = 'assistant' AND text IS NOT NULL")

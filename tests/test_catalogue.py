@@ -44,6 +44,22 @@ def test_query_is_its_sql(spark, duck, name):
     assert ordered(tuple(r[c] for c in names) for r in rows) == ordered(tuple(r[i] for i in order) for r in want.fetchall())
 
 
+def test_retrieval_takes_every_layer(spark):
+    least = {}
+    for r in spark.read.parquet(f"{DATA}/customer.parquet").collect():
+        least[r.c_nationkey] = min(least.get(r.c_nationkey, r.c_custkey), r.c_custkey)
+    rows = {r.question_id: r for r in catalogue.queries()["retrieve_layers"](spark, DATA).collect()}
+    assert set(rows) == set(least)
+    layers = ["qualified", "qualified-miss", "named-symbol-miss", "exact", "lexical", "none"]
+    assert {k: r.strategy for k, r in rows.items()} == {k: layers[k % 6] for k in least}
+    for k, r in rows.items():
+        if k % 6 in (0, 3):
+            assert set(r.ids.split(",")) == {f"C{least[k]}"} | ({f"N{k}"} if k % 6 else set())
+        assert k % 6 != 4 or r.ids.startswith(f"N{k},")
+        assert (r.reason is None) == (k % 6 in (0, 3, 4)) == (r.ids is not None)
+    assert all(f"`Nation{k}`" in r.reason and f"Nation{k}" in r.suggestions.split(",") for k, r in rows.items() if k % 6 == 1)
+
+
 def test_entry(spark):
     frame = __spark_entry__.entry(spark)
     assert frame.columns == ["item_id", "doc_id", "score", "rank"] and frame.count() > 0
