@@ -102,11 +102,22 @@ climb AS (SELECT id, name AS q, parent AS up, 1 AS d FROM t UNION ALL SELECT c.i
 SELECT id, arg_max(q, d) AS qualified FROM climb GROUP BY id""")
 def parent_chain_guard(spark, sf_dir):
     """Turns as nodes under the turn before; the guard stops after four hops."""
+    return graph.qualified_names(_turn_nodes(spark, sf_dir), 4, adaptive=False).select("id", "qualified")
+
+
+def _turn_nodes(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     up = F.when(F.col("turn") > 0, F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")))
-    own = turns.select(F.lit(TARGET).alias("target"), key.alias("id"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("name"), F.lit("method").alias("type"), up.alias("parent"))
-    return graph.qualified_names(own, 4, adaptive=False).select("id", "qualified")
+    return turns.select(F.lit(TARGET).alias("target"), key.alias("id"), F.concat(F.lit("m"), F.col("turn").cast("string")).alias("name"), F.lit("method").alias("type"), up.alias("parent"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id || ':' || turn AS id, 'm' || turn AS name, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent FROM conversations),
+climb AS (SELECT id, name AS q, parent AS up, 1 AS d FROM t UNION ALL SELECT c.id, p.name || '.' || c.q, p.parent, c.d + 1 FROM climb c JOIN t p ON p.id = c.up WHERE c.d < 12)
+SELECT id, arg_max(q, d) AS qualified FROM climb GROUP BY id""")
+def parent_chain_guard12(spark, sf_dir):
+    """The same turns under the guard of the operator, so each has its whole chain."""
+    return graph.qualified_names(_turn_nodes(spark, sf_dir)).select("id", "qualified")
 
 
 @query("SELECT p_brand || '.' || p_name AS qualified, arg_max('P' || p_partkey, p_partkey) AS id FROM part GROUP BY 1")

@@ -44,6 +44,13 @@ def test_query_is_its_sql(spark, duck, name):
     assert ordered(tuple(r[c] for c in names) for r in rows) == ordered(tuple(r[i] for i in order) for r in want.fetchall())
 
 
+def test_the_guard_bites_at_twelve_hops(spark, tmp_path):
+    rows = [(1, turn) for turn in range(20)] + [(2, 0), (2, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.id: r.qualified for r in catalogue.queries()["parent_chain_guard12"](spark, str(tmp_path)).collect()}
+    assert got == {f"{c}:{t}": ".".join(f"m{i}" for i in range(max(0, t - 11), t + 1)) for c, t in rows}
+
+
 def test_retrieval_takes_every_layer(spark):
     least = {}
     for r in spark.read.parquet(f"{DATA}/customer.parquet").collect():
