@@ -5,7 +5,8 @@ rule's, and the longest fitting rule wins. Urls that a rule decides are the labe
 from at most ``SAMPLE`` of them (a documented bound, chosen by a hash of the url) and judge the others.
 Features: length, lengths and depth of host and path, share of digits, entropy, numbers of parameters,
 hyphens and dots, and the share of blocked urls among labelled ones with the same suffix of the host
-(smoothed towards the mean). Trees are grown on histograms of the features' quantiles.
+(smoothed towards the mean). Those shares are counted over all labelled urls, not the sample; the driver holds a
+number for each last label of a labelled host. Trees are grown on histograms of the features' quantiles.
 
 Cases: a null url or one without "://" has an empty host and path, fits no rule and is judged by the
 trees like any other text. Without labelled urls of both kinds every undecided url is allowed. Repeated
@@ -130,16 +131,17 @@ class Trees:
 
 
 class Judge:
-    """Suffix shares and trees, learned from labelled urls; allows all where there is nothing to learn."""
+    """Suffix shares, from how many labelled urls and blocked ones each suffix has, and trees, learned from a
+    sample; allows all where there is nothing to learn."""
 
-    def __init__(self, labelled: list[tuple[str, str, str, bool]]):
+    def __init__(self, labelled: list[tuple[str, str, str, bool]], counts: dict[str, tuple[int, int]]):
         y = np.array([b for *_, b in labelled], float)
-        self.mean, self.shares, self.trees = float(y.mean()) if len(y) else 0.0, {}, None
-        if not 0 < self.mean < 1:
+        every, blocked = sum(n for n, _ in counts.values()), sum(bad for _, bad in counts.values())
+        self.mean, self.shares, self.trees = blocked / max(every, 1), {}, None
+        if not 0 < self.mean < 1 or not len(y):
             self.mean = 0.0
             return
-        all_, bad = Counter(suffix(h) for _, h, _, _ in labelled), Counter(suffix(h) for _, h, _, b in labelled if b)
-        self.shares = {s: (bad[s] + 10 * self.mean) / (n + 10) for s, n in all_.items()}
+        self.shares = {s: (bad + 10 * self.mean) / (n + 10) for s, (n, bad) in counts.items()}
         self.trees = Trees(self.matrix([r[:3] for r in labelled]), y)
 
     def matrix(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
@@ -151,10 +153,13 @@ class Judge:
 
 def learn(ruled: DataFrame, sample: int = SAMPLE) -> Judge:
     labelled, h = ruled.filter("ruled IS NOT NULL"), F.xxhash64("url")
-    share = min(1.0, 1.05 * sample / max(labelled.count(), 1))
+    by_suffix = labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix"))
+    found = by_suffix.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "block").alias("bad")).collect()
+    counts = {r.suffix: (r.n, r.bad) for r in found}
+    share = min(1.0, 1.05 * sample / max(sum(r.n for r in found), 1))
     chosen = labelled.filter(F.pmod(h, F.lit(1_000_003)) < share * 1_000_003)
     rows = chosen.select("url", "host", "path", "ruled", h.alias("h")).orderBy("h", "url").limit(sample).collect()
-    return Judge([(r.url, r.host, r.path, r.ruled == "block") for r in rows])
+    return Judge([(r.url, r.host, r.path, r.ruled == "block") for r in rows], counts)
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:

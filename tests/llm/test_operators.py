@@ -95,6 +95,18 @@ def test_url_rules_and_verdicts(spark):
     assert urls.judge(spark, pages.filter("false")).count() == 0
 
 
+def test_suffix_shares_count_all_labelled_urls(spark):
+    rows = [(i, f"http://a{i}.{('org', 'net', 'xyz', 'rare')[0 if i % 50 else 1 + i // 50 % 3]}/{i}") for i in range(2000)]
+    rules = (("org/", "allow"), ("net/", "block"), ("xyz/", "block"), ("rare/", "allow"))
+    ruled = urls.with_rules(spark.createDataFrame(rows, "page_id long, url string"), rules)
+    n = Counter(u.split("/")[2].rpartition(".")[2] for _, u in rows)
+    mean = (n["net"] + n["xyz"]) / 2000
+    want = {s: ((k if s in ("net", "xyz") else 0) + 10 * mean) / (k + 10) for s, k in n.items()}
+    assert urls.learn(ruled, 60).shares == pytest.approx(want)
+    host = spark.createDataFrame([("a.b",), ("b",), ("",), ("a.",)], "host string")
+    assert all(r.s == urls.suffix(r.host) for r in host.select("host", F.substring_index("host", ".", -1).alias("s")).collect())
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
