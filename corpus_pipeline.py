@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, decontaminate, neardup, packing, substrings
@@ -30,17 +30,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose component is named after themselves stay; of rows that share a doc_id and are linked
-    one stays. The decision is keyed by doc_id, so the texts are dealt out once."""
-    linked = neardup.near_duplicates(spark, docs)
+    """One row of each component stays, of its smallest doc_id (a null one only where it has no other), and
+    each row without words; of these, identical rows of one doc_id count once. Where doc_ids are unique they
+    decide alone; rows that share one are told apart by the class of their text."""
+    linked = neardup.linked(spark, docs)
     kept = linked.filter("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     repeated = linked.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
     if repeated.limit(1).count() == 0:
         return found
-    twice = found.join(repeated, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi")
-    once = found.join(repeated, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti")
-    return once.unionByName(twice.dropDuplicates(["doc_id", "text"]))
+    is_repeated = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    once = found.join(repeated, is_repeated, "left_anti")
+    twice = neardup.with_class(docs.join(repeated, is_repeated, "left_semi"), "_class")
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long").alias("_kept"), F.col("class").alias("_own"))).alias("least")
+    chosen = linked.filter("root IS NOT NULL").groupBy("root").agg(least).select("least._kept", "least._own")
+    worded = twice.join(chosen, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_class") == F.col("_own")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "_class").orderBy("text"))
+    worded = worded.withColumn("_place", place).filter("_place = 1").drop("_place")
+    empty = twice.filter("_class IS NULL").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(worded.unionByName(empty).drop("_class"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

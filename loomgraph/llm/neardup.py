@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .substrings import FLUSH, ranges, squeezed, unsqueezed
@@ -66,6 +67,23 @@ def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(values if size == k else common.mixed(values + np.uint64(size)))
 
 
+def _name(own: np.ndarray) -> int | None:
+    """The class of a set; None for an empty one."""
+    return xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own)) - (1 << 63) if len(own) else None
+
+
+def with_class(docs: DataFrame, column: str, shingle: int = SHINGLE) -> DataFrame:
+    """The documents with the class of their text."""
+
+    def run(batches):
+        for batch in batches:
+            names = [_name(shingles(t, shingle)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield batch.append_column(column, pa.array(names, pa.int64()))
+
+    common.small_batches(docs.sparkSession)
+    return docs.mapInArrow(common.trimmed(run), T.StructType([*docs.schema, T.StructField(column, T.LongType())]))
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
     types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
@@ -102,7 +120,7 @@ def _hashed(k: int, buckets: int):
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 own = shingles(text.as_py(), k)
-                name = xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own)) - (1 << 63) if len(own) else None
+                name = _name(own)
                 docs.append((doc.as_py(), len(own), name))
                 if name is not None and name not in sets:
                     sets[name] = own
@@ -461,6 +479,12 @@ def _candidates(spark: SparkSession, docs: DataFrame, shingle: int, per_cent: in
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
+    return linked(spark, docs, shingle=shingle, per_cent=per_cent, together=together).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER) -> DataFrame:
+    """``near_duplicates`` with each document's class and the class that names its component (root), which
+    tell rows of one doc_id apart; both are null for a text without words."""
     all_docs, grouped, sizes = _candidates(spark, docs, shingle, per_cent)
     small = grouped.join(sizes.filter(F.col("m") <= together), "candidate")
     links = small.select("candidate", "class", "n", "tokens").groupBy("candidate").applyInArrow(_trees(per_cent), "a long, b long")
@@ -473,9 +497,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = SHIN
     classes = all_docs.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
     rooted = classes.join(links.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = rooted.select("class", "root").join(ids, "root").select("class", "component_id")
+    by_class = rooted.select("class", "root").join(ids, "root").select("class", "root", "component_id")
     result = all_docs.join(by_class, "class", "left")
-    return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class", "root")
 
 
 def document_links(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = COUNTED) -> DataFrame:

@@ -81,6 +81,22 @@ def test_repeated_rows_keep_one(spark, tables):
     assert sorted((r.doc_id, r.text) for r in got) == [(1, "a b c d e f g"), (1, "other words of the same id here")]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, tables):
+    base = [f"b{i}" for i in range(60)]
+    a, near, third = " ".join(base), " ".join([*base[:59], "c"]), " ".join([*base[:58], "d", "e"])
+    rows = [(1, a), (2, near), (2, "words of its own that no other row has at all"), (3, "x1 x2 x3 x4 x5 x6"), (3, "X1 x2 x3 x4 x5 x6"), (4, None), (4, ""), (4, "")]
+    rows += [(5, " ".join(f"f{i}" for i in range(60))), (5, " ".join([*(f"f{i}" for i in range(59)), "g"]))]
+    rows += [(None, third), (None, "some text without any id of its own"), (None, "some text without any id of its own"), (6, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = STAGES["near_duplicates"](spark, docs, tables)
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    five = [t for i, t in left if i == 5]
+    assert len(five) == 1 and (5, five[0]) in rows
+    want = [(1, a), (2, rows[2][1]), (3, "X1 x2 x3 x4 x5 x6"), (4, None), (4, ""), (5, five[0]), (None, rows[11][1])]
+    assert sorted(left, key=str) == sorted(want, key=str)
+
+
 def test_registered_queries():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
