@@ -21,11 +21,19 @@ class Graph(NamedTuple):
     meta: DataFrame
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Only where a single machine runs everything is
+    there one of our own; on a cluster without the setting a local folder would lose rows, so that is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
+
+
 def stored(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the cluster's shared folder, so that several joins read it and none parses again."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -73,8 +73,12 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_entry_without_the_optional_parts(tmp_path):
+@pytest.mark.parametrize("gone", [["loomgraph/llm", "tests/llm"], ["loomgraph/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_without_the_optional_parts(tmp_path, gone):
     copy = tmp_path / "copy"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    for path in gone:
+        shutil.rmtree(copy / path, ignore_errors=True)
+        (copy / path).unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(x.startswith('op') or x == 'pipeline' for x in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True, timeout=120)
