@@ -23,15 +23,29 @@ BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
-#: Rows of a batch that goes to Python. Texts may be long, and each batch stands in memory several times.
+#: Rows and bytes of a batch that goes to Python. Texts may be long, and each batch stands in memory several times.
 BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Makes batches to Python small in this session, unless they are already."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Bounds batches to Python by rows and by bytes in this session, unless they are smaller already. Spark reads
+    both settings when a plan is run, so they stay set."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the frame's columns."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named."""
+    """The shared folder that the cluster names. Only where one machine runs everything is there one of our own: on a
+    cluster a local folder would lose rows, so a missing setting is an error there."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "/tmp/checkpoints"
         context.setCheckpointDir(named)
     return named

@@ -2,28 +2,34 @@
 
 An item's window (13 consecutive words; a shorter item is one window) is a set of word shingles, each
 with its offset. A window stands in a document only if all of its shingles do, so by the prefix filter
-for full containment one shingle is enough to find it: the rarest over all documents. One pass reads
-every text and keeps where shingles of items stand (``shingle_places``); rarity is counted on that
-table over all documents; ``contained`` then joins the prefix shingles, bounds the window's start by
-its offset and the document's length, and verifies that each shingle of the window stands at its
-offset, which covers all of its words in order.
+for full containment one shingle is enough to find it: the rarest over all documents.
 
-The benchmark is a stated query set. It is read in blocks of at most ``block_bytes`` of text, so what
-is broadcast has a fixed bound; results of several blocks are merged by document.
+One pass reads every text and keeps where shingles of items may stand, by a Bloom filter of the items'
+shingles. What it lets through is counted over all documents and joined with the windows' rarest
+shingles; the join bounds the window's start by its offset and by the document's length. Each candidate
+is verified: shingles at offsets that cover all words of the window must stand in the document at these
+places. All of this is joins of Spark, so items and documents are both spread; a shingle that very many
+documents hold makes many rows on one side only, which Spark's skew join splits.
+
+Only the filter goes to the driver, and from there to all: 2 ** ``FILTER_BITS[1]`` bits (32 MB) at most, whatever
+the benchmark holds. With more items it lets more places through, which the join drops.
+
+Shingles are compared as 64-bit hashes. A window's places are taken for its words if several shingles agree,
+so a single collision doesn't make a hit unless the other words are there too.
 
 Cases: a null or empty text has no words, no hits and is clean. An item without words is left out; an
-item text that occurs twice counts for both ids. Repeated document rows give repeated result rows. Null
-ids stay null. Empty tables give no rows (documents) or no hits (benchmark). Other columns are ignored.
+item text that occurs twice counts for both ids; items without an id count as one, which isn't spelled in
+items_sha256. Repeated document rows give repeated result rows. Null ids stay null. Empty tables give no
+rows (documents) or no hits (benchmark). Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,189 +37,175 @@ from . import common
 
 WINDOW = 13
 SHINGLE = 5
-PLACES = "doc_id long, text_hash long, n_words long, places binary, shingles binary"
-FILTER_BITS = 20
-
-
-class Items:
-    """The windows of a block of items and their shingles; plain arrays, small enough to broadcast."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int, shingle: int):
-        self.windows: dict[bytes, list] = {}
-        self.ids: dict[tuple[int, int], int] = {}
-        for item, text in items:
-            words = common.plain_words((text or "").encode())
-            size = min(window, len(words))
-            if not size:
-                continue
-            k = min(shingle, size)
-            values = common.word_values(words, len(words))
-            grams = common.mixed(common.rolling(values, k)).tolist()
-            for start in range(len(words) - size + 1):
-                key = b"\0".join(words[start : start + size])
-                if key not in self.windows:
-                    offsets = sorted({*range(0, size - k + 1, k), size - k})
-                    sids = [self.ids.setdefault((k, grams[start + o]), len(self.ids)) for o in range(size - k + 1)]
-                    self.windows[key] = [size, sids, offsets, set()]
-                self.windows[key][3].add(item)
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in {k for k, _ in self.ids}:
-            own = sorted((h, i) for (kk, h), i in self.ids.items() if kk == k)
-            hashes = np.array([h for h, _ in own], np.uint64)
-            seen = np.zeros(1 << FILTER_BITS, bool)
-            seen[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-            self.by_size[k] = hashes, np.array([i for _, i in own], np.int64), seen
-
-
-def _places(items: Items):
-    """Places of the items' shingles in each text of a batch."""
+PLACES = "doc_id long, text_hash long, n_words long, places binary, grams binary"
+FLAT = "doc_id long, text_hash long, n_words long, place long, gram long"
+WINDOWS = "item string, window binary, size int, k int, grams array<long>"
+#: Least and most bits of the filter, as powers of two, and bits for each shingle between these.
+FILTER_BITS = (20, 28)
+BITS_EACH = 64
+#: Bits of a row of the filter: those of Spark's bitmap functions.
+ROW_BITS = 1 << 15
+DOC = ["doc_id", "text_hash"]
+
+
+def grams_of(words: list[bytes], k: int) -> np.ndarray:
+    """Hashes of the shingles of k words; shingles of different lengths have different hashes."""
+    return common.mixed(common.rolling(common.word_values(words, len(words)), k) + np.uint64(k))
+
+
+def _windows(window: int, shingle: int):
+    """Each window of each item (once an item), with the hashes of all of its shingles."""
+
+    def rows(item, text):
+        words = common.plain_words(text)
+        if not (size := min(window, len(words))):
+            return
+        k, seen = min(shingle, size), set()
+        grams = grams_of(words, k).view(np.int64)
+        for at in range(len(words) - size + 1):
+            own = xxhash.xxh3_128_digest(b" ".join(words[at : at + size]))
+            if own not in seen:
+                seen.add(own)
+                yield item, own, size, k, grams[at : at + size - k + 1]
+
+    def batch(held):
+        types = [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+        columns = list(zip(*held, strict=True)) if held else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item", "window", "size", "k", "grams"])
 
     def run(batches):
-        low = np.uint64((1 << FILTER_BITS) - 1)
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = common.plain_words(text)
-                values = common.word_values(words, len(words))
-                at, ids = [], []
-                for k, (hashes, sids, seen) in items.by_size.items():
-                    grams = common.mixed(common.rolling(values, k))
-                    maybe = np.flatnonzero(seen[(grams & low).astype(np.int64)])
-                    if len(maybe):
-                        found = np.searchsorted(hashes, grams[maybe])
-                        found[found == len(hashes)] = 0
-                        same = hashes[found] == grams[maybe]
-                        at.append(maybe[same])
-                        ids.append(sids[found[same]])
-                at_all = np.concatenate(at) if at else np.zeros(0, np.int64)
-                ids_all = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-                out.append((doc, digest, len(words), at_all.astype("<i8").tobytes(), ids_all.astype("<i8").tobytes()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "text_hash", "n_words", "places", "shingles"])
-
-    return run
-
-
-def shingle_places(docs: DataFrame, items: Items) -> DataFrame:
-    """One row for each document: its words and where shingles of items stand in it."""
-    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
-    return own.mapInArrow(_places(items), PLACES)
-
-
-def rarity(places: DataFrame) -> dict[int, int]:
-    """Occurrences of each item shingle over all documents; bounded by the block of items."""
-
-    def count(batches):
-        total: dict[int, int] = {}
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                for i, n in zip(*np.unique(np.frombuffer(ids, "<i8"), return_counts=True), strict=True):
-                    total[int(i)] = total.get(int(i), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["shingle", "n"])
-
-    counted = places.filter(F.length("shingles") > 0).select("shingles").mapInArrow(count, "shingle long, n long")
-    return {r.shingle: r.n for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}
-
-
-def _verify(items: Items, counts: dict[int, int]):
-    """Prefix join, bounds and verification for each document's places."""
-    by_prefix: dict[int, list[tuple]] = {}
-    for size, sids, offsets, ids in items.windows.values():
-        if all(s in counts for s in sids):
-            first = min(range(len(sids)), key=lambda j: (counts[sids[j]], sids[j]))
-            by_prefix.setdefault(sids[first], []).append((first, size, [(o, sids[o]) for o in offsets], sorted(ids, key=str)))
-
-    def hits(n: int, places: bytes, shingles: bytes) -> tuple[list[tuple[int, int]], list]:
-        at, ids = np.frombuffer(places, "<i8").tolist(), np.frombuffer(shingles, "<i8").tolist()
-        there = set(zip(at, ids, strict=True))
-        spans, found = set(), set()
-        for place, sid in there:
-            for offset, size, parts, owners in by_prefix.get(sid, ()):
-                start = place - offset
-                if 0 <= start <= n - size and all((start + o, s) in there for o, s in parts):
-                    spans.add((start, start + size))
-                    found.update(owners)
-        return sorted(spans), sorted(found, key=str)
+        held = []
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for row in rows(item, text):
+                    held.append(row)
+                    if len(held) >= 5_000:
+                        yield batch(held)
+                        held = []
+        yield batch(held)
+
+    return common.trimmed(run)
+
+
+class Filter:
+    """A Bloom filter of two probes over the shingles of all items."""
+
+    def __init__(self, windows: DataFrame):
+        sizes = windows.groupBy("k").agg(F.sum(F.size("grams")).alias("n")).collect()
+        least, most = FILTER_BITS
+        self.lengths = sorted(r.k for r in sizes)
+        self.bits = min(most, max(least, math.ceil(math.log2(BITS_EACH * max(1, sum(r.n for r in sizes))))))
+        raw = np.zeros(1 << (self.bits - 3), np.uint8)
+        probes = F.explode(F.array(*(F.shiftrightunsigned("gram", 64 - self.bits - s) % (1 << self.bits) for s in (0, 32))))
+        grams = windows.select(F.explode("grams").alias("gram")).select(probes.alias("bit"))
+        rows = grams.groupBy(F.expr(f"bit div {ROW_BITS}").alias("row")).agg(F.bitmap_construct_agg(F.col("bit") % ROW_BITS).alias("set"))
+        for r in rows.collect():
+            raw[r.row * ROW_BITS // 8 : (r.row + 1) * ROW_BITS // 8] = np.frombuffer(bytes(r.set), np.uint8)
+        self.raw = raw
+
+    def may_have(self, grams: np.ndarray) -> np.ndarray:
+        out = np.ones(len(grams), bool)
+        for s in (0, 32):
+            bit = (grams >> np.uint64(64 - self.bits - s)) & np.uint64((1 << self.bits) - 1)
+            out &= (self.raw[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def _places(sent):
+    """Places in each text where shingles of items may stand."""
 
     def run(batches):
+        own = sent.value
         for batch in batches:
-            spans, owners = [], []
-            for n, places, shingles in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                s, f = hits(n, places, shingles) if places else ([], [])
-                spans.append([x for pair in s for x in pair])
-                owners.append([str(x) for x in f])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(spans, pa.list_(pa.int64())), pa.array(owners, pa.list_(pa.string()))],
-                ["doc_id", "text_hash", "n_words", "spans", "items"],
-            )
-
-    return run
-
-
-SPANS = "doc_id long, text_hash long, n_words long, spans array<long>, items array<string>"
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple]]:
-    """The items in blocks whose text is about block_bytes at most, one in memory at a time."""
-    own = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    for k in range(n):
-        yield n, [(r.item_id, r.text) for r in (own if n == 1 else own.filter(part == k)).collect()]
-
-
-def contained(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, text_hash, n_words, spans (start, end, start, end ... of all occurring windows) and items (ids as strings) of each document."""
+            n, places, found = [], [], []
+            for text in batch.column(2).to_pylist():
+                words = common.plain_words(text)
+                at, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for k in own.lengths:
+                    all_ = grams_of(words, k)
+                    at.append(np.flatnonzero(own.may_have(all_)))
+                    grams.append(all_[at[-1]])
+                n.append(len(words))
+                places.append(np.concatenate(at).astype("<i8").tobytes())
+                found.append(np.concatenate(grams).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(places, pa.binary()), pa.array(found, pa.binary())], ["doc_id", "text_hash", "n_words", "places", "grams"])
+
+    return common.trimmed(run)
+
+
+def _flat(batches):
+    """One row for each place."""
+    for batch in batches:
+        raw = batch.column(3).to_pylist()
+        row = pa.array(np.repeat(np.arange(len(raw)), [len(p) // 8 for p in raw]))
+        at, grams = (pa.array(np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i8")) for c in (3, 4))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in range(3)), at, grams], ["doc_id", "text_hash", "n_words", "place", "gram"])
+
+
+def _same(left: str, right: str, names: list[str]):
+    condition = F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
+    for n in names:
+        condition &= F.col(f"{left}.{n}") == F.col(f"{right}.{n}")
+    return condition
+
+
+def occurrences(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash and n_words of each document; doc_id, text_hash, start, size and item of each window of an
+    item that stands in a document."""
     common.small_batches(spark)
-    parts = []
-    for blocks, rows in _blocks(benchmark, block_bytes):
-        items = Items(rows, window, shingle)
-        places = common.written(spark, shingle_places(docs, items), "places")
-        parts.append(places.mapInArrow(_verify(items, rarity(places)), SPANS))
-    if blocks == 1:
-        return parts[0]
-    key = ["doc_id", "text_hash"]
-    parts = [common.written(spark, p, "spans") for p in parts]
-    found = reduce(DataFrame.unionByName, [p.filter(F.size("spans") > 0).dropDuplicates(key) for p in parts])
-    merged = found.groupBy(*key).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    none = F.array().cast("array<long>"), F.array().cast("array<string>")
-    joined = parts[0].drop("spans", "items").alias("d").join(merged.alias("m"), [F.col(f"d.{k}").eqNullSafe(F.col(f"m.{k}")) for k in key], "left")
-    return joined.select("d.doc_id", "d.text_hash", "d.n_words", F.coalesce("m.spans", none[0]).alias("spans"), F.coalesce("m.items", none[1]).alias("items"))
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string").cast("binary"))
+    windows = common.written(spark, items.mapInArrow(_windows(window, shingle), WINDOWS), "windows")
+    sent = spark.sparkContext.broadcast(Filter(windows))  # 2 ** FILTER_BITS[1] bits at most
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    places = common.written(spark, own.mapInArrow(_places(sent), PLACES), "places")
+    flat = common.written(spark, places.filter(F.length("places") > 0).mapInArrow(_flat, FLAT), "shingles")
+
+    once = windows.groupBy("window").agg(F.first("size").alias("size"), F.first("k").alias("k"), F.first("grams").alias("grams"))
+    parts = once.select("window", "size", F.size("grams").alias("n"), F.posexplode("grams").alias("offset", "gram"))
+    counts = flat.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
+    rarest = parts.join(counts, "gram").groupBy("window").agg(F.count(F.lit(1)).alias("there"), F.first("n").alias("n"), F.min(F.struct("times", "gram", "offset")).alias("least"))
+    prefix = rarest.filter("there = n").select("window", "least.gram", "least.offset").join(once.drop("gram"), "window")
+    # Shingles at every k-th offset and at the last one cover the window's words.
+    checked = F.expr("array_distinct(array_append(sequence(0, size - k, k), size - k))")
+    prefix = prefix.select("gram", "offset", "window", "size", F.transform(checked, lambda o: F.struct(o.alias("o"), F.get("grams", o).alias("g"))).alias("checks"))
+    start = (F.col("place") - F.col("offset")).alias("start")
+    found = flat.join(prefix, "gram").select(*DOC, "n_words", start, "window", "size", "checks").filter("start >= 0 AND start + size <= n_words").drop("n_words").distinct()
+    wanted = found.select(*DOC, "start", "window", "size", F.size("checks").alias("n"), F.explode("checks").alias("check"))
+    wanted = wanted.withColumns({"place": F.col("start") + F.col("check.o"), "gram": F.col("check.g")}).drop("check")
+    there = wanted.alias("w").join(flat.alias("f"), _same("w", "f", ["text_hash", "place", "gram"]), "left_semi")
+    verified = there.groupBy(*DOC, "start", "window", "size", "n").agg(F.count(F.lit(1)).alias("found")).filter("found = n")
+    owners = windows.select("window", "item").distinct()
+    return places.select(*DOC, "n_words"), verified.join(owners, "window").select(*DOC, "start", "size", "item")
 
 
 JUDGED = ["doc_id", "text_hash", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Adds n_hit (words inside any window), n_items, items_sha256 and contaminated to ``contained``."""
-
-    def run(batches):
-        for batch in batches:
-            words = batch.column("n_words").to_pylist()
-            hit, owners = [], batch.column("items").to_pylist()
-            for spans in batch.column("spans").to_pylist():
-                end = total = 0
-                for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-                    total += max(0, b - max(a, end))
-                    end = max(end, b)
-                hit.append(total)
-            shas = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in owners]
-            bad = [h > 0 and 20 * h >= n for h, n in zip(hit, words, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in owners], pa.int64()), pa.array(shas, pa.string()), pa.array(bad, pa.bool_())],
-                JUDGED,
-            )
-
-    return contained(spark, docs, benchmark, **options).mapInArrow(run, "doc_id long, text_hash long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    """doc_id, text_hash (xxhash64), n_words, n_hit (words inside any window), n_items, items_sha256 and contaminated of each document."""
+    all_docs, found = occurrences(spark, docs, benchmark, **options)
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
+    ids = F.collect_set("item")
+    # Spans in order of their starts: each adds what reaches beyond those before it.
+    beyond = lambda seen, s: F.greatest(s["end"] - F.greatest(seen["end"], s["start"]), F.lit(0).cast("long"))
+    step = lambda seen, s: F.struct(F.greatest(seen["end"], s["end"]).alias("end"), (seen["total"] + beyond(seen, s)).alias("total"))
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))
+    by_doc = found.groupBy(*DOC).agg(spans.alias("spans"), ids.alias("ids"), F.max(F.col("item").isNull().cast("int")).alias("unnamed"))
+    by_doc = by_doc.select(*DOC, F.aggregate("spans", none, step)["total"].alias("n_hit"), (F.size("ids") + F.col("unnamed")).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("ids"), ","), 256).alias("items_sha256"))
+    joined = all_docs.alias("d").join(by_doc.alias("h"), _same("d", "h", ["text_hash"]), "left")
+    n_hit = F.coalesce("h.n_hit", F.lit(0).cast("long"))
+    return joined.select(
+        "d.doc_id", "d.text_hash", "d.n_words", n_hit.alias("n_hit"), F.coalesce("h.n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("h.items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("d.n_words"))).alias("contaminated"),
+    )
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns."""
-    bad = decontaminate(spark, docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    bad = common.written(spark, bad.distinct(), "contaminated")  # few as a rule: then Spark sends them to the texts
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    """The documents that aren't contaminated, with all their columns; rows of one id are told apart by their texts."""
+    bad = decontaminate(spark, docs, benchmark, **options).filter("contaminated").select(*DOC).distinct()
+    bad = common.written(spark, bad, "contaminated")  # few as a rule: then Spark sends them to the texts
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.text_hash"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

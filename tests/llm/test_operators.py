@@ -458,33 +458,56 @@ def test_signature_trees_alone():
 # --- 10
 
 
-@pytest.mark.parametrize("block", [1 << 24, 200])
-def test_decontamination_is_brute_force(spark, docs, block):
-    frame, texts = docs
-    rnd = random.Random(11)
-    pool = [t for t in texts.values() if t and len(t) < 3000]
-    items = [(i, " ".join(PLAIN.findall(rnd.choice(pool))[rnd.randrange(3) :][: rnd.choice([1, 2, 4, 6, 13, 20, 40])]).upper()) for i in range(25)]
-    items += [(100, None), (101, ""), (102, items[3][1]), (103, "not there at all")]
-    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit("clash"))
+def contamination(texts, items):
+    """(n_words, n_hit, n_items, items_sha256, contaminated) of each text, by comparing words."""
     windows = defaultdict(set)
     for i, t in items:
         w = PLAIN.findall(lower(t))
         for k in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[k : k + 13])].add(i)
-    got = {r.doc_id: r for r in decontaminate.decontaminate(spark, extra(frame), bench, block_bytes=block).collect()}
-    assert set(got) == set(texts)
-    for doc, text in texts.items():
+    out = []
+    for text in texts:
         words, hit, found = PLAIN.findall(lower(text)), set(), set()
         for key, ids in windows.items():
             for k in range(len(words) - len(key) + 1):
                 if tuple(words[k : k + len(key)]) == key:
                     hit.update(range(k, k + len(key)))
                     found |= ids
-        r = got[doc]
-        assert (r.n_words, r.n_hit, r.n_items) == (len(words), len(hit), len(found))
-        assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
-        assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= len(words))
-    clean = decontaminate.clean(spark, frame, bench, block_bytes=block)
-    assert {r.doc_id for r in clean.collect()} == {d for d, r in got.items() if not r.contaminated}
-    assert decontaminate.decontaminate(spark, frame.filter("false"), bench).count() == 0
-    assert decontaminate.decontaminate(spark, frame, bench.filter("false")).filter("n_hit > 0").count() == 0
+        sha = hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest()
+        out.append((len(words), len(hit), len(found), sha, len(hit) > 0 and 20 * len(hit) >= len(words)))
+    return out
+
+
+@pytest.mark.parametrize("bits", [(20, 28), (15, 15)])
+def test_decontamination_is_brute_force(spark, docs, bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    rows = corpus()
+    rnd = random.Random(11)
+    pool = [t for _, t, *_ in rows if t and len(t) < 3000]
+    items = [(i, " ".join(PLAIN.findall(lower(rnd.choice(pool)))[rnd.randrange(3) :][: rnd.choice([1, 2, 4, 6, 13, 20, 40])])) for i in range(25)]
+    items = [(i, "".join(c.upper() if "a" <= c <= "z" else c for c in t)) for i, t in items]
+    items += [(100, None), (101, ""), (102, items[3][1]), (103, "not there at all"), (None, items[4][1]), (None, items[5][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit("clash"))
+    rows += [rows[0], rows[4], (None, rows[4][1], None, None, None), (None, rows[8][1], None, None, None), (rows[0][0], rows[4][1], None, None, None)]
+    frame = spark.createDataFrame(rows, DOCS)
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = [(r.doc_id, *(r[n] for n in names)) for r in decontaminate.decontaminate(spark, extra(frame).repartition(3), bench).collect()]
+    want = [(r[0], *x) for r, x in zip(rows, contamination([r[1] for r in rows], items), strict=True)]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(x[-1] for x in want) and not all(x[-1] for x in want)
+    clashing = frame.withColumns({c: F.lit("x") for c in ("_id", "_hash", "text_hash", "contaminated", "b", "d")})
+    clean = decontaminate.clean(spark, clashing, bench)
+    assert clean.columns == clashing.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(((r[0], r[1]) for r, w in zip(rows, want, strict=True) if not w[-1]), key=str)
+    if bits[0] == 20:
+        assert decontaminate.decontaminate(spark, frame.filter("false"), bench).count() == 0
+        assert decontaminate.decontaminate(spark, frame, bench.filter("false")).filter("n_hit > 0").count() == 0
+
+
+def test_decontamination_sends_the_driver_no_more_than_the_filter(spark):
+    """The driver holds the filter's bits, however many items there are."""
+    bench = spark.range(3000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda k: F.concat(F.lit("w"), F.col("id") * 200 + k)), " ").alias("text"))
+    windows = bench.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).mapInArrow(decontaminate._windows(13, 5), decontaminate.WINDOWS)
+    own = decontaminate.Filter(windows)
+    assert own.bits <= 28 and len(own.raw) == 1 << (own.bits - 3)
+    grams = decontaminate.grams_of([f"w{i}".encode() for i in range(200)], 5)
+    assert own.may_have(grams).all() and own.may_have(decontaminate.grams_of([f"v{i}".encode() for i in range(20000)], 5)).mean() < 0.01
