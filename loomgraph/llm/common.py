@@ -125,6 +125,38 @@ def rolling(values: np.ndarray, k: int) -> np.ndarray:
     return out[: n - k + 1]
 
 
+#: Most buckets that a task deals rows to at once, and most partitions of a shuffle by bucket.
+FAN = 4_096
+PARTITIONS = 20_000
+
+
+class Buckets:
+    """Equal ranges of 64-bit hashes, about ``each`` of ``total`` hashes in one. Where they are more than ``FAN``,
+    rows are dealt to coarse ranges first and from there to the buckets, so a task sends at most ``FAN`` rows each
+    time that it has gathered enough: rows sent are in proportion to the hashes, at any number of buckets."""
+
+    def __init__(self, total: int, each: int, least: int = 1):
+        n = max(least, total // each + 1)
+        self.per = -(-n // FAN)
+        self.coarse = -(-n // self.per)
+        self.n = self.coarse * self.per
+
+    def parts(self, hashes: np.ndarray, fine: bool):
+        """(bucket or coarse range, places of its hashes in their order) of hashes in any order."""
+        of = (((hashes >> np.uint64(32)) * np.uint64(self.n)) >> np.uint64(32)).astype(np.int64)
+        of = of if fine else of // self.per
+        order = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.diff(of[order], prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=len(order) > 0):
+            yield int(of[order[a]]), order[a:b]
+
+    def dealt(self, sent: DataFrame, column: str, again, schema: str) -> DataFrame:
+        """Rows by bucket in as many partitions as there are buckets; ``again`` deals rows of coarse ranges."""
+        if self.per > 1:
+            sent = sent.repartition(min(self.coarse, PARTITIONS), column).mapInArrow(again, schema)
+        return sent.repartition(min(self.n, PARTITIONS), column)
+
+
 def trim() -> None:
     """Gives freed memory back to the system, where the platform can: Python workers live on after a task."""
     pa.default_memory_pool().release_unused()

@@ -8,17 +8,18 @@ filter applies: in the order of (count, hash), two sets that link share one of e
 ``n - ceil(similarity * n) + 1`` shingles, unshared ones included. Classes that share a prefix shingle
 form candidate components, which no link leaves.
 
-Within a component of at most ``TOGETHER`` classes a signature tree finds the links: leaves are token
-bitmaps, inner nodes hold the OR of their children's, the range of sizes and the most tokens that fall on
-a bit already set. The dual traversal drops a pair of nodes if the overlap that their bitmaps and sizes
-allow is less than the least that a link needs, or if all below them is one component already. What
-remains is verified on the tokens. A larger component is first linked with a few pivots (salted, so its
-rows stay spread), then cut into chunks; only pairs of chunks that aren't linked to one pivot already go
-to the trees.
+Links are found by signature trees: leaves are token bitmaps, inner nodes hold the OR of their children's, the
+range of sizes and the most tokens that fall on a bit already set. The dual traversal drops a pair of nodes if
+the overlap that their bitmaps and sizes allow is less than the least that a link needs, or if all below
+them is one component already. What remains is verified on the tokens. A component of at most ``TOGETHER``
+classes is one tree. A larger one is cut into subtrees by size and least token; their roots are rows, the
+dual traversal of the roots tells which subtrees meet, and each such pair is traversed by a task of its own, so
+no task holds more than two subtrees' classes. As a shortcut, classes of a large component are compared with a few
+pivots first (salted, so its rows stay spread), and subtrees that one pivot links with don't meet; without it (``pivots``
+of 0) the result is the same.
 
 ``document_links`` counts links instead, and there no pair is left out because it is connected already: every
-pair of classes that the bounds allow is verified. Larger components are cut by size, so chunks meet only
-where their sizes allow a link.
+pair of classes that the bounds allow is verified.
 
 Sets are compared as 64-bit hashes; classes are told apart by a 64-bit digest and the size.
 
@@ -32,12 +33,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common
-from .substrings import FLUSH, ranges, squeezed, unsqueezed
+from .substrings import FLUSH, GATHERED, squeezed, unsqueezed
 
 SHINGLE = 5
 SIMILARITY = 75  # per cent
@@ -45,16 +45,17 @@ SIMILARITY = 75  # per cent
 #: executors with more memory) move less.
 BUCKET = 2_000_000
 GROUP = 2_000
-#: Classes that one task compares, and that one tree holds.
-TOGETHER = 4_096
-#: Classes of one task that counts links; it verifies all pairs, so it holds fewer.
-COUNTED = 1_024
-PIVOTS = 6
+#: Classes of one tree, and of one task.
+TOGETHER = 512
+PIVOTS = 4
 SIGNATURE = 2_048
+#: Bits of the root of a subtree, whose classes may have many tokens together.
+ROOT = 16_384
 FANOUT = 8
-TABLES = "kind int, owners long, ids binary, sizes binary, counts binary, hashes binary, dfs binary"
-LIVE = "class long, n long, tokens binary, prefix array<long>"
-NAMES = ["kind", "owners", "ids", "sizes", "counts", "hashes", "dfs"]
+TABLES = "kind int, owners long, ids binary, sizes binary, counts binary, hashes binary, dfs binary, texts binary"
+LIVE = "class long, n long, least long, tokens binary, prefix array<long>"
+NAMES = ["kind", "owners", "ids", "sizes", "counts", "hashes", "dfs", "texts"]
+ROOTS = "candidate long, chunk long, signature binary, excess long, low long, high long, most long, label long"
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -72,21 +73,9 @@ def _name(own: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own)) - (1 << 63) if len(own) else None
 
 
-def with_class(docs: DataFrame, column: str, shingle: int = SHINGLE) -> DataFrame:
-    """The documents with the class of their text."""
-
-    def run(batches):
-        for batch in batches:
-            names = [_name(shingles(t, shingle)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield batch.append_column(column, pa.array(names, pa.int64()))
-
-    common.small_batches(docs.sparkSession)
-    return docs.mapInArrow(common.trimmed(run), T.StructType([*docs.schema, T.StructField(column, T.LongType())]))
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    types = [pa.int32(), pa.int64()] + [pa.binary()] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], NAMES)
 
 
@@ -95,33 +84,34 @@ def _runs(classes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes, bytes]:
     return classes[new].astype("<i8").tobytes(), squeezed(sizes[new]), squeezed(np.diff(np.append(new, len(classes))))
 
 
-def _hashed(k: int, buckets: int):
-    """kind 0: doc_id, size and class of documents; kind 1: a bucket's shingles by class."""
+def _blobs(buckets: common.Buckets, classes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, fine: bool):
+    for bucket, own in buckets.parts(hashes, fine):
+        yield _rows([(1, bucket, *_runs(classes[own], sizes[own]), hashes[own].astype("<u8").tobytes(), None, None)])
+
+
+def _hashed(k: int, buckets: common.Buckets):
+    """kind 0: doc_id, size, class and text_hash of documents; kind 1: a bucket's shingles by class."""
 
     def flush(docs, sets):
         if docs:
-            ids, sizes, classes = zip(*docs, strict=True)
+            ids, sizes, classes, texts = zip(*docs, strict=True)
             null = np.array([i is None for i in ids])
-            yield _rows([(0, (classes[0] or 0) % buckets, np.array([i or 0 for i in ids], "<i8").tobytes(), squeezed(np.array(sizes)), null.tobytes(), np.array([c or 0 for c in classes], "<i8").tobytes(), np.array([c is not None for c in classes]).tobytes())])
-        if not sets:
-            return
-        n = np.array([len(s) for s in sets.values()], np.int64)
-        classes, sizes = np.repeat(np.array(list(sets), np.int64), n), np.repeat(n, n)
-        hashes = np.concatenate(list(sets.values()))
-        order = np.argsort(hashes, kind="stable")
-        bounds = ranges(hashes[order], buckets)
-        for b in range(buckets):
-            own = np.sort(order[bounds[b] : bounds[b + 1]])
-            if len(own):
-                yield _rows([(1, b, *_runs(classes[own], sizes[own]), hashes[own].tobytes(), None)])
+            have = np.array([c is not None for c in classes])
+            numbers = (np.array([x or 0 for x in column], "<i8").tobytes() for column in (ids, classes, texts))
+            ids, classes, texts = numbers
+            yield _rows([(0, len(docs) % buckets.coarse, ids, squeezed(np.array(sizes)), null.tobytes(), classes, have.tobytes(), texts)])
+        if sets:
+            n = np.array([len(s) for s in sets.values()], np.int64)
+            classes, sizes = np.repeat(np.array(list(sets), np.int64), n), np.repeat(n, n)
+            yield from _blobs(buckets, classes, sizes, np.concatenate(list(sets.values())), buckets.per == 1)
 
     def run(batches):
         docs, sets, held = [], {}, 0
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc, text, digest in zip(*batch.columns, strict=True):
                 own = shingles(text.as_py(), k)
                 name = _name(own)
-                docs.append((doc.as_py(), len(own), name))
+                docs.append((doc.as_py(), len(own), name, digest.as_py()))
                 if name is not None and name not in sets:
                     sets[name] = own
                     held += len(own)
@@ -133,14 +123,40 @@ def _hashed(k: int, buckets: int):
     return common.trimmed(run)
 
 
+def _again(buckets: common.Buckets):
+    """Deals the shingles of coarse ranges to their buckets; documents pass through."""
+
+    def flush(parts):
+        yield from _blobs(buckets, *(np.concatenate(c) for c in zip(*parts, strict=True)), True)
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in NAMES), strict=True):
+                kind, owner, ids, sizes, counts, hashes, *_ = row
+                if kind == 0:
+                    yield _rows([(0, owner * buckets.per, *row[2:])])
+                    continue
+                n = unsqueezed(counts)
+                parts.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), np.frombuffer(hashes, np.uint64)))
+                held += len(parts[-1][2])
+                if held >= FLUSH:
+                    yield from flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from flush(parts)
+
+    return common.trimmed(run)
+
+
 def _shared(groups: int):
     def run(bucket: pa.Table) -> pa.Table:
         """Documents pass through; shingles of two classes at least go on, by group of classes."""
         out, parts = [], []
         for row in zip(*(bucket.column(n) for n in NAMES), strict=True):
-            kind, owners, ids, sizes, counts, hashes, dfs = (x.as_py() for x in row)
+            kind, owners, ids, sizes, counts, hashes, *_ = own = tuple(x.as_py() for x in row)
             if kind == 0:
-                out.append((0, owners, ids, sizes, counts, hashes, dfs))
+                out.append(own)
             else:
                 n = unsqueezed(counts)
                 parts.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), np.frombuffer(hashes, np.uint64)))
@@ -168,7 +184,7 @@ def _shared(groups: int):
                 cuts = np.flatnonzero(np.diff(holders, prepend=-1))
                 for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=len(own) > 0):
                     part = own[a:b]
-                    out.append((1, int(holders[a]), *_runs(classes[part], sizes[part]), hashes[part].tobytes(), df[a:b].tobytes()))
+                    out.append((1, int(holders[a]), *_runs(classes[part], sizes[part]), hashes[part].tobytes(), df[a:b].tobytes(), None))
         table = pa.Table.from_batches([_rows(out)])
         common.trim()
         return table
@@ -180,7 +196,7 @@ def _live(per_cent: int):
     def run(owned: pa.Table) -> pa.Table:
         """Classes that may link: their shared tokens, rarest first, and their prefix."""
         parts = []
-        for ids, sizes, counts, hashes, dfs in zip(*(owned.column(n).to_pylist() for n in NAMES[2:]), strict=True):
+        for ids, sizes, counts, hashes, dfs in zip(*(owned.column(n).to_pylist() for n in NAMES[2:7]), strict=True):
             n = unsqueezed(counts)
             parts.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), np.frombuffer(hashes, np.uint64), np.frombuffer(dfs, np.uint8)))
         classes, sizes, hashes, dfs = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -191,10 +207,10 @@ def _live(per_cent: int):
             n, own = int(sizes[order[a]]), hashes[order[a:b]]
             least = -(-per_cent * n // 100)
             if len(own) >= least:
-                rows.append((int(classes[order[a]]), n, own.tobytes(), own[: len(own) - least + 1].view(np.int64)))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        table = pa.table({c: pa.array(v, t) for c, v, t in zip(("class", "n", "tokens", "prefix"), columns, types, strict=True)})
+                rows.append((int(classes[order[a]]), n, int(own.min() >> np.uint64(1)), own.tobytes(), own[: len(own) - least + 1].view(np.int64)))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        table = pa.table({c: pa.array(v, t) for c, v, t in zip(("class", "n", "least", "tokens", "prefix"), columns, types, strict=True)})
         del parts, classes, sizes, hashes, dfs, order, rows, columns
         common.trim()
         return table
@@ -246,26 +262,29 @@ class Sets:
 
 
 class Tree:
-    """Nodes of each level, from leaves (one set each, in the given order) to a root."""
+    """Nodes of each level, from leaves (in the given order) to a root. A node has the OR of the bitmaps below it, the
+    most tokens of a leaf that fall on a bit already set, the least size, the most tokens, and the range of labels."""
 
-    def __init__(self, sets: Sets, order: np.ndarray, labels: np.ndarray, bits: int = SIGNATURE, fanout: int = FANOUT):
-        where = np.empty(len(order), np.int64)
-        where[order] = np.arange(len(order))
-        rows = np.repeat(where, sets.count)
-        dense = np.zeros((len(order), bits), bool)
-        dense[rows, sets.flat % bits] = True
-        signature = np.packbits(dense, axis=1).view(np.uint64)
-        excess = sets.count[order] - dense.sum(1)
-        level = (signature, excess, sets.n[order], sets.count[order], labels[order], labels[order])
-        self.fanout, self.levels = fanout, [level]
+    def __init__(self, signature, excess, sizes, most, low, high, fanout: int = FANOUT):
+        self.fanout, self.levels = fanout, [(signature, excess, sizes, most, low, high)]
         while len(self.levels[-1][0]) > 1:
             s, e, n, c, low, high = self.levels[-1]
             at = np.arange(0, len(s), fanout)
             self.levels.append((np.bitwise_or.reduceat(s, at), np.maximum.reduceat(e, at), np.minimum.reduceat(n, at), np.maximum.reduceat(c, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
 
-    def pairs(self, per_cent: int, most_pairs: int = 100_000):
-        """Pairs of leaves (places in the order) that no bound rules out, some at a time. The traversal goes
-        down from the root with itself; pairs of nodes wait in pieces, the deepest first, so few are held."""
+    @classmethod
+    def of_sets(cls, sets: Sets, order: np.ndarray, labels: np.ndarray, bits: int = SIGNATURE) -> Tree:
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        dense = np.zeros((len(order), bits), bool)
+        dense[np.repeat(where, sets.count), sets.flat % bits] = True
+        signature = np.packbits(dense, axis=1).view(np.uint64)
+        return cls(signature, sets.count[order] - dense.sum(1), sets.n[order], sets.count[order], labels[order], labels[order])
+
+    def pairs(self, per_cent: int, most_pairs: int = 100_000, itself: bool = False):
+        """Pairs of leaves (places in the order) that no bound rules out, some at a time; with ``itself`` also those of
+        a leaf with itself. The traversal goes down from the root with itself; pairs of nodes wait in pieces, the
+        deepest first, so few are held."""
         waiting = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         child = np.arange(self.fanout)
         while waiting:
@@ -278,9 +297,9 @@ class Tree:
             keep = (100 + per_cent) * overlap >= per_cent * (n[a] + n[b])
             a, b = a[keep], b[keep]
             if not depth:
-                yield a[a != b], b[a != b]
+                yield (a, b) if itself else (a[a != b], b[a != b])
                 continue
-            below, step = len(self.levels[depth - 1][0]), most_pairs // self.fanout**2
+            below, step = len(self.levels[depth - 1][0]), max(1, most_pairs // self.fanout**2)
             for k in range(0, len(a), step):
                 x = np.repeat(a[k : k + step, None] * self.fanout + child, self.fanout, axis=1).ravel()
                 y = np.tile(b[k : k + step, None] * self.fanout + child, self.fanout).ravel()
@@ -288,34 +307,48 @@ class Tree:
                 waiting.append((depth - 1, x[real], y[real]))
 
 
-def forest(sizes: np.ndarray, tokens: list[np.ndarray], per_cent: int = SIMILARITY, pivots: int = 32) -> np.ndarray:
-    """The number of the first linked set, over any number of links, for each set."""
+def _least_token(sets: Sets) -> np.ndarray:
+    """The least token of each set, after mixing: sets that share most tokens often share it."""
+    return np.minimum.reduceat(sets.flat * 0x9E3779B1 % 0xFFFFFFFB, sets.first[:-1])
+
+
+def _by_first(a: np.ndarray, b: np.ndarray):
+    """(place, the places paired with it) of pairs."""
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    cuts = np.flatnonzero(np.diff(a, prepend=-1))
+    for x, y in zip(cuts, np.append(cuts[1:], len(a)), strict=len(a) > 0):
+        yield int(a[x]), b[x:y]
+
+
+def forest(sizes: np.ndarray, tokens: list[np.ndarray], per_cent: int = SIMILARITY, labels: np.ndarray | None = None, found: list | None = None) -> np.ndarray:
+    """The number of the first linked set, over any number of links, for each set; the dual traversal of their
+    signature tree finds the links. Sets of one label (0 or more) are linked from the start. ``found`` gathers
+    the number of links that joined two components."""
     sets, known = Sets(sizes, tokens, per_cent), Forest(len(sizes))
-    everyone, open_ = np.arange(len(sizes)), np.ones(len(sizes), bool)
-    for _ in range(pivots):
-        if not open_.any():
-            break
-        i = int(open_.argmax())
-        near = np.flatnonzero(sets.linked(i, everyone))
-        open_[near] = open_[i] = False
-        for j in near.tolist():
-            known.join(i, j)
-    labels = np.array([known.root(i) for i in range(len(sizes))], np.int64)
-    if (labels != labels[0]).any():
-        least = np.minimum.reduceat(sets.flat * 0x9E3779B1 % 0xFFFFFFFB, sets.first[:-1])
-        order = np.lexsort((sizes, least, labels))
-        for a, b in Tree(sets, order, labels).pairs(per_cent):
-            a, b = order[a], order[b]
-            by = np.lexsort((b, a))
-            a, b = a[by], b[by]
-            cuts = np.flatnonzero(np.diff(a, prepend=-1))
-            for x, y in zip(cuts, np.append(cuts[1:], len(a)), strict=len(a) > 0):
-                i = int(a[x])
-                others = np.array([j for j in b[x:y].tolist() if known.root(j) != known.root(i)], np.int64)
-                if len(others):
-                    for j in others[sets.linked(i, others)].tolist():
-                        known.join(i, j)
-    return np.array([known.root(i) for i in range(len(sizes))], np.int64)
+    first: dict[int, int] = {}
+    for i, label in enumerate(labels.tolist() if labels is not None else ()):
+        if label >= 0:
+            known.join(first.setdefault(label, i), i)
+
+    def roots() -> np.ndarray:
+        return np.array([known.root(i) for i in range(len(sizes))], np.int64)
+
+    joined, root = 0, roots()
+    order = np.lexsort((sizes, _least_token(sets), root))
+    for a, b in Tree.of_sets(sets, order, root).pairs(per_cent):
+        a, b = order[a], order[b]
+        apart = root[a] != root[b]
+        for i, others in _by_first(a[apart], b[apart]):
+            others = np.array([j for j in others.tolist() if known.root(j) != known.root(i)], np.int64)
+            if len(others):
+                for j in others[sets.linked(i, others)].tolist():
+                    joined += known.root(i) != known.root(j)
+                    known.join(i, j)
+        root = roots()
+    if found is not None:
+        found.append(joined)
+    return root
 
 
 def link_counts(sizes: np.ndarray, tokens: list[np.ndarray], weights: np.ndarray, sides: np.ndarray | None = None, per_cent: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -325,15 +358,10 @@ def link_counts(sizes: np.ndarray, tokens: list[np.ndarray], weights: np.ndarray
     # The tree drops pairs of one label: those of one side, or else each set with itself alone.
     labels = everyone if sides is None else sides.astype(np.int64)
     counts, weighed = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    least = np.minimum.reduceat(sets.flat * 0x9E3779B1 % 0xFFFFFFFB, sets.first[:-1])
+    least = _least_token(sets)
     order = np.lexsort((sizes, least) if sides is None else (sizes, least, labels))
-    for a, b in Tree(sets, order, labels).pairs(per_cent):
-        a, b = order[a], order[b]
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        cuts = np.flatnonzero(np.diff(a, prepend=-1))
-        for x, y in zip(cuts, np.append(cuts[1:], len(a)), strict=len(a) > 0):
-            i, others = int(a[x]), b[x:y]
+    for a, b in Tree.of_sets(sets, order, labels).pairs(per_cent):
+        for i, others in _by_first(order[a], order[b]):
             near = others[sets.linked(i, others)]
             counts[i] += len(near)
             weighed[i] += weights[near].sum()
@@ -360,16 +388,71 @@ def _counted(per_cent: int):
 def _trees(per_cent: int):
     def run(group: pa.Table) -> pa.Table:
         names = group.column("class").to_numpy()
-        _, once = np.unique(names, return_index=True)  # a chunk against itself comes once
+        _, once = np.unique(names, return_index=True)  # a subtree against itself comes once
         names = names[once]
-        tokens = group.column("tokens")
-        root = forest(group.column("n").to_numpy()[once].astype(np.int64), [np.frombuffer(tokens[int(i)].as_py(), np.uint64) for i in once], per_cent)
+        tokens, label = group.column("tokens"), group.column("label").fill_null(-1).to_numpy()[once]
+        _, label_no = np.unique(label, return_inverse=True)
+        labels = np.where(label < 0, -1, label_no)
+        root = forest(group.column("n").to_numpy()[once].astype(np.int64), [np.frombuffer(tokens[int(i)].as_py(), np.uint64) for i in once], per_cent, labels)
         linked = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": pa.array(names[linked], pa.int64()), "b": pa.array(names[root[linked]], pa.int64())})
 
     return run
 
 
+def _root_of(bits: int):
+    def run(group: pa.Table) -> pa.Table:
+        """The root of a subtree as a row."""
+        tokens = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
+        together, excess = np.zeros(bits, bool), 0
+        for own in tokens:
+            at = np.unique(own % np.uint64(bits)).astype(np.int64)
+            together[at] = True
+            excess = max(excess, len(own) - len(at))
+        n = group.column("n").to_numpy()
+        row = {"candidate": group.column("candidate")[0].as_py(), "chunk": group.column("chunk")[0].as_py(), "signature": np.packbits(together).tobytes(), "excess": excess}
+        row |= {"low": int(n.min()), "high": int(n.max()), "most": max(map(len, tokens)), "label": group.column("label")[0].as_py()}
+        kinds = {"signature": pa.binary()}
+        return pa.table({k: pa.array([v], kinds.get(k, pa.int64())) for k, v in row.items()})
+
+    return run
+
+
+def _meeting(per_cent: int):
+    def run(roots: pa.Table) -> pa.Table:
+        """Pairs of a component's subtrees that the dual traversal of their roots doesn't rule out."""
+        label = roots.column("label").fill_null(-1).to_numpy()
+        low, most = roots.column("low").to_numpy().astype(np.int64), roots.column("most").to_numpy().astype(np.int64)
+        order = np.lexsort((roots.column("signature").to_numpy(zero_copy_only=False), low, label))
+        signature = np.frombuffer(b"".join(roots.column("signature").to_pylist()), np.uint64).reshape(roots.num_rows, -1)[order]
+        # An unlabelled subtree meets itself, so its labels are no single one.
+        first, last = np.where(label < 0, -2, label)[order], label[order]
+        tree = Tree(signature, roots.column("excess").to_numpy().astype(np.int64)[order], low[order], most[order], first, last)
+        chunk, parts = roots.column("chunk").to_numpy()[order], list(tree.pairs(per_cent, itself=True))
+        i, j = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+        same = pa.array(np.full(len(i), roots.column("candidate")[0].as_py()), pa.int64())
+        return pa.table({"candidate": same, "i": pa.array(chunk[i], pa.int64()), "j": pa.array(chunk[j], pa.int64())})
+
+    return run
+
+
+def _subtrees(spark: SparkSession, live: DataFrame, together: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes (candidate, chunk, class, n, tokens, label, ...) of large components cut into subtrees of one label by size
+    and least token, and the pairs (candidate, i, j) of subtrees that meet. Sizes of one band differ by less than a
+    link allows; a least token that very many classes share is cut by their hashes."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / per_cent))).cast("long") if per_cent < 100 else F.col("n")
+    placed = live.withColumns({"band": band, "none": F.coalesce("label", F.lit(-1).cast("long"))})
+    key = ["candidate", "none", "band"]
+    for part, by in (("part", F.xxhash64("least")), ("slice", F.xxhash64("class"))):
+        counts = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+        placed = placed.join(counts, key).withColumn(part, F.pmod(by, F.ceil(F.col("m") * 2 / together).cast("long"))).drop("m")
+        key = [*key, part]
+    placed = placed.withColumn("chunk", F.xxhash64(*key)).drop("none", "band", "part", "slice", "least")
+    placed = common.written(spark, placed, "subtrees")
+    roots = placed.groupBy("candidate", "chunk").applyInArrow(_root_of(ROOT), ROOTS)
+    return placed, roots.groupBy("candidate").applyInArrow(_meeting(per_cent), "candidate long, i long, j long")
+
+
 def _contracted(batches):
     """Star edges of the forest that a partition's edges span."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
@@ -414,57 +497,46 @@ def _pivot_links(per_cent: int):
                     continue
                 overlap = len(np.intersect1d(np.frombuffer(tokens.as_py(), np.uint64), np.frombuffer(pivot.as_py(), np.uint64), assume_unique=True))
                 near.append(100 * overlap >= per_cent * (n.as_py() + pivot_n.as_py() - overlap))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "n", "tokens", "candidate", "label", "pivot")), pa.array(near, pa.bool_())], ["class", "n", "tokens", "candidate", "label", "pivot", "near"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "n", "least", "tokens", "candidate", "label", "pivot")), pa.array(near, pa.bool_())], ["class", "n", "least", "tokens", "candidate", "label", "pivot", "near"])
 
     return run
 
 
-def _large(spark: SparkSession, live: DataFrame, together: int, per_cent: int) -> DataFrame:
+def _large(spark: SparkSession, live: DataFrame, together: int, per_cent: int, pivots: int) -> DataFrame:
     """Links (a, b) within candidate components that are too large for one task."""
-    salts = 64
+    salts, links = 64, None
     live = live.withColumn("label", F.lit(None).cast("long"))
-    for _ in range(PIVOTS):
+    for _ in range(pivots):
         free = live.filter("label IS NULL")
-        pivots = free.groupBy("candidate").agg(F.min_by(F.struct("class", "n", "tokens"), F.xxhash64("class")).alias("p"))
-        pivots = pivots.select("candidate", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.tokens").alias("pivot_tokens"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        joined = live.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(salts)).cast("int")).join(pivots, ["candidate", "salt"], "left")
-        near = joined.mapInArrow(_pivot_links(per_cent), "class long, n long, tokens binary, candidate long, label long, pivot long, near boolean")
+        chosen = free.groupBy("candidate").agg(F.min_by(F.struct("class", "n", "tokens"), F.xxhash64("class")).alias("p"))
+        chosen = chosen.select("candidate", F.col("p.class").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.tokens").alias("pivot_tokens"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        joined = live.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(salts)).cast("int")).join(chosen, ["candidate", "salt"], "left")
+        near = joined.mapInArrow(_pivot_links(per_cent), "class long, n long, least long, tokens binary, candidate long, label long, pivot long, near boolean")
         label = F.coalesce("label", F.when(F.col("near"), F.col("pivot")))
         # A class that is linked to two pivots links their groups.
         also = F.when(F.col("near") & F.col("label").isNotNull(), F.col("pivot"))
-        live = near.select("class", "n", "tokens", "candidate", label.alias("label"), also.alias("also"))
-        live = common.written(spark, live, "pivoted")
+        live = common.written(spark, near.select("class", "n", "least", "tokens", "candidate", label.alias("label"), also.alias("also")), "pivoted")
         more = live.filter("also IS NOT NULL").select(F.col("label").alias("a"), F.col("also").alias("b")).distinct()
-        links = more if _ == 0 else links.union(more)
+        links = more if links is None else links.union(more)
         live = live.drop("also")
-        if live.filter("label IS NULL").limit(1).count() == 0:
-            break
-    links = links.union(live.filter("label IS NOT NULL").select(F.col("class").alias("a"), F.col("label").alias("b")))
-    counts = live.groupBy("candidate", "label").agg(F.count(F.lit(1)).alias("m"))
-    key = [F.col("l.candidate") == F.col("c.candidate"), F.col("l.label").eqNullSafe(F.col("c.label"))]
-    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("m") * 2 / together).cast("long"))
-    placed = live.alias("l").join(counts.alias("c"), key).select("l.*", chunk.alias("part"))
-    chunks = placed.groupBy("candidate", "label", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    chunks = common.written(spark, chunks.withColumn("chunk", F.xxhash64("label", "part")), "chunks")
-    x, y = chunks.alias("x"), chunks.alias("y")
-    done = F.col("x.label").isNotNull() & F.col("x.label").eqNullSafe(F.col("y.label"))
-    size = (F.col("x.high") * 100 >= F.col("y.low") * per_cent) & (F.col("y.high") * 100 >= F.col("x.low") * per_cent)
-    pairs = x.join(y, (F.col("x.candidate") == F.col("y.candidate")) & (F.col("x.chunk") <= F.col("y.chunk")) & ~done & size)
-    pairs = pairs.select(F.col("x.candidate").alias("candidate"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
+    placed, pairs = _subtrees(spark, live, together, per_cent)
     sides = pairs.withColumn("chunk", F.explode(F.array_distinct(F.array("i", "j"))))
-    tasks = placed.withColumn("chunk", F.xxhash64("label", "part")).join(sides, ["candidate", "chunk"]).select("candidate", "i", "j", "class", "n", "tokens")
-    return links.union(tasks.groupBy("candidate", "i", "j").applyInArrow(_trees(per_cent), "a long, b long"))
+    tasks = placed.join(sides, ["candidate", "chunk"]).select("candidate", "i", "j", "class", "n", "tokens", "label")
+    found = tasks.groupBy("candidate", "i", "j").applyInArrow(_trees(per_cent), "a long, b long")
+    found = found.union(live.filter("label IS NOT NULL").select(F.col("class").alias("a"), F.col("label").alias("b")))
+    return found if links is None else links.union(found)
 
 
 def _candidates(spark: SparkSession, docs: DataFrame, shingle: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id, n_shingles and class of documents; classes that may link, with their candidate component; the
     number of classes of each."""
     common.small_batches(spark)
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text"))
     volume = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, groups = max(parts, (volume.bytes or 0) // 6 // BUCKET + 1), max(parts, volume.n // GROUP + 1)
-    sent = own.mapInArrow(_hashed(shingle, buckets), TABLES)
+    words = (volume.bytes or 0) // 6
+    buckets = common.Buckets(words, BUCKET, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(volume.n // GROUP, words // GATHERED) + 1
+    sent = buckets.dealt(own.mapInArrow(_hashed(shingle, buckets), TABLES), "owners", _again(buckets), TABLES)
     shared = common.written(spark, sent.groupBy("owners").applyInArrow(_shared(groups), TABLES), "shared")
 
     live = common.written(spark, shared.filter("kind = 1").groupBy("owners").applyInArrow(_live(per_cent), LIVE), "live")
@@ -472,26 +544,27 @@ def _candidates(spark: SparkSession, docs: DataFrame, shingle: int, per_cent: in
     heads = prefixes.groupBy("token").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     stars = prefixes.join(heads, "token").filter("class != head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
     candidates = components(spark, stars).select(F.col("node").alias("class"), F.col("root").alias("candidate"))
-    grouped = live.drop("prefix").join(candidates, "class").select("class", "n", "tokens", "candidate")
+    grouped = live.drop("prefix").join(candidates, "class").select("class", "n", "least", "tokens", "candidate")
     sizes = candidates.groupBy("candidate").agg(F.count(F.lit(1)).alias("m"))
-    return shared.filter("kind = 0").mapInArrow(_documents, "doc_id long, n_shingles long, class long"), grouped, sizes
+    return shared.filter("kind = 0").mapInArrow(_documents, "doc_id long, n_shingles long, class long, text_hash long"), grouped, sizes
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
-    return linked(spark, docs, shingle=shingle, per_cent=per_cent, together=together).select("doc_id", "n_shingles", "component_id")
+    return linked(spark, docs, **how).select("doc_id", "n_shingles", "component_id")
 
 
-def linked(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER) -> DataFrame:
-    """``near_duplicates`` with each document's class and the class that names its component (root), which
-    tell rows of one doc_id apart; both are null for a text without words."""
+def linked(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER, pivots: int = PIVOTS) -> DataFrame:
+    """``near_duplicates`` with each document's text_hash (xxhash64 of its text), and the class that names its
+    component (root; null for a text without words)."""
     all_docs, grouped, sizes = _candidates(spark, docs, shingle, per_cent)
+    none = F.lit(None).cast("long").alias("label")
     small = grouped.join(sizes.filter(F.col("m") <= together), "candidate")
-    links = small.select("candidate", "class", "n", "tokens").groupBy("candidate").applyInArrow(_trees(per_cent), "a long, b long")
+    links = small.select("candidate", "class", "n", "tokens", none).groupBy("candidate").applyInArrow(_trees(per_cent), "a long, b long")
     links = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if sizes.filter(F.col("m") > together).limit(1).count():
-        large = common.written(spark, grouped.join(sizes.filter(F.col("m") > together).select("candidate"), "candidate").select("class", "n", "tokens", "candidate"), "large")
-        links = links.union(components(spark, _large(spark, large, together, per_cent)))
+    large = common.written(spark, grouped.join(sizes.filter(F.col("m") > together).select("candidate"), "candidate").select("class", "n", "least", "tokens", "candidate"), "large")
+    if not large.isEmpty():
+        links = links.union(components(spark, _large(spark, large, together, per_cent, pivots)))
     links = common.written(spark, links, "links")
 
     classes = all_docs.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
@@ -499,31 +572,54 @@ def linked(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_class = rooted.select("class", "root").join(ids, "root").select("class", "root", "component_id")
     result = all_docs.join(by_class, "class", "left")
-    return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class", "root")
-
-
-def document_links(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = COUNTED) -> DataFrame:
+    return result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "root")
+
+
+def repeated_rows(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """doc_id and text_hash of the rows that are near duplicates of another row that stays: of each component the
+    row of the smallest doc_id stays (a null one only where there is no other; of rows that share the id, the one
+    of the smallest text_hash)."""
+    rows = common.written(spark, linked(spark, docs, **how).select("doc_id", "text_hash", "root"), "linked").filter("root IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    stays = rows.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.doc_id").alias("s_id"), F.col("s.text_hash").alias("s_hash"))
+    gone = ~(F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash")))
+    return rows.join(stays, "root").filter(gone).select("doc_id", "text_hash").distinct()
+
+
+def clean(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
+    """One row of each component, and each row without words; of rows with equal doc_id and text one stays. All
+    columns are kept. Rows that share a doc_id are told apart by their texts."""
+    names = common.fresh(docs, "_id", "_hash", "_times", "_place")
+    id_, hash_, times, place = names
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), hash_: F.xxhash64("text")})
+    gone = common.written(spark, repeated_rows(spark, docs, **how), "repeated")
+    left = _without(keyed, gone, id_, hash_)
+    again = keyed.groupBy(id_, hash_).agg(F.count(F.lit(1)).alias(times)).filter(F.col(times) > 1)
+    again = common.written(spark, again.select(F.col(id_).alias("doc_id"), F.col(hash_).alias("text_hash")), "again")
+    # Only rows that repeat another as it is are numbered, so no other text is dealt out.
+    several = left.alias("l").join(again.alias("r"), F.col(f"l.{id_}").eqNullSafe(F.col("r.doc_id")) & (F.col(f"l.{hash_}") == F.col("r.text_hash")), "left_semi")
+    one = several.withColumn(place, F.row_number().over(Window.partitionBy(id_, hash_).orderBy("text"))).filter(F.col(place) == 1).drop(place)
+    return _without(left, again, id_, hash_).unionByName(one).drop(id_, hash_)
+
+
+def _without(keyed: DataFrame, gone: DataFrame, id_: str, hash_: str) -> DataFrame:
+    same = F.col(f"l.{id_}").eqNullSafe(F.col("r.doc_id")) & (F.col(f"l.{hash_}") == F.col("r.text_hash"))
+    return keyed.alias("l").join(gone.alias("r"), same, "left_anti")
+
+
+def document_links(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest doc_id with an equal set), n_classes (other classes that its
     class links with) and n_links (other documents that it links with, those of its class included)."""
     all_docs, grouped, sizes = _candidates(spark, docs, shingle, per_cent)
     classes = all_docs.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
     classes = common.written(spark, classes, "classes")
-    # Sizes of one band differ by less than a link allows, so a band meets itself and the next ones.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / per_cent))).cast("long") if per_cent < 100 else F.col("n")
-    placed = grouped.join(sizes, "candidate").join(classes.select("class", "weight"), "class")
-    placed = placed.withColumn("band", F.when(F.col("m") > together, band).otherwise(F.lit(-1).cast("long")))
-    placed = common.written(spark, placed, "placed")
-    counts = placed.groupBy("candidate", "band").agg(F.count(F.lit(1)).alias("in_band"))
-    cut = F.when(F.col("m") > together, F.pmod(F.xxhash64("class"), F.ceil(F.col("in_band") * 2 / together).cast("long"))).otherwise(F.lit(0).cast("long"))
-    placed = placed.join(counts, ["candidate", "band"]).withColumn("chunk", F.struct("band", cut.alias("part"))).select("candidate", "chunk", "class", "n", "tokens", "weight")
-    chunks = common.written(spark, placed.groupBy("candidate", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high")), "chunks")
-    x, y = chunks.alias("x"), chunks.alias("y")
-    size = (F.col("x.high") * 100 >= F.col("y.low") * per_cent) & (F.col("y.high") * 100 >= F.col("x.low") * per_cent)
-    pairs = x.join(y, (F.col("x.candidate") == F.col("y.candidate")) & (F.col("x.chunk") <= F.col("y.chunk")) & size)
-    pairs = pairs.select(F.col("x.candidate").alias("candidate"), F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j"))
+    none = F.lit(None).cast("long").alias("label")
+    placed = common.written(spark, grouped.join(sizes, "candidate").join(classes.select("class", "weight"), "class"), "placed")
+    small = placed.filter(F.col("m") <= together).select("candidate", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "class", "n", "tokens", "weight", F.lit(True).alias("first"))
+    cut, pairs = _subtrees(spark, placed.filter(F.col("m") > together).select("candidate", "class", "n", "least", "tokens", "weight", none), together, per_cent)
     sides = pairs.withColumn("chunk", F.explode(F.array_distinct(F.array("i", "j"))))
-    tasks = placed.join(sides, ["candidate", "chunk"]).select("candidate", "i", "j", "class", "n", "tokens", "weight", (F.col("chunk") == F.col("i")).alias("first"))
-    found = tasks.groupBy("candidate", "i", "j").applyInArrow(_counted(per_cent), "class long, classes long, others long")
+    large = cut.join(sides, ["candidate", "chunk"]).select("candidate", "i", "j", "class", "n", "tokens", "weight", (F.col("chunk") == F.col("i")).alias("first"))
+    found = small.unionByName(large).groupBy("candidate", "i", "j").applyInArrow(_counted(per_cent), "class long, classes long, others long")
     found = found.groupBy("class").agg(F.sum("classes").alias("classes"), F.sum("others").alias("others"))
     by_class = classes.join(found, "class", "left").select(
         "class", "class_id", F.coalesce("classes", F.lit(0)).alias("n_classes"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
@@ -534,9 +630,10 @@ def document_links(spark: SparkSession, docs: DataFrame, *, shingle: int = SHING
 
 def _documents(batches):
     for batch in batches:
-        for ids, sizes, null, classes, have in zip(*(batch.column(n).to_pylist() for n in NAMES[2:]), strict=True):
+        for ids, sizes, null, classes, have, texts in zip(*(batch.column(n).to_pylist() for n in NAMES[2:]), strict=True):
             none, have = np.frombuffer(null, bool), np.frombuffer(have, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8"), mask=none), pa.array(unsqueezed(sizes).astype(np.int64)), pa.array(np.frombuffer(classes, "<i8"), mask=~have)], ["doc_id", "n_shingles", "class"])
+            columns = [pa.array(np.frombuffer(ids, "<i8"), mask=none), pa.array(unsqueezed(sizes).astype(np.int64)), pa.array(np.frombuffer(classes, "<i8"), mask=~have), pa.array(np.frombuffer(texts, "<i8"))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "text_hash"])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Each task hashes every window of its texts, keeps the earliest place of each has
 places at once, so a passage that fills a task's texts leaves one record. The records are dealt to
 buckets by ranges of the hash, in blobs (8 bytes of hash and about one of place for each window), and
 each bucket marks all places of a hash but the earliest. Marks are gathered by groups of documents (of
-about ``TOGETHER``) and return to them, where overlapping windows merge into maximal removal intervals. The number of buckets follows the amount of
-text, so a bucket's size is bounded; a hot window has one record for each task at most.
+about ``TOGETHER``, or ``GATHERED`` words) and return to them, where overlapping windows merge into maximal
+removal intervals. The number of buckets follows the amount of text, so a bucket's size is bounded, and many
+buckets are dealt in two rounds, so blobs stay large; a hot window has one record for each task at most.
 
 Two different windows share a 64-bit value with probability n**2 / 2**65 for n windows: 1e-3 for 1e8.
 
@@ -23,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -31,6 +33,7 @@ WINDOW = 20
 FLUSH = 1_200_000
 BUCKET = 1_500_000
 TOGETHER = 2_000
+GATHERED = 500_000
 NULL_ID = -(1 << 63)
 #: ``hashes`` of marks that a task has made (``made``) holds their group of documents.
 SENT = "bucket long, docs binary, counts binary, starts binary, hashes binary, made boolean"
@@ -51,12 +54,6 @@ def unsqueezed(raw: bytes, kind: str = "<i4") -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
-def ranges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of the buckets within sorted hashes; each bucket has an equal range of hashes."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
-
-
 def later_places(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices of the places whose hash has an earlier (document, start)."""
     order = np.argsort(hashes, kind="stable")
@@ -100,7 +97,13 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "docs", "counts", "starts", "hashes", "made"])
 
 
-def _hashed(window: int, buckets: int, groups: int):
+def _blobs(buckets: common.Buckets, docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray, fine: bool):
+    """A row for each bucket, or coarse range of them, that has some of the places."""
+    for bucket, own in buckets.parts(hashes, fine):
+        yield _sent([(bucket, *_runs(docs[own]), squeezed(starts[own]), hashes[own].astype("<u8").tobytes(), False)])
+
+
+def _hashed(window: int, buckets: common.Buckets, groups: int):
     def flush(parts: list[tuple[int, np.ndarray]]):
         parts.sort(key=lambda p: p[0])
         sizes = np.array([len(h) for _, h in parts], np.int64)
@@ -109,16 +112,12 @@ def _hashed(window: int, buckets: int, groups: int):
         hashes = np.concatenate([h for _, h in parts])
         parts.clear()
         later = later_places(hashes, docs, starts)
-        yield _sent([(o % buckets, *places, o.to_bytes(8, "little"), True) for o, *places in _by_owners(docs[later], starts[later], groups)])
+        yield _sent([(o % buckets.coarse, *places, o.to_bytes(8, "little"), True) for o, *places in _by_owners(docs[later], starts[later], groups)])
         order = np.argsort(hashes, kind="stable")  # of equal hashes the first is the earliest
         firsts = np.ones(len(order), bool)
         firsts[1:] = hashes[order][1:] != hashes[order][:-1]
-        order = order[firsts]
-        bounds = ranges(hashes[order], buckets)
-        for k in range(buckets):
-            if bounds[k] < bounds[k + 1]:
-                own = np.sort(order[bounds[k] : bounds[k + 1]])
-                yield _sent([(k, *_runs(docs[own]), squeezed(starts[own]), hashes[own].astype("<u8").tobytes(), False)])
+        own = np.sort(order[firsts])
+        yield from _blobs(buckets, docs[own], starts[own], hashes[own], buckets.per == 1)
 
     def run(batches):
         parts, held = [], 0
@@ -139,6 +138,31 @@ def _hashed(window: int, buckets: int, groups: int):
     return common.trimmed(run)
 
 
+def _again(buckets: common.Buckets):
+    """Deals the places of coarse ranges to their buckets; marks that tasks have made pass through."""
+
+    def flush(parts):
+        docs, starts, hashes = (np.concatenate(c) for c in zip(*parts, strict=True))
+        yield from _blobs(buckets, docs, starts, hashes, True)
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for _, d, c, s, h, made in zip(*(batch.column(n).to_pylist() for n in ("bucket", "docs", "counts", "starts", "hashes", "made")), strict=True):
+                if made:
+                    yield _sent([(int.from_bytes(h, "little") % buckets.n, d, c, s, h, True)])
+                    continue
+                parts.append((*_places(d, c, s), np.frombuffer(h, "<u8")))
+                held += len(parts[-1][0])
+                if held >= FLUSH:
+                    yield from flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from flush(parts)
+
+    return common.trimmed(run)
+
+
 def _marked(groups: int):
     def run(bucket: pa.Table) -> pa.Table:
         """A bucket's later places, by group of documents; marks that tasks have made pass through."""
@@ -182,18 +206,18 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, window: int = WINDOW)
     common.small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     volume = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, groups = max(parts, (volume.bytes or 0) // 6 // BUCKET + 1), max(parts, volume.n // TOGETHER + 1)
+    words = (volume.bytes or 0) // 6
+    buckets, groups = common.Buckets(words, BUCKET, int(spark.conf.get("spark.sql.shuffle.partitions"))), max(volume.n // TOGETHER, words // GATHERED) + 1
     sent = own.mapInArrow(_hashed(window, buckets, groups), SENT)
-    marked = sent.groupBy("bucket").applyInArrow(_marked(groups), MARKED)
+    marked = buckets.dealt(sent, "bucket", _again(buckets), SENT).groupBy("bucket").applyInArrow(_marked(groups), MARKED)
     return marked.groupBy("owners").applyInArrow(_gathered, MARKS)
 
 
-def _cut(window: int, names: list[str]):
+def _cut(window: int, names: list[str], made: list[str], starts_of: str):
     def run(batches):
         for batch in batches:
             removed, words_of, kept_of = [], [], []
-            for text, blob in zip(batch.column("text"), batch.column("_starts"), strict=True):
+            for text, blob in zip(batch.column("text"), batch.column(starts_of), strict=True):
                 words = common.space_words((t := text.as_py()) and t.encode())
                 gone = np.zeros(len(words) + 1, np.int32)
                 if blob.as_py() is not None:
@@ -205,21 +229,26 @@ def _cut(window: int, names: list[str]):
                 words_of.append(len(words))
                 removed.append(len(words) - int(keep.sum()))
                 kept_of.append(b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep)]).decode())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(words_of, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_of, pa.string())], [*names, "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(words_of, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_of, pa.string())], [*names, *made])
+
+    return common.trimmed(run)
+
 
-    return run
+#: Names of the columns that remove_repeats adds.
+ADDED = ("n_words", "n_removed", "kept")
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """The documents with n_words, n_removed and kept (the words that stay, joined by one space);
-    columns of docs with these names give way."""
-    docs = docs.drop("n_words", "n_removed", "kept", "_starts", "_key")
+def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW, added: tuple[str, ...] = ADDED) -> DataFrame:
+    """The documents with their number of words, of removed words, and the words that stay, joined by one space,
+    under the names in ``added``; columns of docs with these names give way."""
+    docs = docs.drop(*added)
+    key, starts = common.fresh(docs, "_key", "_starts")
     marks = common.written(spark, repeated_windows(spark, docs, window), "marks")
-    marks = marks.select(F.col("doc_id").alias("_key"), F.col("starts").alias("_starts"))
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    joined = keyed.join(marks.hint("shuffle_hash"), "_key", "left").drop("_key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_removed long, kept string"
-    return joined.mapInArrow(_cut(window, docs.columns), schema)
+    marks = marks.select(F.col("doc_id").alias(key), F.col("starts").alias(starts))
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    joined = keyed.join(marks.hint("shuffle_hash"), key, "left").drop(key)
+    schema = T.StructType([*docs.schema, *(T.StructField(n, k()) for n, k in zip(added, (T.LongType, T.LongType, T.StringType), strict=True))])
+    return joined.mapInArrow(_cut(window, docs.columns, list(added), starts), schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,8 +190,9 @@ def kept_words(texts, window):
     return out
 
 
-@pytest.mark.parametrize("flush", [40, 10_000_000])
-def test_substrings_are_brute_force(spark, docs, flush, monkeypatch):
+@pytest.mark.parametrize(("flush", "fan"), [(40, 4096), (10_000_000, 4096), (700, 2)])
+def test_substrings_are_brute_force(spark, docs, flush, fan, monkeypatch):
+    monkeypatch.setattr(common, "FAN", fan)
     frame, texts = docs
     monkeypatch.setattr(substrings, "FLUSH", flush)
     got = substrings.remove_repeats(spark, extra(frame).repartition(5)).collect()
@@ -380,8 +381,9 @@ def components(texts):
     return {d: (len(sets[d]), root(d)) for d in texts}
 
 
-@pytest.mark.parametrize("together", [4, 4096])
-def test_near_duplicates_are_brute_force(spark, docs, together):
+@pytest.mark.parametrize(("together", "pivots", "fan"), [(4, 0, 2), (4, 2, 4096), (512, 4, 4096)])
+def test_near_duplicates_are_brute_force(spark, docs, together, pivots, fan, monkeypatch):
+    monkeypatch.setattr(common, "FAN", fan)
     frame, texts = docs
     rnd = random.Random(9)
     base = [f"b{i}" for i in range(90)]
@@ -393,7 +395,7 @@ def test_near_duplicates_are_brute_force(spark, docs, together):
         near[4000 + i] = " ".join(own)
     rows = [(k, t, "en", "s", 1) for k, t in near.items()]
     all_ = extra(frame.unionByName(spark.createDataFrame(rows, DOCS))).repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark, all_, together=together).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark, all_, together=together, pivots=pivots).collect()}
     assert got == components(texts | near)
 
 
@@ -442,7 +444,7 @@ def test_links_of_repeats_and_nothing(spark, empty):
 
 def test_signature_trees_alone():
     rng = np.random.default_rng(1)
-    for pivots in (0, 1, 32):
+    for seed in range(3):
         base = [rng.integers(0, 2**63, 120).astype(np.uint64) for _ in range(3)]
         tokens = [np.unique(np.concatenate([b[rng.random(120) > 0.1], rng.integers(0, 2**63, 6).astype(np.uint64)])) for b in (base[i % 3] for i in range(70))]
         sizes, sets = np.array([len(t) for t in tokens]), [set(t.tolist()) for t in tokens]
@@ -452,7 +454,45 @@ def test_signature_trees_alone():
                 both = len(sets[i] & sets[j])
                 if 100 * both >= 75 * (sizes[i] + sizes[j] - both):
                     up.join(i, j)
-        assert neardup.forest(sizes, tokens, pivots=pivots).tolist() == [up.root(i) for i in range(70)]
+        want, found = [up.root(i) for i in range(70)], []
+        assert neardup.forest(sizes, tokens, found=found).tolist() == want
+        assert found == [70 - len(set(want))] and found[0] > 0  # every link that joins came through the traversal
+        labels = np.array([w if i % 2 else -1 for i, w in enumerate(want)])
+        assert neardup.forest(sizes, tokens, labels=labels).tolist() == want
+
+
+def test_subtrees_meet_only_where_their_bounds_allow(spark):
+    """Two families of near copies, each of several subtrees: none of one meets one of the other."""
+    rnd = random.Random(3)
+    rows = []
+    for family in "xy":
+        for k in range(60):
+            own = [f"{family}{i}" for i in range(150)]
+            own[rnd.randrange(150)] = f"{family}new{k}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, grouped, _ = neardup._candidates(spark, docs, 5, 75)
+    one = grouped.withColumns({"candidate": F.lit(1).cast("long"), "label": F.lit(None).cast("long")})
+    placed, pairs = neardup._subtrees(spark, one, 16, 75)
+    chunks = {r.chunk: set() for r in placed.collect()}
+    first = {r["class"]: r.doc_id // 60 for r in neardup._candidates(spark, docs, 5, 75)[0].collect()}
+    for r in placed.collect():
+        chunks[r.chunk].add(first[r["class"]])
+    met = [(r.i, r.j) for r in pairs.collect()]
+    assert len(met) == len(set(met)) > len(chunks) > 8
+    for i, j in met:
+        assert len(chunks[i]) > 1 or len(chunks[j]) > 1 or chunks[i] == chunks[j]
+
+
+def test_buckets_are_nested_and_whole(monkeypatch):
+    hashes = common.mixed(np.arange(5000, dtype=np.uint64))
+    for fan in (4, 4096):
+        monkeypatch.setattr(common, "FAN", fan)
+        own = common.Buckets(10_000, 1000, 3)
+        fine = {b: set(i.tolist()) for b, i in own.parts(hashes, True)}
+        coarse = {b: set(i.tolist()) for b, i in own.parts(hashes, False)}
+        assert sum(map(len, fine.values())) == 5000 and max(fine) < own.n and max(coarse) < own.coarse <= max(fan, 4)
+        assert coarse == {c: set().union(*(v for b, v in fine.items() if b // own.per == c)) for c in coarse}
 
 
 # --- 10

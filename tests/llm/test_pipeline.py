@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import DOCS, PLAIN, components, kept_words, labelled, lower
 
 import __spark_entry__
@@ -93,10 +94,48 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark, tables):
     left = [(r.doc_id, r.text) for r in got.collect()]
     five = [t for i, t in left if i == 5]
     assert len(five) == 1 and (5, five[0]) in rows
-    want = [(1, a), (2, rows[2][1]), (3, "X1 x2 x3 x4 x5 x6"), (4, None), (4, ""), (5, five[0]), (None, rows[11][1])]
+    three = [t for i, t in left if i == 3]
+    assert len(three) == 1 and lower(three[0]) == "x1 x2 x3 x4 x5 x6"
+    want = [(1, a), (2, rows[2][1]), (3, three[0]), (4, None), (4, ""), (5, five[0]), (None, rows[11][1])]
     assert sorted(left, key=str) == sorted(want, key=str)
 
 
+def test_copies_of_another_id_go_whatever_rows_share_an_id(spark, tables):
+    text, other = "t1 t2 t3 t4 t5 t6 t7", "o1 o2 o3 o4 o5 o6 o7"
+    rows = [(0, text), (1, other), (1, text), (None, text), (None, "lonely words without an id of their own")]
+    got = STAGES["near_duplicates"](spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS), tables).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
+
+
+CLASHING = ("kept", "n_words", "n_removed", "_id", "_kept", "_key", "_starts", "_hash", "_times", "_place", "class", "root", "text_hash", "contaminated", "l", "d")
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stages_take_odd_tables(spark, tables, name):
+    """No rows; columns whose names the stages use; repeated rows, null ids, null, empty and very long texts."""
+    stage = STAGES[name]
+    long_ = " ".join(f"l{i % 7000}" for i in range(60_000))
+    rows = [(1, "a b c d e f g h")] * 3 + [(None, "n1 n2 n3 n4 n5 n6"), (None, None), (2, None), (2, ""), (3, long_), (4, "\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+    if name == "packing":
+        pytest.importorskip("public_tokenizers")
+        assert stage(spark, docs.filter("false"), tables).count() == 0
+        pieces = stage(spark, docs, tables).collect()
+        assert sum(r.start == 0 for r in pieces) == len(rows)
+        return
+    none = stage(spark, docs.filter("false"), tables)
+    assert none.columns == docs.columns and none.count() == 0
+    got = stage(spark, docs, tables)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert all(r[c] == f"own {c}" for r in got for c in CLASHING)
+    want = [r for k, r in enumerate(rows) if name != "near_duplicates" or k not in (1, 2)]
+    if name == "substring_dedup":
+        cut = kept_words({3: long_}, 20)[3][2]
+        want = [(i, cut if t == long_ else t) for i, t in want]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_registered_queries():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
