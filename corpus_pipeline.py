@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, decontaminate, neardup, packing, substrings
@@ -25,47 +25,40 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is predicted toxic go. A null or empty text has the bias alone; repeated rows are judged alike,
+    and a table without labels or rows loses nothing."""
     machine = toxic.learn(docs, common.table(spark, sf_dir, "labels"))
     return toxic.clean(spark, docs, machine)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays, of its smallest doc_id (a null one only where it has no other), and
-    each row without words; of these, identical rows of one doc_id count once. Where doc_ids are unique they
-    decide alone; rows that share one are told apart by the class of their text."""
-    linked = neardup.linked(spark, docs)
-    kept = linked.filter("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = linked.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
-    if repeated.limit(1).count() == 0:
-        return found
-    is_repeated = F.col("doc_id").eqNullSafe(F.col("_twice"))
-    once = found.join(repeated, is_repeated, "left_anti")
-    twice = neardup.with_class(docs.join(repeated, is_repeated, "left_semi"), "_class")
-    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long").alias("_kept"), F.col("class").alias("_own"))).alias("least")
-    chosen = linked.filter("root IS NOT NULL").groupBy("root").agg(least).select("least._kept", "least._own")
-    worded = twice.join(chosen, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_class") == F.col("_own")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id", "_class").orderBy("text"))
-    worded = worded.withColumn("_place", place).filter("_place = 1").drop("_place")
-    empty = twice.filter("_class IS NULL").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(worded.unionByName(empty).drop("_class"))
+    """One row of each component stays: of its smallest doc_id (a null one only where it has no other), of rows that
+    share the id that of one text; and each row without words. Rows with equal doc_id and text count once."""
+    return neardup.clean(spark, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = F.col("n_removed") > 0
-    done = substrings.remove_repeats(spark, docs)
-    done = done.withColumn("text", F.when(cut, F.col("kept")).otherwise(F.col("text")))
+    """Rows keep their place. A text that loses words is what stays, joined by one space (all of them: ""), and
+    n_chars, where docs have it, its length; other texts, nulls among them, stay as they are. Rows that share a doc_id
+    count as one document."""
+    n_words, n_removed, kept = added = common.fresh(docs, "n_words", "n_removed", "kept")
+    done = substrings.remove_repeats(spark, docs, added=tuple(added))
+    cut = F.col(n_removed) > 0
+    done = done.withColumn("text", F.when(cut, F.col(kept)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         done = done.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+    return done.drop(n_words, n_removed, kept)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is contaminated go; rows of one doc_id are told apart by their texts. Nulls and empty texts stay,
+    and without items all rows do."""
     return decontaminate.clean(spark, docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, nulls (the end token alone), empty texts and repeated rows included."""
     import public_tokenizers
 
     return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
