@@ -9,8 +9,9 @@ at least), or if they do so together with another: among the texts that hold one
 the machine scores alike, the labels of those with the term differ from what the machine expects of them. So
 a word that is as common in clean as in toxic texts counts where its company decides, and wrong labels aren't
 learned by heart through rare words. The pairs are looked through again with what they added, ``ROUNDS``
-times at most. A pair of which neither term shows alone, nor with a third, isn't found. Fitted by Adam on
-the logistic loss with weight decay.
+times at most. Pairs of which neither term shows alone are tested as pairs against that machine, all those of terms that come in
+enough rows for two independent ones to meet in ``MET`` rows; pairs that meet in fewer show nothing by themselves.
+Fitted by Adam on the logistic loss with weight decay.
 
 Learning takes a sample of at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id; this bound is a
 parameter and the only thing that the broadcast of labels holds. Every text is scored whole.
@@ -37,6 +38,7 @@ SAMPLE = 6000
 MIN_RATIO = 16.0
 STRATA = 8
 ROUNDS = 3
+MET = 10
 EPOCHS = 30
 SCORES = "doc_id long, score double"
 
@@ -112,11 +114,45 @@ def companions(rows: list[np.ndarray], labels: np.ndarray, used: np.ndarray, p:
     return names[best >= min_ratio + 2 * np.log(len(groups))]
 
 
+def interacting(rows: list[np.ndarray], labels: np.ndarray, p: np.ndarray, min_ratio: float = MIN_RATIO, block: int = 512) -> np.ndarray:
+    """Terms of pairs whose labels, where both are there, differ from the probabilities ``p``. Counts of all pairs
+    are products of the presence matrix with itself, some columns at a time."""
+    n = len(rows)
+    names, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    df = np.bincount(flat, minlength=len(names))
+    least = int(np.ceil(np.sqrt(MET * n)))
+    often = np.flatnonzero((df >= least) & (df <= n - least))
+    if len(often) < 2:
+        return names[:0]
+    at = np.full(len(names), -1)
+    at[often] = np.arange(len(often))
+    column, row = at[flat], np.repeat(np.arange(n), [len(r) for r in rows])
+    there = np.zeros((n, len(often)), np.uint8)
+    there[row[column >= 0], column[column >= 0]] = 1
+    bar, found = min_ratio + 2 * np.log(len(often) ** 2 / 2), np.zeros(len(often), bool)
+    for k in range(0, len(often), block):
+        some = there[:, k : k + block].astype(np.float32)
+        met, toxic, expected = (np.zeros((some.shape[1], len(often)), np.float32) for _ in range(3))
+        for j in range(0, len(often), block):
+            other = there[:, j : j + block].astype(np.float32)
+            for out, weight in ((met, None), (toxic, labels), (expected, p)):
+                out[:, j : j + block] = (some if weight is None else some * weight[:, None].astype(np.float32)).T @ other
+        expected = np.clip(expected, 0.5, np.maximum(met - 0.5, 0.5))
+        ratio = 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(e, 0.5)), 0) for seen, e in ((toxic, expected), (met - toxic, met - expected)))
+        hit = (ratio >= bar) & (met >= MET)
+        found |= hit.any(0)
+        found[k : k + block] |= hit.any(1)
+    return names[often[found]]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, min_ratio: float = MIN_RATIO, rounds: int = ROUNDS, **how) -> Machine:
     if not len(rows):
         return Machine(np.zeros(1 << BITS, np.int32), -30.0, np.zeros(1), np.zeros((1, factors)))
     used = np.flatnonzero(likelihood_ratio(rows, labels) >= min_ratio)
     machine = _fitted(rows, labels, used, factors, **how)
+    more = np.union1d(used, interacting(rows, labels, machine.score(rows), min_ratio)).astype(np.int64)
+    if len(more) > len(used):
+        used, machine = more, _fitted(rows, labels, more, factors, **how)
     for _ in range(rounds):
         more = np.union1d(used, companions(rows, labels, used, machine.score(rows), min_ratio))
         if len(more) == len(used):
@@ -164,15 +200,15 @@ def _term_rows(batches):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """From the texts of at most about ``sample`` labelled rows outside the held-out fold."""
+    """From the texts of at most ``sample`` labelled rows outside the held-out fold."""
     able = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(~F.coalesce(_held_out(), F.lit(True)) & F.col("toxic").isNotNull())
     n = able.count()
     h = F.xxhash64("doc_id")
-    share = min(1.0, sample / max(n, 1))
+    share = min(1.0, 1.1 * sample / max(n, 1))
     chosen = able.withColumn("h", h).filter(F.pmod(F.col("h"), F.lit(1_000_003)) < share * 1_000_003)
-    chosen = chosen.orderBy("h", "toxic").limit(2 * sample)
+    chosen = chosen.orderBy("h", "toxic").limit(sample)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(F.broadcast(chosen), "doc_id")
-    rows = own.select("h", "text", "toxic").mapInArrow(common.trimmed(_term_rows), "h long, terms binary, toxic int").orderBy("h", "toxic", "terms").limit(2 * sample).collect()
+    rows = own.select("h", "text", "toxic").mapInArrow(common.trimmed(_term_rows), "h long, terms binary, toxic int").orderBy("h", "toxic", "terms").limit(sample).collect()
     return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.toxic for r in rows], float))
 
 

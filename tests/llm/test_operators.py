@@ -335,6 +335,34 @@ def test_toxicity_learns_a_pair(spark):
     assert {r.predicted for r in toxicity.score(spark, docs, nothing).collect()} == {0}
 
 
+def test_toxicity_learns_a_pair_without_effects_of_its_words():
+    """Toxic if one of two words is there without the other: neither word shows alone."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        words = [f"w{k}" for k in rng.integers(0, 400, 30)] + ["first"] * int(a) + ["second"] * int(b)
+        rows.append(toxicity.terms(" ".join(words).encode()))
+        labels.append(float(a != b) if rng.random() > 0.02 else float(a == b))
+    labels = np.array(labels)
+    machine = toxicity.fit(rows[:2000], labels[:2000])
+    assert ((machine.score(rows[2000:]) >= 0.5) == (labels[2000:] > 0)).mean() > 0.9
+    assert len(toxicity.interacting(rows[:2000], rng.permutation(labels[:2000]), np.full(2000, labels[:2000].mean()))) == 0
+
+
+def test_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    place = np.zeros(1 << toxicity.BITS, np.int32)
+    used = rng.choice(1 << toxicity.BITS, 40, replace=False)
+    place[used[:30]] = np.arange(1, 31)
+    w, v = rng.normal(size=31), rng.normal(size=(31, toxicity.FACTORS))
+    rows = [np.sort(rng.choice(used, k, replace=False)).astype(np.int32) for k in (0, 1, 2, 17, 40)]
+    for row, p in zip(rows, toxicity.Machine(place, 0.3, w, v).score(rows), strict=True):
+        own = [int(place[t]) for t in row if place[t]]
+        z = 0.3 + sum(w[i] for i in own) + sum(float(v[i] @ v[j]) for k, i in enumerate(own) for j in own[:k])
+        assert p == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def test_toxicity_learns_words_that_are_neutral_alone():
     """An insult is toxic with one of many group words, and these are as common in clean texts as in toxic ones."""
     rnd, rows, labels = random.Random(31), [], []
