@@ -2,7 +2,9 @@
 
 A rule is a host and a path; it fits its host and all subdomains where the url's path starts with the
 rule's, and the longest fitting rule wins. Urls that a rule decides are the labelled ones; the trees learn
-from at most ``SAMPLE`` of them (a documented bound, chosen by a hash of the url) and judge the others.
+from at most ``SAMPLE`` of them (a documented bound): different urls, half of them of either verdict and chosen by a
+hash, each with as much weight as there are rows that it stands for. So neither a url with very many rows nor a
+rare verdict drives the others out. The trees judge what no rule decides.
 Features: length, lengths and depth of host and path, share of digits, entropy, numbers of parameters,
 hyphens and dots, and the share of blocked urls among labelled ones with the same suffix of the host
 (smoothed towards the mean). Those shares are counted over all labelled urls, not the sample; the driver holds a
@@ -70,14 +72,15 @@ def features(url: str, host: str, path: str, shares: dict[str, float], mean: flo
 class Trees:
     """Gradient-boosted trees for the logistic loss, on binned features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS):
+        weight = np.ones(len(y)) if weight is None else weight / weight.mean()
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-        p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+        p = float(np.clip((weight * y).sum() / weight.sum(), 1e-3, 1 - 1e-3))
         self.start, self.trees, z, b = float(np.log(p / (1 - p))), [], np.zeros(len(y)), self.binned(x)
         z += self.start
         for _ in range(trees):
             q = 1 / (1 + np.exp(-z))
-            tree = self._grow(b, y - q, q * (1 - q), depth, rate)
+            tree = self._grow(b, weight * (y - q), weight * q * (1 - q), weight, depth, rate)
             self.trees.append(tree)
             z += self._leaf(tree, b)
 
@@ -85,7 +88,7 @@ class Trees:
         return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1) if len(x) else np.zeros((0, len(self.edges)), int)
 
     @staticmethod
-    def _grow(b, g, h, depth, rate):
+    def _grow(b, g, h, weight, depth, rate):
         """(feature, bin, value) of each node of a complete tree; feature -1 ends a branch."""
         nodes, rows = {0: (-1, 0, 0.0)}, {0: np.arange(len(b))}
         for node in range((1 << (depth + 1)) - 1):
@@ -100,9 +103,9 @@ class Trees:
             for j in range(b.shape[1]):
                 size = int(b[:, j].max()) + 1
                 left_g, left_h = np.cumsum(np.bincount(b[own, j], g[own], size)), np.cumsum(np.bincount(b[own, j], h[own], size))
-                n = np.cumsum(np.bincount(b[own, j], minlength=size))
+                n = np.cumsum(np.bincount(b[own, j], weight[own], size))
                 gain = left_g**2 / (left_h + 1) + (total_g - left_g) ** 2 / (total_h - left_h) - total_g**2 / total_h
-                gain[(n < 5) | (len(own) - n < 5)] = 0
+                gain[(n < 5) | (n[-1] - n < 5)] = 0
                 k = int(gain.argmax())
                 if gain[k] > best[0]:
                     best = (float(gain[k]), (j, k))
@@ -134,15 +137,16 @@ class Judge:
     """Suffix shares, from how many labelled urls and blocked ones each suffix has, and trees, learned from a
     sample; allows all where there is nothing to learn."""
 
-    def __init__(self, labelled: list[tuple[str, str, str, bool]], counts: dict[str, tuple[int, int]]):
-        y = np.array([b for *_, b in labelled], float)
+    def __init__(self, labelled: list[tuple[str, str, str, bool, float]], counts: dict[str, tuple[int, int]]):
+        """Rows are url, host, path, whether it is blocked, and weight."""
+        y = np.array([r[3] for r in labelled], float)
         every, blocked = sum(n for n, _ in counts.values()), sum(bad for _, bad in counts.values())
         self.mean, self.shares, self.trees = blocked / max(every, 1), {}, None
         if not 0 < self.mean < 1 or not len(y):
             self.mean = 0.0
             return
         self.shares = {s: (bad + 10 * self.mean) / (n + 10) for s, (n, bad) in counts.items()}
-        self.trees = Trees(self.matrix([r[:3] for r in labelled]), y)
+        self.trees = Trees(self.matrix([r[:3] for r in labelled]), y, np.array([r[4] for r in labelled], float))
 
     def matrix(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
         return np.array([features(u, h, p, self.shares, self.mean) for u, h, p in rows], float).reshape(len(rows), 11)
@@ -153,17 +157,25 @@ class Judge:
 
 def learn(ruled: DataFrame, sample: int = SAMPLE) -> Judge:
     labelled, h = ruled.filter("ruled IS NOT NULL"), F.xxhash64("url")
+    blocked = F.col("ruled") == "block"
     by_suffix = labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix"))
-    found = by_suffix.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "block").alias("bad")).collect()
+    found = by_suffix.agg(F.count(F.lit(1)).alias("n"), F.count_if(blocked).alias("bad")).collect()
     counts = {r.suffix: (r.n, r.bad) for r in found}
-    share = min(1.0, 1.05 * sample / max(sum(r.n for r in found), 1))
-    chosen = labelled.filter(F.pmod(h, F.lit(1_000_003)) < share * 1_000_003)
-    rows = chosen.select("url", "host", "path", "ruled", h.alias("h")).orderBy("h", "url").limit(sample).collect()
-    return Judge([(r.url, r.host, r.path, r.ruled == "block") for r in rows], counts)
+    different = {r.ruled: (r.urls, r.n) for r in labelled.groupBy("ruled").agg(F.approx_count_distinct("url").alias("urls"), F.count(F.lit(1)).alias("n")).collect()}
+    rows = []
+    for verdict, (urls, n) in sorted(different.items()):
+        # Of all different urls about the wanted number and some more, so few are counted and sorted.
+        share = min(1.0, 1.5 * (sample // 2) / max(urls, 1))
+        own = labelled.filter((F.col("ruled") == verdict) & (F.pmod(h, F.lit(1_000_003)) < share * 1_000_003))
+        once = own.groupBy("url", "host", "path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("url"), "url").limit(sample // 2).collect()
+        each = n / max(sum(r.n for r in once), 1)
+        rows += [(r.url, r.host, r.path, verdict == "block", r.n * each) for r in once]
+    return Judge(rows, counts)
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of the trees; null where a rule decides)."""
+    common.small_batches(spark)
     ruled = with_rules(pages, rules)
     sent = spark.sparkContext.broadcast(learn(ruled, sample))  # bounded by the sample and the number of trees
 

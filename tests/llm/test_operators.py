@@ -107,6 +107,59 @@ def test_suffix_shares_count_all_labelled_urls(spark):
     assert all(r.s == urls.suffix(r.host) for r in host.select("host", F.substring_index("host", ".", -1).alias("s")).collect())
 
 
+def walked(trees, x):
+    """The trees' probability of one row of features, node by node."""
+    z = trees.start
+    for nodes in trees.trees:
+        at = 0
+        while nodes[at][0] >= 0:
+            j, k, _ = nodes[at]
+            at = 2 * at + (1 if sum(e <= x[j] for e in trees.edges[j]) <= k else 2)
+        z += nodes[at][2]
+    return 1 / (1 + np.exp(-z))
+
+
+def url_features(url, shares, mean):
+    """Lexical features, counted letter by letter."""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = re.split("[/?#]", rest)[0]
+    path = re.split("[?#]", rest[len(host) :])[0]
+    host, query = lower(host), url.split("?", 1)[1] if "?" in url else ""
+    entropy = -sum(url.count(c) / len(url) * np.log2(url.count(c) / len(url)) for c in set(url))
+    digits = sum(c.isdigit() for c in url) / max(len(url), 1)
+    return [len(url), len(host), len(path), path.count("/"), digits, entropy, query.count("=") + query.count("&"), host.count("-"), host.count("."), max(len(x) for x in host.split(".")), shares.get(host.split(".")[-1], mean)]
+
+
+def test_url_verdicts_are_brute_force(spark):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(600):
+        bad = i % 3 == 0
+        host = f"{'win-' * bad}{rnd.choice('abcdef')}{i}.{'net' if bad else 'org'}" if i % 2 else f"{'win-cash-' * bad}{i}.biz"
+        rows.append((i, f"http://{host}/{'' if bad else 'fr/'}{'9' * rnd.randrange(9)}?a={i}"))
+    rows += [(1000, ""), (1001, "no scheme"), (1002, None), (1003, "http://x.biz/" + "long/" * 20_000), (1004, rows[0][1]), (1004, rows[0][1]), (None, rows[2][1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    judge = urls.learn(urls.with_rules(pages), 200)
+    assert judge.trees
+    got = urls.judge(spark, pages, sample=200).collect()
+    assert sorted(str(r.page_id) for r in got) == sorted(str(r[0]) for r in rows)
+    text = {r[0]: r[1] or "" for r in rows}
+    for r in got:
+        if r.rule is None:
+            want = walked(judge.trees, url_features(text[r.page_id], judge.shares, judge.mean))
+            assert r.score == pytest.approx(want) and r.verdict == ("block" if want >= 0.5 else "allow")
+    undecided = [r for r in got if r.rule is None and r.page_id is not None and r.page_id < 600]
+    assert np.mean([(r.verdict == "block") == (r.page_id % 3 == 0) for r in undecided]) > 0.9
+
+
+def test_a_url_of_very_many_rows_leaves_both_verdicts(spark):
+    for k in range(3):
+        rows = [(0, f"http://spam{k}.net/x")] * 4000 + [(i, f"http://good{i}.org/fr/{i}") for i in range(4000)]
+        judge = urls.learn(urls.with_rules(spark.createDataFrame(rows, "page_id long, url string")), 300)
+        assert judge.trees and judge.mean == 0.5
+        assert judge.blocked([(f"http://spam{k}.net/x", f"spam{k}.net", "/x"), ("http://good7.org/fr/7", "good7.org", "/fr/7")]).round().tolist() == [1, 0]
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
