@@ -6,7 +6,8 @@ taken, an inner node puts its children into the queue, a leaf is visited. How ma
 calibrated on all rows: the true neighbours of ``TRIALS`` queries are found by brute force, one pass over
 the rows, and visits widen until they hold ``RECALL`` of them. Queries then meet the rows of the leaves
 that they visit: leaves next to each other in the tree share a shard of about ``SPLIT`` rows, and a leaf
-with more rows (say, of one vector) is split over shards of its own by a salt. Distances are exact.
+with more rows (say, of one vector) is split over shards of its own by a salt, and a shard that more than
+``ASKED`` queries visit meets them in parts, so no task holds more than that. Distances are exact.
 
 Cases: vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows with
 a null vec_id or with another number of components than most rows have. Of rows that share a vec_id the
@@ -33,6 +34,8 @@ TRIALS = 64
 RECALL = 0.95
 #: Rows of a shard.
 SPLIT = 4_096
+#: Queries that meet a shard in one task.
+ASKED = 4_096
 
 
 class Tree:
@@ -92,25 +95,18 @@ class Tree:
                     heapq.heappush(queue, (d, child))
 
 
-def _valid(size: int):
-    def run(batches):
-        for batch in batches:
-            ids, raw = [], []
-            for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if vec_id is None or not vector.is_valid or len(vector) != size or vector.values.null_count:
-                    continue
-                x = vector.values.to_numpy(zero_copy_only=False).astype("<f8")
-                if np.isfinite(x).all() and x.any():
-                    ids.append(vec_id)
-                    raw.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "vec"])
-
-    return run
+def _valid(embeddings: DataFrame) -> DataFrame:
+    """vec_id and vec (doubles) of the rows that take part."""
+    own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    size = own.filter("size(vec) > 0").groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    finite = F.forall("vec", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))  # not a number is more than infinity
+    return own.filter(F.col("vec_id").isNotNull() & (F.size("vec") == (size["size"] if size else 0))).filter(finite & F.exists("vec", lambda x: x != 0))
 
 
 def _matrix(column) -> np.ndarray:
-    raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1) if raw else np.zeros((0, 0))
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _nearest(query: np.ndarray, query_id: int, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +133,7 @@ def _indexed(tree):
     return run
 
 
+ROWS = "vec_id long, vec array<double>"
 FOUND = "query_id long, vec_id long, score double, leaf long"
 
 
@@ -217,19 +214,21 @@ def _visits(tree, shards, visits: int, k: int):
     def run(batches):
         own = shards.value
         for batch in batches:
-            rows = []
-            for query_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            at, ids, shard_of, leaves_of = [], [], [], []
+            for n, (query_id, query) in enumerate(zip(batch.column(0).to_pylist(), _matrix(batch.column(1)), strict=True)):
                 met, where = 0, {}
-                for n, leaf in enumerate(tree.value.leaves(np.frombuffer(raw, "<f8"))):
-                    if n >= visits and met > 2 * k:
+                for i, leaf in enumerate(tree.value.leaves(query)):
+                    if i >= visits and met > 2 * k:
                         break
                     met += own.counts.get(leaf, 0)
                     for shard in range(own.first[leaf], own.first[leaf] + own.parts[leaf]) if leaf in own.first else ():
                         where.setdefault(shard, []).append(leaf)
-                rows += [(query_id, raw, shard, leaves) for shard, leaves in where.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["query_id", "query", "shard", "leaves"])
+                at += [n] * len(where)
+                ids += [query_id] * len(where)
+                shard_of += where
+                leaves_of += where.values()
+            queries = batch.column(1).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), queries, pa.array(shard_of, pa.int64()), pa.array(leaves_of, pa.list_(pa.int64()))], ["query_id", "query", "shard", "leaves"])
 
     return run
 
@@ -253,26 +252,30 @@ def _searched(k: int):
 
 def search(spark: SparkSession, embeddings: DataFrame, *, k: int = K, every: int = 100, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows found for each row whose id is divisible by ``every``."""
-    own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    size = own.filter("embedding IS NOT NULL AND size(embedding) > 0").groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = own.mapInArrow(_valid(size["size"] if size else 0), "vec_id long, vec binary")
-    n = rows.select("vec_id").count()
+    common.small_batches(spark)
+    rows = _valid(embeddings)
+    n = rows.count()
     h = F.xxhash64("vec_id", F.lit(1))
     chosen = rows.filter(F.pmod(h, F.lit(1_000_003)) < min(1.0, 1.05 * sample / max(n, 1)) * 1_000_003)
     learned = chosen.orderBy(h, "vec").limit(sample).select("vec").collect()
     if not learned:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = Tree(np.frombuffer(b"".join(bytes(r.vec) for r in learned), "<f8").reshape(len(learned), -1))
+    tree = Tree(np.array([r.vec for r in learned]))
     sent = spark.sparkContext.broadcast(tree)  # bounded by the sample
-    index = common.written(spark, rows.mapInArrow(_indexed(sent), "vec_id long, vec binary, leaf long"), "vectors")
+    index = common.written(spark, rows.mapInArrow(_indexed(sent), f"{ROWS}, leaf long"), "vectors")
     queries = index.filter(F.col("vec_id") % every == 0)
-    trials = [(r.vec_id, np.frombuffer(bytes(r.vec), "<f8")) for r in queries.orderBy(h, "vec").limit(TRIALS).collect()]
+    trials = [(r.vec_id, np.array(r.vec)) for r in queries.orderBy(h, "vec").limit(TRIALS).collect()]
     visits = calibrated(tree, index, trials, k, recall)
     counts = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}  # bounded by the number of leaves
     shards = spark.sparkContext.broadcast(Shards(counts))
-    asked = queries.select("vec_id", "vec").mapInArrow(_visits(sent, shards, visits, k), "query_id long, query binary, shard long, leaves array<long>")
-    placed = index.mapInArrow(_placed(shards), "vec_id long, vec binary, leaf long, shard long")
-    found = placed.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_searched(k), FOUND)
+    asked = queries.select("vec_id", "vec").mapInArrow(_visits(sent, shards, visits, k), "query_id long, query array<double>, shard long, leaves array<long>")
+    asked = common.written(spark, asked, "visits")
+    placed = index.mapInArrow(_placed(shards), f"{ROWS}, leaf long, shard long")
+    parts = asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("long").alias("parts"))
+    # A shard without visitors has no row here and stays out.
+    placed = placed.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    asked = asked.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts"))).drop("parts")
+    found = placed.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_searched(k), FOUND)
     return top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -195,18 +195,16 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("leaf", F.lit("clash"))
 
 
-def test_neighbours_recall_and_order(spark):
+def test_neighbours_recall_and_order(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = (rng.normal(size=(12, 16))[rng.integers(0, 12, 1500)] + 0.4 * rng.normal(size=(1500, 16))).astype(np.float32)
     x[600:1100] = x[600]  # a third of one vector
     rows = [(i, x[i].tolist()) for i in range(1500)] + [(2000, None), (2100, [0.0] * 16), (2200, [float("nan")] + [1.0] * 15), (2300, [1.0] * 3), (None, [1.0] * 16), (2400, [None] + [1.0] * 15)]
-    neighbours.SPLIT, kept = 200, neighbours.SPLIT
-    try:
-        got = defaultdict(list)
-        for r in neighbours.search(spark, vectors(spark, rows)).collect():
-            got[r.query_id].append(r)
-    finally:
-        neighbours.SPLIT = kept
+    monkeypatch.setattr(neighbours, "SPLIT", 200)
+    monkeypatch.setattr(neighbours, "ASKED", 2)  # so that shards meet their queries in parts
+    got = defaultdict(list)
+    for r in neighbours.search(spark, vectors(spark, rows)).collect():
+        got[r.query_id].append(r)
     assert sorted(got) == list(range(0, 1500, 100))
     hits = 0
     for q, found in got.items():
@@ -221,6 +219,31 @@ def test_neighbours_recall_and_order(spark):
     assert hits >= 0.9 * 150
 
 
+def test_recall_of_queries_that_visits_were_not_calibrated_on(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(30, 24))[rng.integers(0, 30, 6000)] + 0.5 * rng.normal(size=(6000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[8].tolist()), (7, x[7].tolist()), (40, x[80].tolist()), (40, x[40].tolist())]
+    monkeypatch.setattr(neighbours, "TRIALS", 20)
+    frame = vectors(spark, rows).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    tried = {r.vec_id for r in neighbours._valid(frame).filter("vec_id % 40 = 0").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec").limit(20).collect()}
+    got = defaultdict(dict)
+    for r in neighbours.search(spark, frame, every=40).collect():
+        assert r.vec_id not in got[r.query_id] and r.vec_id != r.query_id
+        got[r.query_id][r.vec_id] = r.score
+    y, ids = np.array([r[1] for r in rows], np.float32).astype(float), np.array([r[0] for r in rows])
+    hits = others = 0
+    for q in sorted(set(got) - tried):
+        least = {}
+        for own in np.flatnonzero(ids == q):  # rows that share an id ask as one, and answer as one
+            for d, i in zip(np.sqrt(((y - y[own]) ** 2).sum(1)), ids, strict=True):
+                if i != q:
+                    least[int(i)] = min(d, least.get(int(i), np.inf))
+        want = sorted(least, key=lambda i: (least[i], i))[:10]
+        hits += len(set(want) & set(got[q]))
+        others += 1
+    assert others >= 100 and hits >= 0.9 * 10 * others
+
+
 def test_neighbours_of_few_rows(spark):
     got = neighbours.search(spark, vectors(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1])])).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 2), (0, 2, 1)]
