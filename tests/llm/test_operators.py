@@ -188,6 +188,50 @@ def test_license_scan_is_brute_force(spark, docs):
     assert licenses.scan(spark, frame.filter("false")).count() == 0
 
 
+def voted(text):
+    """(labels, score) by comparing all pairs of places of the text and of each template."""
+    words, found, best = PLAIN.findall(lower(text)), set(), 0.0
+    for number, (template, label) in enumerate([*licenses.PHRASES, *licenses.TEMPLATES]):
+        own, base = template.split(), number < len(licenses.PHRASES)
+        grams, votes = len(own) - 1, defaultdict(list)
+        for i in range(len(words) - 1):
+            for j in range(grams):
+                if words[i : i + 2] == own[j : j + 2]:
+                    votes[i - j].append((i, j))
+        spans = []
+        for d in sorted(votes):
+            if spans and d - spans[-1][-1] <= licenses.NEAR:
+                spans[-1].append(d)
+            else:
+                spans.append([d])
+        for span in spans:
+            hits = [h for d in span for h in votes[d]]
+            covered, long_ = len({j for _, j in hits}), max(i for i, _ in hits) - min(i for i, _ in hits) + 1
+            if base and any(len({j for _, j in votes[d]}) == grams for d in span):
+                found.add(label)
+                best = 1.0
+            elif not base and covered >= licenses.COVER * grams and long_ <= 1.5 * grams + licenses.NEAR:
+                found.add(label)
+                best = max(best, covered / grams)
+    return ",".join(sorted(found)), best
+
+
+def test_license_labels_are_brute_force(spark):
+    rnd = random.Random(17)
+    rows = []
+    for k in range(60):
+        words = rnd.choice(licenses.TEMPLATES)[0].split()
+        for _ in range(rnd.choice([0, 1, 3, 8])):
+            at = rnd.randrange(len(words))
+            words[at : at + rnd.randrange(2)] = rnd.choice([["put", "in"], ["K\u212a"], []])  # the Kelvin sign isn't k
+        rows.append((k, rnd.choice(["", "intro words "]) + rnd.choice([" ", "\n  ", ", "]).join(words).upper() + " end" * rnd.randrange(3)))
+    rows += [(100, "word " * 30_000 + licenses.TEMPLATES[0][0]), (101, None), (102, ""), (103, "x")] + rows[:2]
+    docs = spark.createDataFrame([*rows, (None, rows[3][1])], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("h", "a", "b", "x", "y", "gram", "place", "label")})
+    got = sorted(((r.doc_id, r.labels, round(r.score, 9)) for r in licenses.scan(spark, docs).collect()), key=str)
+    want = [(d, v[0], round(v[1], 9)) for d, t in [*rows, (None, rows[3][1])] for v in [voted(t)]]
+    assert got == sorted(want, key=str) and len({x[1] for x in want}) > 6
+
+
 # --- 3
 
 
