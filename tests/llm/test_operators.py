@@ -438,6 +438,59 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in langid.predict(spark, none, langid.learn(none)).collect()} == {"und"}
 
 
+def grams_present(text):
+    """The hashed n-grams of a text, one by one."""
+    codes, out = text.lower(), set()
+    for n in range(1, langid.ORDERS + 1):
+        for k in range(len(codes) - n + 1):
+            g = 0
+            for c in codes[k : k + n]:
+                g = (g * 0x01000193 + c) % (1 << 32)
+            out.add((g * 0x9E3779B1 + n * 0x85EBCA6B) % (1 << 32) * 0xC2B2AE35 % (1 << 32) >> (32 - langid.BITS))
+    return out
+
+
+def test_language_kernel_and_ridge_are_brute_force():
+    rnd = random.Random(6)
+    letters = {"a": "abcdefé ", "b": "efghijü ", "c": "aeioußxyz "}
+    langs = [rnd.choice("abc") for _ in range(60)]
+    texts = ["".join(rnd.choices(letters[x], k=rnd.choice([1, 2, 9, 80]))).encode() for x in langs]
+    x = np.zeros((60, 1 << langid.BITS), np.float32)
+    for row, t in zip(x, texts, strict=True):
+        langid.presence(t, row)
+    sets = [grams_present(t) for t in texts]
+    assert [set(np.flatnonzero(r).tolist()) for r in x] == sets
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    assert np.allclose(langid.kernel(x, x), k, atol=1e-5)
+    # With all rows as landmarks the feature map is the kernel's own, so this is kernel ridge regression.
+    model = langid.Model(x[:40], langs[:40], landmarks=40, ridge=0.05)
+    y = np.array([[1.0 if own == c else -1.0 for c in sorted(set(langs[:40]))] for own in langs[:40]])
+    w = np.sqrt(40 / (y > 0).sum(0))[np.argmax(y, 1)]
+    alpha = np.linalg.solve(w[:, None] * k[:40, :40] + 0.05 * 40 * np.eye(40), w[:, None] * y)
+    margin = k[40:, :40] @ alpha
+    want = np.exp(3 * margin) / np.exp(3 * margin).sum(1, keepdims=True)
+    assert np.allclose(model.scores(x[40:]), want, atol=5e-3)
+
+
+def test_learned_operators_take_odd_tables(spark, empty):
+    """No rows, nulls, empties, very long texts, repeated rows and null ids."""
+    rows, tags = labelled(300)
+    frame = spark.createDataFrame(rows, DOCS)
+    odd = [(9001, None), (9002, ""), (9003, "12 34 !"), (9004, "word " * 60_000), (9005, "same text"), (9005, "same text"), (None, "same text"), (9006, "ñ")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], DOCS).withColumns({c: F.lit("clash") for c in ("h", "terms", "toxic", "score", "held_out", "bits")})
+    model = langid.learn(frame)
+    got = sorted(((r.doc_id, r.lang_pred == "und", r.score == 0) for r in langid.predict(spark, docs, model).collect()), key=str)
+    assert got == sorted(((i, i in (9001, 9002, 9003), i in (9001, 9002, 9003)) for i, _ in odd), key=str)
+    assert langid.predict(spark, empty, model).count() == 0
+    assert {r.lang_pred for r in langid.predict(spark, docs, langid.learn(empty)).collect()} == {"und"}
+    machine = toxicity.learn(frame, spark.createDataFrame(tags, "doc_id long, quality int, toxic int"))
+    got = toxicity.score(spark, docs, machine).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted((i for i, _ in odd), key=str)
+    bias = machine.score([np.zeros(0, np.int32)])[0]
+    assert {r.score for r in got if r.doc_id in (9001, 9002)} == {bias} and len({r.score for r in got if r.doc_id in (9005, None)}) == 1
+    assert toxicity.score(spark, empty, machine).count() == 0 and toxicity.clean(spark, docs, machine).columns == docs.columns
+
+
 def test_toxicity_learns_a_pair(spark):
     rows, labels = labelled(2500)
     docs = extra(spark.createDataFrame([*rows, (9000, None, "en", "s", 1), (9001, "", "en", "s", 1)], DOCS))
