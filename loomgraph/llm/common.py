@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that end a word in the contract's ASCII rule: everything up to 0x7F but 0-9 and a-z, after A-Z are lower-cased.
 _PLAIN = bytes(
@@ -78,6 +79,15 @@ def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Most rows of a table of keys that is broadcast: 16 MB of two numbers each.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast where it is counted to be small; else Spark deals out both sides."""
+    return F.broadcast(keys) if keys.count() <= SENT_ROWS else keys
+
+
 def plain_words(text: bytes | None) -> list[bytes]:
     """Lower-cases A-Z and returns the words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of UTF-8 bytes."""
     return text.translate(_PLAIN).split() if text else []

@@ -203,7 +203,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that aren't contaminated, with all their columns; rows of one id are told apart by their texts."""
     bad = decontaminate(spark, docs, benchmark, **options).filter("contaminated").select(*DOC).distinct()
-    bad = common.written(spark, bad, "contaminated")  # few as a rule: then Spark sends them to the texts
+    bad = common.sent_if_small(common.written(spark, bad, "contaminated"))
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.text_hash"))
     return docs.alias("d").join(bad.alias("b"), same, "left_anti")
 

@@ -582,6 +582,7 @@ def repeated_rows(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     rows = common.written(spark, linked(spark, docs, **how).select("doc_id", "text_hash", "root"), "linked").filter("root IS NOT NULL")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     stays = rows.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.doc_id").alias("s_id"), F.col("s.text_hash").alias("s_hash"))
+    stays = common.written(spark, stays, "stays")  # so that the join is one of two tables, which Spark splits where a root is common
     gone = ~(F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash")))
     return rows.join(stays, "root").filter(gone).select("doc_id", "text_hash").distinct()
 
@@ -592,10 +593,10 @@ def clean(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     names = common.fresh(docs, "_id", "_hash", "_times", "_place")
     id_, hash_, times, place = names
     keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), hash_: F.xxhash64("text")})
-    gone = common.written(spark, repeated_rows(spark, docs, **how), "repeated")
+    gone = common.sent_if_small(common.written(spark, repeated_rows(spark, docs, **how), "repeated"))
     left = _without(keyed, gone, id_, hash_)
     again = keyed.groupBy(id_, hash_).agg(F.count(F.lit(1)).alias(times)).filter(F.col(times) > 1)
-    again = common.written(spark, again.select(F.col(id_).alias("doc_id"), F.col(hash_).alias("text_hash")), "again")
+    again = common.sent_if_small(common.written(spark, again.select(F.col(id_).alias("doc_id"), F.col(hash_).alias("text_hash")), "again"))
     # Only rows that repeat another as it is are numbered, so no other text is dealt out.
     several = left.alias("l").join(again.alias("r"), F.col(f"l.{id_}").eqNullSafe(F.col("r.doc_id")) & (F.col(f"l.{hash_}") == F.col("r.text_hash")), "left_semi")
     one = several.withColumn(place, F.row_number().over(Window.partitionBy(id_, hash_).orderBy("text"))).filter(F.col(place) == 1).drop(place)
