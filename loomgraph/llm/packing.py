@@ -32,11 +32,11 @@ from . import common
 CAPACITY = 4096
 UNIT = 64
 END = 2
-#: Words whose ids a worker keeps, about 150 bytes each.
-CACHED_WORDS = 500_000
+#: Words of a generation whose ids a worker keeps, about 150 bytes each; it keeps two.
+CACHED_WORDS = 150_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind int, size int, salt long"
-#: Pieces ranked in one group.
-RANKED = 50_000
+#: Pieces of one length and salt, which are ranked together, where that length has all pieces.
+RANKED = 2_000
 
 
 def cuts(n: int, capacity: int, unit: int) -> list[tuple[int, int]]:
@@ -62,6 +62,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.separator = vocabulary[self.SEPARATOR]
@@ -72,11 +73,17 @@ class WordIds(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def learn(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words without "<|"; others are forgotten where too many would be kept."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHED_WORDS:
+        """Ids of distinct words without "<|". Words that weren't asked for in a whole generation are forgotten."""
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-            new = words
+        new = []
+        for word in words:
+            if word not in self:
+                if (ids := self.old.get(word)) is None:
+                    new.append(word)
+                else:
+                    self[word] = ids
         letters, others = [], []
         for word in new:
             (letters if word.isalpha() else others).append(word)
@@ -149,6 +156,7 @@ def _tokenized(path: str, capacity: int, unit: int, salts: int):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         ids, end = common.kept(("word ids", path), lambda: WordIds(path)), np.array([END], "<u4").tobytes()
+        count = 0  # so that rows that are alike in all else are dealt to several salts, too
         for group in _grouped(batches, 2 << 20):
             rows: list[tuple] = []
             for chunk in group.to_batches():
@@ -159,7 +167,8 @@ def _tokenized(path: str, capacity: int, unit: int, salts: int):
                     for start, length in cuts(n, capacity, unit):
                         crc = zlib.crc32(raw[4 * start : 4 * (start + length)])
                         kind, size = (1, length // unit) if length % unit == 0 else (0, length)
-                        rows.append((doc, start, length, crc, n, kind, size, (crc ^ (start * 0x9E3779B1) ^ ((doc or 0) * 0x85EBCA6B)) % salts))
+                        count += 1
+                        rows.append((doc, start, length, crc, n, kind, size, (crc ^ count * 0x9E3779B1) % salts))
             yield _batch(rows)
 
     return common.trimmed(run, keep=True)
