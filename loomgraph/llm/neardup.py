@@ -564,7 +564,8 @@ def linked(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_
     links = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = common.written(spark, grouped.join(sizes.filter(F.col("m") > together).select("candidate"), "candidate").select("class", "n", "least", "tokens", "candidate"), "large")
     if not large.isEmpty():
-        links = links.union(components(spark, _large(spark, large, together, per_cent, pivots)))
+        # Written, so that no task runs two Python workers.
+        links = links.union(components(spark, common.written(spark, _large(spark, large, together, per_cent, pivots), "large_links")))
     links = common.written(spark, links, "links")
 
     classes = all_docs.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))

@@ -30,8 +30,8 @@ from . import common
 
 WINDOW = 20
 #: Windows that a task hashes before it sends them on, and that a bucket holds on average.
-FLUSH = 1_200_000
-BUCKET = 1_500_000
+FLUSH = 800_000
+BUCKET = 1_000_000
 TOGETHER = 2_000
 GATHERED = 500_000
 NULL_ID = -(1 << 63)
