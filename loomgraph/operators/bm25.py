@@ -68,12 +68,18 @@ def scores(terms: DataFrame, posted: DataFrame, sized: DataFrame, totals: DataFr
 
 
 def search(questions: DataFrame, docs: DataFrame, limit: int = 10, *, b: float = BM25_B, keep_stopwords: bool = False, digits: int = 6) -> DataFrame:
-    """The ``limit`` best documents of each question. Scores are rounded before they are ranked, so the order
-    doesn't depend on the order of a sum; ties go to the smaller id."""
-    posted = postings(docs, keep_stopwords)
-    sized = lengths(posted, docs)
+    """The ``limit`` best documents of each question. Documents are read into terms once; their lengths are the
+    terms' number, and only terms that a question has are counted and shuffled. Scores are rounded before they are
+    ranked, so the order doesn't depend on the order of a sum; ties go to the smaller id."""
+    from ..plans.build import stored
+
+    terms = stored(docs.sparkSession, query_terms(questions, keep_stopwords), "query-terms")
+    read = stored(docs.sparkSession, docs.select("target", "id", tokenize(F.col("text"), keep_stopwords).alias("terms")), "terms")
+    sized = read.groupBy("target", "id").agg(F.sum(F.greatest(F.size("terms"), F.lit(0))).cast("long").alias("length"))
     totals = corpus(sized)
-    found = scores(query_terms(questions, keep_stopwords), posted, sized, totals, term_stats(posted, totals), b=b)
+    asked = terms.select("target", "term").distinct()
+    posted = read.select("target", "id", F.explode("terms").alias("term")).join(asked, ["target", "term"], "left_semi").groupBy("target", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = scores(terms, posted, sized, totals, term_stats(posted, totals), b=b)
     found = found.withColumn("score", F.round("score", digits))
     return top_k(found, ["target", "question_id"], [F.desc("score"), "id"], limit)
 

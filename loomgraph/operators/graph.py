@@ -49,7 +49,7 @@ def children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(nodes, ["target", "id"])
 
 
-def qualified_names(nodes: DataFrame, hops: int = MAX_HOPS, adaptive: bool = True) -> DataFrame:
+def qualified_names(nodes: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """(target, id, qualified) of each node: names from the outermost symbol down to it, climbing parents
     until a file, a missing node or ``hops``. Each step is one join; every second step looks whether a chain still
     climbs, so the work follows the depth that the data has."""
@@ -61,16 +61,11 @@ def qualified_names(nodes: DataFrame, hops: int = MAX_HOPS, adaptive: bool = Tru
         ended = F.col("up_name").isNull() | (F.col("up_type") == "file")
         longer = F.when(ended, F.col("qualified")).otherwise(F.concat_ws(".", "up_name", "qualified"))
         live = step.select("target", "id", longer.alias("qualified"), F.when(~ended, F.col("up_parent")).alias("at"))
-        if adaptive and hop % 2 and live.filter("at IS NOT NULL").isEmpty():
+        if hop % 2 and live.filter("at IS NOT NULL").isEmpty():
             break
     return done.unionByName(live.drop("at"))
 
 
-def nested_names(nodes: DataFrame, depth: int = 3) -> DataFrame:
-    """``qualified_names`` for graphs whose symbols nest at most ``depth`` deep, with as many joins."""
-    return qualified_names(nodes, depth, adaptive=False)
-
-
 def by_qualified_name(nodes: DataFrame, qualified: DataFrame) -> DataFrame:
     """(target, qualified) -> id over symbols; of several the last by seq wins, so overloads collapse."""
     own = symbols(nodes).join(qualified, ["target", "id"]).select("target", "qualified", "id", "seq")
@@ -103,6 +98,24 @@ def language_counts(files: DataFrame) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("files"), "language")))
 
 
+def languages(meta: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(target, languages) of graphs: what meta (target, language, languages) says, else its one language with the
+    number of file nodes, else nothing."""
+    files = nodes.filter("type = 'file'").groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    one = F.when(F.length("language") > 0, F.create_map("language", F.coalesce("n", F.lit(0).cast("long")))).otherwise(F.create_map().cast("map<string,bigint>"))
+    said = F.when(F.size("languages") > 0, F.col("languages"))
+    return meta.join(files, "target", "left").select("target", F.coalesce(said, one).alias("languages"))
+
+
+def status(meta: DataFrame, stale: DataFrame) -> DataFrame:
+    """(target, missing, unverifiable, changed, failed, is_stale) of graphs: how many files aren't as they were, by
+    ``staleness``, and how many couldn't be parsed."""
+    counts = stale.groupBy("target").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("missing", "unverifiable", "changed")))
+    own = meta.select("target", F.greatest(F.size("parse_failures"), F.lit(0)).alias("failed")).join(counts, "target", "left")
+    numbers = [F.coalesce(s, F.lit(0).cast("long")).alias(s) for s in ("missing", "unverifiable", "changed")]
+    return own.select("target", *numbers, "failed").withColumn("is_stale", F.col("missing") + F.col("unverifiable") + F.col("changed") > 0)
+
+
 def graph_hash(files: DataFrame) -> DataFrame:
     """The first 16 hex digits of the hash of all ``path:hash`` in order of path. One short string a file is
     gathered for each target: the definition hashes them in sequence."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.constants import CALLABLE_TYPES, LANGUAGES, SKIP_DIRS
+from ..functions.constants import CALLABLE_TYPES
 from ..operators import combinators, context, graph, resolve
+from ..sources import files
+from ..sources.parse import parse_files
 from .build import stored
 from .views import CS, EDGES, NV, TARGET, call_sites, nodes, table
 
@@ -71,18 +73,21 @@ def incoming(spark, sf_dir):
     return graph.incoming(_edges(spark, sf_dir), ids, "calls").select("frm", "to", F.col("count").alias("cnt"))
 
 
-@query(_with(NV, CS, EDGES) + 'SELECT e."to" AS id, coalesce(k.name, e.frm) AS caller, e.cnt FROM edges e LEFT JOIN nv k ON k.id = e.frm')
+@query(_with(NV, CS, EDGES, QUALIFIED) + 'SELECT e."to" AS id, coalesce(q.qualified, e.frm) AS caller, e.cnt FROM edges e LEFT JOIN qn q ON q.id = e.frm')
 def callers(spark, sf_dir):
-    names = nodes(spark, sf_dir).select("target", F.col("id").alias("frm"), "name")
-    own = _edges(spark, sf_dir).join(names, ["target", "frm"], "left")
-    return own.select(F.col("to").alias("id"), F.coalesce("name", "frm").alias("caller"), F.col("count").alias("cnt"))
+    return _ends(spark, sf_dir, graph.incoming, "frm").select(F.col("to").alias("id"), F.col("name").alias("caller"), F.col("count").alias("cnt"))
 
 
-@query(_with(NV, CS, EDGES) + 'SELECT e.frm AS id, coalesce(k.name, e."to") AS callee, e.cnt FROM edges e LEFT JOIN nv k ON k.id = e."to"')
+@query(_with(NV, CS, EDGES, QUALIFIED) + 'SELECT e.frm AS id, coalesce(q.qualified, e."to") AS callee, e.cnt FROM edges e LEFT JOIN qn q ON q.id = e."to"')
 def callees(spark, sf_dir):
-    names = nodes(spark, sf_dir).select("target", F.col("id").alias("to"), "name")
-    own = _edges(spark, sf_dir).join(names, ["target", "to"], "left")
-    return own.select(F.col("frm").alias("id"), F.coalesce("name", "to").alias("callee"), F.col("count").alias("cnt"))
+    return _ends(spark, sf_dir, graph.outgoing, "to").select(F.col("frm").alias("id"), F.col("name").alias("callee"), F.col("count").alias("cnt"))
+
+
+def _ends(spark, sf_dir, side, end):
+    """The calls of all nodes with what is at their other end."""
+    all_ = nodes(spark, sf_dir)
+    calls = side(_edges(spark, sf_dir).withColumn("resolution", F.lit(None).cast("string")), all_.select("target", "id"), "calls")
+    return graph.endpoints(calls, end, all_, graph.qualified_names(all_))
 
 
 @query(_with(NV) + "SELECT p.id AS container, c.id, c.name, c.type FROM nv p JOIN nv c ON c.parent = p.id")
@@ -94,15 +99,7 @@ def children(spark, sf_dir):
 
 @query(_with(NV, QUALIFIED) + "SELECT id, qualified FROM qn")
 def qualified_name(spark, sf_dir):
-    return graph.nested_names(nodes(spark, sf_dir)).select("id", "qualified")
-
-
-@query("""WITH RECURSIVE t AS (SELECT conv_id || ':' || turn AS id, 'm' || turn AS name, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent FROM conversations),
-climb AS (SELECT id, name AS q, parent AS up, 1 AS d FROM t UNION ALL SELECT c.id, p.name || '.' || c.q, p.parent, c.d + 1 FROM climb c JOIN t p ON p.id = c.up WHERE c.d < 4)
-SELECT id, arg_max(q, d) AS qualified FROM climb GROUP BY id""")
-def parent_chain_guard(spark, sf_dir):
-    """Turns as nodes under the turn before; the guard stops after four hops."""
-    return graph.qualified_names(_turn_nodes(spark, sf_dir), 4, adaptive=False).select("id", "qualified")
+    return graph.qualified_names(nodes(spark, sf_dir)).select("id", "qualified")
 
 
 def _turn_nodes(spark, sf_dir):
@@ -131,7 +128,7 @@ FROM (SELECT frm, CASE WHEN via = 'R' THEN 'lib.' || "to" ELSE "to" END AS "to",
 def endpoint_label(spark, sf_dir):
     all_ = nodes(spark, sf_dir)
     edges = _edges(spark, sf_dir).withColumn("to", F.when(F.col("via") == "R", F.concat(F.lit("lib."), "to")).otherwise(F.col("to"))).withColumn("resolution", F.lit(None).cast("string"))
-    ends = graph.endpoints(edges, "to", all_, graph.nested_names(all_))
+    ends = graph.endpoints(edges, "to", all_, graph.qualified_names(all_))
     return ends.select("frm", "to", F.col("name").alias("label"), "resolution", F.col("count").alias("cnt"))
 
 
@@ -302,9 +299,14 @@ def unbuilt_targets(spark, sf_dir):
     return list_all_sets(spark, sf_dir).filter("on_disk AND NOT built").select("target")
 
 
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("""SELECT DISTINCT 'page' || (page_id % 40) AS target FROM pages WHERE page_id % 3 <> 2 AND page_id % 40 <> 7""")
 def has_source_semi(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    """Targets that have a source file, of pages as files: those of a known kind, outside folders that are skipped."""
+    target = F.concat(F.lit("page"), F.col("page_id") % 40)
+    ending = F.when(F.col("page_id") % 3 == 0, ".py").when(F.col("page_id") % 3 == 1, ".jsx").otherwise(".txt")
+    folder = F.when(F.col("page_id") % 40 == 7, "/node_modules/x").otherwise("/x")
+    own = table(spark, sf_dir, "pages").select(target.alias("target"), F.concat(target, folder, F.col("page_id").cast("string"), ending).alias("path"))
+    return files.codebases(own.filter(files.is_source(F.col("path"))))
 
 
 @query("""SELECT page_id, path, suffix FROM (SELECT page_id, path, regexp_extract(path, '(\\.[^./]+)$', 1) AS suffix FROM
@@ -316,7 +318,7 @@ def source_filter(spark, sf_dir):
     path = F.when(F.endswith(cut, F.lit(".html")), F.concat(F.substring_index(cut, ".html", 1), kind)).otherwise(cut)
     more = F.when(F.col("page_id") % 5 == 0, "/build/x.py").when(F.col("page_id") % 5 == 1, "/x.c").otherwise("")
     own = table(spark, sf_dir, "pages").select("page_id", F.concat(path, more).alias("path")).withColumn("suffix", X.suffix(F.col("path")))
-    return own.filter(F.col("suffix").isin(*LANGUAGES) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIP_DIRS))))
+    return own.filter(files.is_source(F.col("path")))
 
 
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations""")
@@ -325,11 +327,15 @@ def section_fill(spark, sf_dir):
     return combinators.fill_forward(own, "head", ["conv_id"], "turn", "section").select("conv_id", "turn", "section")
 
 
-@query("""SELECT p_partkey, p_name || CASE WHEN r > 1 THEN '#' || r ELSE '' END AS id FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part)""")
+@query("""SELECT 'b' || (p_partkey // 100) || '.py::s' || p_size || '/0' || CASE WHEN r > 1 THEN '#' || r ELSE '' END AS id, CAST(1 + 2 * (place - 1) AS INT) AS line_start FROM
+(SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_partkey // 100, p_size ORDER BY p_partkey) AS r, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS place FROM part)""")
 def new_id_suffix(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))
-    own = table(spark, sf_dir, "part").select("p_partkey", "p_name", rank.alias("r"))
-    return own.select("p_partkey", F.concat("p_name", F.when(F.col("r") > 1, F.concat(F.lit("#"), F.col("r").cast("string"))).otherwise("")).alias("id"))
+    """Parts as functions named by their size, a hundred in a file; a name that comes again gets a number."""
+    lines = F.concat(F.lit("def s"), F.col("p_size").cast("string"), F.lit("():\n    pass\n"))
+    own = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 100).alias("k"), F.struct("p_partkey", lines.alias("line")).alias("row"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["line"]), "")
+    sources = own.groupBy("k").agg(text.alias("text")).select(F.lit(TARGET).alias("target"), F.concat(F.lit("b"), F.col("k").cast("string"), F.lit(".py")).alias("path"), "text")
+    return parse_files(sources).filter("kind = 'node' AND node.type = 'function'").select("node.id", "node.line_start")
 
 
 BLOCKS = """m AS (SELECT 'S' || s_suppkey AS id FROM supplier ),
@@ -342,7 +348,7 @@ def _blocks(spark, sf_dir):
     matches = all_.filter("type = 'function'").select(F.lit("q").alias("question_id"), "target", F.col("seq.n").alias("rank"), "id")
     extra = {"file": "string", "language": "string", "signature": "string", "doc": "string", "is_async": "boolean", "line_start": "int", "line_end": "int"}
     full = all_.withColumns({c: F.lit(None).cast(t) for c, t in extra.items()}).withColumn("line_start", F.lit(1)).withColumn("line_end", F.lit(2)).withColumn("file", F.concat(F.lit("f/"), "id"))
-    return context.context_blocks(matches, full, edges, graph.nested_names(full)), full
+    return context.context_blocks(matches, full, edges, graph.qualified_names(full)), full
 
 
 @query(_with(NV, CS, EDGES, QUALIFIED, BLOCKS) + "SELECT m.id, q.qualified, p.name AS parent_name, cb.callers FROM m JOIN nv k ON k.id = m.id JOIN qn q ON q.id = m.id LEFT JOIN nv p ON p.id = k.parent LEFT JOIN cb ON cb.id = m.id")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.constants import ROLE_EXPAND, ROLE_WORDS
-from ..operators import bm25, context, retrieve, semantic
-from .catalogue_text import BENCH, STATS, _docs, _questions, _scores
+from ..operators import context, retrieve, semantic
 from .views import TARGET, nodes, table
 
 CATALOGUE: dict[str, tuple] = {}
@@ -23,13 +22,12 @@ def query(sql: str | None):
 ROLES = ", ".join(f"('{w}', '{t}')" for w, r in ROLE_WORDS.items() for t in ROLE_EXPAND.get(r, (r,)))
 
 
-@query(f"""WITH roles(word, type) AS (VALUES {ROLES}), t AS (SELECT conv_id * 100 + turn AS id, unnest(regexp_extract_all(lower('which ' || CASE turn % 3 WHEN 0 THEN 'method' WHEN 1 THEN 'property' ELSE 'hooks' END || ' ' || text), '[a-z_]+')) AS word FROM conversations WHERE text IS NOT NULL)
+@query(f"""WITH roles(word, type) AS (VALUES {ROLES}), t AS (SELECT conv_id * 100 + turn AS id, unnest(regexp_extract_all(lower('which ' || CASE turn % 3 WHEN 0 THEN 'method' WHEN 1 THEN 'property' ELSE 'hooks' END || ' ' || coalesce(text, '')), '[a-z_]+')) AS word FROM conversations)
 SELECT DISTINCT id AS question_id, type FROM t JOIN roles USING (word)""")
 def type_hints(spark, sf_dir):
     shape = F.col("turn") % 3
     word = F.when(shape == 0, "method").when(shape == 1, "property").otherwise("hooks")
-    own = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
-    questions = own.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.concat_ws(" ", F.lit("which"), word, "text").alias("question"))
+    questions = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.concat_ws(" ", F.lit("which"), word, "text").alias("question"))
     return retrieve.type_hints(questions)
 
 
@@ -53,7 +51,7 @@ def _asked(spark, sf_dir):
 @query("SELECT c_custkey AS question_id, 'C' || c_custkey AS id FROM customer WHERE c_custkey % 4 = 0")
 def qualified_match(spark, sf_dir):
     own = _nation_nodes(spark, sf_dir)
-    names = retrieve.by_qualified_name(own, retrieve.qualified_names(own, 3, adaptive=False))
+    names = retrieve.by_qualified_name(own, retrieve.qualified_names(own))
     hits, _ = retrieve.qualified_layer(_asked(spark, sf_dir), own, names)
     return hits.select("question_id", "id")
 
@@ -62,7 +60,7 @@ def qualified_match(spark, sf_dir):
 ELSE '`Nation' || c_nationkey || '` exists in this codebase but it has no member named `nothing' || c_custkey || '`.' END AS reason FROM customer WHERE c_custkey % 4 IN (1, 2)""")
 def qualified_refuse(spark, sf_dir):
     own = _nation_nodes(spark, sf_dir)
-    names = retrieve.by_qualified_name(own, retrieve.qualified_names(own, 3, adaptive=False))
+    names = retrieve.by_qualified_name(own, retrieve.qualified_names(own))
     _, refused = retrieve.qualified_layer(_asked(spark, sf_dir), own, names)
     return refused.select("question_id", "reason")
 
@@ -73,7 +71,7 @@ def named_miss(spark, sf_dir):
     key = F.col("c_custkey").cast("string")
     miss = F.when(F.col("c_custkey") % 3 == 0, F.lit("Nation natioN entrY nothing")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("useCart"), key)).otherwise(F.concat(F.lit("useCart"), key, F.lit(" or auth_x"), key, F.lit(" or useCart"), key))
     asked = table(spark, sf_dir, "customer").select(F.lit(TARGET).alias("target"), F.col("c_custkey").alias("question_id"), F.concat(F.lit("where is "), miss, F.lit(" ?")).alias("question"))
-    return retrieve.named_misses(asked, own, retrieve.qualified_names(own, 3, adaptive=False)).select("question_id", "reason")
+    return retrieve.named_misses(asked, own, retrieve.qualified_names(own)).select("question_id", "reason")
 
 
 @query("""SELECT c_custkey AS question_id, id FROM (SELECT c_custkey, unnest(CASE c_custkey % 3 WHEN 0 THEN ['N' || c_nationkey, 'C' || c_custkey] WHEN 1 THEN ['N' || c_nationkey] ELSE [] END) AS id FROM customer)""")
@@ -106,30 +104,42 @@ def cosine_topk(spark, sf_dir):
     return semantic.cosine_top_k(asked, own.select(F.col("vec_id").alias("id"), "vector")).select("question_id", "id", "score", "rank")
 
 
-@query(STATS + f""", {BENCH}, {_scores(0.4)}, e AS (SELECT item_id AS qid, item_id * 3 AS id FROM benchmark WHERE item_id % 2 = 0),
-x AS (SELECT qid, id, 'exact' AS strategy, 1.0 AS score FROM e WHERE id IN (SELECT doc_id FROM documents)),
-y AS (SELECT qid, id, 'lexical' AS strategy, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM r WHERE qid NOT IN (SELECT qid FROM x)) WHERE k <= 3),
-z AS (SELECT item_id AS qid, CAST(NULL AS BIGINT) AS id, 'none' AS strategy, CAST(NULL AS DOUBLE) AS score FROM benchmark WHERE item_id NOT IN (SELECT qid FROM x) AND item_id NOT IN (SELECT qid FROM y))
-SELECT qid AS item_id, id AS doc_id, strategy, CAST(score AS DOUBLE) AS score FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z""")
+@query("""SELECT c_custkey AS question_id, CASE c_custkey % 5 WHEN 0 THEN 'qualified' WHEN 1 THEN 'qualified-miss' WHEN 2 THEN 'named-symbol-miss' WHEN 3 THEN 'exact' ELSE 'none' END AS strategy,
+CASE WHEN c_custkey % 5 IN (0, 3) THEN 'HIGH' ELSE 'NONE' END AS confidence,
+CASE c_custkey % 5 WHEN 1 THEN '`Nation' || c_nationkey || '` exists in this codebase but it has no member named `nothing`.'
+WHEN 2 THEN 'The question names `useCart' || c_custkey || '`, and no symbol with that name exists in this codebase.' WHEN 4 THEN 'No symbol in the knowledge graph matched this question.' END AS reason,
+CASE c_custkey % 5 WHEN 0 THEN 'C' || c_custkey WHEN 3 THEN 'N' || c_nationkey || ',C' || c_custkey END AS ids FROM customer""")
 def layered_retrieve(spark, sf_dir):
-    """Two layers and a refusal: what one layer decides, the next doesn't see."""
-    docs, questions = _docs(spark, sf_dir), _questions(spark, sf_dir)
-    exact = questions.filter("question_id % 2 = 0").select("target", "question_id", (F.col("question_id") * 3).alias("id")).join(docs.select("target", "id"), ["target", "id"], "left_semi")
-    exact = exact.select("target", "question_id", "id", F.lit("exact").alias("strategy"), F.lit(1.0).alias("score"))
-    left = questions.join(exact.select("question_id"), "question_id", "left_anti")
-    lexical = bm25.search(left, docs, 3, b=0.4).select("target", "question_id", "id", F.lit("lexical").alias("strategy"), "score")
-    nothing = left.join(lexical.select("question_id").distinct(), "question_id", "left_anti").select("target", "question_id", F.lit(None).cast("long").alias("id"), F.lit("none").alias("strategy"), F.lit(None).cast("double").alias("score"))
-    both = exact.unionByName(lexical).unionByName(nothing)
-    return both.select(F.col("question_id").alias("item_id"), F.col("id").alias("doc_id"), "strategy", "score")
-
-
-@query("""SELECT c_custkey AS question_id, array_to_string(list_filter([CASE WHEN c_mktsegment <> '' THEN c_mktsegment END, c_name, CASE WHEN c_nationkey % 2 = 0 THEN c_name || 'x' END], lambda x: x IS NOT NULL), ',') AS suggestions FROM customer""")
-def refusal_suggestions(spark, sf_dir):
-    """Close names and then lexical ones, each once, six at most."""
+    """The whole layered retrieval, with a question for each customer: a member, an unknown member, an unknown symbol,
+    two exact names, or nothing. Suggestions, which have no SQL form, are ``retrieve_layers``'."""
     own = table(spark, sf_dir, "customer")
-    more = F.array_compact(F.array("c_mktsegment", F.when(F.col("c_nationkey") % 2 == 0, F.concat("c_name", F.lit("x")))))
-    joined = F.slice(F.array_distinct(F.concat(F.array("c_mktsegment", "c_name"), more)), 1, 6)
-    return own.select(F.col("c_custkey").alias("question_id"), F.array_join(joined, ",").alias("suggestions"))
+    nation, member, shape = F.concat(F.lit("Nation"), F.col("c_nationkey")), F.concat(F.lit("entry"), F.col("c_custkey")), F.col("c_custkey") % 5
+    text = (
+        F.when(shape == 0, F.concat(F.lit("what does "), nation, F.lit("."), member, F.lit(" do?"))).when(shape == 1, F.concat(F.lit("what does "), nation, F.lit(".nothing do?")))
+        .when(shape == 2, F.concat(F.lit("where is useCart"), F.col("c_custkey"), F.lit(" ?"))).when(shape == 3, F.concat_ws(" ", nation, F.lit("and"), member)).otherwise(F.lit("zq vk"))
+    )
+    asked = own.select(F.lit(TARGET).alias("target"), F.col("c_custkey").alias("question_id"), text.alias("question"))
+    matches, outcome = retrieve.retrieve(asked, _nation_nodes(spark, sf_dir))
+    return _with_ids(matches, outcome).select("question_id", "strategy", "confidence", "reason", "ids")
+
+
+def _with_ids(matches, outcome):
+    ids = matches.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), ",").alias("ids"))
+    return outcome.join(ids, "question_id", "left")
+
+
+@query("""SELECT n_nationkey AS question_id, 'f' || md5('k' || n_nationkey) AS suggestions FROM nation""")
+def refusal_suggestions(spark, sf_dir):
+    """What a refusal offers: customers and nations are symbols named by a digest, and each nation's question spells
+    one of them with its first two letters changed, which is close to that one alone and begins like none."""
+    own = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("key")).union(table(spark, sf_dir, "nation").select(F.concat(F.lit("k"), F.col("n_nationkey"))))
+    texts = {"file": "string", "signature": "string", "doc": "string", "parent": "string"}
+    name = F.concat(F.lit("f"), F.md5("key"))
+    all_ = own.select(F.lit(TARGET).alias("target"), F.col("key").alias("id"), name.alias("name"), F.lit("function").alias("type"), F.col("key").alias("seq")).withColumns({c: F.lit(None).cast(t) for c, t in texts.items()})
+    spelled = F.concat(F.lit("z_"), F.substring(F.md5(F.concat(F.lit("k"), F.col("n_nationkey"))), 2, 31))
+    asked = table(spark, sf_dir, "nation").select(F.lit(TARGET).alias("target"), F.col("n_nationkey").alias("question_id"), F.concat(F.lit("is "), spelled, F.lit(" ok")).alias("question"))
+    _, outcome = retrieve.retrieve(asked, all_)
+    return outcome.select("question_id", F.array_join("suggestions", ",").alias("suggestions"))
 
 
 @query(None)
@@ -146,8 +156,7 @@ def retrieve_layers(spark, sf_dir):
     )
     asked = least.select(F.lit(TARGET).alias("target"), F.col("c_nationkey").alias("question_id"), text.alias("question"))
     matches, outcome = retrieve.retrieve(asked, own)
-    ids = matches.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), ",").alias("ids"))
-    rows = outcome.join(ids, "question_id", "left")
+    rows = _with_ids(matches, outcome)
     return rows.select("question_id", "strategy", "confidence", "reason", "ids", F.array_join("suggestions", ",").alias("suggestions"))
 
 
@@ -179,16 +188,31 @@ def verify_renamed(spark, sf_dir):
     return context.renamed(_answers(spark, sf_dir), _answer_blocks(spark, sf_dir)).select("question_id", "message")
 
 
-@query(f"WITH {ASSISTANT} SELECT question_id, 'The answer mentions `Ghost.walk`, which does not exist in the knowledge graph under that name.' AS message FROM a WHERE conv_id % 2 = 1")
+def _shop(spark):
+    """A graph of one class with a member, and its qualified names."""
+    rows = [(TARGET, "src/a.py", "a.py", "file", None, "src/a.py", 0), (TARGET, "src/a.py::Shop", "Shop", "class", "src/a.py", "src/a.py", 1), (TARGET, "src/a.py::Shop::sell", "sell", "method", "src/a.py::Shop", "src/a.py", 2)]
+    own = spark.createDataFrame(rows, "target string, id string, name string, type string, parent string, file string, seq int")
+    return own, retrieve.qualified_names(own)
+
+
+@query(f"""WITH {ASSISTANT} SELECT question_id, kind, severity, message FROM (
+SELECT a.question_id, 'invented_symbol' AS kind, 'warning' AS severity, 'The answer mentions `Ghost.walk`, which does not exist in the knowledge graph under that name.' AS message FROM a WHERE conv_id % 2 = 1 AND turn % 8 <> 5
+UNION ALL SELECT a.question_id, 'renamed_symbol', 'error', 'The answer uses none of the real names it was given (e.g. `Shop.sell`), so it may have renamed or substituted the symbol.' FROM a JOIN conversations c USING (conv_id, turn) WHERE a.conv_id % 2 = 1 AND NOT contains(c.text, 'sell')
+UNION ALL SELECT question_id, 'fabricated_range', 'error', CASE WHEN turn % 4 = 3 THEN 'The answer cites `src/a.py#L2-3`, which is not one of the real graph ranges — likely a subdivided or invented location.'
+ELSE 'The answer cites `src/b.py#L1-9`, but that file was not part of the facts provided.' END FROM a WHERE turn % 4 <> 1)""")
 def verify_invented(spark, sf_dir):
-    known = spark.createDataFrame([(TARGET, "Shop.sell"), (TARGET, "Shop")], "target string, known string")
-    return context.invented(_answers(spark, sf_dir), known).select("question_id", "message")
+    """All checks of an answer, against the names of a graph and of the facts; some questions' facts name ``Ghost.walk`` as
+    a caller, so it isn't invented there."""
+    caller = F.when((F.col("question_id") % 100) % 8 == 5, F.array(F.struct(F.lit("Ghost.walk").alias("name")))).otherwise(F.array().cast("array<struct<name:string>>"))
+    none = F.array().cast("array<struct<name:string>>")
+    blocks = _answer_blocks(spark, sf_dir).withColumns({"callers": caller, "callees": none, "renders": none, "rendered_by": none})
+    return context.verify(_answers(spark, sf_dir), blocks, *_shop(spark)).select("question_id", "kind", "severity", "message")
 
 
 @query(f"WITH {ASSISTANT} SELECT question_id, CASE WHEN turn % 4 <> 1 OR (conv_id % 2 = 1 AND NOT contains(text, 'sell')) THEN 'error' ELSE 'warning' END AS worst FROM a JOIN conversations c USING (conv_id, turn) WHERE turn % 4 <> 1 OR conv_id % 2 = 1")
 def worst_severity(spark, sf_dir):
     answers, blocks = _answers(spark, sf_dir), _answer_blocks(spark, sf_dir)
-    known = spark.createDataFrame([(TARGET, "Shop.sell"), (TARGET, "Shop")], "target string, known string")
+    known = context.known_names(*_shop(spark))
     found = context.fabricated(answers, blocks).union(context.renamed(answers, blocks)).union(context.invented(answers, known))
     return found.groupBy("question_id").agg(context.worst_severity().alias("worst"))
 
@@ -202,10 +226,3 @@ def smoke_rollup(spark, sf_dir):
     return rollup(own)
 
 
-@query(None)
-def py_symbols(spark, sf_dir):
-    """Symbols of source texts that documents' first words name; parsing has no SQL form."""
-    from ..sources.parse import parse_files
-
-    own = table(spark, sf_dir, "documents").select(F.lit(TARGET).alias("target"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("class D"), F.col("doc_id").cast("string"), F.lit(":\n    def run(self, x):\n        return self.help(x)\n    def help(self, y):\n        return y\n")).alias("text"))
-    return parse_files(own).filter("kind = 'node'").select("node.id", "node.type", "node.line_start", "node.line_end")

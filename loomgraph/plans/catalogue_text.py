@@ -150,14 +150,13 @@ def prefix_expand(spark, sf_dir):
     return bm25.expand(terms, vocabulary).select(F.col("question_id").alias("item_id"), "term", "qtf")
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'ANSWER: ' || trim(text, ' ' || chr(10)) WHEN turn % 4 = 1 THEN trim(text, ' ' || chr(10)) WHEN turn % 4 = 2 THEN trim(text, ' ' || chr(10) || ':') ELSE trim(text, ' ' || chr(10)) END AS answer FROM (SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS text FROM conversations WHERE text IS NOT NULL)""")
+@query(r"""SELECT conv_id, turn, coalesce(CASE WHEN turn % 4 = 0 THEN 'ANSWER: ' || trim(text, ' ' || chr(10)) WHEN turn % 4 = 1 THEN trim(text, ' ' || chr(10)) WHEN turn % 4 = 2 THEN trim(text, ' ' || chr(10) || ':') ELSE trim(text, ' ' || chr(10)) END, '') AS answer FROM (SELECT conv_id, turn, trim(text, ' ' || chr(10)) AS text FROM conversations)""")
 def normalize_answer(spark, sf_dir):
     """Texts wrapped as leaked completions: a quoted and a real ANSWER, a think block, a preamble, none."""
     body = F.trim("text", F.lit(" \n"))
     shape = F.col("turn") % 4
     raw = F.when(shape == 0, F.concat(F.lit("plan: say ANSWER: x\nANSWER: "), body)).when(shape == 1, F.concat(F.lit("<think>a\nb</think> "), body)).when(shape == 2, F.concat(F.lit("Let me think: \n"), body)).otherwise(body)
-    own = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
-    return own.select("conv_id", "turn", X.normalize_answer(raw).alias("answer"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.normalize_answer(raw).alias("answer"))
 
 
 @query("SELECT doc_id, q || chr(10) || 'd' || doc_id || chr(10) || 'function declaration' || CASE WHEN source = '' THEN '' ELSE chr(10) || source END AS document FROM (SELECT doc_id, source, source || '.d' || doc_id AS q FROM documents)")

@@ -1,5 +1,6 @@
-"""Parsing of a growing source tree as a stream. Parsing is file-local, so each new or changed file's rows stand
-on their own; joins that resolve names run over the latest rows."""
+"""Parsing of a growing source tree as a stream. Parsing is file-local, so each new file's rows stand on their own;
+joins that resolve names run over the latest rows. Spark's file source remembers paths: a file that is written
+again under its old path isn't read again, and one that goes isn't noticed; a new version needs a new path."""
 
 from __future__ import annotations
 
@@ -21,10 +22,11 @@ def parsed_stream(spark: SparkSession, root: str) -> DataFrame:
 
 
 def follow(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Writes parsed rows to a table, each batch under its number; with ``once`` it ends when all files are read."""
+    """Writes parsed rows to a table, each batch under its number; with ``once`` it ends when all files are read. A
+    batch that is tried again overwrites what it had written."""
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").partitionBy("batch").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
 
     writer = parsed_stream(spark, root).writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(availableNow=True) if once else writer).start()

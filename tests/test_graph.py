@@ -60,6 +60,148 @@ def test_python_syntax_error_keeps_the_file():
     assert not nodes and "line 1" in sink.nodes[0]["parse_error"]
 
 
+def symbols_of(path, language, text):
+    from loomgraph.sources.parse import parse_text
+
+    sink = parse_text(path, language, text)
+    assert not sink.failures
+    return [(n["name"], n["type"], n["line_start"], n["line_end"]) for n in sink.nodes[1:]], [(c["frm"].rpartition("::")[2], c["name"]) for c in sink.calls]
+
+
+def test_c_declarators():
+    text = """int (*fp)(int);
+void (*table[3])(void);
+typedef int (*callback)(int);
+typedef unsigned long size;
+int x, *y = 0, z[3];
+int (*rows)[3];
+static int *p(void);
+__attribute__((unused)) static int h(void) { return p(); }
+int old(a, b)
+int a;
+char b;
+{
+  return h();
+}
+int after(int q) __attribute__((noinline));
+int last(void) { return 0; }
+struct S { int (*cmp)(int); char n[3], *m; };
+int aligned __attribute__((aligned(8))) = 3;
+extern int each(int (*callback)(int), int n);
+"""
+    found, calls_ = symbols_of("a.c", "c", text)
+    assert found == [
+        ("h", "function", 8, 8), ("old", "function", 9, 14), ("last", "function", 16, 16), ("x", "global", 5, 5), ("y", "global", 5, 5), ("z", "global", 5, 5), ("p", "function_declaration", 7, 7),
+        ("after", "function_declaration", 15, 15), ("aligned", "global", 18, 18), ("each", "function_declaration", 19, 19), ("S", "struct", 17, 17), ("n", "field", 17, 17), ("m", "field", 17, 17), ("size", "typedef", 4, 4),
+    ]
+    assert calls_ == [("h/0", "p"), ("old/0", "h")]
+
+
+def test_java_text_blocks():
+    found, calls_ = symbols_of("A.java", "java", 'class A {\n String s = """\n  { "x" \\""" }\n  """;\n int n;\n void f(int a) { g(); }\n}\n')
+    assert found == [("A", "class", 1, 7), ("s", "field", 2, 4), ("n", "field", 5, 5), ("f", "method", 6, 6)] and calls_ == [("f/1", "g")]
+
+
+def test_javascript_default_exports():
+    found, _ = symbols_of("b.jsx", "javascript", "export default function App() { return <Box/>; }\n")
+    assert found == [("App", "component", 1, 1)]
+    found, calls_ = symbols_of("b.jsx", "javascript", "export default async function () { return go(); }\n")
+    assert found == [("b", "function", 1, 1)] and calls_ == [("b/0", "go")]
+    assert symbols_of("c.js", "javascript", "export default function* gen() { yield 1; }\nexport default class Foo { m() {} }\n")[0] == [("gen", "function", 1, 1), ("Foo", "component", 2, 2), ("m", "method", 2, 2)]
+
+
+@pytest.mark.parametrize("root", ["code/team/code", "c++", "team.d"])
+def test_targets_under_odd_roots(spark, tmp_path, root):
+    place = tmp_path / root
+    (place / "shop/lib").mkdir(parents=True)
+    (place / "shop/lib/a.py").write_text("x = 1\n")
+    (place / "team").mkdir(exist_ok=True)
+    (place / "team/b.c").write_text("int x;\n")
+    for spelled in (str(place), f"{place}/", f"file://{place}"):
+        got = {(r.target, r.path) for r in sources.source_files(spark, spelled).collect()}
+        assert got == {("shop", "shop/lib/a.py"), ("team", "team/b.c")}
+
+
+def test_command_line_builds_and_checks(spark, tmp_path, capsys):
+    from loomgraph import __main__ as command
+
+    root, out, spec = tmp_path / "code", str(tmp_path / "graphs"), tmp_path / "spec.txt"
+    (root / "shop").mkdir(parents=True)
+    (root / "shop/a.py").write_text("class Till:\n    def total(self):\n        return 1\n")
+    (root / "bad").mkdir()
+    (root / "bad/b.py").write_text("def x(:\n")
+    assert command.main(["build", str(tmp_path / "code"), out]) == 0 and "shop: 3 nodes" in capsys.readouterr().out
+    spec.write_text("[shop]\nwhat does Till.total do?\nwhere is useNothing? (must refuse)\n")
+    assert command.main(["check", str(spec), out, "--root", str(root)]) == 0 and "2/2 cases clean" in capsys.readouterr().out
+    (root / "shop/a.py").write_text("class Till:\n    pass\n")
+    assert command.main(["check", str(spec), out, "--root", str(root)]) == 1 and "shop: stale graph" in capsys.readouterr().out
+    spec.write_text("[shop]\nwhere is useNothing?\n[gone]\nwhat is x?\n")
+    assert command.main(["check", str(spec), out]) == 1
+    said = capsys.readouterr().out
+    assert "gone: no graph" in said and "0/1 cases clean" in said
+    assert command.main(["check", str(spec), out, "--target", "other"]) == 2
+
+
+def test_settings():
+    from loomgraph.settings import Settings
+
+    assert Settings.read({}) == Settings()
+    own = Settings.read({"LOOMGRAPH_TIMEOUT": "7", "LOOMGRAPH_SEMANTIC": "OFF", "LOOMGRAPH_KEY": ' "k" '})
+    assert (own.timeout, own.semantic, own.key, own.max_nodes) == (7, "off", "k", 5)
+    with pytest.raises(ValueError):
+        Settings.read({"LOOMGRAPH_SEMANTIC": "some"})
+
+
+def test_vectors_languages_status_and_second_answers(spark, tmp_path):
+    from loomgraph.operators import graph, semantic
+    from loomgraph.plans import smoke
+
+    hashes = spark.createDataFrame([("a", "h1"), ("b", "h2")], "target string, hash string")
+    vectors = spark.createDataFrame([("a", "x", [1.0, 0.0]), ("b", "y", [0.0, 1.0])], "target string, id string, vector array<double>")
+    path = str(tmp_path / "vectors")
+    for _ in range(2):  # a write that is tried again leaves one copy
+        sources.write_vectors(vectors, hashes, "m1", path)
+    sources.write_vectors(vectors.filter("target = 'a'"), hashes, "m2", path)
+    cache = sources.read_vectors(spark, path)
+    assert sorted((r.target, r.id) for r in sources.vectors_for(cache, hashes, "m1").collect()) == [("a", "x"), ("b", "y")]
+    newer = spark.createDataFrame([("a", "h9"), ("b", "h2")], "target string, hash string")
+    assert [r.id for r in sources.vectors_for(cache, newer, "m1").collect()] == ["y"]
+
+    meta = spark.createDataFrame(
+        [("a", "python", {"python": 2, "c": 1}, [("f", "e")]), ("b", "java", None, []), ("c", None, {}, None)], "target string, language string, languages map<string,bigint>, parse_failures array<struct<file:string,error:string>>"
+    )
+    nodes = spark.createDataFrame([("b", "f1", "file"), ("b", "f2", "file"), ("b", "n", "class")], "target string, id string, type string")
+    assert {r.target: r.languages for r in graph.languages(meta, nodes).collect()} == {"a": {"python": 2, "c": 1}, "b": {"java": 2}, "c": {}}
+    stale = spark.createDataFrame([("b", "x", "missing"), ("b", "y", "changed"), ("b", "z", "changed")], "target string, file string, status string")
+    assert {r.target: (r.missing, r.changed, r.failed, r.is_stale) for r in graph.status(meta, stale).collect()} == {"a": (0, 0, 1, False), "b": (1, 2, 0, True), "c": (0, 0, 0, False)}
+    assert [r.target for r in smoke.missing_targets(spark.createDataFrame([("a",), ("q",), ("q",)], "target string"), meta).collect()] == ["q"]
+
+    prompts = spark.createDataFrame([("1", "t", "p1"), ("2", "t", "p2")], "question_id string, target string, prompt string")
+    answers = spark.createDataFrame([("1", "t", "first"), ("2", "t", "fine")], "question_id string, target string, answer string")
+    found = spark.createDataFrame([("1", "k", "error", "m"), ("2", "k", "warning", "w")], "question_id string, kind string, severity string, message string")
+    got = smoke.corrected(prompts, answers, found, lambda texts: [f"again after {'first' in t}" for t in texts]).collect()
+    assert sorted((r.question_id, r.answer, r.retried) for r in got) == [("1", "again after True", True), ("2", "fine", False)]
+
+    replies = spark.createDataFrame([("1", "t", 'I choose ["Shop.sell", "gone", "sell", "Shop"] ["x"]'), ("2", "t", "none")], "question_id string, target string, reply string")
+    symbols = spark.createDataFrame([("t", "s", "Shop", "class", 1), ("t", "m", "sell", "method", 2), ("t", "m2", "sell", "method", 3)], "target string, id string, name string, type string, seq int")
+    by_name = spark.createDataFrame([("t", "Shop.sell", "m"), ("t", "Shop", "s")], "target string, qualified string, id string")
+    chosen = semantic.named_nodes(semantic.names_in_reply(replies), by_name, symbols).collect()
+    assert sorted((r.question_id, r["rank"], r.id) for r in chosen) == [("1", 1, "m"), ("1", 2, "s")]
+    named = graph.labels(spark.createDataFrame([("t", "m"), ("t", "lib.x")], "target string, id string"), by_name.select("target", "id", "qualified"))
+    assert sorted(r.label for r in named.collect()) == ["Shop.sell", "lib.x"]
+
+
+def test_a_batch_of_a_stream_that_is_tried_again_is_there_once(spark, tmp_path):
+    from loomgraph.streaming import incremental
+
+    root, out = tmp_path / "code", str(tmp_path / "rows")
+    (root / "py").mkdir(parents=True)
+    (root / "py/a.py").write_text("def only():\n    pass\n")
+    for state in ("one", "two"):  # another checkpoint runs batch 0 again
+        assert incremental.follow(spark, str(root), out, str(tmp_path / state)).awaitTermination(120)
+    assert spark.read.parquet(out).filter("kind = 'node'").count() == 2
+
+
 def test_java_symbols():
     sink, nodes = parsed("java/store/Store.java")
     assert {k: n["type"] for k, n in nodes.items()} == {
