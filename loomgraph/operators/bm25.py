@@ -67,21 +67,30 @@ def scores(terms: DataFrame, posted: DataFrame, sized: DataFrame, totals: DataFr
     return hit.groupBy("target", "question_id", "id").agg(F.sum(part).alias("score")).filter("score > 0")
 
 
-def search(questions: DataFrame, docs: DataFrame, limit: int = 10, *, b: float = BM25_B, keep_stopwords: bool = False, digits: int = 6) -> DataFrame:
-    """The ``limit`` best documents of each question. Documents are read into terms once; their lengths are the
-    terms' number, and only terms that a question has are counted and shuffled. Scores are rounded before they are
-    ranked, so the order doesn't depend on the order of a sum; ties go to the smaller id."""
+def vocabulary(docs: DataFrame, keep_stopwords: bool = False) -> DataFrame:
+    """(target, term) of all documents; a document's own repeats go before anything is shuffled."""
+    return docs.select("target", F.explode(F.array_distinct(tokenize(F.col("text"), keep_stopwords))).alias("term")).distinct()
+
+
+def score_documents(terms: DataFrame, docs: DataFrame, *, b: float = BM25_B, keep_stopwords: bool = False) -> DataFrame:
+    """``scores`` of query terms (target, question_id, term, qtf) over documents (target, id, text). Documents are read
+    into terms once; their lengths are the terms' number, and only terms that a question has are counted and shuffled."""
     from ..plans.build import stored
 
-    terms = stored(docs.sparkSession, query_terms(questions, keep_stopwords), "query-terms")
+    terms = stored(docs.sparkSession, terms, "query-terms")
     read = stored(docs.sparkSession, docs.select("target", "id", tokenize(F.col("text"), keep_stopwords).alias("terms")), "terms")
     sized = read.groupBy("target", "id").agg(F.sum(F.greatest(F.size("terms"), F.lit(0))).cast("long").alias("length"))
     totals = corpus(sized)
     asked = terms.select("target", "term").distinct()
     posted = read.select("target", "id", F.explode("terms").alias("term")).join(asked, ["target", "term"], "left_semi").groupBy("target", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    found = scores(terms, posted, sized, totals, term_stats(posted, totals), b=b)
-    found = found.withColumn("score", F.round("score", digits))
-    return top_k(found, ["target", "question_id"], [F.desc("score"), "id"], limit)
+    return scores(terms, posted, sized, totals, term_stats(posted, totals), b=b)
+
+
+def search(questions: DataFrame, docs: DataFrame, limit: int = 10, *, b: float = BM25_B, keep_stopwords: bool = False, digits: int = 6) -> DataFrame:
+    """The ``limit`` best documents of each question. Scores are rounded before they are ranked, so the order doesn't
+    depend on the order of a sum; ties go to the smaller id."""
+    found = score_documents(query_terms(questions, keep_stopwords), docs, b=b, keep_stopwords=keep_stopwords)
+    return top_k(found.withColumn("score", F.round("score", digits)), ["target", "question_id"], [F.desc("score"), "id"], limit)
 
 
 def weighted(found: DataFrame, types: DataFrame, hints: DataFrame | None, limit: int, order: str = "seq") -> DataFrame:

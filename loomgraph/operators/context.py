@@ -13,31 +13,39 @@ from pyspark.sql import functions as F
 from ..functions.constants import EDGE_STYLE, EDGES_PER_NODE, SEVERITIES, SOURCE_SUFFIXES, TYPE_STYLE
 from ..functions.text import endpoints_text, escape_dot, without_leading_dots
 from .combinators import first_wins
-from .graph import children, endpoints, incoming, outgoing
+from .graph import endpoints
 
-ENDS = "array<struct<seq:{0},name:string,node_id:string,node_type:string,resolution:string,count:bigint>>"
+#: Neighbour lists of a block: the edges' type, whether the block is where they end, and the list's name.
+SIDES = (("calls", True, "callers"), ("calls", False, "callees"), ("renders", False, "renders"), ("renders", True, "rendered_by"))
 
 
-def _ends(edges: DataFrame, own: str, other: str, nodes: DataFrame, qualified: DataFrame, alias: str) -> DataFrame:
-    full = endpoints(edges, other, nodes, qualified)
+def neighbours(edges: DataFrame, ids: DataFrame, nodes: DataFrame, qualified: DataFrame) -> DataFrame:
+    """(target, id, callers, callees, renders, rendered_by, children) of nodes (target, id), null where there are none, in
+    one pass over the edges: each is looked at from both of its ends, and what meets a node is gathered by it."""
+    ends = F.array(F.struct(F.col("to").alias("id"), F.col("frm").alias("other"), F.lit(True).alias("ends")), F.struct(F.col("frm").alias("id"), F.col("to").alias("other"), F.lit(False).alias("ends")))
+    own = edges.filter(F.col("type").isin("calls", "renders", "contains"))
+    own = own.select("target", "type", "seq", "resolution" if "resolution" in edges.columns else F.lit(None).cast("string").alias("resolution"), "count", F.inline(ends))
+    own = own.filter("type != 'contains' OR NOT ends").join(ids, ["target", "id"], "left_semi")
+    inner = nodes.select("target", F.col("id").alias("other"), F.col("seq").alias("inner_seq"), F.col("name").alias("inner_name"))
+    full = endpoints(own, "other", nodes, qualified).join(inner, ["target", "other"], "left")
     end = F.struct("seq", "name", "node_id", "node_type", "resolution", F.col("count").cast("long").alias("count"))
-    return full.groupBy("target", F.col(own).alias("id")).agg(F.array_sort(F.collect_list(end)).alias(alias))
+
+    def listed(wanted: Column, item: Column) -> Column:
+        found = F.array_sort(F.collect_list(F.when(wanted, item)))
+        return F.when(F.size(found) > 0, found)
+
+    lists = [listed((F.col("type") == type_) & (F.col("ends") == ending), end).alias(name) for type_, ending, name in SIDES]
+    child = F.struct(F.col("inner_seq").alias("seq"), F.col("inner_name").alias("name"), F.col("node_type").alias("type"))
+    lists.append(listed((F.col("type") == "contains") & F.col("node_id").isNotNull(), child).alias("children"))
+    return full.groupBy("target", "id").agg(*lists)
 
 
 def context_blocks(matches: DataFrame, nodes: DataFrame, edges: DataFrame, qualified: DataFrame, snippets: DataFrame | None = None) -> DataFrame:
     """One block for each match (question_id, target, rank, id, ...)."""
     ids = matches.select("target", "id").distinct()
-    parts = [
-        _ends(incoming(edges, ids, "calls"), "to", "frm", nodes, qualified, "callers"),
-        _ends(outgoing(edges, ids, "calls"), "frm", "to", nodes, qualified, "callees"),
-        _ends(outgoing(edges, ids, "renders"), "frm", "to", nodes, qualified, "renders"),
-        _ends(incoming(edges, ids, "renders"), "to", "frm", nodes, qualified, "rendered_by"),
-    ]
-    inner = children(nodes, outgoing(edges, ids, "contains")).groupBy("target", F.col("container").alias("id"))
-    parts.append(inner.agg(F.array_sort(F.collect_list(F.struct("seq", "name", "type"))).alias("children")))
     up = nodes.select("target", F.col("id").alias("parent"), F.col("name").alias("parent_name"), F.col("type").alias("parent_type"))
     blocks = matches.join(nodes, ["target", "id"]).join(qualified, ["target", "id"], "left").join(up, ["target", "parent"], "left")
-    blocks = reduce(lambda b, p: b.join(p, ["target", "id"], "left"), parts, blocks)
+    blocks = blocks.join(neighbours(edges, ids, nodes, qualified), ["target", "id"], "left")
     if snippets is not None:
         return blocks.join(snippets, ["target", "id"], "left")
     return blocks.withColumn("snippet", F.lit("[source file not found]"))
@@ -209,6 +217,10 @@ def edge_statement(a: Column, b: Column, label: Column, resolution: Column) -> C
     return F.format_string('  "%s" -> "%s" [label="%s", style=%s, color="%s", fontcolor="%s"];', escape_dot(a), escape_dot(b), escape_dot(label), style, colour, colour)
 
 
+def _numbered(ends: Column, part: int) -> Column:
+    return F.transform(ends, lambda e, at: F.struct(F.lit(part).alias("part"), at.alias("at"), e.alias("e")))
+
+
 def dot_statements(blocks: DataFrame, most: int = EDGES_PER_NODE) -> DataFrame:
     """(question_id, place, statement): nodes and edges around the blocks (a stored table: they are read for each
     side), each once, in the order of blocks, then
@@ -218,23 +230,18 @@ def dot_statements(blocks: DataFrame, most: int = EDGES_PER_NODE) -> DataFrame:
         "question_id", F.struct("rank", F.lit(0).alias("part"), F.lit(0).alias("at"), F.lit(0).alias("kind")).alias("place"), F.col("id").alias("key"),
         F.concat("qualified", F.lit("\\n<"), "type", F.lit(">")).alias("label"), "type", F.lit(True).alias("focus"),
     )
-    stmts, edges = own, None
-    for part, side in enumerate(("callers", "callees", "renders", "rendered_by"), 1):
-        cut = F.slice(side, 1, most) if part < 3 else F.col(side)
-        e = blocks.select("question_id", "rank", F.col("id").alias("self"), F.posexplode(cut).alias("at", "e"))
-        known = F.col("e.node_id").isNotNull()
-        e = e.withColumn("key", F.when(known, F.col("e.node_id")).otherwise(F.concat(F.lit("ext::"), "e.name")))
-        e = e.join(focus, ["question_id", "key"], "left")
-        unknown = F.concat("e.name", F.lit("\\n<"), "e.resolution", F.lit(">")) if side == "callees" else F.col("e.name")
-        lit = (F.coalesce("is_focus", F.lit(False)) & known) if side == "callees" else F.lit(False)
-        other = F.lit("external" if part < 3 else "component")
-        place = F.struct("rank", F.lit(part).alias("part"), "at", F.lit(0).alias("kind"))
-        stmts = stmts.union(e.select("question_id", place.alias("place"), "key", F.when(known, F.col("e.name")).otherwise(unknown), F.when(known, F.col("e.node_type")).otherwise(other), lit))
-        out = side in ("callees", "renders")
-        a, b = (F.col("self"), F.col("key")) if out else (F.col("key"), F.col("self"))
-        after = F.struct("rank", F.lit(part).alias("part"), "at", F.lit(1).alias("kind"))
-        edge = e.select("question_id", after.alias("place"), a.alias("a"), b.alias("b"), F.lit("calls" if part < 3 else "renders").alias("label"), F.col("e.resolution").alias("resolution"))
-        edges = edge if edges is None else edges.union(edge)
+    sides = [_numbered(F.slice(side, 1, most) if part < 3 else F.col(side), part) for part, side in enumerate(("callers", "callees", "renders", "rendered_by"), 1)]
+    none = F.array().cast(f"array<struct<part:int,at:int,e:{blocks.schema['callers'].dataType.elementType.simpleString()}>>")
+    e = blocks.select("question_id", "rank", F.col("id").alias("self"), F.inline(F.concat(*(F.coalesce(s, none) for s in sides))))
+    known, callee, out = F.col("e.node_id").isNotNull(), F.col("part") == 2, F.col("part").isin(2, 3)
+    e = e.withColumn("key", F.when(known, F.col("e.node_id")).otherwise(F.concat(F.lit("ext::"), "e.name"))).join(focus, ["question_id", "key"], "left")
+    unknown = F.when(callee, F.concat("e.name", F.lit("\n<"), "e.resolution", F.lit(">"))).otherwise(F.col("e.name"))
+    lit = callee & F.coalesce("is_focus", F.lit(False)) & known
+    other = F.when(F.col("part") < 3, "external").otherwise("component")
+    place, after = (F.struct("rank", "part", "at", F.lit(kind).alias("kind")).alias("place") for kind in (0, 1))
+    stmts = own.union(e.select("question_id", place, "key", F.when(known, F.col("e.name")).otherwise(unknown), F.when(known, F.col("e.node_type")).otherwise(other), lit))
+    a, b = F.when(out, F.col("self")).otherwise(F.col("key")), F.when(out, F.col("key")).otherwise(F.col("self"))
+    edges = e.select("question_id", after, a.alias("a"), b.alias("b"), F.when(F.col("part") < 3, "calls").otherwise("renders").alias("label"), F.col("e.resolution").alias("resolution"))
     nodes = first_wins(stmts, ["question_id", "key"], ["place"])
     nodes = nodes.select("question_id", "place", node_statement(F.col("key"), F.col("label"), F.col("type"), F.col("focus")).alias("statement"))
     edges = first_wins(edges, ["question_id", "a", "b", "label"], ["place"])

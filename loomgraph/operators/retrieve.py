@@ -22,6 +22,8 @@ from .combinators import first_wins, top_k
 from .graph import by_qualified_name, prefer_definitions, qualified_names, symbols
 
 Q = ["target", "question_id"]
+#: Characters of the prefixes on which words meet names.
+HEAD = 16
 
 
 def identifiers(question: Column) -> Column:
@@ -69,15 +71,19 @@ def qualified_layer(questions: DataFrame, nodes: DataFrame, by_qualified: DataFr
 def named_misses(questions: DataFrame, nodes: DataFrame, qualified: DataFrame) -> DataFrame:
     """(question_id, target, reason) of questions that spell out identifiers which no symbol has or begins with.
 
-    A prefix of a known name is met on the name's first four characters, an equi-join."""
+    Prefixes of known names of up to ``HEAD`` characters are rows of their own, each once, so a word meets one row
+    however many names begin with it; longer words meet the names that share their first ``HEAD`` characters."""
     words = questions.select(*Q, F.posexplode(identifiers(F.col("question"))).alias("place", "word")).withColumn("low", F.lower("word"))
     words = words.filter(symbol_like(F.col("word")) & ~F.col("low").isin(*ROLE_WORDS))
     own = symbols(nodes).join(qualified, ["target", "id"])
     known = own.select("target", F.lower("name").alias("low")).union(own.select("target", F.lower("qualified"))).distinct()
-    words = words.join(known, ["target", "low"], "left_anti").withColumn("head", F.substring("low", 1, 4))
-    heads = known.select(F.col("target").alias("k_target"), F.col("low").alias("k_low"), F.substring("low", 1, 4).alias("k_head"))
-    begins = (F.col("target") == F.col("k_target")) & (F.col("head") == F.col("k_head")) & (F.length("low") >= 4) & F.startswith("k_low", F.col("low"))
-    words = words.join(heads, begins, "left_anti")
+    words = words.join(known, ["target", "low"], "left_anti")
+    short = words.filter(F.length("low").between(4, HEAD))
+    heads = known.select("target", F.explode(F.transform(F.filter(F.sequence(F.lit(4), F.lit(HEAD)), lambda k: k <= F.length("low")), lambda k: F.substring(F.col("low"), F.lit(1), k))).alias("low")).distinct()
+    longer = known.filter(F.length("low") > HEAD).select(F.col("target").alias("k_target"), F.col("low").alias("k_low"))
+    begins = (F.col("target") == F.col("k_target")) & (F.substring("low", 1, HEAD) == F.substring("k_low", 1, HEAD)) & F.startswith("k_low", F.col("low"))
+    long_ = words.filter(F.length("low") > HEAD).join(longer, begins, "left_anti")
+    words = words.filter(F.length("low") < 4).unionByName(short.join(heads, ["target", "low"], "left_anti")).unionByName(long_)
     once = words.groupBy(*Q, "word").agg(F.min("place").alias("place"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: F.concat(F.lit("`"), x["word"], F.lit("`"))), ", ")
     reason = F.concat(F.lit("The question names "), listed, F.lit(", and no symbol with that name exists in this codebase."))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bm25, combinators
+from .build import stored
 from .views import TARGET, table
 
 CATALOGUE: dict[str, tuple] = {}
@@ -127,10 +128,7 @@ KINDS = "CASE lang WHEN 'en' THEN 'function' WHEN 'de' THEN 'class' WHEN 'fr' TH
 def lexical_weighted(spark, sf_dir):
     """Languages stand for kinds of symbols; even questions hint at classes."""
     docs, questions = _docs(spark, sf_dir), _questions(spark, sf_dir)
-    posted = bm25.postings(docs)
-    sized = bm25.lengths(posted, docs)
-    totals = bm25.corpus(sized)
-    found = bm25.scores(bm25.query_terms(questions), posted, sized, totals, bm25.term_stats(posted, totals), b=0.4)
+    found = bm25.score_documents(bm25.query_terms(questions), docs, b=0.4)
     kind = F.when(F.col("lang") == "en", "function").when(F.col("lang") == "de", "class").when(F.col("lang") == "fr", "macro").otherwise("note")
     types = table(spark, sf_dir, "documents").select(F.lit(TARGET).alias("target"), F.col("doc_id").alias("id"), kind.alias("type"), F.col("doc_id").alias("seq"))
     hints = questions.filter("question_id % 2 = 0").select("question_id", F.lit("class").alias("type"))
@@ -144,8 +142,7 @@ h AS (SELECT qid, u.term, qtf, s.term AS hit, row_number() OVER (PARTITION BY qi
 a AS (SELECT qid, term, qtf FROM q UNION ALL SELECT qid, hit, qtf FROM h WHERE r <= 4)
 SELECT qid AS item_id, term, CAST(sum(qtf) AS BIGINT) AS qtf FROM a GROUP BY qid, term""")
 def prefix_expand(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    vocabulary = bm25.postings(docs).select("target", "term").distinct()
+    vocabulary = stored(spark, bm25.vocabulary(_docs(spark, sf_dir)), "vocabulary")
     terms = bm25.query_terms(_questions(spark, sf_dir)).withColumn("term", F.concat("term", F.lit("zz")))
     return bm25.expand(terms, vocabulary).select(F.col("question_id").alias("item_id"), "term", "qtf")
 
