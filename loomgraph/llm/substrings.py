@@ -2,7 +2,7 @@
 
 Each task hashes every window of its texts, keeps the earliest place of each hash and marks its other
 places at once, so a passage that fills a task's texts leaves one record. The records are dealt to
-buckets by ranges of the hash, in blobs (8 bytes of hash and about one of place for each window), and
+buckets by ranges of the hash, in blobs (less than 8 bytes of hash and about one of place for each window), and
 each bucket marks all places of a hash but the earliest. Marks are gathered by groups of documents (of
 about ``TOGETHER``, or ``GATHERED`` words) and return to them, where overlapping windows merge into maximal
 removal intervals. The number of buckets follows the amount of text, so a bucket's size is bounded, and many
@@ -54,6 +54,19 @@ def unsqueezed(raw: bytes, kind: str = "<i4") -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """Hashes in their order: their least one, and the differences from it by byte planes, compressed. Those of a narrow
+    range have the same high bytes."""
+    low = hashes.min() if len(hashes) else np.uint64(0)
+    planes = np.ascontiguousarray((hashes - low).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return int(low).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[8:]), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel() + np.uint64(int.from_bytes(raw[:8], "little"))
+
+
 def later_places(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices of the places whose hash has an earlier (document, start)."""
     order = np.argsort(hashes, kind="stable")
@@ -100,7 +113,7 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
 def _blobs(buckets: common.Buckets, docs: np.ndarray, starts: np.ndarray, hashes: np.ndarray, fine: bool):
     """A row for each bucket, or coarse range of them, that has some of the places."""
     for bucket, own in buckets.parts(hashes, fine):
-        yield _sent([(bucket, *_runs(docs[own]), squeezed(starts[own]), hashes[own].astype("<u8").tobytes(), False)])
+        yield _sent([(bucket, *_runs(docs[own]), squeezed(starts[own]), packed(hashes[own]), False)])
 
 
 def _hashed(window: int, buckets: common.Buckets, groups: int):
@@ -152,7 +165,7 @@ def _again(buckets: common.Buckets):
                 if made:
                     yield _sent([(int.from_bytes(h, "little") % buckets.n, d, c, s, h, True)])
                     continue
-                parts.append((*_places(d, c, s), np.frombuffer(h, "<u8")))
+                parts.append((*_places(d, c, s), unpacked(h)))
                 held += len(parts[-1][0])
                 if held >= FLUSH:
                     yield from flush(parts)
@@ -174,7 +187,7 @@ def _marked(groups: int):
                 own = _places(d.as_py(), c.as_py(), s.as_py())
                 docs.append(own[0])
                 starts.append(own[1])
-                hashes.append(np.frombuffer(h.as_py(), "<u8"))
+                hashes.append(unpacked(h.as_py()))
         if hashes:
             docs, starts, hashes = np.concatenate(docs), np.concatenate(starts), np.concatenate(hashes)
             later = later_places(hashes, docs, starts)
