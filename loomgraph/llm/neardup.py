@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .substrings import FLUSH, GATHERED, squeezed, unsqueezed
+from .substrings import FLUSH, GATHERED, packed, squeezed, unpacked, unsqueezed
 
 SHINGLE = 5
 SIMILARITY = 75  # per cent
@@ -81,12 +81,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _runs(classes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes, bytes]:
     new = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
-    return classes[new].astype("<i8").tobytes(), squeezed(sizes[new]), squeezed(np.diff(np.append(new, len(classes))))
+    return squeezed(classes[new], "<i8"), squeezed(sizes[new]), squeezed(np.diff(np.append(new, len(classes))))
 
 
 def _blobs(buckets: common.Buckets, classes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, fine: bool):
     for bucket, own in buckets.parts(hashes, fine):
-        yield _rows([(1, bucket, *_runs(classes[own], sizes[own]), hashes[own].astype("<u8").tobytes(), None, None)])
+        yield _rows([(1, bucket, *_runs(classes[own], sizes[own]), packed(hashes[own]), None, None)])
 
 
 def _hashed(k: int, buckets: common.Buckets):
@@ -101,9 +101,10 @@ def _hashed(k: int, buckets: common.Buckets):
             ids, classes, texts = numbers
             yield _rows([(0, len(docs) % buckets.coarse, ids, squeezed(np.array(sizes)), null.tobytes(), classes, have.tobytes(), texts)])
         if sets:
-            n = np.array([len(s) for s in sets.values()], np.int64)
-            classes, sizes = np.repeat(np.array(list(sets), np.int64), n), np.repeat(n, n)
-            yield from _blobs(buckets, classes, sizes, np.concatenate(list(sets.values())), buckets.per == 1)
+            names = sorted(sets)  # numbers in order are sent as small differences
+            n = np.array([len(sets[c]) for c in names], np.int64)
+            classes, sizes = np.repeat(np.array(names, np.int64), n), np.repeat(n, n)
+            yield from _blobs(buckets, classes, sizes, np.concatenate([sets[c] for c in names]), buckets.per == 1)
 
     def run(batches):
         docs, sets, held = [], {}, 0
@@ -138,7 +139,7 @@ def _again(buckets: common.Buckets):
                     yield _rows([(0, owner * buckets.per, *row[2:])])
                     continue
                 n = unsqueezed(counts)
-                parts.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), np.frombuffer(hashes, np.uint64)))
+                parts.append((np.repeat(unsqueezed(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), unpacked(hashes)))
                 held += len(parts[-1][2])
                 if held >= FLUSH:
                     yield from flush(parts)
@@ -159,7 +160,7 @@ def _shared(groups: int):
                 out.append(own)
             else:
                 n = unsqueezed(counts)
-                parts.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), np.frombuffer(hashes, np.uint64)))
+                parts.append((np.repeat(unsqueezed(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), unpacked(hashes)))
         if parts:
             classes, sizes, hashes = (np.concatenate([p[i] for p in parts]) for i in range(3))
             parts.clear()
@@ -184,7 +185,7 @@ def _shared(groups: int):
                 cuts = np.flatnonzero(np.diff(holders, prepend=-1))
                 for a, b in zip(cuts, np.append(cuts[1:], len(own)), strict=len(own) > 0):
                     part = own[a:b]
-                    out.append((1, int(holders[a]), *_runs(classes[part], sizes[part]), hashes[part].tobytes(), df[a:b].tobytes(), None))
+                    out.append((1, int(holders[a]), *_runs(classes[part], sizes[part]), packed(hashes[part]), df[a:b].tobytes(), None))
         table = pa.Table.from_batches([_rows(out)])
         common.trim()
         return table
@@ -198,7 +199,7 @@ def _live(per_cent: int):
         parts = []
         for ids, sizes, counts, hashes, dfs in zip(*(owned.column(n).to_pylist() for n in NAMES[2:7]), strict=True):
             n = unsqueezed(counts)
-            parts.append((np.repeat(np.frombuffer(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), np.frombuffer(hashes, np.uint64), np.frombuffer(dfs, np.uint8)))
+            parts.append((np.repeat(unsqueezed(ids, "<i8"), n), np.repeat(unsqueezed(sizes), n), unpacked(hashes), np.frombuffer(dfs, np.uint8)))
         classes, sizes, hashes, dfs = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.lexsort((hashes, dfs, classes))
         cuts = np.flatnonzero(np.concatenate([[True], classes[order][1:] != classes[order][:-1]]))
@@ -444,7 +445,7 @@ def _subtrees(spark: SparkSession, live: DataFrame, together: int, per_cent: int
     placed = live.withColumns({"band": band, "none": F.coalesce("label", F.lit(-1).cast("long"))})
     key = ["candidate", "none", "band"]
     for part, by in (("part", F.xxhash64("least")), ("slice", F.xxhash64("class"))):
-        counts = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+        counts = common.sent_if_small(common.written(spark, placed.groupBy(*key).agg(F.count(F.lit(1)).alias("m")), "counts"))
         placed = placed.join(counts, key).withColumn(part, F.pmod(by, F.ceil(F.col("m") * 2 / together).cast("long"))).drop("m")
         key = [*key, part]
     placed = placed.withColumn("chunk", F.xxhash64(*key)).drop("none", "band", "part", "slice", "least")
@@ -527,9 +528,9 @@ def _large(spark: SparkSession, live: DataFrame, together: int, per_cent: int, p
     return found if links is None else links.union(found)
 
 
-def _candidates(spark: SparkSession, docs: DataFrame, shingle: int, per_cent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """doc_id, n_shingles and class of documents; classes that may link, with their candidate component; the
-    number of classes of each."""
+def _candidates(spark: SparkSession, docs: DataFrame, shingle: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and class of documents; classes that may link, with their candidate component and the
+    number of its classes (m)."""
     common.small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text"))
     volume = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
@@ -544,9 +545,9 @@ def _candidates(spark: SparkSession, docs: DataFrame, shingle: int, per_cent: in
     heads = prefixes.groupBy("token").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     stars = prefixes.join(heads, "token").filter("class != head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
     candidates = components(spark, stars).select(F.col("node").alias("class"), F.col("root").alias("candidate"))
-    grouped = live.drop("prefix").join(candidates, "class").select("class", "n", "least", "tokens", "candidate")
     sizes = candidates.groupBy("candidate").agg(F.count(F.lit(1)).alias("m"))
-    return shared.filter("kind = 0").mapInArrow(_documents, "doc_id long, n_shingles long, class long, text_hash long"), grouped, sizes
+    grouped = live.drop("prefix").join(candidates.join(sizes, "candidate"), "class").select("class", "n", "least", "tokens", "candidate", "m")
+    return shared.filter("kind = 0").mapInArrow(_documents, "doc_id long, n_shingles long, class long, text_hash long"), common.written(spark, grouped, "grouped")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
@@ -557,12 +558,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
 def linked(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER, pivots: int = PIVOTS) -> DataFrame:
     """``near_duplicates`` with each document's text_hash (xxhash64 of its text), and the class that names its
     component (root; null for a text without words)."""
-    all_docs, grouped, sizes = _candidates(spark, docs, shingle, per_cent)
+    all_docs, grouped = _candidates(spark, docs, shingle, per_cent)
     none = F.lit(None).cast("long").alias("label")
-    small = grouped.join(sizes.filter(F.col("m") <= together), "candidate")
+    small = grouped.filter(F.col("m") <= together)
     links = small.select("candidate", "class", "n", "tokens", none).groupBy("candidate").applyInArrow(_trees(per_cent), "a long, b long")
     links = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    large = common.written(spark, grouped.join(sizes.filter(F.col("m") > together).select("candidate"), "candidate").select("class", "n", "least", "tokens", "candidate"), "large")
+    large = grouped.filter(F.col("m") > together).drop("m")
     if not large.isEmpty():
         # Written, so that no task runs two Python workers.
         links = links.union(components(spark, common.written(spark, _large(spark, large, together, per_cent, pivots), "large_links")))
@@ -612,11 +613,11 @@ def _without(keyed: DataFrame, gone: DataFrame, id_: str, hash_: str) -> DataFra
 def document_links(spark: SparkSession, docs: DataFrame, *, shingle: int = SHINGLE, per_cent: int = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest doc_id with an equal set), n_classes (other classes that its
     class links with) and n_links (other documents that it links with, those of its class included)."""
-    all_docs, grouped, sizes = _candidates(spark, docs, shingle, per_cent)
+    all_docs, grouped = _candidates(spark, docs, shingle, per_cent)
     classes = all_docs.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("weight"))
     classes = common.written(spark, classes, "classes")
     none = F.lit(None).cast("long").alias("label")
-    placed = common.written(spark, grouped.join(sizes, "candidate").join(classes.select("class", "weight"), "class"), "placed")
+    placed = common.written(spark, grouped.join(classes.select("class", "weight"), "class"), "placed")
     small = placed.filter(F.col("m") <= together).select("candidate", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "class", "n", "tokens", "weight", F.lit(True).alias("first"))
     cut, pairs = _subtrees(spark, placed.filter(F.col("m") > together).select("candidate", "class", "n", "least", "tokens", "weight", none), together, per_cent)
     sides = pairs.withColumn("chunk", F.explode(F.array_distinct(F.array("i", "j"))))

@@ -672,8 +672,8 @@ def test_subtrees_meet_only_where_their_bounds_allow(spark):
             own[rnd.randrange(150)] = f"{family}new{k}"
             rows.append((len(rows), " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    _, grouped, _ = neardup._candidates(spark, docs, 5, 75)
-    one = grouped.withColumns({"candidate": F.lit(1).cast("long"), "label": F.lit(None).cast("long")})
+    _, grouped = neardup._candidates(spark, docs, 5, 75)
+    one = grouped.drop("m").withColumns({"candidate": F.lit(1).cast("long"), "label": F.lit(None).cast("long")})
     placed, pairs = neardup._subtrees(spark, one, 16, 75)
     chunks = {r.chunk: set() for r in placed.collect()}
     first = {r["class"]: r.doc_id // 60 for r in neardup._candidates(spark, docs, 5, 75)[0].collect()}
@@ -685,6 +685,12 @@ def test_subtrees_meet_only_where_their_bounds_allow(spark):
         assert len(chunks[i]) > 1 or len(chunks[j]) > 1 or chunks[i] == chunks[j]
 
 
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(3)
+    for own in (np.zeros(0, np.uint64), rng.integers(0, 2**64, 1000, np.uint64), rng.integers(2**63, 2**63 + 2**50, 77, np.uint64), np.array([2**64 - 1, 0], np.uint64)):
+        assert (substrings.unpacked(substrings.packed(own)) == own).all()
+
+
 def test_buckets_are_nested_and_whole(monkeypatch):
     hashes = common.mixed(np.arange(5000, dtype=np.uint64))
     for fan in (4, 4096):
