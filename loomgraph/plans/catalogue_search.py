@@ -130,11 +130,11 @@ def _with_ids(matches, outcome):
 
 @query("""SELECT n_nationkey AS question_id, 'f' || md5('k' || n_nationkey) AS suggestions FROM nation""")
 def refusal_suggestions(spark, sf_dir):
-    """What a refusal offers: customers and nations are symbols named by a digest, and each nation's question spells
-    one of them with its first two letters changed, which is close to that one alone and begins like none."""
+    """What a refusal offers: nations are symbols named by a digest, customers have short names, and each nation's question
+    spells its own with the first two letters changed, which is close to that one alone and begins like none."""
     own = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("key")).union(table(spark, sf_dir, "nation").select(F.concat(F.lit("k"), F.col("n_nationkey"))))
     texts = {"file": "string", "signature": "string", "doc": "string", "parent": "string"}
-    name = F.concat(F.lit("f"), F.md5("key"))
+    name = F.when(F.startswith("key", F.lit("c")), F.concat(F.lit("row"), F.substring("key", 2, 9))).otherwise(F.concat(F.lit("f"), F.md5("key")))
     all_ = own.select(F.lit(TARGET).alias("target"), F.col("key").alias("id"), name.alias("name"), F.lit("function").alias("type"), F.col("key").alias("seq")).withColumns({c: F.lit(None).cast(t) for c, t in texts.items()})
     spelled = F.concat(F.lit("z_"), F.substring(F.md5(F.concat(F.lit("k"), F.col("n_nationkey"))), 2, 31))
     asked = table(spark, sf_dir, "nation").select(F.lit(TARGET).alias("target"), F.col("n_nationkey").alias("question_id"), F.concat(F.lit("is "), spelled, F.lit(" ok")).alias("question"))
