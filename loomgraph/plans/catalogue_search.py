@@ -104,21 +104,24 @@ def cosine_topk(spark, sf_dir):
     return semantic.cosine_top_k(asked, own.select(F.col("vec_id").alias("id"), "vector")).select("question_id", "id", "score", "rank")
 
 
-@query("""SELECT c_custkey AS question_id, CASE c_custkey % 5 WHEN 0 THEN 'qualified' WHEN 1 THEN 'qualified-miss' WHEN 2 THEN 'named-symbol-miss' WHEN 3 THEN 'exact' ELSE 'none' END AS strategy,
-CASE WHEN c_custkey % 5 IN (0, 3) THEN 'HIGH' ELSE 'NONE' END AS confidence,
-CASE c_custkey % 5 WHEN 1 THEN '`Nation' || c_nationkey || '` exists in this codebase but it has no member named `nothing`.'
-WHEN 2 THEN 'The question names `useCart' || c_custkey || '`, and no symbol with that name exists in this codebase.' WHEN 4 THEN 'No symbol in the knowledge graph matched this question.' END AS reason,
-CASE c_custkey % 5 WHEN 0 THEN 'C' || c_custkey WHEN 3 THEN 'N' || c_nationkey || ',C' || c_custkey END AS ids FROM customer""")
+@query("""WITH l AS (SELECT c_nationkey, min(c_custkey) AS k FROM customer GROUP BY c_nationkey), q AS (SELECT s_suppkey, c_nationkey, k, s_suppkey % 5 AS shape FROM supplier JOIN l ON s_nationkey = c_nationkey)
+SELECT s_suppkey AS question_id, CASE shape WHEN 0 THEN 'qualified' WHEN 1 THEN 'qualified-miss' WHEN 2 THEN 'named-symbol-miss' WHEN 3 THEN 'exact' ELSE 'none' END AS strategy,
+CASE WHEN shape IN (0, 3) THEN 'HIGH' ELSE 'NONE' END AS confidence,
+CASE shape WHEN 1 THEN '`Nation' || c_nationkey || '` exists in this codebase but it has no member named `nothing`.'
+WHEN 2 THEN 'The question names `useCart' || s_suppkey || '`, and no symbol with that name exists in this codebase.' WHEN 4 THEN 'No symbol in the knowledge graph matched this question.' END AS reason,
+CASE shape WHEN 0 THEN 'C' || k WHEN 3 THEN 'N' || c_nationkey || ',C' || k END AS ids FROM q""")
 def layered_retrieve(spark, sf_dir):
-    """The whole layered retrieval, with a question for each customer: a member, an unknown member, an unknown symbol,
-    two exact names, or nothing. Suggestions, which have no SQL form, are ``retrieve_layers``'."""
-    own = table(spark, sf_dir, "customer")
-    nation, member, shape = F.concat(F.lit("Nation"), F.col("c_nationkey")), F.concat(F.lit("entry"), F.col("c_custkey")), F.col("c_custkey") % 5
+    """The whole layered retrieval over nations and customers, with a question for each supplier whose nation has
+    customers: a member, an unknown member, an unknown symbol, two exact names, or nothing. Suggestions, which have no SQL
+    form, are ``retrieve_layers``'."""
+    least = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
+    own = table(spark, sf_dir, "supplier").join(least, F.col("s_nationkey") == F.col("c_nationkey"))
+    nation, member, shape = F.concat(F.lit("Nation"), F.col("c_nationkey")), F.concat(F.lit("entry"), F.col("k")), F.col("s_suppkey") % 5
     text = (
         F.when(shape == 0, F.concat(F.lit("what does "), nation, F.lit("."), member, F.lit(" do?"))).when(shape == 1, F.concat(F.lit("what does "), nation, F.lit(".nothing do?")))
-        .when(shape == 2, F.concat(F.lit("where is useCart"), F.col("c_custkey"), F.lit(" ?"))).when(shape == 3, F.concat_ws(" ", nation, F.lit("and"), member)).otherwise(F.lit("zq vk"))
+        .when(shape == 2, F.concat(F.lit("where is useCart"), F.col("s_suppkey"), F.lit(" ?"))).when(shape == 3, F.concat_ws(" ", nation, F.lit("and"), member)).otherwise(F.lit("zq vk"))
     )
-    asked = own.select(F.lit(TARGET).alias("target"), F.col("c_custkey").alias("question_id"), text.alias("question"))
+    asked = own.select(F.lit(TARGET).alias("target"), F.col("s_suppkey").alias("question_id"), text.alias("question"))
     matches, outcome = retrieve.retrieve(asked, _nation_nodes(spark, sf_dir))
     return _with_ids(matches, outcome).select("question_id", "strategy", "confidence", "reason", "ids")
 
