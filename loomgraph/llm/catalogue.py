@@ -1,6 +1,6 @@
-"""Queries of the ten operators, by their names in the driver contract."""
+"""Queries of the twelve operators, by their names in the driver contract."""
 
-from . import chat, decontaminate, langid, licenses, neardup, neighbours, oracle, packing, substrings, toxicity, urls
+from . import chat, decontaminate, fim, langid, licenses, neardup, neighbours, oracle, packing, simhash, substrings, toxicity, urls
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8,
         "op9_ngram_jaccard_join": neardup.op9,
         "op10_benchmark_decontamination": decontaminate.op10,
+        "op11_fill_in_middle": fim.op11,
+        "op12_simhash_near_dedup": simhash.op12,
         "near_duplicate_links": neardup.links,
     }
 
@@ -26,5 +28,6 @@ def oracle_sql() -> dict:
         "op6_chat_formatting": oracle.OP6,
         "op9_ngram_jaccard_join": oracle.OP9,
         "op10_benchmark_decontamination": oracle.OP10,
+        "op11_fill_in_middle": oracle.OP11,
         "near_duplicate_links": oracle.LINKS,
     }
