@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.constants import CALLABLE_TYPES
-from ..operators import combinators, context, graph, resolve
+from ..operators import combinators, context, graph, resolve, traverse
 from ..sources import files
 from ..sources.parse import parse_files
 from .build import stored
@@ -371,3 +371,31 @@ UNION ALL SELECT '  "' || frm || '" -> "' || "to" || '" [label="calls", style=so
 def dot_lines(spark, sf_dir):
     blocks, _ = _blocks(spark, sf_dir)
     return context.dot_statements(stored(spark, blocks, "blocks")).select("statement")
+
+
+#: Calls and containment, each once.
+LINKS = """e AS (SELECT frm, "to" FROM edges UNION SELECT parent, id FROM nv WHERE type <> 'file' AND parent IS NOT NULL)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = call_sites(spark, sf_dir).select("target", "frm", "to")
+    return calls.unionByName(graph.contains_edges(nodes(spark, sf_dir))).distinct()
+
+
+@query(_with(NV, CS, EDGES, LINKS) + """, r AS (SELECT id AS seed, id AS node, 0 AS hop FROM nv WHERE type = 'function' UNION SELECT r.seed, e.frm, r.hop + 1 FROM r JOIN e ON e."to" = r.node),
+m AS (SELECT seed, node, min(hop) AS hop FROM r GROUP BY seed, node)
+SELECT m.seed, m.node, CAST(m.hop AS INT) AS hop, min(p.node) AS parent FROM m LEFT JOIN e ON e.frm = m.node LEFT JOIN m p ON p.seed = m.seed AND p.node = e."to" AND p.hop = m.hop - 1 GROUP BY m.seed, m.node, m.hop""")
+def transitive_callers(spark, sf_dir):
+    """All that calls or contains a function, over any number of hops, and over what."""
+    seeds = nodes(spark, sf_dir).filter("type = 'function'").select("target", "id")
+    return traverse.reach(_links(spark, sf_dir), seeds, incoming=True).rows.select("seed", "node", "hop", "parent")
+
+
+@query(_with(NV, CS, EDGES, LINKS) + """, p AS (SELECT 'R' || (s_suppkey % 5) AS frm, 'S' || s_suppkey AS "to" FROM supplier),
+r AS (SELECT DISTINCT frm, frm AS node, [frm] AS path FROM p UNION ALL SELECT r.frm, e."to", list_append(r.path, e."to") FROM r JOIN e ON e.frm = r.node)
+SELECT p.frm, p."to", CAST(min(len(path)) - 1 AS INT) AS length, arg_min(array_to_string(path, '>'), (len(path), path)) AS path FROM p JOIN r ON r.frm = p.frm AND r.node = p."to" GROUP BY p.frm, p."to\"""")
+def shortest_paths(spark, sf_dir):
+    """From a file to each function, by containment or by way of a caller; of several the smallest."""
+    pairs = table(spark, sf_dir, "supplier").select(F.lit(TARGET).alias("target"), F.concat(F.lit("R"), F.col("s_suppkey") % 5).alias("frm"), F.concat(F.lit("S"), F.col("s_suppkey")).alias("to"))
+    found, _ = traverse.shortest_paths(_links(spark, sf_dir), pairs)
+    return found.select("frm", "to", "length", F.array_join("path", ">").alias("path"))
