@@ -134,36 +134,62 @@ def lexical_layer(questions: DataFrame, nodes: DataFrame, index: LexicalIndex, h
     return bm25.weighted(found, nodes.select("target", "id", "type", "seq"), hints, limit)
 
 
-def close_matches(words: pd.Series, pools: pd.Series) -> pd.Series:
-    """The three names of each pool that are closest to the word, at a ratio of 0.6 at least, with their ratio."""
-
-    def best(word: str, pool) -> list[dict]:
-        return [{"ratio": _ratio(word, k), "known": k} for k in difflib.get_close_matches(word, list(pool), n=3, cutoff=0.6)]
-
-    return pd.Series([best(w, p) for w, p in zip(words, pools, strict=True)])
-
-
-def _ratio(word: str, known: str) -> float:
-    return difflib.SequenceMatcher(None, known, word).ratio()
+#: The ratio that a suggestion needs, and classes of characters by which names are grouped: a letter in either case, digits,
+#: signs that part names; all others are a class too.
+CLOSE = 0.6
+CLASSES = (*(chr(a) + chr(a).upper() for a in range(ord("a"), ord("z") + 1)), "0123456789", "_.")
+
+
+def character_counts(name: Column) -> Column:
+    """How many characters of each class a name has."""
+    counts = [F.length(name) - F.length(F.translate(name, c, "")) for c in CLASSES]
+    return F.array(*counts, F.length(F.translate(name, "".join(CLASSES), "")))
+
+
+def ratios(words: pd.Series, names: pd.Series) -> pd.Series:
+    """The ratio of matching blocks of each word and name, where it is at least ``CLOSE``, else null."""
+    out, match, now = [], difflib.SequenceMatcher(), None
+    for word, known in zip(words, names, strict=True):
+        if word != now:
+            match.set_seq2(word)
+            now = word
+        match.set_seq1(known)
+        close = match.real_quick_ratio() >= CLOSE and match.quick_ratio() >= CLOSE
+        out.append(r if close and (r := match.ratio()) >= CLOSE else None)
+    return pd.Series(out, dtype="float64")
+
+
+def close_names(words: DataFrame, pools: DataFrame, k: int = 3) -> DataFrame:
+    """(target, word, pool, known, ratio, rank): of each pool (target, pool, known) the k names that are closest to a
+    word (target, word), ties to the greater name.
+
+    A ratio is at most twice the characters that both share over the sum of lengths, and characters in common are no more
+    than characters of one class in common. Names with the same numbers of each class are one group, so a word meets groups
+    of the lengths that allow the ratio, and names of the groups that allow it; only those are compared."""
+    once = words.select("target", "word").distinct().withColumn("has", character_counts(F.col("word"))).withColumn("size", F.length("word"))
+    named = pools.withColumn("bag", F.array_join(character_counts(F.col("known")), ","))
+    groups = named.select("target", "bag", F.length("known").alias("length")).distinct()
+    least, most = F.ceil(F.col("size") * CLOSE / (2 - CLOSE) - 1e-9), F.floor(F.col("size") * (2 - CLOSE) / CLOSE + 1e-9)
+    met = once.withColumn("length", F.explode(F.sequence(least.cast("int"), most.cast("int")))).join(groups, ["target", "length"])
+    shared = F.aggregate(F.zip_with("has", F.split("bag", ",").cast("array<int>"), lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+    pairs = met.filter(2 * shared >= CLOSE * (F.col("size") + F.col("length")) - 1e-9).select("target", "word", "bag")
+    pairs = pairs.join(named, ["target", "bag"]).select("target", "word", "pool", "known")
+    # Matching blocks are a common subsequence, and an edit distance is at most what such a one leaves over of both.
+    pairs = pairs.filter(F.levenshtein("word", "known") <= (1 - CLOSE) * (F.length("word") + F.length("known")) + 1e-9)
+    # A ratio costs far more than a row, so pairs are dealt out whatever their number of bytes; one word's come together.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(tasks, "target", "word", "pool", "known").sortWithinPartitions("target", "word")
+    close = pairs.withColumn("ratio", F.pandas_udf(ratios, "double")("word", "known")).filter("ratio IS NOT NULL")
+    return top_k(close, ["target", "word", "pool"], [F.desc("ratio"), F.desc("known")], k)
 
 
 def suggestions(questions: DataFrame, nodes: DataFrame, qualified: DataFrame, limit: int = 5) -> DataFrame:
     """(target, question_id, suggestions): names close to the question's words, by the ratio of matching blocks,
-    qualified ones before bare ones; else the first names.
-
-    The ratio has no built-in form, so refused questions' words meet blocks of names in an Arrow UDF. Names are
-    blocked by length, since a ratio of 0.6 bounds a length by 1.5 + 1/6 of the other's, and each block holds few
-    names; the best three of the blocks' best three are the best three."""
+    qualified ones before bare ones; else the first names. Each word is looked up once, however many questions have it."""
     own = symbols(nodes).join(qualified, ["target", "id"])
     pools = own.select("target", F.lit(0).alias("pool"), F.col("qualified").alias("known")).union(own.select("target", F.lit(1), F.col("name"))).distinct()
-    sized = pools.withColumn("length", F.length("known")).withColumn("block", F.pmod(F.xxhash64("known"), F.lit(16)))
-    names = sized.groupBy("target", "pool", "length", "block").agg(F.array_sort(F.collect_list("known")).alias("names"))
     words = questions.select(*Q, F.posexplode(identifiers(F.col("question"))).alias("place", "word")).filter(F.length("word") > 2)
-    lengths = F.sequence(F.ceil(F.length("word") * 3 / 7).cast("int"), F.floor(F.length("word") * 7 / 3).cast("int"))
-    met = words.withColumn("length", F.explode(lengths)).join(names, ["target", "length"])
-    close = F.pandas_udf(close_matches, "array<struct<ratio:double,known:string>>")
-    hits = met.select(*Q, "place", "pool", F.explode(close("word", "names")).alias("hit")).select(*Q, "place", "pool", "hit.*")
-    best = top_k(hits, [*Q, "place", "pool"], [F.desc("ratio"), F.desc("known")], 3)
+    best = words.join(close_names(words, pools).drop("ratio"), ["target", "word"])
     once = first_wins(best, [*Q, "known"], ["place", "pool", "rank"])
     listed = once.groupBy(*Q).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pool", "rank", "known"))), lambda x: x["known"]).alias("found"))
     first = top_k(pools.filter("pool = 0"), ["target"], ["known"], limit).groupBy("target").agg(F.array_sort(F.collect_list("known")).alias("first"))
