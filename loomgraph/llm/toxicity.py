@@ -9,9 +9,8 @@ at least), or if they do so together with another: among the texts that hold one
 the machine scores alike, the labels of those with the term differ from what the machine expects of them. So
 a word that is as common in clean as in toxic texts counts where its company decides, and wrong labels aren't
 learned by heart through rare words. The pairs are looked through again with what they added, ``ROUNDS``
-times at most. Pairs of which neither term shows alone are tested as pairs against that machine, all those of terms that come in
-enough rows for two independent ones to meet in ``MET`` rows; pairs that meet in fewer show nothing by themselves.
-Fitted by Adam on the logistic loss with weight decay.
+times at most. Pairs of which neither term shows alone are tested as pairs against that machine: all pairs that meet in
+``MET`` learning rows, however often or seldom each of the two is; fewer rows show nothing by themselves. Fitted by Adam on the logistic loss with weight decay.
 
 Learning takes a sample of at most ``SAMPLE`` labelled rows, chosen by a hash of doc_id; this bound is a
 parameter and the only thing that the broadcast of labels holds. Every text is scored whole.
@@ -114,35 +113,56 @@ def companions(rows: list[np.ndarray], labels: np.ndarray, used: np.ndarray, p:
     return names[best >= min_ratio + 2 * np.log(len(groups))]
 
 
-def interacting(rows: list[np.ndarray], labels: np.ndarray, p: np.ndarray, min_ratio: float = MIN_RATIO, block: int = 512) -> np.ndarray:
-    """Terms of pairs whose labels, where both are there, differ from the probabilities ``p``. Counts of all pairs
-    are products of the presence matrix with itself, some columns at a time."""
-    n = len(rows)
+def interacting(rows: list[np.ndarray], labels: np.ndarray, p: np.ndarray, min_ratio: float = MIN_RATIO) -> np.ndarray:
+    """Terms of pairs whose labels, where both are there, differ from the probabilities ``p``, among all pairs that meet in
+    ``MET`` rows; terms of the same rows (words and their stems, mostly) are one.
+
+    No bound on how often a term comes says whether it is looked at, only one that loses no pair: the ratio of a pair is
+    at most twice the sum of -ln p over its toxic rows, where they are more than expected, or of -ln(1 - p) over its clean
+    rows, where those are. So a term over all of whose rows both sums are too small has no pair that passes."""
     names, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     df = np.bincount(flat, minlength=len(names))
-    least = int(np.ceil(np.sqrt(MET * n)))
-    often = np.flatnonzero((df >= least) & (df <= n - least))
-    if len(often) < 2:
+    # Terms of equal rows have equal sums of the rows' numbers.
+    draw = np.random.default_rng(1).integers(1 << 63, size=len(rows), dtype=np.uint64)
+    same = np.add.reduceat(draw[row[np.argsort(flat, kind="stable")]], np.cumsum(df) - df) if len(names) else np.zeros(0, np.uint64)
+    often = np.flatnonzero(df >= MET)
+    _, first, group = np.unique(same[often], return_index=True, return_inverse=True)
+    if len(first) < 2:
+        return names[:0]
+    bar = min_ratio + 2 * np.log(len(first) * (len(first) - 1) / 2)
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    most = np.maximum(*(np.bincount(flat, weight[row], len(names)) for weight in (np.where(labels > 0, -np.log(p), 0), np.where(labels > 0, 0, -np.log(1 - p)))))
+    able = np.flatnonzero(most[often[first]] >= bar / 2)
+    n = len(able)
+    if n < 2:
         return names[:0]
     at = np.full(len(names), -1)
-    at[often] = np.arange(len(often))
-    column, row = at[flat], np.repeat(np.arange(n), [len(r) for r in rows])
-    there = np.zeros((n, len(often)), np.uint8)
-    there[row[column >= 0], column[column >= 0]] = 1
-    bar, found = min_ratio + 2 * np.log(len(often) ** 2 / 2), np.zeros(len(often), bool)
-    for k in range(0, len(often), block):
-        some = there[:, k : k + block].astype(np.float32)
-        met, toxic, expected = (np.zeros((some.shape[1], len(often)), np.float32) for _ in range(3))
-        for j in range(0, len(often), block):
-            other = there[:, j : j + block].astype(np.float32)
-            for out, weight in ((met, None), (toxic, labels), (expected, p)):
-                out[:, j : j + block] = (some if weight is None else some * weight[:, None].astype(np.float32)).T @ other
-        expected = np.clip(expected, 0.5, np.maximum(met - 0.5, 0.5))
-        ratio = 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(e, 0.5)), 0) for seen, e in ((toxic, expected), (met - toxic, met - expected)))
-        hit = (ratio >= bar) & (met >= MET)
-        found |= hit.any(0)
-        found[k : k + block] |= hit.any(1)
-    return names[often[found]]
+    at[often[first[able]]] = np.arange(n)
+    there = at[flat] >= 0
+    term, row = at[flat[there]], row[there]
+    order = np.lexsort((term, row))
+    term, row = term[order], row[order]
+    ends, places = np.searchsorted(row, np.arange(len(rows)), "right"), np.argsort(term, kind="stable")
+    starts = np.searchsorted(term[places], np.arange(n + 1))
+    weight, toxic_row, found = p[row], labels[row] > 0, np.zeros(len(first), bool)
+    for i in range(n):
+        own = places[starts[i] : starts[i + 1]]
+        size = ends[row[own]] - own - 1  # the terms after it in each of its rows
+        here = np.repeat(own + 1 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        others = term[here] - (i + 1)
+        met = np.bincount(others)
+        some = np.flatnonzero(met >= MET)
+        if not len(some):
+            continue
+        toxic, expected = (np.bincount(o, w, len(met))[some] for o, w in ((others[toxic_row[here]], None), (others, weight[here])))
+        met = met[some]
+        expected = np.clip(expected, 0.5, met - 0.5)
+        ratio = 2 * sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / e), 0) for seen, e in ((toxic, expected), (met - toxic, met - expected)))
+        high = some[ratio >= bar]
+        if len(high):
+            found[able[np.append(high + i + 1, i)]] = True
+    return names[often[found[group]]]
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, min_ratio: float = MIN_RATIO, rounds: int = ROUNDS, **how) -> Machine:
@@ -161,7 +181,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, factors: int = FACTORS, m
     return machine
 
 
-def _fitted(rows: list[np.ndarray], labels: np.ndarray, used: np.ndarray, factors: int, *, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> Machine:
+def _fitted(rows: list[np.ndarray], labels: np.ndarray, used: np.ndarray, factors: int, *, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 3e-4, seed: int = 7) -> Machine:
     """A machine whose used terms carry weights."""
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(1, len(used) + 1)

@@ -523,6 +523,54 @@ def test_toxicity_learns_a_pair_without_effects_of_its_words():
     assert len(toxicity.interacting(rows[:2000], rng.permutation(labels[:2000]), np.full(2000, labels[:2000].mean()))) == 0
 
 
+@pytest.mark.parametrize(("each", "both", "base"), [(200, 20, 0.1), (120, 60, 0.5)])
+def test_toxicity_learns_pairs_of_seldom_words(each, both, base):
+    """Two words that are toxic together and never alone, in few of 6,000 rows: neither shows by itself."""
+    rng = np.random.default_rng(2)
+    words = [[f"w{k}" for k in rng.choice(400, 20, replace=False)] for _ in range(6000)]
+    labels, order = (rng.random(6000) < base).astype(float), rng.permutation(6000)
+    for i in order[: 2 * each - both]:
+        place = int(np.flatnonzero(order[: 2 * each - both] == i)[0])
+        words[i] += ["slur"] * (place < each) + ["folk"] * (place < both or place >= each)
+        labels[i] = float(place < both)
+    machine = toxicity.fit([toxicity.terms(" ".join(w).encode()) for w in words], labels)
+
+    def scores(more):
+        return machine.score([toxicity.terms(" ".join([*(f"w{k}" for k in rng.choice(400, 20, replace=False)), *more]).encode()) for _ in range(50)])
+
+    assert scores(["slur", "folk"]).min() > 0.8
+    assert scores(["slur"]).max() < 0.2 and scores(["folk"]).max() < 0.2
+    assert abs(scores([]).mean() - base) < 0.05
+
+
+def test_interacting_terms_are_brute_force():
+    rng = np.random.default_rng(6)
+    for base in (0.1, 0.5):
+        pool = np.sort(rng.choice(1 << toxicity.BITS, 60, replace=False)).astype(np.int32)
+        rows = [np.sort(rng.choice(pool, rng.integers(0, 25), replace=False)) for _ in range(800)]
+        rows = [np.union1d(r, r[r == pool[3]] + 1).astype(np.int32) for r in rows]  # a term of the same rows as another
+        p = np.clip(rng.beta(2, 2 / base - 2, 800), 0.01, 0.99)
+        labels = (rng.random(800) < p).astype(float)
+        for i, r in enumerate(rows):
+            if {pool[3], pool[9]} <= set(r.tolist()):
+                labels[i] = 1.0
+            if {pool[20], pool[21]} <= set(r.tolist()):
+                labels[i] = 0.0
+        columns = {t: frozenset(i for i, r in enumerate(rows) if t in r) for t in np.unique(np.concatenate(rows)).tolist()}
+        kinds = sorted({c for c in columns.values() if len(c) >= toxicity.MET}, key=sorted)
+        bar, hit = 8 + 2 * np.log(len(kinds) * (len(kinds) - 1) / 2), set()
+        for k, a in enumerate(kinds):
+            for b in kinds[:k]:
+                both = sorted(a & b)
+                if len(both) < toxicity.MET:
+                    continue
+                m, t, e = len(both), labels[both].sum(), np.clip(p[both].sum(), 0.5, len(both) - 0.5)
+                ratio = 2 * sum(x * np.log(x / y) if x else 0 for x, y in ((t, e), (m - t, m - e)))
+                hit |= {a, b} if ratio >= bar else set()
+        want = sorted(t for t, c in columns.items() if c in hit)
+        assert toxicity.interacting(rows, labels, p, 8).tolist() == want and len(want) >= 3
+
+
 def test_machine_is_the_sum_over_pairs():
     rng = np.random.default_rng(5)
     place = np.zeros(1 << toxicity.BITS, np.int32)
