@@ -5,10 +5,15 @@ rule's, and the longest fitting rule wins. Urls that a rule decides are the labe
 from at most ``SAMPLE`` of them (a documented bound): different urls, half of them of either verdict and chosen by a
 hash, each with as much weight as there are rows that it stands for. So neither a url with very many rows nor a
 rare verdict drives the others out. The trees judge what no rule decides.
-Features: length, lengths and depth of host and path, share of digits, entropy, numbers of parameters,
-hyphens and dots, and the share of blocked urls among labelled ones with the same suffix of the host
-(smoothed towards the mean). Those shares are counted over all labelled urls, not the sample; the driver holds a
-number for each last label of a labelled host. Trees are grown on histograms of the features' quantiles.
+
+Features: length, lengths and depth of host and path, share of digits, entropy, numbers of parameters, hyphens and dots,
+and shares of blocked urls among labelled ones that have a part in common with the url: the suffix of two labels of its
+host (smoothed towards the mean), the one of three (smoothed towards that of two), the ending of its path
+(what stands after the last dot of the last name) and the first name in it (both towards the mean). The last label alone
+isn't one of them: it says more about where rules were written than about a url. Shares are counted over all labelled urls
+in Spark and joined to the urls, so no list of suffixes is held by the driver. While the trees are fitted, a url's shares
+leave out all labelled urls of its own host, as urls that are to be judged mostly are of hosts without a rule.
+Trees are grown on histograms of the features' quantiles.
 
 Cases: a null url or one without "://" has an empty host and path, fits no rule and is judged by the
 trees like any other text. Without labelled urls of both kinds every undecided url is allowed. Repeated
@@ -54,19 +59,60 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return own.withColumn("rule", none if found is None else found).withColumn("ruled", none if verdict is None else verdict)
 
 
-def suffix(host: str) -> str:
-    """The last label of a host; the part of it that says least about a single site."""
-    return host.rpartition(".")[2]
+#: Parts of a url that shares are counted of.
+PARTS = ("two", "three", "ending", "name")
+SHARES = tuple(f"{part}_share" for part in PARTS)
+#: Labelled urls that the wider share counts for.
+SMOOTH = 10
+
+
+def with_parts(ruled: DataFrame) -> DataFrame:
+    """Adds the parts of each url: suffixes of two and three labels of its host (the whole of a shorter one), the ending
+    of its path and the first name in it."""
+    last = F.element_at(F.split("path", "/"), -1)
+    ending = F.when(F.contains(last, F.lit(".")), F.lower(F.substring_index(last, ".", -1))).otherwise("")
+    return ruled.withColumns({"two": F.substring_index("host", ".", -2), "three": F.substring_index("host", ".", -3), "ending": ending, "name": F.coalesce(F.get(F.split("path", "/"), 1), F.lit(""))})
+
+
+def smoothed(n, bad, towards):
+    return (bad + SMOOTH * towards) / (n + SMOOTH)
+
+
+def counts(labelled: DataFrame, part: str, *more: str) -> DataFrame:
+    """How many labelled urls, and blocked ones, have a part."""
+    blocked = F.count_if(F.col("ruled") == "block").alias(f"{part}_bad")
+    return labelled.groupBy(part, *more).agg(F.count(F.lit(1)).alias(f"{part}_n"), blocked)
+
+
+def with_counts(urls: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    for part, table in tables.items():
+        urls = urls.join(table, part, "left").na.fill(0, [f"{part}_n", f"{part}_bad"])
+    return urls
 
 
-def features(url: str, host: str, path: str, shares: dict[str, float], mean: float) -> list[float]:
-    n = max(len(url), 1)
-    counts = np.array(list(Counter(url).values()), float) / n if url else np.ones(1)
-    query = url.partition("?")[2]
-    return [
-        len(url), len(host), len(path), path.count("/"), sum(map(str.isdigit, url)) / n, float(-(counts * np.log2(counts)).sum()),
-        query.count("=") + query.count("&"), host.count("-"), host.count("."), max(map(len, host.split("."))), shares.get(suffix(host), mean),
-    ]
+def with_shares(counted: DataFrame, mean: float) -> DataFrame:
+    """The shares, from numbers of labelled urls and blocked ones (<part>_n, <part>_bad)."""
+    two = smoothed(F.col("two_n"), F.col("two_bad"), F.lit(mean))
+    others = [smoothed(F.col(f"{part}_n"), F.col(f"{part}_bad"), F.lit(mean)) for part in ("ending", "name")]
+    return counted.withColumns(dict(zip(SHARES, (two, smoothed(F.col("three_n"), F.col("three_bad"), two), *others), strict=True)))
+
+
+def lexical() -> list:
+    """The features of a url (url, host, path) that are built-in expressions, in their order; entropy comes after them."""
+    url = F.coalesce("url", F.lit(""))
+    query = F.when(F.contains(url, F.lit("?")), F.expr("substring(url, instr(url, '?') + 1)")).otherwise("")
+
+    def times(text, signs: str):
+        return F.length(text) - F.length(F.translate(text, signs, ""))
+
+    longest = F.array_max(F.transform(F.split("host", r"\."), F.length))
+    values = [F.length(url), F.length("host"), F.length("path"), times(F.col("path"), "/"), times(url, "0123456789") / F.greatest(F.length(url), F.lit(1)), times(query, "=&"), times(F.col("host"), "-"), times(F.col("host"), "."), longest]
+    return [v.cast("double") for v in values]
+
+
+def entropy(url: str) -> float:
+    counts = np.array(list(Counter(url).values()), float) / len(url) if url else np.ones(1)
+    return float(-(counts * np.log2(counts)).sum())
 
 
 class Trees:
@@ -133,64 +179,75 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
 
-class Judge:
-    """Suffix shares, from how many labelled urls and blocked ones each suffix has, and trees, learned from a
-    sample; allows all where there is nothing to learn."""
+def matrix(lexical_: list, shares: list, urls: list) -> np.ndarray:
+    """Rows of features: lexical ones, shares and entropy."""
+    n = len(urls)
+    return np.column_stack([np.array(lexical_, float).reshape(n, -1), np.array(shares, float).reshape(n, len(SHARES)), np.array([entropy(u or "") for u in urls], float)])
 
-    def __init__(self, labelled: list[tuple[str, str, str, bool, float]], counts: dict[str, tuple[int, int]]):
-        """Rows are url, host, path, whether it is blocked, and weight."""
-        y = np.array([r[3] for r in labelled], float)
-        every, blocked = sum(n for n, _ in counts.values()), sum(bad for _, bad in counts.values())
-        self.mean, self.shares, self.trees = blocked / max(every, 1), {}, None
-        if not 0 < self.mean < 1 or not len(y):
-            self.mean = 0.0
-            return
-        self.shares = {s: (bad + 10 * self.mean) / (n + 10) for s, (n, bad) in counts.items()}
-        self.trees = Trees(self.matrix([r[:3] for r in labelled]), y, np.array([r[4] for r in labelled], float))
 
-    def matrix(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
-        return np.array([features(u, h, p, self.shares, self.mean) for u, h, p in rows], float).reshape(len(rows), 11)
+class Judge:
+    """Trees and the mean share of blocked urls; allows all where there is nothing to learn."""
+
+    def __init__(self, mean: float, trees: Trees | None):
+        self.mean, self.trees = mean, trees
 
-    def blocked(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
-        return self.trees.probability(self.matrix(rows)) if self.trees else np.zeros(len(rows))
+    def blocked(self, x: np.ndarray) -> np.ndarray:
+        return self.trees.probability(x) if self.trees and len(x) else np.zeros(len(x))
 
 
-def learn(ruled: DataFrame, sample: int = SAMPLE) -> Judge:
+def learn(spark: SparkSession, ruled: DataFrame, sample: int = SAMPLE) -> tuple[Judge, dict[str, DataFrame]]:
+    """The judge, and the table of counts of each part (with_parts' columns are there)."""
     labelled, h = ruled.filter("ruled IS NOT NULL"), F.xxhash64("url")
-    blocked = F.col("ruled") == "block"
-    by_suffix = labelled.groupBy(F.substring_index("host", ".", -1).alias("suffix"))
-    found = by_suffix.agg(F.count(F.lit(1)).alias("n"), F.count_if(blocked).alias("bad")).collect()
-    counts = {r.suffix: (r.n, r.bad) for r in found}
     different = {r.ruled: (r.urls, r.n) for r in labelled.groupBy("ruled").agg(F.approx_count_distinct("url").alias("urls"), F.count(F.lit(1)).alias("n")).collect()}
-    rows = []
+    every = sum(n for _, n in different.values())
+    mean = different.get("block", (0, 0))[1] / max(every, 1)
+    tables = {part: common.sent_if_small(common.written(spark, counts(labelled, part), f"url-{part}")) for part in PARTS}
+    if not 0 < mean < 1:
+        return Judge(0.0, None), tables
+    chosen = None
     for verdict, (urls, n) in sorted(different.items()):
         # Of all different urls about the wanted number and some more, so few are counted and sorted.
         share = min(1.0, 1.5 * (sample // 2) / max(urls, 1))
         own = labelled.filter((F.col("ruled") == verdict) & (F.pmod(h, F.lit(1_000_003)) < share * 1_000_003))
-        once = own.groupBy("url", "host", "path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.xxhash64("url"), "url").limit(sample // 2).collect()
-        each = n / max(sum(r.n for r in once), 1)
-        rows += [(r.url, r.host, r.path, verdict == "block", r.n * each) for r in once]
-    return Judge(rows, counts)
+        once = own.groupBy("url", "host", "path", *PARTS, "ruled").agg(F.count(F.lit(1)).alias("rows")).withColumn("h", F.xxhash64("url")).orderBy("h", "url").limit(sample // 2)
+        once = once.withColumn("all", F.lit(n))
+        chosen = once if chosen is None else chosen.unionByName(once)
+    chosen = common.written(spark, chosen, "url-sample")
+    counted = with_counts(chosen, tables)
+    hosts = F.broadcast(chosen.select("host").distinct())  # no more than the sample
+    for part in PARTS:
+        # What the url's own host has of the part is left out.
+        own = counts(labelled.join(hosts, "host", "left_semi"), part, "host").withColumnsRenamed({f"{part}_n": "own_n", f"{part}_bad": "own_bad"})
+        counted = counted.join(own, [part, "host"], "left").na.fill(0, ["own_n", "own_bad"])
+        counted = counted.withColumns({f"{part}_n": F.col(f"{part}_n") - F.col("own_n"), f"{part}_bad": F.col(f"{part}_bad") - F.col("own_bad")}).drop("own_n", "own_bad")
+    rows = with_shares(counted, mean).select("url", "h", "ruled", "rows", "all", F.array(*lexical()).alias("lexical"), F.array(*SHARES).alias("shares")).orderBy("ruled", "h", "url").collect()
+    sums = Counter()
+    for r in rows:
+        sums[r.ruled] += r.rows
+    weight = np.array([r.rows * r["all"] / sums[r.ruled] for r in rows])
+    x = matrix([r.lexical for r in rows], [r.shares for r in rows], [r.url for r in rows])
+    return Judge(mean, Trees(x, np.array([r.ruled == "block" for r in rows], float), weight)), tables
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of the trees; null where a rule decides)."""
     common.small_batches(spark)
-    ruled = with_rules(pages, rules)
-    sent = spark.sparkContext.broadcast(learn(ruled, sample))  # bounded by the sample and the number of trees
+    ruled = with_parts(with_rules(pages, rules))
+    learned, tables = learn(spark, ruled, sample)
+    sent = spark.sparkContext.broadcast(learned)  # bounded by the number of trees
+    open_ = with_shares(with_counts(ruled.filter("ruled IS NULL"), tables), learned.mean)
+    open_ = open_.select("page_id", "host", "path", "rule", "url", F.array(*lexical()).alias("lexical"), F.array(*SHARES).alias("shares"))
 
     def run(batches):
         for batch in batches:
-            said = batch.column("ruled").to_pylist()
-            todo = [i for i, v in enumerate(said) if v is None]
-            urls, hosts, paths = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
-            score: list[float | None] = [None] * len(said)
-            for i, p in zip(todo, sent.value.blocked([(urls[i] or "", hosts[i], paths[i]) for i in todo]), strict=True):
-                score[i], said[i] = float(p), "block" if p >= 0.5 else "allow"
+            score = sent.value.blocked(matrix(*(batch.column(c).to_pylist() for c in ("lexical", "shares", "url"))))
+            said = np.where(score >= 0.5, "block", "allow")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(said, pa.string()), pa.array(score, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
 
     kind = dict(ruled.dtypes)["page_id"]
-    return ruled.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    judged = open_.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    decided = ruled.filter("ruled IS NOT NULL").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score"))
+    return decided.unionByName(judged)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
