@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.constants import CALLABLE_TYPES
-from ..operators import combinators, context, graph, resolve, traverse
+from ..operators import combinators, context, cycles, graph, intervals, resolve, traverse
 from ..sources import files
 from ..sources.parse import parse_files
 from .build import stored
@@ -399,3 +399,55 @@ def shortest_paths(spark, sf_dir):
     pairs = table(spark, sf_dir, "supplier").select(F.lit(TARGET).alias("target"), F.concat(F.lit("R"), F.col("s_suppkey") % 5).alias("frm"), F.concat(F.lit("S"), F.col("s_suppkey")).alias("to"))
     found, _ = traverse.shortest_paths(_links(spark, sf_dir), pairs)
     return found.select("frm", "to", "length", F.array_join("path", ">").alias("path"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.o_custkey AS frm, b.o_custkey AS "to" FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 AND b.o_orderstatus = a.o_orderstatus AND b.o_orderpriority = a.o_orderpriority),
+n AS (SELECT frm AS node FROM e UNION SELECT "to" FROM e), r AS (SELECT node AS a, node AS b FROM n UNION SELECT r.a, e."to" FROM r JOIN e ON e.frm = r.b)
+SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
+def strong_components(spark, sf_dir):
+    """An order calls the next one where status and priority are the same; customers that call each other in a circle."""
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    after = own.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("to"), "o_orderstatus", "o_orderpriority")
+    edges = own.join(after, ["o_orderkey", "o_orderstatus", "o_orderpriority"]).select(F.lit(TARGET).alias("target"), F.col("o_custkey").alias("frm"), "to")
+    return cycles.strongly_connected(edges).select("node", "component")
+
+
+RANK_ROUNDS = 8
+RANKS = "".join(f""",
+g{k} AS (SELECT e."to" AS id, sum(rank * times / total) AS given FROM r{k - 1} JOIN e ON e.frm = r{k - 1}.id GROUP BY e."to"),
+l{k} AS (SELECT sum(rank) AS lost FROM r{k - 1} WHERE id NOT IN (SELECT frm FROM e)),
+r{k} AS (SELECT r{k - 1}.id, 0.15 / n + 0.85 * (coalesce(given, 0) + coalesce((SELECT lost FROM l{k}), 0) / n) AS rank FROM r{k - 1} LEFT JOIN g{k} ON g{k}.id = r{k - 1}.id, c)""" for k in range(1, RANK_ROUNDS + 1))
+
+
+@query(_with(NV, CS, EDGES) + """, a AS (SELECT frm, "to", cnt AS times FROM edges UNION ALL SELECT id, parent, 1 FROM nv WHERE type <> 'file' AND parent IS NOT NULL),
+e AS (SELECT frm, "to", CAST(times AS DOUBLE) AS times, CAST(sum(times) OVER (PARTITION BY frm) AS DOUBLE) AS total FROM a),
+c AS (SELECT count(*) AS n FROM nv), r0 AS (SELECT id, 1.0 / c.n AS rank FROM nv, c)""" + RANKS + f" SELECT id, round(rank, 9) AS rank FROM r{RANK_ROUNDS}")
+def page_rank(spark, sf_dir):
+    """Ranks after eight rounds over calls, as often as they come, and from symbols to what contains them."""
+    all_ = nodes(spark, sf_dir)
+    edges = call_sites(spark, sf_dir).select("target", "frm", "to").unionByName(graph.contains_edges(all_).select("target", F.col("to").alias("frm"), F.col("frm").alias("to")))
+    ranks, _, _ = cycles.page_rank(edges, all_, rounds=RANK_ROUNDS)
+    return ranks.select(F.col("node").alias("id"), F.round("rank", 9).alias("rank"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey % 50 AS file, o_orderkey % 1000 AS a, o_orderkey % 1000 + CAST(floor(o_totalprice) AS BIGINT) % 200 - 10 AS b FROM orders),
+p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 50 AS file, l_partkey % 1300 AS line FROM lineitem),
+best AS (SELECT file, line, arg_min(id, (b - a, -a, id)) AS id FROM (SELECT DISTINCT file, line FROM p) JOIN s USING (file) WHERE line BETWEEN a AND b GROUP BY file, line)
+SELECT l_orderkey, l_linenumber, file, line, best.id FROM p LEFT JOIN best USING (file, line)""")
+def innermost_symbol(spark, sf_dir):
+    """Orders as ranges of lines in a file, lineitems as cited lines."""
+    start = F.col("o_orderkey") % 1000
+    spans = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("file"), start.alias("line_start"), (start + F.floor("o_totalprice") % 200 - 10).alias("line_end"), F.col("o_orderkey").alias("id"))
+    cited = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50).alias("file"), (F.col("l_partkey") % 1300).alias("line"))
+    return intervals.innermost(cited, spans, ["file"]).select("l_orderkey", "l_linenumber", "file", "line", "id")
+
+
+@query("""WITH s AS (SELECT user_id, date_trunc('minute', ts) AS ts, max(event_id) AS state_id, arg_max(value, event_id) AS state FROM events WHERE event_type = 'error' GROUP BY ALL),
+l AS (SELECT event_id, user_id, date_trunc('minute', ts) AS ts FROM events WHERE event_type <> 'error')
+SELECT event_id, state_id, state FROM l ASOF LEFT JOIN s ON l.user_id = s.user_id AND l.ts >= s.ts""")
+def last_state(spark, sf_dir):
+    """Each event with the last error of its user, to the minute; keys are cut into parts of 20 rows."""
+    own = table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("minute", "ts"))
+    states = own.filter("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("state_id"), F.col("value").alias("state"))
+    asked = own.filter("event_type != 'error'").select("event_id", "user_id", "ts")
+    return intervals.as_of(asked, states, ["user_id"], "ts", "state_id", rows=20).select("event_id", "state_id", "state")
