@@ -392,3 +392,29 @@ def test_stream_of_files(spark, tmp_path):
     rows = incremental.latest(spark.read.parquet(out))
     names = {r.name for r in rows.filter("kind = 'node'").select("node.name").collect()}
     assert {"Ledger", "only", "second.py"} <= names
+
+
+def test_file_references_meet_firsts(spark):
+    """Ten thousand files of one name, and references by path ends, names and stems, against a look at all files."""
+    import random
+
+    from loomgraph.operators import resolve
+
+    rnd = random.Random(2)
+    files = [(f"d{k}/lib/index.js", k * 7919 % 10_007) for k in range(10_000)] + [("a/b/util.py", 20_000), ("b/util.py", 20_001), ("util.c", 3), ("a/.env", 5), ("c/env", 4), ("x/a.b.js", 9)]
+    specs = ["./index", "lib/index.js", "d77/lib/index.js", "../util", "b/util.py", "a/b/util.py", "util.h", ".env", "env", "a.b", "a.b.js", "", "./", "none", "x\\a.b.js", "lib/index", None] + [f"d{rnd.randrange(10_000)}/lib/index.js" for _ in range(20)]
+
+    def stem_of(name):
+        return name[: name.rindex(".")] if "." in name[1:] else name
+
+    def first(spec):
+        spec = (spec or "").replace("\\", "/").lstrip("./")
+        base = spec.rpartition("/")[2]
+        ends = [(seq, f) for f, seq in files if spec and (f == spec or f.endswith("/" + spec))]
+        like = [(seq, f) for f, seq in files if spec and (f.rpartition("/")[2] == base or stem_of(f.rpartition("/")[2]) == stem_of(base))]
+        return min(ends or like, default=(0, None))[1]
+
+    refs = spark.createDataFrame([("t", str(k), s) for k, s in enumerate(specs)] + [("u", "x", "index.js")], "target string, site string, spec string")
+    rows = resolve.file_refs(refs, spark.createDataFrame([("t", *f) for f in files], "target string, id string, seq int")).collect()
+    assert {(r.target, r.site): r.found for r in rows} == {("t", str(k)): first(s) for k, s in enumerate(specs)} | {("u", "x"): None}
+    assert len(rows) == len(specs) + 1
