@@ -197,13 +197,21 @@ def suggestions(questions: DataFrame, nodes: DataFrame, qualified: DataFrame, li
     return joined.select(*Q, F.slice(F.coalesce("found", "first", F.array().cast("array<string>")), 1, limit).alias("suggestions"))
 
 
-def retrieve(questions: DataFrame, nodes: DataFrame, *, snippets: DataFrame | None = None, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, limit: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def retrieve(questions: DataFrame, nodes: DataFrame, *, snippets: DataFrame | None = None, vectors: DataFrame | None = None, question_vectors: DataFrame | None = None, choose: Callable[[list[str]], list[str]] | None = None, semantic: str = "auto", limit: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Matches (question_id, target, rank, id, score, strategy) and one row for each question (question_id, target,
     strategy, confidence, reason, suggestions). ``keep`` stores what several layers read (names, postings, what
-    each layer decided); by default it is a table in the shared folder."""
+    each layer decided); by default it is a table in the shared folder.
+
+    ``semantic`` says how questions are met that no name and no word matches: by vectors (``embeddings``), by the names that
+    ``choose``, a model, picks from the inventory (``llm``), by the one and for what it leaves by the other (``auto``), or
+    not at all (``off``). A way for which nothing is given is left out."""
     from ..plans.build import stored
+    from ..settings import SEMANTIC
     from .combinators import prefer
-    from .semantic import cosine_top_k
+    from .semantic import cosine_top_k, selected
+
+    if semantic not in SEMANTIC:
+        raise ValueError(f"semantic is one of {', '.join(SEMANTIC)}")
 
     keep = keep or (lambda frame, name: stored(frame.sparkSession, frame, name))
     limit = limit or MAX_CONTEXT_NODES
@@ -235,14 +243,19 @@ def retrieve(questions: DataFrame, nodes: DataFrame, *, snippets: DataFrame | No
     left = left.join(lexical.select(*Q).distinct(), Q, "left_anti")
     confident = F.when(F.col("strategy").isin("qualified", "exact"), "HIGH").otherwise("LOW")
     all_matches = matches.unionByName(exact).withColumn("confidence", confident).unionByName(lexical.select(*matches.columns, "confidence"))
-    if vectors is not None and question_vectors is not None:
+    ways = []
+    if semantic in ("auto", "embeddings") and vectors is not None and question_vectors is not None:
         asked = question_vectors.join(left.select("question_id"), "question_id", "left_semi")
-        near = cosine_top_k(asked, vectors, limit).join(left.select(*Q), "question_id").select(*Q, "rank", "id")
+        ways.append(lambda left: cosine_top_k(asked, vectors, limit).join(left.select(*Q), "question_id").select(*Q, "rank", "id"))
+    if semantic in ("auto", "llm") and choose is not None:
+        ways.append(lambda left: selected(left, nodes, qualified, by_name, choose, limit).select(*Q, "rank", "id"))
+    for way in ways:
+        near = keep(way(left), "near")
         typed = near.join(nodes.select("target", "id", "type"), ["target", "id"]).join(hints.withColumn("hinted", F.lit(True)), ["question_id", "type"], "left")
         near = prefer(typed, ["question_id"], F.col("hinted")).select(*Q, "rank", "id")
-        semantic = settled(near, "semantic", F.lit(0.5)).withColumn("confidence", F.lit("LOW"))
-        all_matches = all_matches.unionByName(semantic)
-        left = left.join(semantic.select(*Q).distinct(), Q, "left_anti")
+        found = keep(settled(near, "semantic", F.lit(0.5)).withColumn("confidence", F.lit("LOW")), "semantic")
+        all_matches = all_matches.unionByName(found)
+        left = left.join(found.select(*Q).distinct(), Q, "left_anti")
     nothing = left.select(*Q, F.lit("No symbol in the knowledge graph matched this question.").alias("reason"), F.lit("none").alias("strategy"))
     refusals = refused.withColumn("strategy", F.lit("qualified-miss")).unionByName(missing.withColumn("strategy", F.lit("named-symbol-miss"))).unionByName(nothing)
     refusals = keep(refusals, "refusals")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import context, graph, semantic
-from . import smoke
+from . import answers, smoke
+from .build import Graph
 from .catalogue_graph import QUALIFIED, _with
 from .catalogue_search import ASSISTANT, _answer_blocks, _answers, _nation_nodes, _shop
-from .views import NV, TARGET, nodes, table
+from .views import NV, TARGET, call_sites, nodes, table
 
 CATALOGUE: dict[str, tuple] = {}
 
@@ -118,3 +121,37 @@ def answer_corrections(spark, sf_dir):
     ids = _answers(spark, sf_dir).select("question_id")
     prompts, answers = ids.withColumn("prompt", F.lit("p")), ids.withColumn("answer", F.concat(F.lit("answer "), "question_id"))
     return context.corrections(prompts, answers, _found(spark, sf_dir)).select("question_id", "correction")
+
+
+def _says(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: names what it is given for members, nothing of it for questions with two names until it is told
+    what is wrong, and repeats refusals."""
+    out = []
+    for prompt in prompts:
+        if wrong := re.search(r"PREVIOUS ANSWER:.*e\.g\. `([^`]+)`", prompt, re.S):
+            out.append(f"ANSWER: see `{wrong[1]}`")
+        elif names := re.search(r"NAMES \(.*?\): `([^`]+)`", prompt):
+            out.append("ANSWER: it does things" if "QUESTION: Nation" in prompt else f"<think>so</think> ANSWER: it is `{names[1]}`")
+        else:
+            out.append(re.search(r"ANSWER: .*", prompt)[0])
+    return out
+
+
+@query("""WITH l AS (SELECT c_nationkey, min(c_custkey) AS k FROM customer GROUP BY c_nationkey), q AS (SELECT s_suppkey, c_nationkey, k, s_suppkey % 4 AS shape FROM supplier JOIN l ON s_nationkey = c_nationkey)
+SELECT s_suppkey AS question_id, CASE shape WHEN 0 THEN 'qualified' WHEN 1 THEN 'exact' WHEN 2 THEN 'named-symbol-miss' ELSE 'none' END AS strategy, shape < 2 AS answered,
+CASE shape WHEN 0 THEN 'ANSWER: it is `Nation' || c_nationkey || '.entry' || k || '`' WHEN 1 THEN 'ANSWER: see `Nation' || c_nationkey || '`' ELSE 'ANSWER: Not found in the knowledge graph for t.' END AS answer, shape = 1 AS retried, CAST(NULL AS VARCHAR) AS issues FROM q""")
+def answered_questions(spark, sf_dir):
+    """A batch from retrieval to checked answers: a member, two names (whose first answer names neither and is asked for again),
+    a symbol that isn't there, and nothing."""
+    least = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("k"))
+    own = table(spark, sf_dir, "supplier").join(least, F.col("s_nationkey") == F.col("c_nationkey"))
+    nation, member, shape = F.concat(F.lit("Nation"), F.col("c_nationkey")), F.concat(F.lit("entry"), F.col("k")), F.col("s_suppkey") % 4
+    text = (
+        F.when(shape == 0, F.concat(F.lit("what does "), nation, F.lit("."), member, F.lit(" do?"))).when(shape == 1, F.concat_ws(" ", nation, F.lit("and"), member))
+        .when(shape == 2, F.concat(F.lit("where is useCart"), F.col("s_suppkey"), F.lit(" ?"))).otherwise(F.lit("zq vk"))
+    )
+    asked = own.select(F.lit(TARGET).alias("target"), F.col("s_suppkey").alias("question_id"), text.alias("question"), F.lit(False).alias("must_refuse"))
+    all_ = _nation_nodes(spark, sf_dir).withColumns({"language": F.lit("python"), "line_start": F.lit(1), "line_end": F.lit(2), "is_async": F.lit(False)})
+    edges = graph.with_external(graph.dedupe_edges(call_sites(spark, sf_dir)), all_)
+    done = answers.answered(asked, Graph(all_, edges, None), _says)
+    return done.select("question_id", "strategy", "answered", "answer", "retried", "issues")

@@ -50,9 +50,9 @@ def checked(questions: DataFrame, nodes: DataFrame, meta: DataFrame, stale: Data
     return run(asked, outcome), faults.join(questions.select("target").distinct(), "target", "left_semi")
 
 
-def corrected(prompts: DataFrame, answers: DataFrame, found: DataFrame, call: Callable[[list[str]], list[str]]) -> DataFrame:
+def corrected(prompts: DataFrame, answers: DataFrame, found: DataFrame, call: Callable[[list[str]], list[str]], retries: int = 0) -> DataFrame:
     """(question_id, target, answer, retried): answers whose findings hold an error are asked for once more, with what is
     wrong; ``call`` answers a list of texts. The second answer stands as it is."""
-    again = mapped(corrections(prompts.select("question_id", "prompt"), answers.select("question_id", "answer"), found).select("question_id", "correction"), "correction", "second", call)
+    again = mapped(corrections(prompts.select("question_id", "prompt"), answers.select("question_id", "answer"), found).select("question_id", "correction"), "correction", "second", call, retries=retries)
     joined = answers.join(again.select("question_id", "second"), "question_id", "left")
     return joined.select("question_id", "target", F.coalesce("second", "answer").alias("answer"), F.col("second").isNotNull().alias("retried"))

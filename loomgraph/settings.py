@@ -12,20 +12,17 @@ SEMANTIC = ("auto", "embeddings", "llm", "off")
 
 @dataclass(frozen=True)
 class Settings:
-    """``semantic``: how questions that no name and no word matches are met: by vectors where there are any (auto),
-    by vectors alone, by a model's choice of names, or not at all."""
+    """``semantic``: how questions that no name and no word matches are met: by vectors where there are any, then by a model's
+    choice of names (auto), by vectors alone (embeddings), by that choice alone (llm), or not at all (off). ``max_nodes``:
+    matches of a question. ``retries``: how often a model's call is tried again before its error counts."""
 
-    model: str = ""
-    embedding_model: str = ""
     semantic: str = "auto"
-    timeout: int = 120
-    retries: int = 3
     max_nodes: int = MAX_CONTEXT_NODES
-    key: str = ""
+    retries: int = 3
 
     @classmethod
     def read(cls, environment=None) -> Settings:
-        """From LOOMGRAPH_MODEL, LOOMGRAPH_EMBEDDING_MODEL and so on; what isn't set keeps its default."""
+        """From LOOMGRAPH_SEMANTIC, LOOMGRAPH_MAX_NODES and LOOMGRAPH_RETRIES; what isn't set keeps its default."""
         own = os.environ if environment is None else environment
         found = {}
         for name, default in cls().__dict__.items():

@@ -146,8 +146,8 @@ def test_settings():
     from loomgraph.settings import Settings
 
     assert Settings.read({}) == Settings()
-    own = Settings.read({"LOOMGRAPH_TIMEOUT": "7", "LOOMGRAPH_SEMANTIC": "OFF", "LOOMGRAPH_KEY": ' "k" '})
-    assert (own.timeout, own.semantic, own.key, own.max_nodes) == (7, "off", "k", 5)
+    own = Settings.read({"LOOMGRAPH_RETRIES": "7", "LOOMGRAPH_SEMANTIC": "OFF", "LOOMGRAPH_MAX_NODES": ' "3" '})
+    assert (own.retries, own.semantic, own.max_nodes) == (7, "off", 3)
     with pytest.raises(ValueError):
         Settings.read({"LOOMGRAPH_SEMANTIC": "some"})
 
@@ -418,3 +418,52 @@ def test_file_references_meet_firsts(spark):
     rows = resolve.file_refs(refs, spark.createDataFrame([("t", *f) for f in files], "target string, id string, seq int")).collect()
     assert {(r.target, r.site): r.found for r in rows} == {("t", str(k)): first(s) for k, s in enumerate(specs)} | {("u", "x"): None}
     assert len(rows) == len(specs) + 1
+
+
+def test_semantic_ways(spark):
+    """Vectors first, a model's choice for what they leave, one of them alone, or none; hints narrow what is found."""
+    nodes = spark.createDataFrame([("t", "f", "f.py", "file", None, "f.py", 0), ("t", "a", "Alpha", "class", "f", "f.py", 1), ("t", "b", "beta", "function", "a", "f.py", 2), ("t", "c", "gamma", "function", "f", "f.py", 3)], "target string, id string, name string, type string, parent string, file string, seq int")
+    nodes = nodes.withColumns({"signature": F.lit(None).cast("string"), "doc": F.lit(None).cast("string")})
+    asked = spark.createDataFrame([("t", 1, "zq vk"), ("t", 2, "xw qq"), ("t", 3, "which function zq jj")], "target string, question_id int, question string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<double>")
+    near = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 0.0])], "question_id int, question_vector array<double>")
+
+    def choose(prompts):
+        assert all("SYMBOLS (3):" in p and "Alpha.beta (function, f.py)" in p for p in prompts)
+        return ['Well: ["gamma", "Ghost", "Alpha.beta"] []' if "xw" in p else '["Alpha", "gamma"]' if "jj" in p else "none" for p in prompts]
+
+    def found(semantic, **how):
+        matches, rows = retrieve.retrieve(asked, nodes, semantic=semantic, **how)
+        ids = {}
+        for r in matches.orderBy("question_id", "rank").collect():
+            ids.setdefault(r.question_id, []).append(r.id)
+        strategies = {r.question_id: r.strategy for r in rows.collect()}
+        assert {q: s for q, s in strategies.items() if s == "semantic"}.keys() == ids.keys()
+        return ids
+
+    both = {"vectors": vectors, "question_vectors": near, "choose": choose}
+    assert found("auto", **both) == {1: ["a", "b"], 2: ["c", "b"], 3: ["c"]}
+    assert found("embeddings", **both) == {1: ["a", "b"]}
+    assert found("llm", **both) == {2: ["c", "b"], 3: ["c"]}
+    assert found("off", **both) == {} and found("auto") == {}
+    with pytest.raises(ValueError, match="semantic is one of"):
+        retrieve.retrieve(asked, nodes, semantic="some")
+
+
+def test_calls_are_tried_again(spark):
+    state = {"failed": False}
+
+    def call(texts):
+        if not state["failed"]:
+            state["failed"] = True
+            raise RuntimeError("busy")
+        return [t.upper() for t in texts]
+
+    frame = spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1)
+    assert [r.said for r in sources.mapped(frame, "text", "said", call, retries=1).collect()] == ["A", "B"]
+
+    def never(texts):
+        raise RuntimeError("gone")
+
+    with pytest.raises(Exception, match="gone"):
+        sources.mapped(frame, "text", "said", never, retries=2).collect()
