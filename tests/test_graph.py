@@ -421,10 +421,10 @@ def test_file_references_meet_firsts(spark):
 
 
 def test_semantic_ways(spark):
-    """Vectors first, a model's choice for what they leave, one of them alone, or none; hints narrow what is found."""
+    """Vectors first, a model's choice for what they leave, one of them alone, or none."""
     nodes = spark.createDataFrame([("t", "f", "f.py", "file", None, "f.py", 0), ("t", "a", "Alpha", "class", "f", "f.py", 1), ("t", "b", "beta", "function", "a", "f.py", 2), ("t", "c", "gamma", "function", "f", "f.py", 3)], "target string, id string, name string, type string, parent string, file string, seq int")
     nodes = nodes.withColumns({"signature": F.lit(None).cast("string"), "doc": F.lit(None).cast("string")})
-    asked = spark.createDataFrame([("t", 1, "zq vk"), ("t", 2, "xw qq"), ("t", 3, "which function zq jj")], "target string, question_id int, question string")
+    asked = spark.createDataFrame([("t", 1, "zq vk"), ("t", 2, "xw qq"), ("t", 3, "zq jj")], "target string, question_id int, question string")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<double>")
     near = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 0.0])], "question_id int, question_vector array<double>")
 
@@ -442,9 +442,9 @@ def test_semantic_ways(spark):
         return ids
 
     both = {"vectors": vectors, "question_vectors": near, "choose": choose}
-    assert found("auto", **both) == {1: ["a", "b"], 2: ["c", "b"], 3: ["c"]}
+    assert found("auto", **both) == {1: ["a", "b"], 2: ["c", "b"], 3: ["a", "c"]}
     assert found("embeddings", **both) == {1: ["a", "b"]}
-    assert found("llm", **both) == {2: ["c", "b"], 3: ["c"]}
+    assert found("llm", **both) == {2: ["c", "b"], 3: ["a", "c"]}
     assert found("off", **both) == {} and found("auto") == {}
     with pytest.raises(ValueError, match="semantic is one of"):
         retrieve.retrieve(asked, nodes, semantic="some")
