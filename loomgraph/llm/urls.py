@@ -214,11 +214,11 @@ def learn(spark: SparkSession, ruled: DataFrame, sample: int = SAMPLE) -> tuple[
         chosen = once if chosen is None else chosen.unionByName(once)
     chosen = common.written(spark, chosen, "url-sample")
     counted = with_counts(chosen, tables)
-    hosts = F.broadcast(chosen.select("host").distinct())  # no more than the sample
     for part in PARTS:
-        # What the url's own host has of the part is left out.
-        own = counts(labelled.join(hosts, "host", "left_semi"), part, "host").withColumnsRenamed({f"{part}_n": "own_n", f"{part}_bad": "own_bad"})
-        counted = counted.join(own, [part, "host"], "left").na.fill(0, ["own_n", "own_bad"])
+        # What the url's own host has of the part is left out; these are no more rows than the sample has.
+        asked = F.broadcast(chosen.select(part, "host").distinct())
+        own = counts(labelled.join(asked, [part, "host"], "left_semi"), part, "host").withColumnsRenamed({f"{part}_n": "own_n", f"{part}_bad": "own_bad"})
+        counted = counted.join(F.broadcast(own), [part, "host"], "left").na.fill(0, ["own_n", "own_bad"])
         counted = counted.withColumns({f"{part}_n": F.col(f"{part}_n") - F.col("own_n"), f"{part}_bad": F.col(f"{part}_bad") - F.col("own_bad")}).drop("own_n", "own_bad")
     rows = with_shares(counted, mean).select("url", "h", "ruled", "rows", "all", F.array(*lexical()).alias("lexical"), F.array(*SHARES).alias("shares")).orderBy("ruled", "h", "url").collect()
     sums = Counter()
