@@ -90,7 +90,8 @@ def _expand(batches):
 
 def examples(conversations: DataFrame) -> DataFrame:
     """Training examples of each conversation: text, and the span of it (code points) under the loss
-    mask, empty where an example only holds the turns after the last reply."""
+    mask, empty where an example only holds the turns after the last reply. Batches are bounded by bytes, for long texts."""
+    common.small_batches(conversations.sparkSession)
     own = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     ordered = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(_expand, EXAMPLES)

@@ -461,6 +461,17 @@ def labelled(n=900, seed=5):
     return rows, labels
 
 
+def test_chat_of_long_texts_and_many_replies(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", ("\\### long </turn> é " * 3000) + str(k)) for k in range(30)] + [(2, 0, "user", "x" * 2_000_000), (2, 1, "assistant", None)]
+    got = {r.conv_id: r for r in chat.digests(chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for conv in (1, 2):
+        own = [(role, text or "") for c, _, role, text in rows if c == conv]
+        said = "".join(t for role, t in own if role == "assistant")
+        assert (got[conv].n_turns, got[conv].loss_chars) == (len(own), len(said))
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        assert got[conv].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_language_held_out(spark):
     rows, _ = labelled()
     rows += [(9000, None, "en", "s", 1), (9001, "12 34 ...", "en", "s", 1), (9002, "", None, "s", 1), (None, "the and", "en", "s", 1)]
