@@ -5,10 +5,12 @@ TYPE_LIKE_TYPES = ("class", "interface", "struct", "component", "enum", "record"
 DATA_TYPES = ("field", "global", "constant", "enum_constant")
 SKIP_DIRS = (".git", ".mypy_cache", ".pytest_cache", ".venv", "__pycache__", "build", "dist", "node_modules", "site-packages", "venv")
 LANGUAGES = {".java": "java", ".c": "c", ".h": "c", ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript"}
-STOPWORDS = tuple(
-    "a an and are as at be but by can did do does for from get give how i if in into is it me my of on or please show so tell than "
-    "that the their them then there these this to up use used was what when where which who why will with would you your".split()
-)
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "can", "did", "do", "does", "for", "from", "get", "give",
+    "how", "i", "if", "in", "into", "is", "it", "me", "my", "of", "on", "or", "please", "show", "so", "tell", "than",
+    "that", "the", "their", "them", "then", "there", "these", "this", "to", "up", "use", "used", "was", "what",
+    "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+)
 FILE_EXTENSIONS = ("java", "py", "js", "jsx", "mjs", "c", "h", "ts", "tsx", "json", "md", "txt", "html", "css", "yml", "yaml")
 SOURCE_SUFFIXES = (".py", ".java", ".c", ".h", ".js", ".jsx", ".mjs", ".ts", ".tsx", ".json", ".md", ".txt", ".html", ".css", ".yml", ".yaml")
 ROLE_WORDS = {
@@ -52,3 +54,15 @@ HOC_WRAPPERS = (
     "React.useMemo", "observer", "withRouter", "connect",
 )
 SCHEMA_VERSION = 2
+
+# Texts and forms of output that results are compared with: fixed values.
+NO_FILE = "[source file not found]"
+NO_LINES = "[line range out of bounds]"
+RENAMED = ("The answer uses none of the real names it was given (e.g. `", "`), so it may have renamed or substituted the symbol.")
+CITED = "The answer cites `"
+OTHER_FILE = "`, but that file was not part of the facts provided."
+OTHER_LINES = "`, which is not one of the real graph ranges — likely a subdivided or invented location."
+INVENTED = ("The answer mentions `", "`, which does not exist in the knowledge graph under that name.")
+DOT_NODE = '  "%s" [label="%s", shape=%s, style="filled,rounded", fillcolor="%s", color="%s", penwidth=%s, fontname="Helvetica", fontsize=10];'
+DOT_EDGE = '  "%s" -> "%s" [label="%s", style=%s, color="%s", fontcolor="%s"];'
+DOT_HEAD = 'digraph G {\n  rankdir=TB;\n  bgcolor="transparent";\n  node [margin="0.12,0.06"];\n  edge [fontname="Helvetica", fontsize=8, arrowsize=0.7];\n'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import PREAMBLES, STOPWORDS
+from .constants import NO_FILE, NO_LINES, PREAMBLES, STOPWORDS
 
 WORD = r"[A-Za-z_][A-Za-z0-9_]*|\d+"
 CAMEL = r"[A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+"
@@ -79,7 +79,7 @@ def snippet(text: Column, first: Column, last: Column) -> Column:
     start = F.greatest(first, F.lit(1))
     inside = (start <= F.size(lines)) & (last >= start)
     cut = F.array_join(F.slice(lines, start, F.greatest(last - start + 1, F.lit(0))), "\n")
-    return F.when(text.isNull(), F.lit("[source file not found]")).when(inside, cut).otherwise(F.lit("[line range out of bounds]"))
+    return F.when(text.isNull(), F.lit(NO_FILE)).when(inside, cut).otherwise(F.lit(NO_LINES))
 
 
 def document_for(qualified: Column, name: Column, type_: Column, signature: Column, doc: Column, file: Column) -> Column:

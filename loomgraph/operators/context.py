@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import EDGE_STYLE, EDGES_PER_NODE, SEVERITIES, SOURCE_SUFFIXES, TYPE_STYLE
+from ..functions.constants import CITED, DOT_EDGE, DOT_HEAD, DOT_NODE, EDGES_PER_NODE, EDGE_STYLE, INVENTED, NO_FILE, OTHER_FILE, OTHER_LINES, RENAMED, SEVERITIES, SOURCE_SUFFIXES, TYPE_STYLE
 from ..functions.text import endpoints_text, escape_dot, without_leading_dots
 from .combinators import first_wins
 from .graph import endpoints
@@ -48,7 +48,7 @@ def context_blocks(matches: DataFrame, nodes: DataFrame, edges: DataFrame, quali
     blocks = blocks.join(neighbours(edges, ids, nodes, qualified), ["target", "id"], "left")
     if snippets is not None:
         return blocks.join(snippets, ["target", "id"], "left")
-    return blocks.withColumn("snippet", F.lit("[source file not found]"))
+    return blocks.withColumn("snippet", F.lit(NO_FILE))
 
 
 def _line(label: str, value: Column, given: Column) -> Column:
@@ -145,7 +145,7 @@ def renamed(answers: DataFrame, blocks: DataFrame) -> DataFrame:
     used = F.contains("answer", F.col("name")) | F.contains("answer", F.col("qualified"))
     own = answers.join(blocks.select("question_id", "rank", "name", "qualified"), "question_id")
     own = own.groupBy("question_id").agg(F.bool_or(used).alias("used"), F.min_by("qualified", "rank").alias("first")).filter("NOT used")
-    message = F.concat(F.lit("The answer uses none of the real names it was given (e.g. `"), "first", F.lit("`), so it may have renamed or substituted the symbol."))
+    message = F.concat(F.lit(RENAMED[0]), "first", F.lit(RENAMED[1]))
     return own.select("question_id", F.lit("renamed_symbol").alias("kind"), F.lit("error").alias("severity"), message.alias("message"))
 
 
@@ -162,9 +162,9 @@ def fabricated(answers: DataFrame, blocks: DataFrame) -> DataFrame:
     files = given.select("question_id", "file").distinct().withColumn("known_file", F.lit(True))
     asked = answers.join(blocks.select("question_id").distinct(), "question_id", "left_semi")
     own = cited_ranges(asked).join(given, ["question_id", "file", "first", "last"], "left_anti").join(files, ["question_id", "file"], "left")
-    cited = F.concat(F.lit("The answer cites `"), "raw_file", F.lit("#L"), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
-    message = F.when(F.col("known_file").isNull(), F.concat(cited, F.lit("`, but that file was not part of the facts provided."))).otherwise(
-        F.concat(cited, F.lit("`, which is not one of the real graph ranges — likely a subdivided or invented location."))
+    cited = F.concat(F.lit(CITED), "raw_file", F.lit("#L"), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
+    message = F.when(F.col("known_file").isNull(), F.concat(cited, F.lit(OTHER_FILE))).otherwise(
+        F.concat(cited, F.lit(OTHER_LINES))
     )
     return own.select("question_id", F.lit("fabricated_range").alias("kind"), F.lit("error").alias("severity"), message.alias("message"))
 
@@ -185,7 +185,7 @@ def invented(answers: DataFrame, known: DataFrame, ends: DataFrame | None = None
         tokens = tokens.withColumn("known", part).join(known, ["target", "known"], "left_anti")
         if ends is not None:
             tokens = tokens.join(ends, ["question_id", "known"], "left_anti")
-    message = F.concat(F.lit("The answer mentions `"), "token", F.lit("`, which does not exist in the knowledge graph under that name."))
+    message = F.concat(F.lit(INVENTED[0]), "token", F.lit(INVENTED[1]))
     return tokens.select("question_id", F.lit("invented_symbol").alias("kind"), F.lit("warning").alias("severity"), message.alias("message"))
 
 
@@ -208,13 +208,12 @@ def _style(table: dict, key: Column, k: int, default: str) -> Column:
 def node_statement(key: Column, label: Column, type_: Column, focus: Column) -> Column:
     shape, fill = _style(TYPE_STYLE, type_, 0, "ellipse"), _style(TYPE_STYLE, type_, 1, "#ffffff")
     colour, pen = F.when(focus, "#1a73e8").otherwise("#5f6368"), F.when(focus, "2.4").otherwise("1.0")
-    form = '  "%s" [label="%s", shape=%s, style="filled,rounded", fillcolor="%s", color="%s", penwidth=%s, fontname="Helvetica", fontsize=10];'
-    return F.format_string(form, escape_dot(key), escape_dot(label), shape, fill, colour, pen)
+    return F.format_string(DOT_NODE, escape_dot(key), escape_dot(label), shape, fill, colour, pen)
 
 
 def edge_statement(a: Column, b: Column, label: Column, resolution: Column) -> Column:
     style, colour = _style(EDGE_STYLE, resolution, 0, "solid"), _style(EDGE_STYLE, resolution, 1, "#5f6368")
-    return F.format_string('  "%s" -> "%s" [label="%s", style=%s, color="%s", fontcolor="%s"];', escape_dot(a), escape_dot(b), escape_dot(label), style, colour, colour)
+    return F.format_string(DOT_EDGE, escape_dot(a), escape_dot(b), escape_dot(label), style, colour, colour)
 
 
 def _numbered(ends: Column, part: int) -> Column:
@@ -250,6 +249,5 @@ def dot_statements(blocks: DataFrame, most: int = EDGES_PER_NODE) -> DataFrame:
 
 def drawings(blocks: DataFrame) -> DataFrame:
     """(question_id, dot): a Graphviz text for each question."""
-    head = 'digraph G {\n  rankdir=TB;\n  bgcolor="transparent";\n  node [margin="0.12,0.06"];\n  edge [fontname="Helvetica", fontsize=8, arrowsize=0.7];\n'
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "statement"))), lambda s: s["statement"]), "\n")
-    return dot_statements(blocks).groupBy("question_id").agg(F.concat(F.lit(head), body, F.lit("\n}")).alias("dot"))
+    return dot_statements(blocks).groupBy("question_id").agg(F.concat(F.lit(DOT_HEAD), body, F.lit("\n}")).alias("dot"))
