@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..operators import context, graph, semantic
+from ..operators import context, graph, rollups, semantic
 from . import answers, smoke
 from .build import Graph
 from .catalogue_graph import QUALIFIED, _with
@@ -155,3 +155,18 @@ def answered_questions(spark, sf_dir):
     edges = graph.with_external(graph.dedupe_edges(call_sites(spark, sf_dir)), all_)
     done = answers.answered(asked, Graph(all_, edges, None), _says)
     return done.select("question_id", "strategy", "answered", "answer", "retried", "issues")
+
+
+@query("""SELECT source, lang, CAST(GROUPING(source, lang) AS INT) AS level, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS total, true AS distinct_near, true AS median_near FROM documents GROUP BY CUBE (source, lang)""")
+def document_cube(spark, sf_dir):
+    """Documents by source and language and all coarser sets: exact numbers, and whether sketches of distinct texts and of lengths
+    are within three times their errors of what the rows say."""
+    own = table(spark, sf_dir, "documents").select("source", "lang", F.md5("text").alias("text"), "n_chars")
+    made = rollups.cube(rollups.finest(own, ["source", "lang"], "text", "n_chars"), ["source", "lang"], (0.5,)).alias("m")
+    few = F.count(F.lit(1)) < 40  # where a row is more than the error
+    lower, upper = (F.when(few, end("n_chars")).otherwise(F.percentile("n_chars", q)) for end, q in ((F.min, 0.45), (F.max, 0.55)))
+    exact = own.cube("source", "lang").agg(F.grouping_id().alias("level"), F.count_distinct("text").alias("values"), lower.alias("lower"), upper.alias("upper")).alias("e")
+    same = (F.col("m.level") == F.col("e.level")) & F.col("m.source").eqNullSafe(F.col("e.source")) & F.col("m.lang").eqNullSafe(F.col("e.lang"))
+    near = F.abs(F.col("distinct_values") - F.col("values")) <= 3 * 1.04 / 64 * F.col("values") + 1
+    median = F.col("quantiles")[0].between(F.floor("lower"), F.ceil("upper"))
+    return made.join(exact, same).select("m.source", "m.lang", F.col("m.level").cast("int").alias("level"), "n", "total", near.alias("distinct_near"), median.alias("median_near"))
