@@ -78,15 +78,22 @@ def smoothed(n, bad, towards):
     return (bad + SMOOTH * towards) / (n + SMOOTH)
 
 
-def counts(labelled: DataFrame, part: str, *more: str) -> DataFrame:
-    """How many labelled urls, and blocked ones, have a part."""
-    blocked = F.count_if(F.col("ruled") == "block").alias(f"{part}_bad")
-    return labelled.groupBy(part, *more).agg(F.count(F.lit(1)).alias(f"{part}_n"), blocked)
+def listed(urls: DataFrame, *more: str) -> DataFrame:
+    """(part, value, ...) of each url, a row for each of its parts."""
+    pairs = F.array(*(F.struct(F.lit(part).alias("part"), F.col(part).alias("value")) for part in PARTS))
+    return urls.select(F.explode(pairs).alias("p"), *more).select("p.part", "p.value", *more)
 
 
-def with_counts(urls: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    for part, table in tables.items():
-        urls = urls.join(table, part, "left").na.fill(0, [f"{part}_n", f"{part}_bad"])
+def counts(labelled: DataFrame, *more: str) -> DataFrame:
+    """How many labelled urls, and blocked ones, have a part (and a host, if named), all parts in one pass."""
+    return labelled.groupBy("part", "value", *more).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"))
+
+
+def with_counts(urls: DataFrame, table: DataFrame, small: bool) -> DataFrame:
+    """Adds <part>_n and <part>_bad of each part; ``small`` says whether the table was counted to be small."""
+    for part in PARTS:
+        own = table.filter(F.col("part") == part).select(F.col("value").alias(part), F.col("n").alias(f"{part}_n"), F.col("bad").alias(f"{part}_bad"))
+        urls = urls.join(F.broadcast(own) if small else own, part, "left").na.fill(0, [f"{part}_n", f"{part}_bad"])
     return urls
 
 
@@ -195,15 +202,16 @@ class Judge:
         return self.trees.probability(x) if self.trees and len(x) else np.zeros(len(x))
 
 
-def learn(spark: SparkSession, ruled: DataFrame, sample: int = SAMPLE) -> tuple[Judge, dict[str, DataFrame]]:
-    """The judge, and the table of counts of each part (with_parts' columns are there)."""
+def learn(spark: SparkSession, ruled: DataFrame, sample: int = SAMPLE) -> tuple[Judge, DataFrame, bool]:
+    """The judge, the counts of all parts (with_parts' columns are there), and whether these are few."""
     labelled, h = ruled.filter("ruled IS NOT NULL"), F.xxhash64("url")
     different = {r.ruled: (r.urls, r.n) for r in labelled.groupBy("ruled").agg(F.approx_count_distinct("url").alias("urls"), F.count(F.lit(1)).alias("n")).collect()}
     every = sum(n for _, n in different.values())
     mean = different.get("block", (0, 0))[1] / max(every, 1)
-    tables = {part: common.sent_if_small(common.written(spark, counts(labelled, part), f"url-{part}")) for part in PARTS}
+    table = common.written(spark, counts(listed(labelled, "ruled")), "url-parts")
+    small = table.count() <= common.SENT_ROWS
     if not 0 < mean < 1:
-        return Judge(0.0, None), tables
+        return Judge(0.0, None), table, small
     chosen = None
     for verdict, (urls, n) in sorted(different.items()):
         # Of all different urls about the wanted number and some more, so few are counted and sorted.
@@ -213,11 +221,12 @@ def learn(spark: SparkSession, ruled: DataFrame, sample: int = SAMPLE) -> tuple[
         once = once.withColumn("all", F.lit(n))
         chosen = once if chosen is None else chosen.unionByName(once)
     chosen = common.written(spark, chosen, "url-sample")
-    counted = with_counts(chosen, tables)
+    # What a url's own host has of its parts is left out; these are no more rows than the sample has parts.
+    asked = F.broadcast(listed(chosen, "host").distinct())
+    of_host = common.written(spark, counts(listed(labelled, "host", "ruled").join(asked, ["part", "value", "host"], "left_semi"), "host"), "url-hosts")
+    counted = with_counts(chosen, table, small)
     for part in PARTS:
-        # What the url's own host has of the part is left out; these are no more rows than the sample has.
-        asked = F.broadcast(chosen.select(part, "host").distinct())
-        own = counts(labelled.join(asked, [part, "host"], "left_semi"), part, "host").withColumnsRenamed({f"{part}_n": "own_n", f"{part}_bad": "own_bad"})
+        own = of_host.filter(F.col("part") == part).select(F.col("value").alias(part), "host", F.col("n").alias("own_n"), F.col("bad").alias("own_bad"))
         counted = counted.join(F.broadcast(own), [part, "host"], "left").na.fill(0, ["own_n", "own_bad"])
         counted = counted.withColumns({f"{part}_n": F.col(f"{part}_n") - F.col("own_n"), f"{part}_bad": F.col(f"{part}_bad") - F.col("own_bad")}).drop("own_n", "own_bad")
     rows = with_shares(counted, mean).select("url", "h", "ruled", "rows", "all", F.array(*lexical()).alias("lexical"), F.array(*SHARES).alias("shares")).orderBy("ruled", "h", "url").collect()
@@ -226,16 +235,16 @@ def learn(spark: SparkSession, ruled: DataFrame, sample: int = SAMPLE) -> tuple[
         sums[r.ruled] += r.rows
     weight = np.array([r.rows * r["all"] / sums[r.ruled] for r in rows])
     x = matrix([r.lexical for r in rows], [r.shares for r in rows], [r.url for r in rows])
-    return Judge(mean, Trees(x, np.array([r.ruled == "block" for r in rows], float), weight)), tables
+    return Judge(mean, Trees(x, np.array([r.ruled == "block" for r in rows], float), weight)), table, small
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict and score (of the trees; null where a rule decides)."""
     common.small_batches(spark)
     ruled = with_parts(with_rules(pages, rules))
-    learned, tables = learn(spark, ruled, sample)
+    learned, table, small = learn(spark, ruled, sample)
     sent = spark.sparkContext.broadcast(learned)  # bounded by the number of trees
-    open_ = with_shares(with_counts(ruled.filter("ruled IS NULL"), tables), learned.mean)
+    open_ = with_shares(with_counts(ruled.filter("ruled IS NULL"), table, small), learned.mean)
     open_ = open_.select("page_id", "host", "path", "rule", "url", F.array(*lexical()).alias("lexical"), F.array(*SHARES).alias("shares"))
 
     def run(batches):

@@ -125,10 +125,12 @@ def test_shares_count_all_labelled_urls_but_the_own_host(spark):
         assert (r.host, r.path, {p: r[p] for p in urls.PARTS}) == parts_of(r.url)
     labelled = [(r.url, r.ruled == "block") for r in ruled.collect() if r.ruled]
     mean = sum(bad for _, bad in labelled) / len(labelled)
-    learned, tables = urls.learn(spark, ruled, 60)
+    learned, table, small = urls.learn(spark, ruled, 60)
+    assert small
     assert learned.mean == pytest.approx(mean) and learned.trees
-    for r in urls.with_shares(urls.with_counts(ruled.filter("ruled IS NULL"), tables), mean).collect():
-        assert [r[c] for c in urls.SHARES] == pytest.approx(url_shares(r.url, labelled, mean))
+    for few in (True, False):
+        for r in urls.with_shares(urls.with_counts(ruled.filter("ruled IS NULL"), table, few), mean).collect():
+            assert [r[c] for c in urls.SHARES] == pytest.approx(url_shares(r.url, labelled, mean))
 
 
 def walked(trees, x):
@@ -164,7 +166,7 @@ def test_url_verdicts_are_brute_force(spark):
     for name in ("two", "three", "lexical", "h"):
         pages = pages.withColumn(name, F.lit("clash"))
     ruled = urls.with_parts(urls.with_rules(pages)).cache()
-    learned, _ = urls.learn(spark, ruled, 200)
+    learned, _, _ = urls.learn(spark, ruled, 200)
     labelled = [(r.url, r.ruled == "block") for r in ruled.collect() if r.ruled]
     got = urls.judge(spark, pages, sample=200).collect()
     assert sorted(str(r.page_id) for r in got) == sorted(str(r[0]) for r in rows)
