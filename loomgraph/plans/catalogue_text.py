@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25, combinators
+from ..operators import blockmax, bm25, combinators
 from ..streaming import index
 from .build import shared_folder, stored
 from .views import TARGET, table
@@ -137,6 +137,17 @@ def stored_index_topk(spark, sf_dir):
     return found.select(F.col("question_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
+@query(TOP_FIVE)
+def block_index_topk(spark, sf_dir):
+    """The same from an index in blocks, which is asked to take its version a second time and has it already."""
+    docs, path = _docs(spark, sf_dir), f"{shared_folder(spark)}/loomgraph/blocks-{uuid.uuid4().hex}"
+    versions = spark.createDataFrame([(TARGET, "1")], "target string, version string")
+    for _ in range(2):
+        blockmax.write(docs, versions, path)
+    found, _ = blockmax.search(_questions(spark, sf_dir), versions, path, 5)
+    return found.select(F.col("question_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
 KINDS = "CASE lang WHEN 'en' THEN 'function' WHEN 'de' THEN 'class' WHEN 'fr' THEN 'macro' ELSE 'note' END"
 
 
