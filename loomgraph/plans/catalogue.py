@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import catalogue_checks, catalogue_graph, catalogue_parse, catalogue_search, catalogue_text
+from . import catalogue_checks, catalogue_graph, catalogue_parse, catalogue_search, catalogue_stream, catalogue_text
 
 
 def _all() -> dict:
-    return {**catalogue_graph.CATALOGUE, **catalogue_text.CATALOGUE, **catalogue_search.CATALOGUE, **catalogue_parse.CATALOGUE, **catalogue_checks.CATALOGUE}
+    return {**catalogue_graph.CATALOGUE, **catalogue_text.CATALOGUE, **catalogue_search.CATALOGUE, **catalogue_parse.CATALOGUE, **catalogue_checks.CATALOGUE, **catalogue_stream.CATALOGUE}
 
 
 def queries() -> dict:
