@@ -32,6 +32,8 @@ from .combinators import top_k
 DOCUMENTS = 128
 #: Up to so many different terms of a batch of questions are handed to the scan as a filter.
 PUSHED = 1_000
+#: Blocks that are sent to all tasks at most.
+SENT = 100_000
 #: Bands of length in each doubling.
 BANDS = 4
 KEYS = ["target", "version"]
@@ -55,10 +57,14 @@ def write(docs: DataFrame, versions: DataFrame, path: str, *, k1: float = BM25_K
     spark, path = docs.sparkSession, path.rstrip("/")
     named = versions.select(F.coalesce("target", F.lit("und")).alias("target"), "version").distinct()
     new = named.join(_read(spark, f"{path}/totals", TOTALS).select(*KEYS), KEYS, "left_anti")
-    own = docs.select(F.coalesce("target", F.lit("und")).alias("target"), "id", F.coalesce("text", F.lit("")).alias("text")).filter("id IS NOT NULL")
-    own = own.join(new, "target").groupBy(*KEYS, "id").agg(F.max("text").alias("text"))
-    read = stored(spark, own.select(*KEYS, "id", tokenize(F.col("text")).alias("terms")), "block-terms")
-    sized = read.withColumn("length", F.size("terms").cast("long"))
+    own = docs.select(F.coalesce("target", F.lit("und")).alias("target"), "id", F.coalesce("text", F.lit("")).alias("text")).filter("id IS NOT NULL").join(new, "target")
+    # Only texts of ids that several rows share are sent to be compared.
+    shared = stored(spark, own.groupBy(*KEYS, "id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"), "block-shared")
+    several = own.join(shared, [*KEYS, "id"], "left_semi").groupBy(*KEYS, "id").agg(F.max("text").alias("text"))
+    own = own.join(shared, [*KEYS, "id"], "left_anti").select(*KEYS, "id", "text").unionByName(several)
+    # Terms as one text, since texts are smaller than arrays of them; terms have no spaces.
+    terms = own.select(*KEYS, "id", tokenize(F.col("text")).alias("terms"))
+    sized = stored(spark, terms.select(*KEYS, "id", F.size("terms").cast("long").alias("length"), F.concat_ws(" ", "terms").alias("terms")), "block-terms")
     totals = stored(spark, sized.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length")), "block-totals")
     band = F.floor(F.log2(F.greatest("length", F.lit(1))) * BANDS).alias("band")
     bands = sized.groupBy(*KEYS, band).agg(F.ceil(F.count(F.lit(1)) / DOCUMENTS).alias("parts"))
@@ -66,14 +72,14 @@ def write(docs: DataFrame, versions: DataFrame, path: str, *, k1: float = BM25_K
     norm = k1 * (1 - b + b * F.greatest("length", F.lit(1)) / lacks)
     placed = sized.withColumn("band", band).join(bands, [*KEYS, "band"]).join(totals.select(*KEYS, "avg_length"), KEYS)
     placed = placed.select(*KEYS, "id", "terms", norm.alias("norm"), (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
-    # Documents are sent once, to their block; what follows needs no exchange until blocks are dealt to files.
-    terms = placed.repartition(*KEYS, "block").select(*KEYS, "block", "id", "norm", F.explode("terms").alias("term"))
-    counted = terms.groupBy(*KEYS, "block", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("norm").alias("norm"))
+    # Documents are sent once, to their block; what follows needs no exchange, and a file has the terms of its blocks in order.
+    words = placed.filter("terms != ''").repartition(*KEYS, "block").select(*KEYS, "block", "id", "norm", F.explode(F.split("terms", " ")).alias("term"))
+    counted = words.groupBy(*KEYS, "block", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("norm").alias("norm"))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))
     blocks = counted.withColumn("part", part).groupBy(*KEYS, "block", "term")
     blocks = blocks.agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("best"), F.array_sort(F.collect_list(F.struct("id", "part"))).alias("posts"))
-    dealt = blocks.select("term", "block", "n", "best", "posts", *KEYS).repartition(*KEYS, F.pmod(F.xxhash64("term"), F.lit(32)))
-    for frame, name in ((dealt.sortWithinPartitions(*KEYS, "term", "block"), "blocks"), (totals.select("n", "avg_length", *KEYS), "totals")):
+    blocks = blocks.select("term", "block", "n", "best", "posts", *KEYS).sortWithinPartitions(*KEYS, "term", "block")
+    for frame, name in ((blocks, "blocks"), (totals.select("n", "avg_length", *KEYS), "totals")):
         frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(f"{path}/{name}")
 
 
@@ -104,7 +110,10 @@ def search(questions: DataFrame, versions: DataFrame, path: str, limit: int = 10
 
     def scored(chosen: DataFrame) -> DataFrame:
         wanted = chosen.select(*own, "block").join(weights, own)
-        hit = wanted.join(blocks.select(*KEYS, "term", "block", "posts"), [*KEYS, "term", "block"]).select(*own, "weight", F.explode("posts").alias("p"))
+        some = chosen.select(*KEYS, "block").distinct()
+        some = F.broadcast(some) if some.limit(SENT + 1).count() <= SENT else some
+        posts = blocks.select(*KEYS, "term", "block", "posts").join(some, [*KEYS, "block"], "left_semi")
+        hit = wanted.join(posts, [*KEYS, "term", "block"]).select(*own, "weight", F.explode("posts").alias("p"))
         return hit.groupBy(*own, F.col("p.id").alias("id")).agg(F.sum(F.col("weight") * F.col("p.part")).alias("score")).withColumn("score", F.round("score", digits))
 
     best = stored(spark, top_k(scored(first), own, [F.desc("score"), "id"], limit), "block-best")
