@@ -15,7 +15,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges of a node from which on it is dealt to parts, and edges of a part.
@@ -102,7 +102,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, hops: int | None = Non
     The path is the array of its nodes; of several shortest ones the one whose nodes are smallest from the start.
 
     Both ends walk in turn, the one with the smaller frontier first, until they meet, so a pair costs two walks of half the
-    length. A meeting is shortest once the depths of the two walks add up to its length."""
+    length. A pair that hasn't met before meets where both walks are at their last hop, so only those rows are compared, from the
+    end that knows fewer nodes of its pairs."""
     keep = _kept(edges.sparkSession, keep)
     left = keep(pairs.select(*PAIR).filter("frm IS NOT NULL AND to IS NOT NULL").distinct(), "pairs")
     ahead, back = dealt_edges(edges, keep, hub), dealt_edges(edges.select("target", F.col("to").alias("frm"), F.col("frm").alias("to")), keep, hub)
@@ -113,12 +114,10 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, hops: int | None = Non
     done, complete = [], True
     while True:
         depth = sides[0]["depth"] + sides[1]["depth"]
-        one, other = map(_known, sides)
-        both = left.join(one, ["target", "frm"]).join(other, ["target", "to", "node"])
-        length = F.min(F.col("frm_hop") + F.col("to_hop")).alias("length")
-        met = both.groupBy(*PAIR).agg(length).filter(F.col("length") <= depth)
+        first, second = sorted(sides, key=lambda s: _meetings(left, s))
+        both = left.join(_last(first), ["target", first["end"]]).join(_last(second), ["target", second["end"], "node"])
         # Where the halves of the path meet: as far from the end as that walk has come.
-        met = keep(met.withColumn("cut", F.greatest(F.lit(0), F.col("length") - sides[1]["depth"])), f"met-{depth}")
+        met = keep(both.select(*PAIR).distinct().select(*PAIR, F.lit(depth).alias("length"), F.lit(sides[0]["depth"]).alias("cut")), f"met-{depth}")
         done.append(met)
         left = keep(left.join(met, PAIR, "left_anti"), f"left-{depth}")
         if left.isEmpty() or not (sides[0]["size"] and sides[1]["size"]):
@@ -137,31 +136,58 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, hops: int | None = Non
     return _spelled(keep(_union(done), "lengths"), ahead[0], *map(_known, sides), keep), complete
 
 
+def _last(side: dict) -> DataFrame:
+    return side["levels"][-1].select("target", F.col("seed").alias(side["end"]), "node")
+
+
+def _meetings(left: DataFrame, side: dict) -> int:
+    """How many rows open pairs make with the last hop of one end."""
+    pairs = left.groupBy("target", F.col(side["end"]).alias("seed")).agg(F.count(F.lit(1)).alias("pairs"))
+    nodes = side["levels"][-1].groupBy("target", "seed").agg(F.count(F.lit(1)).alias("nodes"))
+    return pairs.join(nodes, ["target", "seed"]).agg(F.sum(F.col("pairs").cast("double") * F.col("nodes"))).first()[0] or 0
+
+
 def _known(side: dict) -> DataFrame:
     return _union(side["levels"]).select("target", F.col("seed").alias(side["end"]), "node", F.col("hop").alias(f"{side['end']}_hop"))
 
 
 def _spelled(lengths: DataFrame, edges: DataFrame, first: DataFrame, second: DataFrame, keep) -> DataFrame:
     """Paths of pairs (target, frm, to, length, cut). All nodes of shortest paths, by their place: those at the cut that both
-    walks know at the right distance, before them those that the first walk knows, after them those of the second."""
+    walks know at the right distance, before them those that the first walk knows, after them those of the second. Hops are
+    keys of the joins, and edges meet pairs of nodes, so a pair never meets all that an end knows, or all edges of a node."""
     edges, place = edges.select("target", "at", "to"), [*PAIR, "length", "place", "node"]
-    middle = lengths.join(first, ["target", "frm"]).join(second, ["target", "to", "node"])
-    middle = keep(middle.filter("frm_hop = cut AND to_hop = length - cut").select(*PAIR, "length", F.col("cut").alias("place"), "node"), "middle")
+    split = lengths.select(*PAIR, "length", F.col("cut").alias("place"))
+    halves = [("frm", first, F.col("place")), ("to", second, F.col("length") - F.col("place"))]
+
+    def within(layer: DataFrame, end: str, known: DataFrame, hop: Column, keys: list[str]) -> DataFrame:
+        return layer.withColumn(f"{end}_hop", hop).join(known, ["target", end, *keys, f"{end}_hop"]).drop(f"{end}_hop")
+
+    def rows(end: str, known: DataFrame, hop: Column) -> float:
+        pairs = split.groupBy("target", end, hop.alias(f"{end}_hop")).agg(F.count(F.lit(1)).alias("pairs"))
+        nodes = known.groupBy("target", end, f"{end}_hop").agg(F.count(F.lit(1)).alias("nodes"))
+        return pairs.join(nodes, ["target", end, f"{end}_hop"]).agg(F.sum(F.col("pairs").cast("double") * F.col("nodes"))).first()[0] or 0
+
+    fewer, more = sorted(halves, key=lambda half: rows(*half))
+    middle = keep(within(within(split, *fewer, []), *more, ["node"]).select(*place), "middle")
     most = lengths.agg(F.max("cut").alias("cut"), F.max(F.col("length") - F.col("cut")).alias("rest"), F.max("length").alias("length")).first()
-    nodes, layer = middle, middle
-    for _ in range(most.cut or 0):
-        near = layer.join(edges.withColumnRenamed("to", "node"), ["target", "node"]).drop("node").withColumnRenamed("at", "node").withColumn("place", F.col("place") - 1)
-        layer = keep(near.join(first, ["target", "frm", "node"]).filter("frm_hop = place").select(*place).distinct(), "before")
-        nodes = nodes.unionByName(layer)
-    layer = middle
-    for _ in range(most.rest or 0):
-        near = layer.join(edges.withColumnRenamed("at", "node").withColumnRenamed("to", "next"), ["target", "node"]).drop("node").withColumnRenamed("next", "node").withColumn("place", F.col("place") + 1)
-        layer = keep(near.join(second, ["target", "to", "node"]).filter("to_hop = length - place").select(*place).distinct(), "after")
-        nodes = nodes.unionByName(layer)
+    nodes = middle
+    ways = [
+        (most.cut or 0, "frm", first, F.col("place"), -1, "before", edges.select("target", F.col("to").alias("node"), F.col("at").alias("next"))),
+        (most.rest or 0, "to", second, F.col("length") - F.col("place"), 1, "after", edges.select("target", F.col("at").alias("node"), F.col("to").alias("next"))),
+    ]
+    for steps, end, known, hop, by, name, beside in ways:
+        layer = middle
+        for _ in range(steps):
+            here = layer.withColumn("place", F.col("place") + by)
+            # One edge from its end a path goes there, so no edge but that one is read.
+            near = here.filter(hop == 0).withColumn("next", F.col(end)).join(beside, ["target", "node", "next"], "left_semi").drop("node").withColumnRenamed("next", "node").select(*place)
+            far = here.filter(hop > 0).join(beside, ["target", "node"]).drop("node").withColumnRenamed("next", "node")
+            layer = keep(near.unionByName(within(far, end, known, hop, ["node"]).select(*place)).distinct(), name)
+            nodes = nodes.unionByName(layer)
     paths = lengths.select(*PAIR, "length", F.col("frm").alias("last"), F.array("frm").alias("path"))
     steps = edges.select("target", F.col("at").alias("last"), F.col("to").alias("node"))
     for k in range(1, (most.length or 0) + 1):
-        near = paths.filter(F.col("length") >= k).join(steps, ["target", "last"]).join(nodes.filter(F.col("place") == k).drop("place"), [*PAIR, "length", "node"])
+        near = paths.filter(F.col("length") >= k).join(nodes.filter(F.col("place") == k).drop("place"), [*PAIR, "length"]).join(steps, ["target", "last", "node"], "left_semi")
         longer = near.groupBy(*PAIR, "length", "path").agg(F.min("node").alias("last")).select(*PAIR, "length", "last", F.concat("path", F.array("last")).alias("path"))
         paths = keep(paths.filter(F.col("length") < k).unionByName(longer), "paths")
     return paths.select(*PAIR, "length", "path")
