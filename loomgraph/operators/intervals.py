@@ -41,16 +41,18 @@ def innermost(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str
     ones the last to start, then the smallest id; null where there is none. Numbers are whole, not negative and below 2**31;
     ranges that end before they start, and nulls, hold nothing. Points of one place are looked up once.
 
-    Ranges are cut into nested bins and a place is in one bin of each level, so both meet in an equi-join, and a range costs as
-    many rows as it has bins, however many places lie in it."""
+    Ranges are cut into nested bins and a place is in one bin of each level, so both meet in an equi-join. Of a bin's ranges only the
+    best goes there, so a place meets a row a level at most, however many ranges hold it."""
     keys = list(keys)
     usable = ranges.select(*keys, F.col(start).cast("long").alias("_start"), F.col(end).cast("long").alias("_end"), F.col(id_).alias("_id"))
     usable = usable.filter(f"_start >= 0 AND _end >= _start AND _end < {1 << LEVELS}")
     cut = usable.withColumn("_bin", F.explode(bins(F.col("_start"), F.col("_end")))).select(*keys, "_bin.level", "_bin.bin", "_start", "_end", "_id")
+    # All places in a bin see the same ranges of it, so its best one stands for them.
+    cut = cut.groupBy(*keys, "level", "bin").agg(F.min(F.struct((F.col("_end") - F.col("_start")).alias("size"), (-F.col("_start")).alias("late"), "_id")).alias("_best"))
     places = points.select(*keys, F.col(at).cast("long").alias("_at")).filter("_at >= 0").distinct()
     levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.floor(F.col("_at") / F.call_function("shiftleft", F.lit(1).cast("long"), k)).alias("bin")))
     met = places.withColumn("_bin", F.explode(levels)).select(*keys, "_at", "_bin.level", "_bin.bin").join(cut, [*keys, "level", "bin"])
-    best = met.groupBy(*keys, "_at").agg(F.min(F.struct((F.col("_end") - F.col("_start")).alias("size"), (-F.col("_start")).alias("late"), "_id")).alias("_best"))
+    best = met.groupBy(*keys, "_at").agg(F.min("_best").alias("_best"))
     found = best.select(*keys, "_at", F.col("_best._id").alias(id_))
     return points.withColumn("_at", F.col(at).cast("long")).join(found, [*keys, "_at"], "left").drop("_at")
 
