@@ -265,7 +265,7 @@ def retrieve(questions: DataFrame, nodes: DataFrame, *, snippets: DataFrame | No
     offered = suggestions(asked, nodes, qualified).join(more, Q, "left")
     none = F.array().cast("array<string>")
     offered = offered.select(*Q, F.slice(F.array_distinct(F.concat("suggestions", F.coalesce("more", none))), 1, 6).alias("suggestions"))
-    # One row a question by the plan itself: who reads no suggestions has this join left out by Spark, and nothing is compared.
+    # One row a question by the plan itself, so Spark leaves this join out where no suggestions are read.
     offered = offered.groupBy(*Q).agg(F.first("suggestions").alias("suggestions"))
     answered = all_matches.groupBy(*Q).agg(F.first("strategy").alias("strategy"), F.first("confidence").alias("confidence"))
     rows = answered.withColumn("reason", F.lit(None).cast("string")).withColumn("suggestions", none)
