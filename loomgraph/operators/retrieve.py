@@ -8,6 +8,7 @@ layers decide are small beside the graph; symbols are only ever met in equi-join
 from __future__ import annotations
 
 import difflib
+import itertools
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -137,6 +138,8 @@ def lexical_layer(questions: DataFrame, nodes: DataFrame, index: LexicalIndex, h
 #: The ratio that a suggestion needs, and classes of characters by which names are grouped: a letter in either case, digits,
 #: signs that part names; all others are a class too.
 CLOSE = 0.6
+#: Most subsequences of a name's digits that are sent to meet words.
+WAYS = 64
 CLASSES = (*(chr(a) + chr(a).upper() for a in range(ord("a"), ord("z") + 1)), "0123456789", "_.")
 
 
@@ -159,26 +162,78 @@ def ratios(words: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The length of the longest common subsequence of each two texts."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        places: dict[str, int] = {}
+        for k, c in enumerate(x):
+            places[c] = places.get(c, 0) | 1 << k
+        row = whole = (1 << len(x)) - 1
+        for c in y:
+            met = row & places.get(c, 0)
+            row = (row + met | row - met) & whole
+        out.append(len(x) - row.bit_count())
+    return pd.Series(out, dtype="int32")
+
+
+def subsequences(digits: pd.Series, size: pd.Series) -> pd.Series:
+    """The different subsequences of a size of each text."""
+    return pd.Series([sorted({"".join(c) for c in itertools.combinations(d, n)}) for d, n in zip(digits, size, strict=True)], dtype="object")
+
+
 def close_names(words: DataFrame, pools: DataFrame, k: int = 3) -> DataFrame:
     """(target, word, pool, known, ratio, rank): of each pool (target, pool, known) the k names that are closest to a
     word (target, word), ties to the greater name.
 
     A ratio is at most twice the characters that both share over the sum of lengths, and characters in common are no more
-    than characters of one class in common. Names with the same numbers of each class are one group, so a word meets groups
-    of the lengths that allow the ratio, and names of the groups that allow it; only those are compared."""
-    once = words.select("target", "word").distinct().withColumn("has", character_counts(F.col("word"))).withColumn("size", F.length("word"))
-    named = pools.withColumn("bag", F.array_join(character_counts(F.col("known")), ","))
-    groups = named.select("target", "bag", F.length("known").alias("length")).distinct()
+    than characters of one class in common. Words and names are told apart by what is left without their digits and the number
+    of those, a mould, and moulds of the same numbers of each class are one group: a word's mould meets groups of the lengths
+    that allow the ratio, then moulds of the groups that allow it. Matching blocks are a common subsequence, so what two moulds
+    have in common leaves a number of digits that a word and a name must have in common in the same order: they meet on
+    subsequences of that size, not all of a mould. Names that differ in digits alone are equally close to a word without any, so
+    the k greatest stand for them. Only pairs that are left are compared."""
+    digits, key = "0123456789", ["target", "stem", "n"]
+
+    def moulded(frame: DataFrame, name: str) -> DataFrame:
+        stem = F.translate(name, digits, "")
+        return frame.withColumn("stem", stem).withColumn("n", F.length(name) - F.length(stem)).withColumn("digits", F.regexp_replace(name, "[^0-9]+", ""))
+
+    def counts() -> Column:
+        return character_counts(F.concat("stem", F.repeat(F.lit("0"), F.col("n"))))
+
+    once, named = moulded(words.select("target", "word").distinct(), "word"), moulded(pools, "known")
+    asked = once.select(*key).distinct().withColumn("has", counts()).withColumn("size", F.length("stem") + F.col("n"))
+    moulds = named.select(*key).distinct().withColumn("bag", F.array_join(counts(), ",")).withColumn("length", F.length("stem") + F.col("n"))
+    groups = moulds.select("target", "bag", "length").distinct()
     least, most = F.ceil(F.col("size") * CLOSE / (2 - CLOSE) - 1e-9), F.floor(F.col("size") * (2 - CLOSE) / CLOSE + 1e-9)
-    met = once.withColumn("length", F.explode(F.sequence(least.cast("int"), most.cast("int")))).join(groups, ["target", "length"])
+    met = asked.withColumn("length", F.explode(F.sequence(least.cast("int"), most.cast("int")))).join(groups, ["target", "length"])
     shared = F.aggregate(F.zip_with("has", F.split("bag", ",").cast("array<int>"), lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    pairs = met.filter(2 * shared >= CLOSE * (F.col("size") + F.col("length")) - 1e-9).select("target", "word", "bag")
-    pairs = pairs.join(named, ["target", "bag"]).select("target", "word", "pool", "known")
+    met = met.filter(2 * shared >= CLOSE * (F.col("size") + F.col("length")) - 1e-9).select("target", F.col("stem").alias("w_stem"), F.col("n").alias("w_n"), "size", "bag")
+    met = met.join(moulds, ["target", "bag"])
+    both = F.least("w_n", "n")
+    plain, numbered = met.filter(both == 0), met.filter(both > 0)
+    least = F.ceil(CLOSE / 2 * (F.col("size") + F.col("length")) - 1e-9).cast("int")
+    numbered = numbered.withColumn("need", least - F.pandas_udf(common, "int")("w_stem", "stem")).filter(F.col("need") <= both)
+    # Long runs of digits have very many subsequences; they meet as pairs.
+    ways = F.factorial("n") / F.factorial("need") / F.factorial(F.col("n") - F.col("need"))
+    w_ways = F.factorial("w_n") / F.factorial("need") / F.factorial(F.col("w_n") - F.col("need"))
+    few = F.coalesce((F.col("need") > 0) & (F.greatest(ways, w_ways) <= WAYS), F.lit(False))
+    mould = ["target", "w_stem", "w_n"]
+    own = once.select("target", F.col("stem").alias("w_stem"), F.col("n").alias("w_n"), "word", F.col("digits").alias("w_digits"))
+    greatest = top_k(named.withColumn("shape", F.translate("known", digits, "0" * 10)), ["target", "pool", "shape"], [F.desc("known")], k)
+    pair = ["target", "word", "pool", "known"]
+    pairs = plain.select(*mould, "stem", "n").join(own, mould).join(greatest, key).select(*pair)
+    pairs = pairs.unionByName(numbered.filter(~few).select(*mould, "stem", "n").join(own, mould).join(named, key).select(*pair))
+    cut = F.pandas_udf(subsequences, "array<string>")
+    left = numbered.filter(few).select(*mould, "stem", "n", "need").join(own, mould).withColumn("part", F.explode(cut("w_digits", "need")))
+    right = numbered.filter(few).select(*key, "need").distinct().join(named, key).withColumn("part", F.explode(cut("digits", "need")))
+    pairs = pairs.unionByName(left.join(right, [*key, "need", "part"]).select(*pair))
     # Matching blocks are a common subsequence, and an edit distance is at most what such a one leaves over of both.
     pairs = pairs.filter(F.levenshtein("word", "known") <= (1 - CLOSE) * (F.length("word") + F.length("known")) + 1e-9)
     # A ratio costs far more than a row, so pairs are dealt out whatever their number of bytes; one word's come together.
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(tasks, "target", "word", "pool", "known").sortWithinPartitions("target", "word")
+    pairs = pairs.repartition(tasks, *pair).dropDuplicates(pair).sortWithinPartitions("target", "word")
     close = pairs.withColumn("ratio", F.pandas_udf(ratios, "double")("word", "known")).filter("ratio IS NOT NULL")
     return top_k(close, ["target", "word", "pool"], [F.desc("ratio"), F.desc("known")], k)
 
