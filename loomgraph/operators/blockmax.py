@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BM25_B, BM25_K1
-from ..functions.text import tokenize
+from ..functions.text import terms as text_terms
 from . import bm25
 from .combinators import top_k
 
@@ -63,7 +63,7 @@ def write(docs: DataFrame, versions: DataFrame, path: str, *, k1: float = BM25_K
     several = own.join(shared, [*KEYS, "id"], "left_semi").groupBy(*KEYS, "id").agg(F.max("text").alias("text"))
     own = own.join(shared, [*KEYS, "id"], "left_anti").select(*KEYS, "id", "text").unionByName(several)
     # Terms as one text, since texts are smaller than arrays of them; terms have no spaces.
-    terms = own.select(*KEYS, "id", tokenize(F.col("text")).alias("terms"))
+    terms = own.select(*KEYS, "id", text_terms(F.col("text")).alias("terms"))
     sized = stored(spark, terms.select(*KEYS, "id", F.size("terms").cast("long").alias("length"), F.concat_ws(" ", "terms").alias("terms")), "block-terms")
     totals = stored(spark, sized.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length")), "block-totals")
     band = F.floor(F.log2(F.greatest("length", F.lit(1))) * BANDS).alias("band")

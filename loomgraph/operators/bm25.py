@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BM25_B, BM25_K1, DEFAULT_TYPE_WEIGHT, EXPAND_PREFIX, EXPAND_TERMS, HINT_BOOST, LEXICAL_MIN, LEXICAL_RELATIVE, LEXICAL_STRONG, TYPE_WEIGHTS
-from ..functions.text import tokenize
+from ..functions.text import terms as text_terms
 from .combinators import top_k
 
 
 def postings(docs: DataFrame, keep_stopwords: bool = False) -> DataFrame:
     """(target, id, term, tf) of documents (target, id, text)."""
-    return docs.select("target", "id", F.explode(tokenize(F.col("text"), keep_stopwords)).alias("term")).groupBy("target", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select("target", "id", F.explode(text_terms(F.col("text"), keep_stopwords)).alias("term")).groupBy("target", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(posted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -25,6 +25,12 @@ def lengths(posted: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("target", "id").join(sums, ["target", "id"], "left").withColumn("length", F.coalesce("length", F.lit(0)))
 
 
+def text_lengths(docs: DataFrame) -> DataFrame:
+    """(target, id, length) of documents (target, id, text), without their terms being counted or sent; 0 without an id."""
+    size = F.when(F.col("id").isNotNull(), F.greatest(F.size(text_terms(F.col("text"))), F.lit(0))).otherwise(0)
+    return docs.groupBy("target", "id").agg(F.sum(size).cast("long").alias("length"))
+
+
 def corpus(sized: DataFrame) -> DataFrame:
     return sized.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
 
@@ -38,7 +44,7 @@ def term_stats(posted: DataFrame, totals: DataFrame) -> DataFrame:
 
 def query_terms(questions: DataFrame, keep_stopwords: bool = False) -> DataFrame:
     """(target, question_id, term, qtf) of questions (target, question_id, question)."""
-    tokens = questions.select("target", "question_id", F.explode(tokenize(F.col("question"), keep_stopwords)).alias("term"))
+    tokens = questions.select("target", "question_id", F.explode(text_terms(F.col("question"), keep_stopwords)).alias("term"))
     return tokens.groupBy("target", "question_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
@@ -69,7 +75,7 @@ def scores(terms: DataFrame, posted: DataFrame, sized: DataFrame, totals: DataFr
 
 def vocabulary(docs: DataFrame, keep_stopwords: bool = False) -> DataFrame:
     """(target, term) of all documents; a document's own repeats go before anything is shuffled."""
-    return docs.select("target", F.explode(F.array_distinct(tokenize(F.col("text"), keep_stopwords))).alias("term")).distinct()
+    return docs.select("target", F.explode(F.array_distinct(text_terms(F.col("text"), keep_stopwords))).alias("term")).distinct()
 
 
 def score_documents(terms: DataFrame, docs: DataFrame, *, b: float = BM25_B, keep_stopwords: bool = False) -> DataFrame:
@@ -78,7 +84,7 @@ def score_documents(terms: DataFrame, docs: DataFrame, *, b: float = BM25_B, kee
     from ..plans.build import stored
 
     terms = stored(docs.sparkSession, terms, "query-terms")
-    read = stored(docs.sparkSession, docs.select("target", "id", tokenize(F.col("text"), keep_stopwords).alias("terms")), "terms")
+    read = stored(docs.sparkSession, docs.select("target", "id", text_terms(F.col("text"), keep_stopwords).alias("terms")), "terms")
     sized = read.groupBy("target", "id").agg(F.sum(F.greatest(F.size("terms"), F.lit(0))).cast("long").alias("length"))
     totals = corpus(sized)
     asked = terms.select("target", "term").distinct()

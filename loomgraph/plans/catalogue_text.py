@@ -95,16 +95,15 @@ c AS (SELECT count(*) AS n, avg(len) AS avg_len FROM l), s AS (SELECT term, coun
 @query(STATS + " SELECT CAST((SELECT n FROM c) AS BIGINT) AS n, round((SELECT avg_len FROM c), 6) AS avg_length, CAST((SELECT count(*) FROM s) AS BIGINT) AS terms")
 def doc_stats(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    posted = bm25.postings(docs)
-    terms = posted.select("term").distinct().agg(F.count(F.lit(1)).alias("terms"))
-    return bm25.corpus(bm25.lengths(posted, docs)).crossJoin(terms).select("n", F.round("avg_length", 6).alias("avg_length"), "terms")
+    terms = bm25.vocabulary(docs).agg(F.count(F.lit(1)).alias("terms"))
+    return bm25.corpus(bm25.text_lengths(docs)).crossJoin(terms).select("n", F.round("avg_length", 6).alias("avg_length"), "terms")
 
 
 @query(STATS + " SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM s")
 def idf(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     posted = bm25.postings(docs)
-    return bm25.term_stats(posted, bm25.corpus(bm25.lengths(posted, docs))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.term_stats(posted, bm25.corpus(bm25.text_lengths(docs))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 BENCH = tokens_sql("b", "benchmark", "item_id", "text") + ", q AS (SELECT id AS qid, term, count(*) AS qtf FROM b GROUP BY id, term)"

@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, tokenize
+from ..functions.text import content_hash
+from ..functions.text import terms as text_terms
 from ..operators import bm25
 from ..operators.combinators import last_wins, top_k
 from ..plans.build import stored
@@ -60,7 +61,7 @@ def add(docs: DataFrame, path: str, number: int) -> None:
         own = own.join(was, ["target", "id"], "left").filter("was IS NULL OR was != hash")
     else:
         own = own.withColumn("was_batch", F.lit(None).cast("long"))
-    fresh = stored(spark, own.select("target", "id", "hash", "was_batch", tokenize(F.col("text")).alias("terms")), "index-batch")
+    fresh = stored(spark, own.select("target", "id", "hash", "was_batch", text_terms(F.col("text")).alias("terms")), "index-batch")
     length = F.size("terms").cast("long").alias("length")
     fresh.select("target", "id", "hash", length).write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
     posted = fresh.select("target", "id", F.explode("terms").alias("term")).groupBy("target", "term", "id").agg(F.count(F.lit(1)).alias("tf"))
