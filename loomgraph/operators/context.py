@@ -128,6 +128,8 @@ def corrections(prompt: DataFrame, answers: DataFrame, found: DataFrame) -> Data
 
 RANGE = r"(?U)([\w./\\-]+\.\w+)\s*#\s*L(\d+)\s*-\s*(\d+)"
 TICKED = r"(?U)`([A-Za-z_][\w.]*)`"
+#: Tasks to which the answers that mention one name are dealt.
+DEALT = 64
 
 
 def summarize() -> Column:
@@ -181,10 +183,16 @@ def invented(answers: DataFrame, known: DataFrame, ends: DataFrame | None = None
     tokens = tokens.filter(F.contains("token", F.lit("."))).filter(~reduce(lambda a, b: a | b, (F.endswith(F.lower("token"), F.lit(s)) for s in SOURCE_SUFFIXES)))
     last = F.element_at(F.split("token", r"\."), -1)
     owner = F.regexp_replace("token", r"\.[^.]*$", "")
-    for part in (F.col("token"), owner, last, F.get(F.split("token", r"\."), 0)):
-        tokens = tokens.withColumn("known", part).join(known, ["target", "known"], "left_anti")
-        if ends is not None:
-            tokens = tokens.join(ends, ["question_id", "known"], "left_anti")
+    parts = (F.col("token"), owner, last, F.get(F.split("token", r"\."), 0))
+    # A name that very many answers mention is looked up once, and its answers are dealt to several tasks.
+    names = tokens.select("target", "token").distinct()
+    for part in parts:
+        names = names.withColumn("known", part).join(known, ["target", "known"], "left_anti")
+    names = names.select("target", "token", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))).alias("deal"))
+    tokens = tokens.withColumn("deal", F.pmod(F.xxhash64("question_id"), F.lit(DEALT))).join(names, ["target", "token", "deal"], "left_semi")
+    if ends is not None:
+        for part in parts:
+            tokens = tokens.withColumn("known", part).join(ends, ["question_id", "known"], "left_anti")
     message = F.concat(F.lit(INVENTED[0]), "token", F.lit(INVENTED[1]))
     return tokens.select("question_id", F.lit("invented_symbol").alias("kind"), F.lit("warning").alias("severity"), message.alias("message"))
 
