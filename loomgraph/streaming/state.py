@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 CHANGES = "target string, path string, modified timestamp, hash string, deleted boolean, change string"
 
 
@@ -31,20 +32,18 @@ def state_store(spark: SparkSession):
 
 
 class _Versions(StatefulProcessor):
-    """Keeps a file's newest version. A deletion is kept until the watermark has passed it: an older version that
+    """Keeps a file's newest version. Files have few versions a batch, so they come as rows: a frame for each file costs far
+    more than what is done with it. A deletion is kept until the watermark has passed it: an older version that
     arrives before is known to be gone, and one that arrives after is too late anyhow."""
 
     def init(self, handle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "modified long, deleted boolean, hash string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        was = self.last.get() if self.last.exists() else None
-        best = newest = (was[0], was[1], was[2] or "") if was else None
-        for frame in rows:
-            for version in zip(frame["micros"].tolist(), frame["deleted"].tolist(), frame["hash"].tolist(), strict=True):
-                if newest is None or version > newest:
-                    newest = version
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        was = self.last.get()
+        best = (was[0], was[1], was[2] or "") if was else None
+        newest = max((*([best] if best else []), *((r.micros, r.deleted, r.hash) for r in rows)))
         if newest == best:
             return
         self.last.update(newest)
@@ -55,10 +54,10 @@ class _Versions(StatefulProcessor):
             return
         change = "removed" if newest[1] else "added" if not there else "changed" if newest[2] != best[2] else None
         if change:
-            yield pd.DataFrame({"target": [key[0]], "path": [key[1]], "modified": [pd.Timestamp(newest[0], unit="us", tz="UTC")], "hash": [None if newest[1] else newest[2]], "deleted": [newest[1]], "change": [change]})
+            yield Row(target=key[0], path=key[1], modified=EPOCH + timedelta(microseconds=newest[0]), hash=None if newest[1] else newest[2], deleted=newest[1], change=change)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and (last := self.last.get())[1] and last[0] // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if (last := self.last.get()) and last[1] and last[0] // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()
         return iter(())
 
@@ -79,7 +78,7 @@ def versions(files: DataFrame, delay: str) -> DataFrame:
         F.coalesce("target", F.lit("und")).alias("target"), "path", "modified", F.unix_micros("modified").alias("micros"),
         F.coalesce("hash", F.lit("")).alias("hash"), F.coalesce("deleted", F.lit(False)).alias("deleted"),
     )
-    return own.groupBy("target", "path").transformWithStateInPandas(_Versions(), CHANGES, "Update", "EventTime")
+    return own.groupBy("target", "path").transformWithState(_Versions(), CHANGES, "Update", "EventTime")
 
 
 def standing(changes: DataFrame) -> DataFrame:
