@@ -89,7 +89,8 @@ def page_rank(edges: DataFrame, nodes: DataFrame, *, rounds: int = 20, damping:
         before = ranks
         for _ in range(min(TOGETHER, rounds - made) if not within else 1):
             before, made = ranks, made + 1
-            given = ranks.join(links, NODE).groupBy("target", F.col("to").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("given"))
+            # Ranks are looked up by hash: a sort of all edges in each round would cost more than the rest of it.
+            given = ranks.hint("shuffle_hash").join(links, NODE).groupBy("target", F.col("to").alias("node")).agg(F.sum(F.col("rank") * F.col("part")).alias("given"))
             lost = own.filter("NOT leads").join(ranks, NODE).groupBy("target").agg(F.sum("rank").alias("lost"))
             whole = own.join(given, NODE, "left").join(lost, "target", "left")
             given, lost = F.coalesce("given", F.lit(0.0)), F.coalesce("lost", F.lit(0.0))
