@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import combinators, graph, traverse
 from loomgraph.plans import views
+from loomgraph.plans.build import stored
 
 from . import base
 
@@ -34,7 +35,8 @@ REPORT = "symbol string, name string, callers long, sites long, affected long, f
 def run(spark: SparkSession, tables: str, out: str, *, hops: int, rows: int, callers: int) -> DataFrame:
     """Writes both tables and returns ``report``, read back."""
     nodes, out = views.nodes(spark, tables), out.rstrip("/")
-    calls = graph.dedupe_edges(views.call_sites(spark, tables))
+    # Walk, counts and most frequent callers read the same edges, which are put together once.
+    calls = stored(spark, graph.dedupe_edges(views.call_sites(spark, tables)).select("target", "frm", "to", "count"), "impact-calls")
     edges = calls.select("target", "frm", "to").unionByName(graph.contains_edges(nodes))
     functions = nodes.filter("type = 'function'")
     walk = traverse.reach(edges, functions.select("target", "id"), incoming=True, hops=hops, rows=rows)
