@@ -119,8 +119,7 @@ def status(meta: DataFrame, stale: DataFrame) -> DataFrame:
 def graph_hash(files: DataFrame) -> DataFrame:
     """The first 16 hex digits of the hash of all ``path:hash`` in order of path. One short string a file is
     gathered for each target: the definition hashes them in sequence."""
-    entry = F.struct("file", F.concat_ws(":", "file", "hash").alias("entry"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]), "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "hash"))), lambda e: F.concat_ws(":", e["file"], e["hash"])), "")
     return files.groupBy("target").agg(F.substring(F.sha2(joined, 256), 1, 16).alias("hash"))
 
 
